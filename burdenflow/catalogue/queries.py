@@ -10,7 +10,7 @@ from burdenflow.functions import clinical as c
 from burdenflow.functions.text import parameter_index
 from burdenflow.operators import groups as g
 from burdenflow.operators.joins import lookup, natural_join
-from burdenflow.operators.ordering import hdi, quantiles
+from burdenflow.operators.ordering import hdi, number_rows, quantiles
 from burdenflow.operators.shaping import above_threshold, filter_parameter, single
 from burdenflow.plans import burden, cleaning, posterior, prevalence, regression
 from burdenflow.sources import schemas
@@ -39,10 +39,11 @@ class Case(Testbed):
         return cleaning.age_population(*self.population_parts())
 
     def study_years(self) -> DataFrame:
-        return cleaning.study_populations(self.population())
+        return cleaning.study_populations(cleaning.read_population(*self.population_parts()))
 
     def age_years(self) -> DataFrame:
-        return cleaning.study_rows(self.population()).select("study_id", "age_years", "n_age")
+        ages = cleaning.study_rows(cleaning.read_population(*self.population_parts()))
+        return ages.select("study_id", "age_years", "n_age")
 
     def places(self) -> DataFrame:
         return cleaning.format_locations(self.locations_raw())
@@ -59,10 +60,10 @@ class Case(Testbed):
     def studies(self) -> DataFrame:
         return cleaning.study_dim(self.patients())
 
-    def study_cases(self, phenotype: str = "sma") -> DataFrame:
-        counts = burden.phenotype_counts(self.patients(), phenotype, self.study_years())
-        numbers = self.studies().select("study_id", "study_number")
-        return natural_join(numbers, counts, "left", on=["study_id"])
+    def study_cases(self) -> DataFrame:
+        """Anaemia cases of every study with its number; no study is left out of these counts."""
+        counts = burden.phenotype_counts(self.patients(), "sma", self.study_years())
+        return number_rows(counts, ["study_id"], name="study_number")
 
 
 def shown(df: DataFrame) -> DataFrame:

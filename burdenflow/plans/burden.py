@@ -127,30 +127,34 @@ def composite_imputed(patients: DataFrame, keys: Sequence[str] = ("study_id",))
     )
 
 
-def _age_rates(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
-    counted = flagged.groupBy(*keys).agg(
-        flag_sum(F.col("composite")).alias("n"),
-        flag_sum(F.col("composite_alt")).alias("n_alt"),
-        null_sum_distinct(F.col("n_age")).alias("py"),
+def _age_counts(patients: DataFrame) -> DataFrame:
+    """Composite cases by study and age, counted before anything is joined to them."""
+    return c.case_flags(patients, cm_default=False).groupBy("study_id", "age_years").agg(
+        flag_sum(F.col("composite")).alias("n"), flag_sum(F.col("composite_alt")).alias("n_alt")
     )
-    return counted.withColumns(
+
+
+def _age_rates(counts: DataFrame, populations: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cases and rates per group of studies and ages; person-years are those of the distinct populations."""
+    aged = natural_join(counts, populations, "left", on=["study_id", "age_years"])
+    totals = aged.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("n_alt").alias("n_alt"), null_sum_distinct(F.col("n_age")).alias("py")
+    )
+    return totals.withColumns(
         {"rate": c.rate(F.col("n"), F.col("py")), "rate_alt": c.rate(F.col("n_alt"), F.col("py"))}
     )
 
 
 def band_rates(patients: DataFrame, populations: DataFrame, prevalence: DataFrame, width: float) -> DataFrame:
     """Composite cases and rates per age and prevalence band of the study."""
-    aged = natural_join(patients, populations, "left", on=["study_id", "age_years"])
-    placed = natural_join(aged, prevalence.select("study_id", "pr"), "left", on=["study_id"])
+    placed = natural_join(_age_counts(patients), prevalence.select("study_id", "pr"), "left", on=["study_id"])
     banded = placed.withColumn("band", F.floor(F.col("pr") / F.lit(width)))
-    rates = _age_rates(c.case_flags(banded, cm_default=False), ["age_years", "band"])
-    return c.age_bands(rates)
+    return c.age_bands(_age_rates(banded, populations, ["age_years", "band"]))
 
 
 def site_age_cases(patients: DataFrame, populations: DataFrame) -> DataFrame:
     """Composite cases and rates per study and age, numbered in that order."""
-    aged = natural_join(patients, populations, "left", on=["study_id", "age_years"])
-    rates = _age_rates(c.case_flags(aged, cm_default=False), ["study_id", "age_years"])
+    rates = _age_rates(_age_counts(patients), populations, ["study_id", "age_years"])
     # an unknown age sorts after the known ones
     placed = rates.withColumn("_place", F.coalesce("age_years", F.lit(1000)))
     return number_rows(placed, ["study_id", "_place"]).drop("_place")

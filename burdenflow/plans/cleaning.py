@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from burdenflow.functions import clinical as c
 from burdenflow.functions.text import age_of, period_of, site_of, split_site, study_id
-from burdenflow.operators.groups import group_total
+from burdenflow.operators.groups import group_total, null_sum
 from burdenflow.operators.joins import natural_join
 from burdenflow.operators.ordering import number_rows
 from burdenflow.operators.shaping import append, recode
+from burdenflow.sources.tables import stored
 
 # fixed values: spellings of sites, periods and methods
 LONG_NAMES = {
@@ -57,11 +58,8 @@ def format_locations(raw: DataFrame) -> DataFrame:
     )
 
 
-def age_population(*parts: DataFrame) -> DataFrame:
-    """Stack the age sheets, read site, period and age from their texts, total each study.
-
-    The total is missing when any age of the study is.
-    """
+def read_population(*parts: DataFrame) -> DataFrame:
+    """Stack the age sheets and read site, period and age from their texts."""
     period = period_of(F.col("file_id"))
     read = append(*parts).select(
         site_of(F.col("file_id"), period).alias("site"),
@@ -71,8 +69,12 @@ def age_population(*parts: DataFrame) -> DataFrame:
     )
     named = recode(read, "site", LONG_NAMES)
     pooled = (F.col("period") == POOLED_SPAN) & (F.col("site") == POOLED_SITE)
-    repaired = named.withColumn("period", F.when(pooled, F.lit(POOLED_PERIOD)).otherwise(F.col("period")))
-    return group_total(repaired, ["site", "period"], "n_age", "total_population")
+    return named.withColumn("period", F.when(pooled, F.lit(POOLED_PERIOD)).otherwise(F.col("period")))
+
+
+def age_population(*parts: DataFrame) -> DataFrame:
+    """Population by study and age, and the study's total: missing when any of its ages is."""
+    return group_total(read_population(*parts), ["site", "period"], "n_age", "total_population")
 
 
 def build_complete(
@@ -80,9 +82,14 @@ def build_complete(
     locations: DataFrame,
     populations: DataFrame,
 ) -> DataFrame:
-    """Cleaned admissions with the features of their site and the population of their age."""
-    placed = natural_join(admissions, locations, "left", on=["site", "period"])
-    return natural_join(placed, populations, "left", on=["site", "period", "age_years"])
+    """Cleaned admissions with the features of their site and the population of their age.
+
+    The two study tables are written out first. Spark then plans on their true sizes: it
+    broadcasts what its threshold allows, which leaves the admissions where they are, and
+    shuffles both sides otherwise.
+    """
+    placed = natural_join(admissions, stored(locations, "locations"), "left", on=["site", "period"])
+    return natural_join(placed, stored(populations, "populations"), "left", on=["site", "period", "age_years"])
 
 
 def study_rows(df: DataFrame) -> DataFrame:
@@ -96,8 +103,8 @@ def study_dim(df: DataFrame) -> DataFrame:
 
 
 def study_populations(populations: DataFrame) -> DataFrame:
-    """Person-years per study, and nothing for a study with an unknown age."""
-    return study_rows(populations).groupBy("study_id").agg(F.first("total_population").alias("py"))
+    """Person-years per study, and none for a study with an unknown population."""
+    return study_rows(populations).groupBy("study_id").agg(null_sum(F.col("n_age")).alias("py"))
 
 
 def detection_methods(locations: DataFrame) -> DataFrame:

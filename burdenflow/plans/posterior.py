@@ -31,6 +31,7 @@ from burdenflow.operators.shaping import (
     step_value,
     to_long,
 )
+from burdenflow.sources.weights import numbers
 
 IDS = ["chain", "iteration"]
 BANDS = {"q01": 0.01, "q025": 0.025, "median": 0.5, "q975": 0.975, "q99": 0.99}
@@ -204,6 +205,22 @@ def site_ages() -> list[float]:
     return [0.0, *[year - 0.25 for year in range(1, 11)]]
 
 
+def _bands(ages: Sequence[float]) -> Column:
+    """Constant array of the bands between consecutive ages, logarithms included."""
+
+    def number(value: float | None) -> str:
+        return "CAST(NULL AS DOUBLE)" if value is None else f"{value!r}D"
+
+    def entry(k: int, lo: float, hi: float) -> str:
+        logs = [math.log(a) if a > 0 else None for a in (lo, hi)]
+        values = ", ".join(number(v) for v in (lo, hi, hi - lo, *logs))
+        return f"({k}, {values})"
+
+    entries = ", ".join(entry(k, lo, hi) for k, (lo, hi) in enumerate(zip(ages, ages[1:])))
+    kind = "ARRAY<STRUCT<band: INT, age: DOUBLE, next: DOUBLE, width: DOUBLE, log_age: DOUBLE, log_next: DOUBLE>>"
+    return F.expr(f"CAST(array({entries}) AS {kind})")
+
+
 def age_profile(
     rows: DataFrame, ages: Sequence[float], below: str = "uniform", rule: str = "right", flat: float = 0.1
 ) -> DataFrame:
@@ -215,16 +232,7 @@ def age_profile(
     threshold all bands are alike (``uniform``), or ``flat`` each if so asked. The sum is
     formed within the row, so no shuffle is needed to normalise.
     """
-    log = lambda a: math.log(a) if a > 0 else None
-    bands = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("band"), F.lit(lo).alias("age"), F.lit(hi).alias("next"), F.lit(hi - lo).alias("width"),
-                F.lit(log(lo)).cast("double").alias("log_age"), F.lit(log(hi)).alias("log_next"),
-            )
-            for k, (lo, hi) in enumerate(zip(ages, ages[1:]))
-        ]
-    )
+    bands = _bands(ages)
     mode = F.exp(F.col("a2") + F.col("b2") * F.col("pr"))
     root = F.sqrt(F.col("mode") * F.col("mode") + 4 * F.col("sigma") * F.col("sigma"))
     shaped = (
@@ -276,7 +284,7 @@ def age_surface(
     )
     probs = {**MIDDLE, "q25": 0.25, "q75": 0.75}
     found = quantiles(fits, ["pr_index", "band"], "fit", probs, draws.count())
-    ends = F.array(*[F.lit(a) for a in (ages or monthly_ages())])
+    ends = numbers(ages or monthly_ages())
     return found.select(
         "pr_index", "band", c.percent(step_value(F.col("pr_index"), per=per)).alias("pr"),
         F.get(ends, F.col("band")).alias("age"), *MIDDLE, (F.col("q75") - F.col("q25")).alias("iqr"),

@@ -16,7 +16,7 @@ from burdenflow.functions.special import norm_cdf, probit
 from burdenflow.operators.groups import group_mean_ratio
 from burdenflow.operators.joins import natural_join
 from burdenflow.operators.ordering import quantiles
-from burdenflow.sources.weights import AGE_SHARES, MAX_AGE, PRESETS, age_weights
+from burdenflow.sources.weights import AGE_SHARES, MAX_AGE, PRESETS, age_weights, numbers
 
 REFERENCE_WINDOW = (3, 10)
 
@@ -28,7 +28,7 @@ def constant_ratio(first: int, last: int, preset: str) -> float:
 
 
 def _between(values: Sequence[float], first: Column, last: Column) -> Column:
-    sums = F.array(*[F.lit(v) for v in accumulate(values, initial=0.0)])
+    sums = numbers(list(accumulate(values, initial=0.0)))
     return F.get(sums, last) - F.get(sums, first - 1)
 
 

@@ -17,6 +17,7 @@ from burdenflow.sources.tables import stored
 
 BETA2_GRID = [0.5 * k for k in range(1, 21)]
 NO_DISPERSION = 1e6
+TOLERANCE = 1e-9
 
 
 @dataclass(frozen=True)
@@ -70,9 +71,12 @@ def _step(studies: DataFrame, form: str, candidates: Sequence[Candidate]) -> lis
 def _converge(studies: DataFrame, form: str, candidates: Sequence[Candidate], steps: int) -> list[Candidate]:
     for _ in range(steps):
         moved = _step(studies, form, candidates)
-        shift = max(abs(a.intercept - b.intercept) + abs(a.beta1 - b.beta1) for a, b in zip(moved, candidates))
+        settled = all(
+            abs(a.intercept - b.intercept) + abs(a.beta1 - b.beta1) < TOLERANCE * (1 + abs(a.intercept) + abs(a.beta1))
+            for a, b in zip(moved, candidates)
+        )
         candidates = moved
-        if shift < 1e-12:
+        if settled:
             break
     return list(candidates)
 

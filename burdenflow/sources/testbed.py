@@ -166,12 +166,17 @@ class Testbed:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-    def _orders(self) -> DataFrame:
-        nations = self.table("nation").join(self.table("region"), self._on("n_regionkey", "r_regionkey"))
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
+
+    def _orders(self, regions: bool = False) -> DataFrame:
+        nations = self.table("nation")
+        if regions:
+            nations = nations.join(self.table("region"), self._on("n_regionkey", "r_regionkey"))
         customers = self.table("customer").join(nations, self._on("c_nationkey", "n_nationkey"))
         return self.table("orders").join(customers, self._on("o_custkey", "c_custkey"))
 
@@ -180,11 +185,12 @@ class Testbed:
         return F.col(left) == F.col(right)
 
     def admissions(self) -> DataFrame:
-        joined = self.table("lineitem").join(self._orders(), self._on("l_orderkey", "o_orderkey"))
+        # both sides grow with the data: shuffle them on the order, never broadcast one
+        joined = self.table("lineitem").join(self._orders().hint("merge"), self._on("l_orderkey", "o_orderkey"))
         return projected(joined, ADMISSIONS)
 
     def locations(self) -> DataFrame:
-        keyed = self._orders().selectExpr(
+        keyed = self._orders(regions=True).selectExpr(
             "n_nationkey", "o_orderstatus", *[f"{sql} AS {name}" for name, sql in LOCATIONS.items()]
         )
         counted = keyed.groupBy("n_nationkey", *LOCATIONS).agg(

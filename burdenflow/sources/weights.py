@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -35,6 +36,11 @@ DECLINE_SIZE = 0.446326
 DECLINE_RATE = 0.070376
 
 
+def numbers(values: Sequence[float]) -> Column:
+    """Constant array of doubles."""
+    return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
+
+
 def exposure(age: Column, b: float = EXPOSURE_RATE) -> Column:
     """Share ever infected by an age."""
     return 1 - F.exp(-F.lit(b) * age)
@@ -73,8 +79,7 @@ PRESETS = {
 def age_weights(spark: SparkSession, preset: str = "midpoint") -> DataFrame:
     """The 85 rows (age, w, p, f, pfs, cum_w, cum_pfs); the cumulative sums serve age windows."""
     setting = PRESETS[preset]
-    shares = F.array(*[F.lit(w) for w in AGE_SHARES])
-    rows = spark.range(1).select(F.posexplode(shares).alias("pos", "w"))
+    rows = spark.range(1).select(F.posexplode(numbers(AGE_SHARES)).alias("pos", "w"))
     at = F.col("age") - F.lit(setting.shift)
     curve = (
         rows.select((F.col("pos") + 1).alias("age"), "w")
@@ -83,6 +88,6 @@ def age_weights(spark: SparkSession, preset: str = "midpoint") -> DataFrame:
     )
     # sums over the fixed list, so no ordering of rows is needed
     total = lambda values: F.aggregate(
-        F.slice(F.array(*[F.lit(v) for v in values]), F.lit(1), F.col("age")), F.lit(0.0), lambda a, v: a + v
+        F.slice(numbers(values), F.lit(1), F.col("age")), F.lit(0.0), lambda a, v: a + v
     )
     return curve.withColumns({"cum_w": total(AGE_SHARES), "cum_pfs": total(setting.curve)})
