@@ -321,19 +321,23 @@ LOGLIK = {
 }
 
 
-def _deviance(model: str) -> str:
+def _deviance(model: str, source: str = "study_draws", corrected: bool = True) -> str:
     lam, family = LOGLIK[model]
-    mu = f"({lam} * CASE WHEN est > 0 THEN {lam} / est ELSE 1 END)"
+    mu = f"({lam} * CASE WHEN est > 0 THEN {lam} / est ELSE 1 END)" if corrected else lam
     if family == "poisson":
         value = "n * ln(mu) - mu - lgamma(n + 1)"
     else:
         value = "lgamma(n + r) - lgamma(r) - lgamma(n + 1) + r * ln(r / (r + mu)) + n * ln(1 - r / (r + mu))"
     return f"""SELECT '{model}' AS model, chain, iteration, -2 * sum({value}) AS dev
-        FROM (SELECT *, {mu} AS mu FROM study_draws) GROUP BY chain, iteration"""
+        FROM (SELECT *, {mu} AS mu FROM {source}) GROUP BY chain, iteration"""
 
 
 SCORES = f"""SELECT model, avg(dev) AS d_bar, var_samp(dev) / 2 AS p_d, avg(dev) + var_samp(dev) / 2 AS dic
     FROM ({' UNION ALL '.join(_deviance(m) for m in LOGLIK)}) GROUP BY model"""
+SCORES_CM = f"""SELECT model, avg(dev) AS d_bar, var_samp(dev) / 2 AS p_d, avg(dev) + var_samp(dev) / 2 AS dic
+    FROM ({' UNION ALL '.join(_deviance(m, 'cm_draws', False) for m in LOGLIK)}) GROUP BY model"""
+CM_DRAWS = """SELECT s.* EXCLUDE (n), c.n FROM study_draws s JOIN (SELECT study_id, count(*) FILTER (f_cm) AS n FROM flags
+    WHERE NOT (apvu IS NULL AND unconscious IS NULL AND bcs IS NULL) GROUP BY study_id) c USING (study_id)"""
 
 
 def _irls(name: str, feature: str, weight: str, start: str, groups: str = "g") -> str:
@@ -421,6 +425,21 @@ ORACLE = {
         ON a.parameter = b.parameter AND b.i = a.i + floor(a.n * 0.95)) GROUP BY parameter, n""",
         sorted="""SELECT parameter, value, row_number() OVER (PARTITION BY parameter ORDER BY value) AS i,
             count(*) OVER (PARTITION BY parameter) AS n FROM dl"""),
+    "composite_summary": build(f"""SELECT parameter, {r('med', 'median')}, n, {r('arg_min(lo, [width, lo])', 'lower')},
+        {r('arg_min(hi, [width, lo])', 'upper')}
+        FROM (SELECT a.parameter, a.n, a.med, a.value AS lo, b.value AS hi, b.value - a.value AS width FROM ranked a
+        JOIN ranked b ON a.parameter = b.parameter AND b.i = a.i + floor(a.n * 0.95)) GROUP BY parameter, n, med""",
+        ranked="""SELECT parameter, value, row_number() OVER (PARTITION BY parameter ORDER BY value) AS i,
+            count(*) OVER (PARTITION BY parameter) AS n, median(value) OVER (PARTITION BY parameter) AS med FROM dw_long"""),
+    "fold_change": build(f"""SELECT CAST(25 AS DOUBLE) AS points, n, {', '.join(r(q) for q in M)} FROM (SELECT count(*) AS n,
+        {quants('exp(beta1 * 0.25)')} FROM dw)"""),
+    "sampled_site_draws": build(f"""SELECT {big('chain')}, iteration, {big('study_number')}, {r('re')}, {r('pr')} FROM (
+        {' UNION ALL '.join(f'SELECT chain, iteration, {i} AS study_number, "RE[{i}]" AS re, "PR_corrected[{i}]" AS pr FROM picked' for i in tb.EFFECT_INDEXES)})""",
+        picked="SELECT * FROM dw ORDER BY md5('7:' || chain || ':' || iteration) LIMIT 200"),
+    "site_age_steps": build(f"""SELECT study_id, {big('age_years')}, n, n_alt, {r('py')}, {r('n / py * 1000', 'rate')},
+        {r('n_alt / py * 1000', 'rate_alt')}, rn, {big('lead(age_years) OVER (PARTITION BY study_id ORDER BY age_years)', 'age_plus')}
+        FROM (SELECT *, row_number() OVER (ORDER BY study_id, age_years NULLS LAST) AS rn FROM
+            (SELECT study_id, age_years, {AGE_RATES} FROM band_in GROUP BY study_id, age_years)) WHERE age_years IS NOT NULL"""),
     "parameter_families": build(f"""SELECT parameter, {big("regexp_extract(parameter, '[0-9]+')", 'number')}, count(*) AS n,
         {r('avg(value)', 'mean')} FROM dl WHERE regexp_matches(parameter, '^(click|view|error)') AND parameter NOT LIKE '%error%'
         GROUP BY parameter"""),
@@ -479,6 +498,8 @@ ORACLE = {
         {r('CASE WHEN est > 0 THEN l_linear / est ELSE 1 END', 'correction')} FROM study_draws"""),
     "model_scores": build(f"""SELECT model, {r('d_bar')}, {r('p_d')}, {r('dic')}, 'sma' AS phenotype,
         {r('dic - min(dic) OVER ()', 'delta')} FROM ({SCORES})"""),
+    "model_scores_cm": build(f"""SELECT model, {r('d_bar')}, {r('p_d')}, {r('dic')}, 'cm' AS phenotype,
+        {r('dic - min(dic) OVER ()', 'delta')} FROM ({SCORES_CM})""", cm_draws=CM_DRAWS),
     "score_store_roundtrip": build(f"""SELECT model, {r('d_bar')}, {r('p_d')}, {r('dic')}, 'sma' AS phenotype FROM ({SCORES})"""),
     "rate_regression": build(_regression("poisson", "linear", "irls", "reg.x", POISSON_LL, "NULL"),
         irls=_irls("irls", "reg.x", "mu", POISSON_START)),
@@ -489,6 +510,14 @@ ORACLE = {
         _regression("poisson", "logistic", "irls", LOGISTIC_FEATURE, POISSON_LL, "(g + 1) * 0.5"),
         irls=_irls("irls", LOGISTIC_FEATURE, "mu",
             "SELECT g, ln(sum(n) / sum(py)) AS a, 0 AS b, NULL AS r FROM reg, range(20) t(g) GROUP BY g")),
+    "rate_regression_intercept": build(_regression("negbin", "intercept", "irls0", "0", NB_LL, "NULL"),
+        irls0="""SELECT 0 AS step, 0 AS g, CAST(a AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(r AS DOUBLE) AS r
+            FROM moments0 UNION ALL SELECT step + 1, g, sum(w * (a + (n - mu) / mu)) / sum(w), 0, r FROM (
+            SELECT *, mu / (1 + mu / r) AS w FROM (SELECT it.*, n, exp(a) * py AS mu FROM irls0 it, reg WHERE step < 40))
+            GROUP BY step, g, r""",
+        moments0="""SELECT any_value(a) AS a, CASE WHEN sum((n - mu) * (n - mu) - mu) > 0 THEN sum(mu * mu)
+            / sum((n - mu) * (n - mu) - mu) ELSE 1000000 END AS r FROM (SELECT n, s.a, exp(s.a) * py AS mu FROM reg,
+            (SELECT ln(sum(n) / sum(py)) AS a FROM reg) s)"""),
     "combined_roundtrip": COMBINED,
     "survey_store_roundtrip": SURVEYS_OUT,
     "draw_store_roundtrip": build(f"""SELECT {big('chain')}, iteration, parameter, {big('idx')}, {r('value')}, model FROM dl

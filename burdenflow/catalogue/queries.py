@@ -209,6 +209,13 @@ def age_band_rates(t: Case) -> DataFrame:
     return burden.band_rates(t.patients(), t.age_years(), means, BAND_WIDTH)
 
 
+@query
+def site_age_steps(t: Case) -> DataFrame:
+    """Composite cases by study and age, with the next observed age of the study."""
+    cases = burden.site_age_cases(t.patients(), t.age_years()).where(F.col("age_years").isNotNull())
+    return g.next_value(cases, ["study_id"], "age_years", "age_years", "age_plus")
+
+
 # --- prevalence -----------------------------------------------------------------------
 
 
@@ -270,6 +277,21 @@ def posterior_hdi(t: Case) -> DataFrame:
     return hdi(t.draws_long(), ["parameter"], "value", 0.95)
 
 
+@query
+def composite_summary(t: Case) -> DataFrame:
+    return posterior.summarise_dense(t.draws_wide())
+
+
+@query
+def fold_change(t: Case) -> DataFrame:
+    return posterior.fold_change(t.draws_wide())
+
+
+@query
+def sampled_site_draws(t: Case) -> DataFrame:
+    return posterior.sampled_site_draws(t.draws_wide(), SAMPLE)
+
+
 @query
 def parameter_families(t: Case) -> DataFrame:
     """Parameters of some families by the index in their name."""
@@ -378,10 +400,17 @@ def model_scores(t: Case) -> DataFrame:
     return posterior.model_scores(t.draws_wide(), t.study_cases(), "sma")
 
 
+@query
+def model_scores_cm(t: Case) -> DataFrame:
+    counts = burden.phenotype_counts(t.patients(), "cm", t.study_years())
+    numbered = natural_join(t.studies().select("study_id", "study_number"), counts, "inner", on=["study_id"], null_safe=False)
+    return posterior.model_scores(t.draws_wide(), numbered, "cm", corrected=False)
+
+
 def _regression_input(t: Case) -> DataFrame:
     surveys = prevalence.point_prevalence(t.formatted_surveys()).select("study_id", F.col("pr_corrected").alias("pr"))
     counts = burden.phenotype_counts(t.patients(), "sma", t.study_years())
-    return natural_join(counts, surveys, "inner", on=["study_id"])
+    return natural_join(counts, surveys, "inner", on=["study_id"], null_safe=False)
 
 
 @query

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from burdenflow.functions import clinical as c
 from burdenflow.operators.joins import natural_join
@@ -47,6 +47,12 @@ def normalise(df: DataFrame, keys: Sequence[str], value: str, name: str = "share
     return natural_join(df, totals, "left", on=keys).withColumn(name, c.ratio(F.col(value), F.col("_total"))).drop("_total")
 
 
+def next_value(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+    """Add the value of the following row of the group, for groups small by nature such as ages."""
+    following = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumn(name, F.lead(value).over(following))
+
+
 def group_mean_ratio(df: DataFrame, keys: Sequence[str], num: str, den: str, name: str = "pr") -> DataFrame:
     """Add the mean of num / den over the group to each of its rows."""
     means = df.groupBy(*keys).agg(F.avg(c.ratio(F.col(num), F.col(den))).alias(name))
@@ -54,15 +60,15 @@ def group_mean_ratio(df: DataFrame, keys: Sequence[str], num: str, den: str, nam
 
 
 def delta_from_best(df: DataFrame, keys: Sequence[str], score: str, name: str = "delta") -> DataFrame:
-    """Add the distance of a score from the lowest of its group."""
-    best = df.groupBy(*keys).agg(F.min(score).alias("_best"))
-    return natural_join(df, best, "left", on=keys).withColumn(name, F.col(score) - F.col("_best")).drop("_best")
+    """Add the distance of a score from the lowest of its group, which are the few models compared."""
+    return df.withColumn(name, F.col(score) - F.min(score).over(Window.partitionBy(*keys)))
 
 
 def case_counts(df: DataFrame, flag: str, population: DataFrame, keys: Sequence[str] = ("study_id",)) -> DataFrame:
-    """Cases, person-years and rate per 1,000 for every group in df."""
+    """Cases, person-years and rate per 1,000 for every group in df; the keys are never missing."""
     counted = df.groupBy(*keys).agg(flag_sum(F.col(flag)).alias("n"))
-    return natural_join(counted, population, "left", on=keys).withColumn("rate", c.rate(F.col("n"), F.col("py")))
+    joined = natural_join(counted, population, "left", on=keys, null_safe=False)
+    return joined.withColumn("rate", c.rate(F.col("n"), F.col("py")))
 
 
 def class_counts(df: DataFrame, status: str, cls: str, keys: Sequence[str] = ("study_id",)) -> DataFrame:

@@ -22,6 +22,8 @@ def natural_join(
     """Join on the columns both sides have, or on those named; a missing key matches a missing key.
 
     Key columns come out once; in a full join they are taken from whichever side has the row.
+    Keys that are never missing, as study keys, are joined plainly (``null_safe=False``): an
+    aggregation on the same key then needs no second shuffle.
     """
     keys = list(on) if on is not None else [c for c in left.columns if c in right.columns]
     if not keys:

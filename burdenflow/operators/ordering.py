@@ -15,10 +15,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from burdenflow.operators.joins import natural_join
+from burdenflow.operators.shaping import single
 from burdenflow.sources.tables import stored
 
 BUCKET_ROWS = 1_000_000
 MAX_CUTS = 32_768
+CUT_BUDGET = 500_000
 
 
 def fraction(*columns: Column) -> Column:
@@ -43,22 +45,27 @@ def with_buckets(
 ) -> DataFrame:
     """Add ``_bucket``: the bucket of ``key`` within its group, rising with the key.
 
-    Groups of at most ``bucket_rows`` rows have the one bucket 0.
+    Groups of at most ``bucket_rows`` rows have the one bucket 0. The groups beyond share a
+    budget of cut points, so that the table of cut points stays small. It is written out:
+    Spark then sees its size and moves the rows only where it is too big to broadcast.
     """
     bucket_rows = bucket_rows or BUCKET_ROWS
+    total = F.count(F.lit(1)).alias("_total")
+    sizes = (df.groupBy(*by) if by else df.groupBy()).agg(total).where(F.col("_total") > bucket_rows)
+    big = stored(sizes, "sizes")
+    groups = big.count()
+    if groups == 0:
+        return df.withColumn("_bucket", F.lit(0))
+    most = max(64, min(MAX_CUTS, CUT_BUDGET // groups))
     keyed = df.withColumn("_key", key)
-    wanted = F.least(F.floor(F.col("_n") / bucket_rows), F.lit(MAX_CUTS))
-    chosen = (F.col("_n") > bucket_rows) & (F.col("_n") * fraction(F.col("_key")) < wanted)
-    cuts = F.sort_array(F.collect_set(F.when(chosen, F.col("_key")))).alias("_cuts")
-    if not by:
-        total = df.agg(F.count(F.lit(1))).scalar()
-        one = keyed.withColumn("_n", total).where(chosen).agg(cuts).scalar()
-        found = keyed.withColumn("_cuts", one)
-        return found.withColumn("_bucket", _bucket(F.col("_cuts"), F.col("_key"))).drop("_key", "_cuts")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket_rows)
-    sampled = natural_join(keyed, sizes, "inner", on=by).where(chosen)
-    per_group = sampled.groupBy(*by).agg(cuts)
-    found = natural_join(keyed, per_group, "left", on=by)
+    sampled = natural_join(keyed, big, "inner", on=by) if by else keyed.withColumn("_total", single(big, F.max("_total")))
+    wanted = F.least(F.floor(F.col("_total") / bucket_rows), F.lit(most))
+    chosen = sampled.where(F.col("_total") * fraction(F.col("_key")) < wanted)
+    cuts = F.sort_array(F.collect_set("_key")).alias("_cuts")
+    if by:
+        found = natural_join(keyed, stored(chosen.groupBy(*by).agg(cuts), "cuts"), "left", on=by)
+    else:
+        found = keyed.withColumn("_cuts", single(stored(chosen.agg(cuts), "cuts"), F.first("_cuts")))
     return found.withColumn("_bucket", _bucket(F.col("_cuts"), F.col("_key"))).drop("_key", "_cuts")
 
 
@@ -66,8 +73,7 @@ def _bucket_bases(bucketed: DataFrame, by: Sequence[str], weight: Column) -> Dat
     """Weight of each bucket and of all buckets before it; a group has at most MAX_CUTS + 1."""
     totals = bucketed.groupBy(*by, "_bucket").agg(F.sum(weight).alias("_weight"))
     ordered = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    before = F.sum("_weight").over(ordered) - F.col("_weight")
-    return totals.withColumn("_base", before)
+    return totals.withColumn("_before", F.sum("_weight").over(ordered) - F.col("_weight"))
 
 
 def prefix_sums(
@@ -84,10 +90,9 @@ def prefix_sums(
     its rows are needed for the count and again for the sums.
     """
     amount = F.col(weight) if weight else F.lit(1).cast("long")
-    limit = bucket_rows or BUCKET_ROWS
     if not by:
         df = stored(df, "ordered")
-    if (largest_group(df, by) if by else df.count()) <= limit:
+    if (largest_group(df, by) if by else df.count()) <= (bucket_rows or BUCKET_ROWS):
         group = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum(amount).over(group) - amount)
     bucketed = with_buckets(df, by, F.struct(*order), bucket_rows)
@@ -95,7 +100,7 @@ def prefix_sums(
     joined = natural_join(bucketed, bases, "inner", on=[*by, "_bucket"])
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = F.sum(amount).over(inside) - amount
-    return joined.withColumn(name, F.col("_base") + earlier).drop("_bucket", "_base")
+    return joined.withColumn(name, F.col("_before") + earlier).drop("_bucket", "_before")
 
 
 def number_rows(
@@ -160,18 +165,28 @@ def _quantiles_sorted(values: DataFrame, by: Sequence[str], value: str, probs: M
     return wanted.groupBy(*by, "_n").agg(*_interpolated(probs, pick)).withColumnRenamed("_n", "n")
 
 
+def _narrowed(
+    rows: DataFrame, group: Sequence[str], probs: Mapping[str, float], value: str, bucket_rows: int
+) -> DataFrame:
+    """Rows of the buckets that hold a wanted rank; ``_base`` becomes the rows before the bucket."""
+    bucketed = with_buckets(rows, group, F.col(value), bucket_rows)
+    bases = _bucket_bases(bucketed, group, F.lit(1).cast("long")).withColumn("_first", F.col("_base") + F.col("_before"))
+    holds = F.exists(_ranks(probs), lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_weight")))
+    targets = stored(bases.where(holds).drop("_weight", "_before"), "targets")
+    kept = natural_join(bucketed, targets, "inner", on=[*group, "_bucket"])
+    return kept.drop("_base", "_bucket").withColumnRenamed("_first", "_base")
+
+
 def _quantiles_selected(
     values: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], bucket_rows: int
 ) -> DataFrame:
-    bucketed = with_buckets(values, by, F.col(value), bucket_rows)
-    bases = _bucket_bases(bucketed, by, F.lit(1).cast("long"))
-    sizes = bases.groupBy(*by).agg(F.sum("_weight").alias("_n"))
-    holds = F.exists(_ranks(probs), lambda r: (r >= F.col("_base")) & (r < F.col("_base") + F.col("_weight")))
-    targets = natural_join(bases, sizes, "inner", on=by).where(holds).drop("_weight")
-    kept = natural_join(bucketed, targets, "inner", on=[*by, "_bucket"])
+    sizes = stored(values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    rows = natural_join(values, sizes, "inner", on=by).withColumn("_base", F.lit(0).cast("long"))
+    for _ in range(2):  # the second round cuts the buckets that are still big
+        rows = stored(_narrowed(rows, [*by, "_n", "_base"], probs, value, bucket_rows), "narrowed")
     # equal values collapse before they are ordered, so a frequent value is one row
-    counted = kept.groupBy(*by, "_bucket", "_base", "_n", value).agg(F.count(F.lit(1)).alias("_copies"))
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.groupBy(*by, "_n", "_base", value).agg(F.count(F.lit(1)).alias("_copies"))
+    inside = Window.partitionBy(*by, "_n", "_base").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("_base") + F.sum("_copies").over(inside)
     spans = counted.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_copies"))
     covers = lambda r: (r >= F.col("_start")) & (r < F.col("_end"))

@@ -99,7 +99,7 @@ def imputed_admissions(patients: DataFrame, phenotype: str, population: DataFram
         F.sum("unknown").alias("unknown"),
         F.sum(F.col("unknown") * F.coalesce("class_rate", F.lit(0.5))).alias("imputed"),
     )
-    joined = natural_join(observed, added, "full", on=["study_id"])
+    joined = natural_join(observed, added, "full", on=["study_id"], null_safe=False)
     estimated = F.coalesce("n", F.lit(0)) + F.coalesce("imputed", F.lit(0.0))
     return joined.select(
         "study_id", "n", F.coalesce("unknown", F.lit(0)).alias("unknown"), estimated.alias("estimated"), "py",
@@ -147,7 +147,8 @@ def _age_rates(counts: DataFrame, populations: DataFrame, keys: Sequence[str]) -
 
 def band_rates(patients: DataFrame, populations: DataFrame, prevalence: DataFrame, width: float) -> DataFrame:
     """Composite cases and rates per age and prevalence band of the study."""
-    placed = natural_join(_age_counts(patients), prevalence.select("study_id", "pr"), "left", on=["study_id"])
+    studies = prevalence.select("study_id", "pr")
+    placed = natural_join(_age_counts(patients), studies, "left", on=["study_id"], null_safe=False)
     banded = placed.withColumn("band", F.floor(F.col("pr") / F.lit(width)))
     return c.age_bands(_age_rates(banded, populations, ["age_years", "band"]))
 

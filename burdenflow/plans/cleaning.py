@@ -117,7 +117,7 @@ def format_surveys(raw: DataFrame, methods: DataFrame) -> DataFrame:
     """Surveys with study number, whole-year age bounds and detection method."""
     keyed = study_rows(c.survey_bounds(split_site(raw)))
     numbers = study_dim(keyed).select("study_id", "study_number")
-    numbered = natural_join(keyed, numbers, "left", on=["study_id"])
+    numbered = natural_join(keyed, numbers, "left", on=["study_id"], null_safe=False)
     located = natural_join(numbered, methods, "left", on=["site", "period"])
     return located.select(
         "study_number", "study_id", "site", "country", "period", "min_age", "max_age", "number", "positives",

@@ -19,8 +19,8 @@ from burdenflow.functions.rates import LOG_PER, correction, expected_rate, linea
 from burdenflow.functions.special import gamma_log_scale
 from burdenflow.functions.text import parameter_index
 from burdenflow.operators.groups import delta_from_best
-from burdenflow.operators.joins import natural_join
-from burdenflow.operators.ordering import BUCKET_ROWS, order_by_statistic, prefix_sums, quantiles, sample_rows, spread
+from burdenflow.operators.joins import keep_keys, natural_join
+from burdenflow.operators.ordering import hdi, order_by_statistic, prefix_sums, quantiles, sample_rows, spread
 from burdenflow.operators.shaping import (
     append,
     filter_parameter,
@@ -36,6 +36,7 @@ from burdenflow.sources.weights import numbers
 IDS = ["chain", "iteration"]
 BANDS = {"q01": 0.01, "q025": 0.025, "median": 0.5, "q975": 0.975, "q99": 0.99}
 MIDDLE = {"median": 0.5, "q025": 0.025, "q975": 0.975}
+LAG_BLOCK = 50_000
 
 
 def col(name: str) -> Column:
@@ -75,7 +76,29 @@ def summarise(draws: DataFrame, probs: Mapping[str, float] = BANDS) -> DataFrame
     return quantiles(values, ["parameter"], "value", probs, group_rows=draws.count())
 
 
-def chain_diagnostics(draws: DataFrame, lags: Sequence[int] = (1, 10), block_rows: int = BUCKET_ROWS) -> DataFrame:
+def summarise_dense(draws: DataFrame, mass: float = 0.95) -> DataFrame:
+    """Median and densest interval of every parameter."""
+    values, n = to_long(draws.drop(*IDS, "model"), []), draws.count()
+    medians = quantiles(values, ["parameter"], "value", {"median": 0.5}, group_rows=n).drop("n")
+    return medians.join(hdi(values, ["parameter"], "value", mass, group_rows=n), "parameter")
+
+
+def fold_change(draws: DataFrame, points: float = 25.0) -> DataFrame:
+    """Fold change of the rate for a rise of prevalence by so many points, linear model."""
+    fold = F.exp(F.col("beta1") * F.lit(points / 100))
+    values = draws.select(F.lit(points).alias("points"), fold.alias("fold"))
+    return quantiles(values, ["points"], "fold", MIDDLE, group_rows=draws.count())
+
+
+def sampled_site_draws(draws: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    """Site effects of sampled draws, and the prevalences of the same draws, by study."""
+    effects = site_draws(draws, {"RE": "re"}, keep=IDS)
+    sampled = sample_rows(draws.select(*IDS), IDS, n, seed)
+    prevalence = keep_keys(site_draws(draws, {"PR_corrected": "pr"}, keep=IDS), sampled, IDS)
+    return keep_keys(effects, sampled, IDS).join(prevalence, [*IDS, "study_number"], "left")
+
+
+def chain_diagnostics(draws: DataFrame, lags: Sequence[int] = (1, 10), block_rows: int = LAG_BLOCK) -> DataFrame:
     """Mean, sd, R-hat and autocorrelations of every parameter.
 
     Chains are cut into blocks of positions. A block also gets the last rows of the block
@@ -84,7 +107,7 @@ def chain_diagnostics(draws: DataFrame, lags: Sequence[int] = (1, 10), block_row
     names = [c for c in draws.columns if c not in (*IDS, "model")]
     reach = max(lags)
     packed = draws.select(*IDS, F.array(*[col(n) for n in names]).alias("values"))
-    placed = prefix_sums(packed, ["iteration"], by=["chain"], name="position", bucket_rows=block_rows)
+    placed = prefix_sums(packed, ["iteration"], by=["chain"], name="position")
     own = F.floor(F.col("position") / block_rows)
     later = F.floor((F.col("position") + reach) / block_rows)
     blocks = placed.withColumn("own", own).withColumn("block", F.explode(F.sequence(own, later)))
@@ -318,7 +341,7 @@ def site_age_observed(cases: DataFrame, draws: DataFrame, fitted: DataFrame, stu
     quarter years, as whole numbers.
     """
     found = quantiles(draws, ["idx"], "value", MIDDLE).drop("n").withColumnRenamed("idx", "rn")
-    joined = natural_join(found, cases, "left", on=["rn"])
+    joined = natural_join(found, cases, "left", on=["rn"], null_safe=False)
     imputed = joined.select(
         "study_id", F.when(F.col("age_years") > 0, F.col("age_years") * 4 - 1).otherwise(F.col("age_years") * 4).alias("quarter"),
         "rn", "n", "n_alt", "py", "rate", "rate_alt",
@@ -360,13 +383,15 @@ def expected_rates(draws: DataFrame, studies: DataFrame) -> DataFrame:
     )
 
 
-def model_scores(draws: DataFrame, studies: DataFrame, phenotype: str) -> DataFrame:
+def model_scores(draws: DataFrame, studies: DataFrame, phenotype: str, corrected: bool = True) -> DataFrame:
     """Mean deviance, effective parameters and DIC of each model, with the distance to the best.
 
-    The effective number of parameters is half the variance of the deviance.
+    The effective number of parameters is half the variance of the deviance. Phenotypes with
+    imputed cases have their mean corrected by the estimate, cerebral cases have not.
     """
     rows = _study_draws(draws, studies)
-    means = {form: _rate(form) * correction(_rate(form), F.col("est")) for form in ("logistic", "linear", "intercept")}
+    factor = lambda form: correction(_rate(form), F.col("est")) if corrected else F.lit(1.0)
+    means = {form: _rate(form) * factor(form) for form in ("logistic", "linear", "intercept")}
     deviance = {
         model: -2 * F.sum(log_lik(family, F.col("n").cast("double"), means[form], F.col("r")))
         for model, (family, form) in FORMS.items()
