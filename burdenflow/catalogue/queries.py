@@ -19,6 +19,9 @@ from burdenflow.sources.testbed import PERIOD_REPAIR, Testbed
 from burdenflow.sources.weights import age_weights
 
 DIGITS = 6
+# measured, not computed: equal to the last digit on both sides
+EXACT = """age_months temperature fever_days fits_per_24h hb_level latitude longitude hbas hospital_min_dist
+    hospital_max_dist itn rainfall altitude pr_c n_age total_population""".split()
 BAND_WIDTH = 0.05
 SAMPLE = 200
 
@@ -51,6 +54,9 @@ class Case(Testbed):
     def methods(self) -> DataFrame:
         return cleaning.detection_methods(self.locations_raw())
 
+    def survey_rows(self) -> DataFrame:
+        return cleaning.survey_rows(self.surveys(), self.methods())
+
     def formatted_surveys(self) -> DataFrame:
         return cleaning.format_surveys(self.surveys(), self.methods())
 
@@ -67,11 +73,11 @@ class Case(Testbed):
 
 
 def shown(df: DataFrame) -> DataFrame:
-    """Doubles to six places, whole numbers as BIGINT."""
+    """Computed doubles to six places, whole numbers as BIGINT."""
     out = []
     for name, kind in df.dtypes:
         value = F.col(f"`{name}`")
-        if kind == "double":
+        if kind == "double" and name not in EXACT:
             value = F.round(value, DIGITS)
         elif kind in ("int", "bigint"):
             value = value.cast("bigint")
@@ -205,7 +211,7 @@ def row_ranges(t: Case) -> DataFrame:
 
 @query
 def age_band_rates(t: Case) -> DataFrame:
-    means = prevalence.survey_means(t.formatted_surveys())
+    means = prevalence.survey_means(t.survey_rows())
     return burden.band_rates(t.patients(), t.age_years(), means, BAND_WIDTH)
 
 
@@ -248,7 +254,7 @@ def standardise_prevalence_prefix(t: Case) -> DataFrame:
 
 @query
 def corrected_prevalence(t: Case) -> DataFrame:
-    surveys = prevalence.point_prevalence(t.formatted_surveys())
+    surveys = prevalence.point_prevalence(t.survey_rows())
     return surveys.select("study_id", "detection_method", "k", "p_prime", "pr_survey", "pr_mic", "pr_corrected")
 
 
@@ -408,7 +414,7 @@ def model_scores_cm(t: Case) -> DataFrame:
 
 
 def _regression_input(t: Case) -> DataFrame:
-    surveys = prevalence.point_prevalence(t.formatted_surveys()).select("study_id", F.col("pr_corrected").alias("pr"))
+    surveys = prevalence.point_prevalence(t.survey_rows()).select("study_id", F.col("pr_corrected").alias("pr"))
     counts = burden.phenotype_counts(t.patients(), "sma", t.study_years())
     return natural_join(counts, surveys, "inner", on=["study_id"], null_safe=False)
 

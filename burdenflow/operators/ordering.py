@@ -143,8 +143,8 @@ def quantiles(
     """Exact interpolated quantiles per group: columns ``by``, ``n`` and one per probability.
 
     ``group_rows`` is an upper bound on the rows of a group where the caller knows one, and
-    saves the count. Groups within the bound are each sorted in one task; with a bigger
-    group in the table, only the buckets that hold a wanted rank are sorted.
+    saves the count. Groups of at most ``bucket_rows`` rows are each sorted in one task; of
+    bigger ones, only the buckets that hold a wanted rank are sorted.
     """
     values = df.where(F.col(value).isNotNull()).select(*by, value)
     limit = bucket_rows or BUCKET_ROWS
@@ -152,7 +152,15 @@ def quantiles(
         group_rows = largest_group(values, by)
     if group_rows <= limit:
         return _quantiles_sorted(values, by, value, probs)
-    return _quantiles_selected(values, by, value, probs, limit)
+    small, big = _by_size(values, by, limit)
+    return _quantiles_sorted(small, by, value, probs).unionByName(_quantiles_selected(big, by, value, probs, limit))
+
+
+def _by_size(values: DataFrame, by: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the groups within a size, and rows of the bigger ones with their size ``_n``."""
+    sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    big = stored(sizes.where(F.col("_n") > limit), "big")
+    return natural_join(values, big, "left_anti", on=by), natural_join(values, big, "inner", on=by)
 
 
 def _quantiles_sorted(values: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
@@ -180,8 +188,7 @@ def _narrowed(
 def _quantiles_selected(
     values: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], bucket_rows: int
 ) -> DataFrame:
-    sizes = stored(values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "sizes")
-    rows = natural_join(values, sizes, "inner", on=by).withColumn("_base", F.lit(0).cast("long"))
+    rows = values.withColumn("_base", F.lit(0).cast("long"))
     for _ in range(2):  # the second round cuts the buckets that are still big
         rows = stored(_narrowed(rows, [*by, "_n", "_base"], probs, value, bucket_rows), "narrowed")
     # equal values collapse before they are ordered, so a frequent value is one row
@@ -214,7 +221,8 @@ def hdi(
         group_rows = largest_group(values, by)
     if group_rows <= limit:
         return _hdi_sorted(values, by, value, mass)
-    return _hdi_ranked(values, by, value, mass, limit)
+    small, big = _by_size(values, by, limit)
+    return _hdi_sorted(small, by, value, mass).unionByName(_hdi_ranked(big, by, value, mass, limit))
 
 
 def _hdi_sorted(values: DataFrame, by: Sequence[str], value: str, mass: float) -> DataFrame:
@@ -238,10 +246,8 @@ def _hdi_ranked(values: DataFrame, by: Sequence[str], value: str, mass: float, b
     row with a span of ranks. Spans are cut at blocks of ranks; within a block, the value at
     an interval's closing rank is the last one whose span has begun.
     """
-    values = values.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_copies"))
-    ranked = prefix_sums(values, [value], "_copies", by, "_start", block)
-    sizes = values.groupBy(*by).agg(F.sum("_copies").alias("n"))
-    spans = natural_join(ranked, sizes, "inner", on=by)
+    values = values.groupBy(*by, "_n", value).agg(F.count(F.lit(1)).alias("_copies"))
+    spans = prefix_sums(values, [value], "_copies", by, "_start", block).withColumnRenamed("_n", "n")
     k = F.floor(F.col("n") * F.lit(mass))
     blocks = lambda lo, hi: F.explode(F.sequence(F.floor(lo / block), F.floor(hi / block)))
     begins = spans.select(

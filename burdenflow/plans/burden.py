@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from burdenflow.functions import clinical as c
 from burdenflow.operators.groups import (
@@ -18,6 +19,7 @@ from burdenflow.operators.groups import (
 from burdenflow.operators.joins import lookup, natural_join
 from burdenflow.operators.ordering import number_rows
 from burdenflow.plans.cleaning import evidence
+from burdenflow.sources.tables import stored
 
 CLASSES = {"sma": [1, 2, 3, 4], "rd": [1, 2]}
 CLASS_COLUMN = {"sma": "class_sma", "rd": "class_rd"}
@@ -69,13 +71,22 @@ def class_positivity(counts: DataFrame) -> DataFrame:
     return totals.withColumns({"rate_mean": a / (a + b), "rate_var": a * b / ((a + b) * (a + b) * (a + b + 1))})
 
 
-def _status_counts(patients: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Patients per group and combination of statuses and classes: at most 144 rows a group."""
+def status_counts(patients: DataFrame, keys: Sequence[str] = ("study_id",)) -> DataFrame:
+    """Patients per group and combination of statuses, classes and evidence, written out.
+
+    A group has some dozens of rows however many patients it has. Everything that follows
+    reads these counts several times and the patients once.
+    """
     flagged = classed(c.case_flags(patients, cm_default=False))
-    return flagged.groupBy(*keys, "sma", "rd", "cm", "class_sma", "class_rd").agg(F.count(F.lit(1)).alias("patients"))
+    for phenotype in ("sma", "rd"):
+        known = [F.col(column).isNotNull() for column in evidence(patients, phenotype)]
+        flagged = flagged.withColumn(f"evidence_{phenotype}", reduce(Column.__or__, known))
+    marks = ["sma", "rd", "cm", "class_sma", "class_rd", "evidence_sma", "evidence_rd"]
+    return stored(flagged.groupBy(*keys, *marks).agg(F.count(F.lit(1)).alias("patients")), "statuses")
 
 
 def _class_rates(counts: DataFrame, phenotype: str) -> DataFrame:
+    """Positivity of each class, under the name ``rate_<phenotype>``."""
     known = counts.where(F.col(phenotype).isNotNull()).groupBy(F.col(CLASS_COLUMN[phenotype]).alias("class")).agg(
         F.sum(F.col(phenotype).cast("int") * F.col("patients")).alias("n_positives"),
         F.sum("patients").alias("n_patients"),
@@ -85,43 +96,43 @@ def _class_rates(counts: DataFrame, phenotype: str) -> DataFrame:
     return F.broadcast(rates)
 
 
+def _rated(counts: DataFrame, phenotype: str) -> DataFrame:
+    return lookup(counts, _class_rates(counts, phenotype), {CLASS_COLUMN[phenotype]: "class"})
+
+
+def _patients_where(condition: Column, weight: Column | None = None) -> Column:
+    amount = F.col("patients") if weight is None else F.col("patients") * weight
+    return F.sum(F.when(condition, amount))
+
+
 def imputed_admissions(patients: DataFrame, phenotype: str, population: DataFrame) -> DataFrame:
-    """Observed cases plus the expected cases among patients of unknown status."""
-    observed = phenotype_counts(patients, phenotype, population)
-    unknown = undiagnosed(patients, phenotype)
-    rates = class_positivity(evidence_counts(patients, phenotype)).select("class", F.col("rate_mean").alias("class_rate"))
-    columns = [f"class_{k}" for k in CLASSES[phenotype]]
-    by_class = unknown.unpivot(["study_id"], columns, "class", "unknown").withColumn(
-        "class", F.substring("class", 7, 1).cast("int")
-    )
-    rated = lookup(by_class, F.broadcast(rates), {"class": "class"})
-    added = rated.groupBy("study_id").agg(
-        F.sum("unknown").alias("unknown"),
-        F.sum(F.col("unknown") * F.coalesce("class_rate", F.lit(0.5))).alias("imputed"),
+    """Observed cases plus the expected cases among patients of unknown status with evidence.
+
+    A class without any known patient has the prior mean one half.
+    """
+    rated = _rated(status_counts(patients), phenotype)
+    unknown = F.col(phenotype).isNull() & F.col(f"evidence_{phenotype}")
+    rate = F.coalesce(F.col(f"rate_{phenotype}"), F.lit(0.5))
+    totals = rated.groupBy("study_id").agg(
+        F.coalesce(_patients_where(F.col(phenotype)), F.lit(0)).alias("n"),
+        F.coalesce(_patients_where(unknown), F.lit(0)).alias("unknown"),
+        F.coalesce(_patients_where(unknown, rate), F.lit(0.0)).alias("imputed"),
     )
-    joined = natural_join(observed, added, "full", on=["study_id"], null_safe=False)
-    estimated = F.coalesce("n", F.lit(0)) + F.coalesce("imputed", F.lit(0.0))
+    joined = natural_join(totals, population, "left", on=["study_id"], null_safe=False)
+    estimated = F.col("n") + F.col("imputed")
     return joined.select(
-        "study_id", "n", F.coalesce("unknown", F.lit(0)).alias("unknown"), estimated.alias("estimated"), "py",
+        "study_id", "n", "unknown", estimated.alias("estimated"), "py",
         c.rate(estimated, F.col("py")).alias("rate_estimated"),
     )
 
 
 def composite_imputed(patients: DataFrame, keys: Sequence[str] = ("study_id",)) -> DataFrame:
-    """Expected patients with any of the three phenotypes, unknown statuses at class rates.
-
-    Patients alike in status and class are counted first, so only those counts, not the
-    patients, meet the class rates.
-    """
-    counts = _status_counts(patients, keys)
-    rated = counts
-    for phenotype in ("sma", "rd"):
-        rated = lookup(rated, _class_rates(counts, phenotype), {CLASS_COLUMN[phenotype]: "class"})
+    """Expected patients with any of the three phenotypes, unknown statuses at class rates."""
+    rated = _rated(_rated(status_counts(patients, keys), "sma"), "rd")
     share = lambda p: F.coalesce(F.col(p).cast("double"), F.col(f"rate_{p}"), F.lit(0.5))
     any_case = 1 - (1 - share("sma")) * (1 - share("rd")) * (1 - F.col("cm").cast("double"))
-    seen = F.col("sma") | F.col("rd") | F.col("cm")
     return rated.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(seen, F.col("patients"))), F.lit(0)).alias("observed"),
+        F.coalesce(_patients_where(F.col("sma") | F.col("rd") | F.col("cm")), F.lit(0)).alias("observed"),
         F.sum("patients").alias("patients"),
         F.sum(any_case * F.col("patients")).alias("estimated"),
     )

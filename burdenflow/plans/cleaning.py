@@ -113,18 +113,22 @@ def detection_methods(locations: DataFrame) -> DataFrame:
     return recode(recode(methods, "site", SHORT_NAMES), "detection_method", METHOD_REPAIR)
 
 
-def format_surveys(raw: DataFrame, methods: DataFrame) -> DataFrame:
-    """Surveys with study number, whole-year age bounds and detection method."""
+def survey_rows(raw: DataFrame, methods: DataFrame) -> DataFrame:
+    """Surveys with study key, whole-year age bounds and detection method."""
     keyed = study_rows(c.survey_bounds(split_site(raw)))
-    numbers = study_dim(keyed).select("study_id", "study_number")
-    numbered = natural_join(keyed, numbers, "left", on=["study_id"], null_safe=False)
-    located = natural_join(numbered, methods, "left", on=["site", "period"])
+    located = natural_join(keyed, methods, "left", on=["site", "period"])
     return located.select(
-        "study_number", "study_id", "site", "country", "period", "min_age", "max_age", "number", "positives",
-        "detection_method",
+        "study_id", "site", "country", "period", "min_age", "max_age", "number", "positives", "detection_method"
     )
 
 
+def format_surveys(raw: DataFrame, methods: DataFrame) -> DataFrame:
+    """Surveys as in ``survey_rows`` with their study number."""
+    rows = survey_rows(raw, methods)
+    numbers = study_dim(rows).select("study_number", "study_id")
+    return natural_join(numbers, rows, "inner", on=["study_id"], null_safe=False)
+
+
 def evidence(df: DataFrame, phenotype: str) -> list[str]:
     """Columns of which at least one must be known for a patient to count."""
     return {

@@ -67,11 +67,10 @@ def window_ratio(
 
 def survey_means(surveys: DataFrame) -> DataFrame:
     """Crude prevalence per survey: mean of positives over number among equal surveys."""
-    keys = ["study_number", "number", "positives"]
+    keys = ["study_id", "number", "positives"]
     means = group_mean_ratio(surveys, keys, "positives", "number")
-    return means.select(
-        "study_id", *keys, (F.col("min_age") - 1).alias("mn"), (F.col("max_age") - 1).alias("mx"), "pr"
-    )
+    kept = [name for name in ("study_number", *keys) if name in surveys.columns]
+    return means.select(*kept, (F.col("min_age") - 1).alias("mn"), (F.col("max_age") - 1).alias("mx"), "pr")
 
 
 def clamp(c: Column) -> Column:
