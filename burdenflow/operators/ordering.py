@@ -28,9 +28,9 @@ def fraction(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def _bucket(cuts: Column, key: Column) -> Column:
-    """Number of cut points below a key, by bisection of the sorted array."""
-    steps = F.array(*[F.lit(1 << e) for e in range(15, -1, -1)])
+def _bucket(cuts: Column, key: Column, longest: int) -> Column:
+    """Number of cut points below a key, by bisection of a sorted array of at most ``longest``."""
+    steps = F.array(*[F.lit(1 << e) for e in reversed(range(longest.bit_length()))])
     size = F.size(cuts)
     search = F.aggregate(
         steps,
@@ -61,12 +61,15 @@ def with_buckets(
     sampled = natural_join(keyed, big, "inner", on=by) if by else keyed.withColumn("_total", single(big, F.max("_total")))
     wanted = F.least(F.floor(F.col("_total") / bucket_rows), F.lit(most))
     chosen = sampled.where(F.col("_total") * fraction(F.col("_key")) < wanted)
-    cuts = F.sort_array(F.collect_set("_key")).alias("_cuts")
+    cuts = stored(chosen.groupBy(*by).agg(F.sort_array(F.collect_set("_key")).alias("_cuts")), "cuts")
+    longest = cuts.agg(F.max(F.size("_cuts"))).first()[0] or 0
+    if longest == 0:
+        return df.withColumn("_bucket", F.lit(0))
     if by:
-        found = natural_join(keyed, stored(chosen.groupBy(*by).agg(cuts), "cuts"), "left", on=by)
+        found = natural_join(keyed, cuts, "left", on=by)
     else:
-        found = keyed.withColumn("_cuts", single(stored(chosen.agg(cuts), "cuts"), F.first("_cuts")))
-    return found.withColumn("_bucket", _bucket(F.col("_cuts"), F.col("_key"))).drop("_key", "_cuts")
+        found = keyed.withColumn("_cuts", single(cuts, F.first("_cuts")))
+    return found.withColumn("_bucket", _bucket(F.col("_cuts"), F.col("_key"), longest)).drop("_key", "_cuts")
 
 
 def _bucket_bases(bucketed: DataFrame, by: Sequence[str], weight: Column) -> DataFrame:
