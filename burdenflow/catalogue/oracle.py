@@ -481,7 +481,7 @@ ORACLE = {
     "threshold_summary": build(f"""SELECT {', '.join(r(f'100 * {q}', f'cut_{q}') for q in M)} FROM
         (SELECT {quants('"PR_crit"')} FROM dw)"""),
     "age_surface": build(f"{SURFACE_OUT} FROM profile_fit GROUP BY pr_index, band",
-        profile_in=surface_in("SELECT range FROM range(19)", 25)),
+        profile_in=surface_in("SELECT range FROM range(76)", 100)),
     "age_profiles": build(f"""{SURFACE_OUT}, CASE WHEN pr_index = 0 THEN '<1%' ELSE pr_index || '%' END AS label
         FROM profile_fit GROUP BY pr_index, band""", profile_in=surface_in("VALUES (0), (25), (50), (75)", 100)),
     "site_age_fit": build(f"""SELECT study_number, band, {r('age')}, {', '.join(r(f'f.{q}', q) for q in M)},

@@ -368,7 +368,7 @@ def threshold_summary(t: Case) -> DataFrame:
 
 @query
 def age_surface(t: Case) -> DataFrame:
-    return posterior.age_surface(t.draws_wide(), steps=19, per=25)
+    return posterior.age_surface(t.draws_wide())
 
 
 @query

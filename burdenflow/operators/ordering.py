@@ -9,8 +9,8 @@ bucket. The sample decides how even the buckets are, never the result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -167,11 +167,14 @@ def _by_size(values: DataFrame, by: Sequence[str], limit: int) -> tuple[DataFram
 
 
 def _quantiles_sorted(values: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    group = Window.partitionBy(*by)
-    ranked = values.withColumn("_rank", F.row_number().over(group.orderBy(value)).cast("long") - 1).withColumn(
-        "_n", F.count(F.lit(1)).over(group)
+    # one ordering serves the rank and the size
+    group = Window.partitionBy(*by).orderBy(value)
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = values.withColumns(
+        {"_rank": F.row_number().over(group).cast("long") - 1, "_n": F.count(F.lit(1)).over(whole)}
     )
-    wanted = ranked.where(F.array_contains(_ranks(probs), F.col("_rank")))
+    near = [F.abs(F.col("_rank") - (F.col("_n") - 1) * F.lit(p)) < 1 for p in probs.values()]
+    wanted = ranked.where(reduce(Column.__or__, near))
     pick = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col(value)))
     return wanted.groupBy(*by, "_n").agg(*_interpolated(probs, pick)).withColumnRenamed("_n", "n")
 

@@ -2,6 +2,23 @@
 
 from __future__ import annotations
 
+# fixed values: column headers of the landed admission and location sheets
+ADMISSION_HEADERS = {
+    "Site": "site", "Period": "period", "month adm": "adm_month", "year adm": "adm_year", "gender": "sex",
+    "Age years": "age_years", "Age mths": "age_months", "temp": "temperature", "fever": "fever",
+    "Fever days": "fever_days", "convulsions": "convulsions", "Fits/24HRS": "fits_per_24h",
+    "Nasal Flaring": "nasal_flaring", "Inter costal recession": "intercostal_recession",
+    "deep breathing": "deep_breathing", "unconscious observed": "unconscious", "APVU": "apvu", "BCS": "bcs",
+    "pallor": "pallor", "hblevel": "hb_level", "bloodtransfusion": "transfusion", "AD": "outcome", "SMA": "sma",
+}
+LOCATION_HEADERS = {
+    "Country": "country", "Site": "site", "Dates": "period", "Dates of PR data": "pr_dates",
+    "Method used": "detection_method", "Lat community": "latitude", "Long community": "longitude", "HbAS": "hbas",
+    "Min dist to hospital": "hospital_min_dist", "Max distance to hospital": "hospital_max_dist",
+    "ITN coverage": "itn", "IRS": "irs", "Av an. rainfall in period": "rainfall", "Altitude MaSL": "altitude",
+    "Age corrected PR 2-10": "pr_c", "Number examined": "n_examined", "Number PF positive": "n_positive",
+}
+
 ADMISSIONS_RAW = """
     site STRING, period STRING, adm_month INT, adm_year INT, sex STRING, age_years INT, age_months DOUBLE,
     temperature DOUBLE, fever STRING, fever_days DOUBLE, convulsions STRING, fits_per_24h DOUBLE,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,6 +22,19 @@ def read_table(
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def read_sheet(
+    spark: SparkSession, path: str, headers: Mapping[str, str], schema: str, null_value: str = "NA"
+) -> DataFrame:
+    """Read a landed sheet by its column headers: keep those listed, rename and type them.
+
+    Columns are found by header, so their order and further columns do not matter. A cell
+    that is not of the declared type is NULL.
+    """
+    sheet = spark.read.csv(path, header=True, nullValue=null_value)
+    kinds = dict(spark.createDataFrame([], schema).dtypes)
+    return sheet.select(*[F.col(f"`{old}`").try_cast(kinds[new]).alias(new) for old, new in headers.items()])
+
+
 def read_parts(
     spark: SparkSession, glob: str, schema: str, provenance: str = "file_id", null_value: str = "NA"
 ) -> DataFrame:

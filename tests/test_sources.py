@@ -38,3 +38,19 @@ def test_nothing_is_overwritten(spark):
     path = tables.write_table(spark.range(1), tables.new_path(spark, "x"))
     with pytest.raises(Exception, match="already exists"):
         tables.write_table(spark.range(1), path)
+
+
+def test_sheets_are_read_by_header(spark, tmp_path):
+    from burdenflow.sources import schemas
+
+    headers = list(reversed(schemas.LOCATION_HEADERS)) + ["Remarks"]
+    cells = {"Site": "Junju (Kilifi B)", "Dates": "2006-07", "Number examined": "120", "HbAS": "n/a", "IRS": "[N]", "Remarks": "x"}
+    path = tmp_path / "locations.csv"
+    path.write_text(",".join(headers) + "\n" + ",".join(cells.get(h, "NA") for h in headers) + "\n")
+    df = tables.read_sheet(spark, str(path), schemas.LOCATION_HEADERS, schemas.LOCATIONS_RAW)
+    row = df.first()
+    assert (row.site, row.period, row.n_examined, row.hbas, row.irs, row.country) == (
+        "Junju (Kilifi B)", "2006-07", 120, None, "[N]", None,
+    )
+    assert dict(df.dtypes)["n_examined"] == "bigint" and len(df.columns) == 17
+    assert list(schemas.ADMISSION_HEADERS.values()) == [p.split()[0] for p in schemas.ADMISSIONS_RAW.split(",")]
