@@ -152,7 +152,7 @@ CTES = {
     "dw_long": "UNPIVOT (SELECT * EXCLUDE (chain, iteration) FROM dw) ON COLUMNS(*) INTO NAME parameter VALUE value",
     "dw_summary": f"SELECT parameter, count(*) AS n, {quants('value', Q)} FROM dw_long GROUP BY parameter",
     "site_dw": " UNION ALL ".join(
-        f"""SELECT chain, iteration, {i} AS study_number, "PR_corrected[{i}]" AS pr,
+        f"""SELECT chain, iteration, CAST({i} AS BIGINT) AS study_number, "PR_corrected[{i}]" AS pr,
             "estimated_admissions[{i}]" AS est, intercept, beta1, beta2, r, "alpha_parm[1]" AS a1, "alpha_parm[2]" AS a2,
             "betas[1]" AS b1, "betas[2]" AS b2, sigma, "PR_crit" AS crit FROM dw""" for i in tb.SITE_INDEXES),
     "upper": """SELECT max(q) AS top FROM (SELECT quantile_cont(pr, CAST(0.975 AS DOUBLE)) AS q FROM site_dw
@@ -465,7 +465,7 @@ ORACLE = {
     "curve_logistic": build(f"SELECT {CURVE_OUT} FROM ({CURVES[0]})"),
     "curve_constant": build(f"SELECT {CURVE_OUT} FROM ({CURVES[2]})"),
     "curves_union": build(f"""SELECT {CURVE_OUT}, place, {r('max(q99) OVER ()', 'rate_max')} FROM
-        ({' UNION ALL '.join(f'SELECT *, {i} AS place FROM ({sql})' for i, sql in enumerate(CURVES, start=1))})"""),
+        ({' UNION ALL '.join(f'SELECT *, CAST({i} AS BIGINT) AS place FROM ({sql})' for i, sql in enumerate(CURVES, start=1))})"""),
     "curve_points": build(f"""SELECT 'a. anaemia' AS curve, {big('study_number')}, study_id, detection_method,
         {', '.join(r(f'100 * p.{q}', f'pr_{q}') for q in Q)}, {', '.join(r(f'e.{q} / py * 1000', f'rate_{q}') for q in Q)}
         FROM (SELECT *, CAST(regexp_extract(parameter, '[0-9]+') AS BIGINT) AS study_number FROM dw_summary
@@ -483,7 +483,7 @@ ORACLE = {
     "age_surface": build(f"{SURFACE_OUT} FROM profile_fit GROUP BY pr_index, band",
         profile_in=surface_in("SELECT range FROM range(76)", 100)),
     "age_profiles": build(f"""{SURFACE_OUT}, CASE WHEN pr_index = 0 THEN '<1%' ELSE pr_index || '%' END AS label
-        FROM profile_fit GROUP BY pr_index, band""", profile_in=surface_in("VALUES (0), (25), (50), (75)", 100)),
+        FROM profile_fit GROUP BY pr_index, band""", profile_in=surface_in("SELECT range * 25 FROM range(4)", 100)),
     "site_age_fit": build(f"""SELECT study_number, band, {r('age')}, {', '.join(r(f'f.{q}', q) for q in M)},
         {', '.join(r(f'100 * p.{q}', f'pr_{q}') for q in M)}, row_number() OVER (PARTITION BY band ORDER BY p.median, study_number)
         AS position, study_id FROM ({SITE_FIT}) f JOIN (SELECT study_number, {quants('pr')} FROM site_dw GROUP BY study_number) p
@@ -493,7 +493,7 @@ ORACLE = {
         {r('n_alt / py * 1000', 'rate_alt')}, {', '.join(r(f'o.{q} / py * 1000', f'site_{q}') for q in M)}
         FROM (SELECT study_id, CAST(age * 4 AS BIGINT) AS quarter, {', '.join(M)} FROM ({SITE_FIT}) LEFT JOIN dim USING (study_number)) f
         FULL JOIN (SELECT *, CASE WHEN age_years > 0 THEN age_years * 4 - 1 ELSE age_years * 4 END AS quarter FROM
-            (SELECT idx + 1 AS rn, {quants('value')} FROM dl WHERE model = 'click' GROUP BY idx) LEFT JOIN numbered USING (rn)) o
+            (SELECT CAST(idx + 1 AS BIGINT) AS rn, {quants('value')} FROM dl WHERE model = 'click' GROUP BY idx) LEFT JOIN numbered USING (rn)) o
         ON f.study_id IS NOT DISTINCT FROM o.study_id AND f.quarter IS NOT DISTINCT FROM o.quarter""", profile_in=SITE_IN,
         numbered=f"""SELECT *, row_number() OVER (ORDER BY study_id, age_years NULLS LAST) AS rn FROM
             (SELECT study_id, age_years, {AGE_RATES} FROM band_in GROUP BY study_id, age_years)"""),
