@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burdenflow.llm import licenses, mixing, packing, search, token_planes
+from burdenflow.llm import licenses, main_text, mixing, packing, quality, search, token_planes, toxicity
 from burdenflow.llm.store import new_folder
 from burdenflow.llm.tokens import default_vocabulary
 
@@ -39,6 +39,12 @@ def op4_budget_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query
+def op5_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document after deobfuscation."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best rows by integer inner product for every 50th vector."""
@@ -65,7 +71,19 @@ SELECT * FROM ranked WHERE rank <= 5
 """
 
 
+@query
+def op8_recurrent_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2,048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), default_vocabulary(), end=1)
+
+
+@query
+def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from preferences between labelled ones."""
+    return quality.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
