@@ -33,8 +33,8 @@ from burdenflow.llm.quality import logistic
 from burdenflow.llm.store import keep
 
 SAMPLE, SEED = 10_000, 29
-#: A term must be in so many toxic documents, at a rate so many times that of the others; at most so many terms are kept.
-LEAST, TIMES, TERMS = 3, 8.0, 50_000
+#: A term's rate in toxic documents must be so many times that in others; at most so many terms are kept.
+TIMES, TERMS = 8.0, 50_000
 #: Letters that signs and digits are used for, cheapest first.
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
@@ -282,7 +282,7 @@ class Model:
 def chosen(counts: pd.DataFrame, toxic: list[str], clean: list[str], n_toxic: int, n_clean: int) -> dict[str, float]:
     t, c = counts[toxic].sum(axis=1).to_numpy(), counts[clean].sum(axis=1).to_numpy()
     w = weights_of(t, c, n_toxic, n_clean)
-    keep_ = (t >= LEAST) & (w >= math.log(TIMES))
+    keep_ = (t >= max(2, math.ceil(math.log10(n_toxic + 1)))) & (w >= math.log(TIMES))  # chance finds grow with the sample
     order = np.lexsort((counts["term"].to_numpy()[keep_], -(t * w)[keep_]))[:TERMS]
     return dict(zip(counts["term"].to_numpy()[keep_][order], w[keep_][order].tolist()))
 
