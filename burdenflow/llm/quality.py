@@ -9,7 +9,7 @@ too little and too much can both count against a text.
 The threshold is the quantile of the sample's scores that leaves as large a share below as has label 0. The
 result maps the threshold to `keep_from` and grows with the score by the slope that fits the labels.
 
-Learned from at most `sample` labelled rows and `pairs` preferences; features are computed once for every document.
+Learned from at most `sample` labelled rows and `pairs` preferences among them.
 Null texts are empty ones and get a score like any other. A null doc_id counts as the empty text where folds are
 formed and has no label. Repeated rows get a result each. Without preferences (no labels, or only one) every
 document gets `keep_from`. Other columns are kept out of the features. An empty table gives an empty result.
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burdenflow.llm.labelled import bounded, fold, labels_of
@@ -143,41 +143,44 @@ def learn(rows: np.ndarray, labels: np.ndarray, keep_from: float, pairs: int = P
     return Ranker(middle, scale, hinges, weights, float(threshold), float(max(slope, 1e-3)), keep_from)
 
 
-def feature_table(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns and the features of each text."""
+def learn_from(docs: DataFrame, labels: DataFrame, train: Column, keep_from: float, sample: int = SAMPLE) -> Ranker:
+    """Learn from at most `sample` labelled documents for which the condition holds; only their features come to the driver."""
 
     def computed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = [features(t) for t in batch["_text"]]
-            yield batch.drop(columns="_text").assign(_features=values)
-
-    rows = docs.select(*columns, F.col("text").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInPandas(computed, f"{kinds}, _features array<double>")
-
-
-def learn_from(rows: DataFrame, labels: DataFrame, train: str, keep_from: float, sample: int = SAMPLE) -> Ranker:
-    """rows: doc_id and _features; train: the rows that may be learned from."""
-    known = rows.filter(train).join(labels_of(labels, "quality"), "doc_id").select("doc_id", "label", "_features")
-    held = bounded(known, sample, SEED).collect()
-    table = np.array([r["_features"] for r in held]).reshape(-1, len(NAMES))
+            yield pd.DataFrame({"label": batch["label"], "features": [features(t) for t in batch["text"]]})
+
+    known = docs.select("doc_id").filter(train).distinct().join(labels_of(labels, "quality"), "doc_id")
+    ids = keep(bounded(known, sample, SEED), "quality-sample")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `sample` pairs of numbers
+    held = chosen.select("label", "text").mapInPandas(computed, "label int, features array<double>").collect()
+    held.sort()  # the fit must not depend on the order in which rows come
+    table = np.array([r["features"] for r in held], float).reshape(-1, len(NAMES))
     return learn(table, np.array([r["label"] for r in held], int), keep_from)
 
 
-def scored(rows: DataFrame, ranker: Ranker) -> DataFrame:
-    """Rows with _features get a column _score."""
+def scored(docs: DataFrame, ranker: Ranker) -> DataFrame:
+    """The documents with _score."""
 
-    @F.pandas_udf("double")
-    def score(values: pd.Series) -> pd.Series:
-        return pd.Series(ranker.scores(np.stack(values.to_list())) if len(values) else [], dtype=float)
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = np.array([features(t) for t in batch["text"]], float).reshape(len(batch), len(NAMES))
+            yield batch.assign(_score=ranker.scores(rows))
 
-    return rows.withColumn("_score", score("_features"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInPandas(score, f"{kinds}, _score double")
 
 
 def rank_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, keep_from: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= keep_from) for every document."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = keep(feature_table(ids, ["doc_id"]).withColumn("held_out", fold("doc_id", folds) == held), "quality-features")
-    ranker = learn_from(rows, labels, "not held_out", keep_from)
-    out = scored(rows, ranker).withColumnRenamed("_score", "score")
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= keep_from).cast("int").alias("predicted"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held_out = fold("doc_id", folds) == held
+    ranker = learn_from(rows, labels, ~held_out, keep_from)
+    out = scored(rows, ranker).select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= keep_from).cast("int"))
+
+
+def of_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, keep_from: float = 0.7) -> DataFrame:
+    """The documents whose score reaches keep_from, learned as in rank_quality()."""
+    ranker = learn_from(docs, labels, fold("doc_id", folds) != held, keep_from)
+    return scored(docs, ranker).filter(F.col("_score") >= keep_from).select(*docs.columns)

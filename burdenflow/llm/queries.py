@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burdenflow.llm import licenses, main_text, mixing, packing, quality, search, spots, token_planes, toxicity
+from burdenflow.llm import licenses, main_text, mixing, near_copies, packing, quality, search, spots, token_planes, toxicity
 from burdenflow.llm.store import new_folder
 from burdenflow.llm.tokens import default_vocabulary
 
@@ -32,6 +32,12 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_digests(spark, folder)
 
 
+@query
+def op2_probminhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies that each document belongs to."""
+    return near_copies.class_members(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""

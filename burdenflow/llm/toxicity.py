@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burdenflow.llm.labelled import bounded, fold, labels_of
@@ -287,8 +287,8 @@ def chosen(counts: pd.DataFrame, toxic: list[str], clean: list[str], n_toxic: in
     return dict(zip(counts["term"].to_numpy()[keep_][order], w[keep_][order].tolist()))
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: str, sample: int = SAMPLE) -> Model:
-    """docs: doc_id, text and what the condition `train` reads; the rows that may be learned from."""
+def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
+    """Learn from at most `sample` documents of each label for which the condition holds, and the characters of all."""
     characters = character_model(docs)
     known = docs.select("doc_id").filter(train).distinct().join(labels_of(labels, "toxic"), "doc_id")
     ids = keep(bounded(known.filter("label = 1"), sample, SEED).unionByName(bounded(known.filter("label = 0"), sample, SEED)), "toxicity-sample")
@@ -334,6 +334,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     """doc_id, held_out, score and predicted (1 if score >= 0.5) for every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held_out = fold("doc_id", folds) == held
-    model = learn(rows, labels, f"crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % {folds} != {held}")
-    out = scored(rows, model).drop("text").withColumn("held_out", held_out)
-    return out.select("doc_id", "held_out", F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    out = scored(rows, learn(rows, labels, ~held_out)).select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def not_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
+    """The documents with a score below a half, learned as in score_toxicity()."""
+    model = learn(docs, labels, fold("doc_id", folds) != held)
+    return scored(docs, model).filter(F.col("_score") < 0.5).select(*docs.columns)
