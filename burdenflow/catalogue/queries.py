@@ -262,7 +262,7 @@ def corrected_prevalence(t: Case) -> DataFrame:
 def drawn_prevalence(t: Case) -> DataFrame:
     draws = t.draws_wide()
     sites = posterior.site_draws(draws, {"PR_corrected": "p_prime"})
-    return prevalence.drawn_prevalence(sites, t.formatted_surveys(), draws.count())
+    return prevalence.drawn_prevalence(sites, t.formatted_surveys())
 
 
 # --- draws ----------------------------------------------------------------------------

@@ -1,123 +1,85 @@
 """Positions, exact quantiles and densest intervals of groups of any size.
 
-A sort within a group would put the whole group into one task. Here a group beyond
-``BUCKET_ROWS`` is cut into value buckets first. The cut points come from a sample chosen
-by a hash of the values, so every evaluation, also after a lost executor, cuts alike. Rows
-per bucket are counted with partial aggregation, and only then are rows ordered, bucket by
-bucket. The sample decides how even the buckets are, never the result.
+A sort within a group would put the whole group into one task. Here every group, small or
+large, is cut into buckets that follow the order of its values: by their logarithm first,
+so that buckets are of one relative width at every magnitude, and each of those into equal
+steps between its own smallest and largest value. Buckets are a function of the values, so
+every evaluation cuts alike, also after a lost executor. Rows per bucket are counted with
+partial aggregation, and only then are rows ordered, bucket by bucket; of a quantile, only
+the buckets that hold a wanted rank.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from burdenflow.operators.joins import natural_join
-from burdenflow.operators.shaping import single
-from burdenflow.sources.tables import stored
 
-BUCKET_ROWS = 1_000_000
-MAX_CUTS = 32_768
-CUT_BUDGET = 500_000
-
-
-def fraction(*columns: Column) -> Column:
-    """Number in [0, 1) that depends on the values alone."""
-    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
-
-
-def _bucket(cuts: Column, key: Column, longest: int) -> Column:
-    """Number of cut points below a key, by bisection of a sorted array of at most ``longest``."""
-    steps = F.array(*[F.lit(1 << e) for e in reversed(range(longest.bit_length()))])
-    size = F.size(cuts)
-    search = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda low, s: F.when((low + s <= size) & (F.get(cuts, low + s - 1) < key), low + s).otherwise(low),
+STEPS = 64
+FINE = 256
+RANK_BLOCK = 100_000
+STRING_HEAD = 8
+
+
+def coarse(key: Column, kind: str) -> Column:
+    """Number that rises with a numeric key, one for each 1/STEPS of a factor e; the head of a string."""
+    if kind == "string":
+        return F.substring(key, 1, STRING_HEAD)
+    x = key.cast("double")
+    size = F.abs(x)
+    level = F.when(size == float("inf"), F.lit(10**6)).otherwise(F.floor(F.log(size) * STEPS) + 10**5)
+    return F.when(F.isnan(x), F.lit(10**7)).when(x == 0, F.lit(0)).when(x < 0, -level).otherwise(level).cast("long")
+
+
+def fine(key: Column, low: Column, high: Column, kind: str) -> Column:
+    """Equal steps between the ends of a coarse bucket."""
+    if kind == "string":
+        return F.lit(0).cast("long")
+    x, low, high = key.cast("double"), low.cast("double"), high.cast("double")
+    inside = (high > low) & (high < float("inf")) & (low > float("-inf"))
+    return F.when(inside, F.floor((x - low) / (high - low) * FINE)).otherwise(F.lit(0)).cast("long")
+
+
+def with_buckets(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """Add ``_coarse`` and ``_fine``, which together rise with the key within its group."""
+    kind = dict(df.dtypes)[key]
+    keyed = df.withColumn("_coarse", coarse(F.col(key), kind))
+    ends = keyed.groupBy(*by, "_coarse").agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    placed = natural_join(keyed, ends, "inner", on=[*by, "_coarse"])
+    return placed.withColumn("_fine", fine(F.col(key), F.col("_low"), F.col("_high"), kind)).drop("_low", "_high")
+
+
+def _ranked(df: DataFrame, order: Sequence[str], amount: Column, by: Sequence[str]) -> DataFrame:
+    """Add ``_before``, the sum of the amount over earlier rows, and ``_total``, that of the group."""
+    placed = with_buckets(df, by, order[0])
+    totals = placed.groupBy(*by, "_coarse", "_fine").agg(F.sum(amount).alias("_weight"))
+    earlier = Window.partitionBy(*by).orderBy("_coarse", "_fine").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(
+        *by, "_coarse", "_fine", F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_base"),
+        F.sum("_weight").over(Window.partitionBy(*by)).alias("_total"),
     )
-    return F.when(cuts.isNull(), F.lit(0)).otherwise(search)
-
-
-def with_buckets(
-    df: DataFrame, by: Sequence[str], key: Column, bucket_rows: int | None = None
-) -> DataFrame:
-    """Add ``_bucket``: the bucket of ``key`` within its group, rising with the key.
-
-    Groups of at most ``bucket_rows`` rows have the one bucket 0. The groups beyond share a
-    budget of cut points, so that the table of cut points stays small. It is written out:
-    Spark then sees its size and moves the rows only where it is too big to broadcast.
-    """
-    bucket_rows = bucket_rows or BUCKET_ROWS
-    total = F.count(F.lit(1)).alias("_total")
-    sizes = (df.groupBy(*by) if by else df.groupBy()).agg(total).where(F.col("_total") > bucket_rows)
-    big = stored(sizes, "sizes")
-    groups = big.count()
-    if groups == 0:
-        return df.withColumn("_bucket", F.lit(0))
-    most = max(64, min(MAX_CUTS, CUT_BUDGET // groups))
-    keyed = df.withColumn("_key", key)
-    sampled = natural_join(keyed, big, "inner", on=by) if by else keyed.withColumn("_total", single(big, F.max("_total")))
-    wanted = F.least(F.floor(F.col("_total") / bucket_rows), F.lit(most))
-    chosen = sampled.where(F.col("_total") * fraction(F.col("_key")) < wanted)
-    cuts = stored(chosen.groupBy(*by).agg(F.sort_array(F.collect_set("_key")).alias("_cuts")), "cuts")
-    longest = cuts.agg(F.max(F.size("_cuts"))).first()[0] or 0
-    if longest == 0:
-        return df.withColumn("_bucket", F.lit(0))
-    if by:
-        found = natural_join(keyed, cuts, "left", on=by)
-    else:
-        found = keyed.withColumn("_cuts", single(cuts, F.first("_cuts")))
-    return found.withColumn("_bucket", _bucket(F.col("_cuts"), F.col("_key"), longest)).drop("_key", "_cuts")
-
-
-def _bucket_bases(bucketed: DataFrame, by: Sequence[str], weight: Column) -> DataFrame:
-    """Weight of each bucket and of all buckets before it; a group has at most MAX_CUTS + 1."""
-    totals = bucketed.groupBy(*by, "_bucket").agg(F.sum(weight).alias("_weight"))
-    ordered = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    return totals.withColumn("_before", F.sum("_weight").over(ordered) - F.col("_weight"))
+    joined = natural_join(placed, bases, "inner", on=[*by, "_coarse", "_fine"])
+    inside = Window.partitionBy(*by, "_coarse", "_fine").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.col("_base") + F.sum(amount).over(inside) - amount
+    return joined.withColumn("_before", before).drop("_coarse", "_fine", "_base")
 
 
 def prefix_sums(
-    df: DataFrame,
-    order: Sequence[str],
-    weight: str | None = None,
-    by: Sequence[str] = (),
-    name: str = "before",
-    bucket_rows: int | None = None,
+    df: DataFrame, order: Sequence[str], weight: str | None = None, by: Sequence[str] = (), name: str = "before"
 ) -> DataFrame:
     """Add the sum of ``weight`` (default: rows) over the rows that come earlier in the order.
 
-    ``order`` must be unique within ``by``. A table without groups is written out first, as
-    its rows are needed for the count and again for the sums.
+    ``order`` must be unique within ``by``.
     """
     amount = F.col(weight) if weight else F.lit(1).cast("long")
-    if not by:
-        df = stored(df, "ordered")
-    if (largest_group(df, by) if by else df.count()) <= (bucket_rows or BUCKET_ROWS):
-        group = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(amount).over(group) - amount)
-    bucketed = with_buckets(df, by, F.struct(*order), bucket_rows)
-    bases = _bucket_bases(bucketed, by, amount).drop("_weight")
-    joined = natural_join(bucketed, bases, "inner", on=[*by, "_bucket"])
-    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = F.sum(amount).over(inside) - amount
-    return joined.withColumn(name, F.col("_before") + earlier).drop("_bucket", "_before")
-
-
-def number_rows(
-    df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "rn", bucket_rows: int | None = None
-) -> DataFrame:
-    """Row number from 1 in a unique order; over distinct values this is their dense rank."""
-    numbered = prefix_sums(df, order, by=by, name=name, bucket_rows=bucket_rows)
-    return numbered.withColumn(name, (F.col(name) + 1).cast("int"))
+    return _ranked(df, order, amount, by).drop("_total").withColumnRenamed("_before", name)
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the biggest group; a count on the keys, used to choose a way that fits its size."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+def number_rows(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "rn") -> DataFrame:
+    """Row number from 1 in a unique order; over distinct values this is their dense rank."""
+    return prefix_sums(df, order, by=by, name=name).withColumn(name, F.col(name) + 1)
 
 
 def _interpolated(probs: Mapping[str, float], pick) -> list[Column]:
@@ -130,130 +92,62 @@ def _interpolated(probs: Mapping[str, float], pick) -> list[Column]:
     return out
 
 
-def _ranks(probs: Mapping[str, float]) -> Column:
+def _holds_rank(probs: Mapping[str, float]) -> Column:
+    """Whether a wanted rank lies in the row's span from ``_start`` up to but excluding ``_end``."""
     at = [(F.col("_n") - 1) * F.lit(p) for p in probs.values()]
-    return F.array_distinct(F.array(*[f(a) for a in at for f in (F.floor, F.ceil)]))
+    ranks = F.array(*[f(a) for a in at for f in (F.floor, F.ceil)])
+    return F.exists(ranks, lambda r: (r >= F.col("_start")) & (r < F.col("_end")))
 
 
-def quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    group_rows: int | None = None,
-    bucket_rows: int | None = None,
-) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact interpolated quantiles per group: columns ``by``, ``n`` and one per probability.
 
-    ``group_rows`` is an upper bound on the rows of a group where the caller knows one, and
-    saves the count. Groups of at most ``bucket_rows`` rows are each sorted in one task; of
-    bigger ones, only the buckets that hold a wanted rank are sorted.
+    The values are read twice: to count coarse buckets, and to keep those that hold a wanted
+    rank. Equal values collapse before they are ordered, so a frequent value is one row.
     """
-    values = df.where(F.col(value).isNotNull()).select(*by, value)
-    limit = bucket_rows or BUCKET_ROWS
-    if group_rows is None:
-        group_rows = largest_group(values, by)
-    if group_rows <= limit:
-        return _quantiles_sorted(values, by, value, probs)
-    small, big = _by_size(values, by, limit)
-    return _quantiles_sorted(small, by, value, probs).unionByName(_quantiles_selected(big, by, value, probs, limit))
-
-
-def _by_size(values: DataFrame, by: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of the groups within a size, and rows of the bigger ones with their size ``_n``."""
-    sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    big = stored(sizes.where(F.col("_n") > limit), "big")
-    return natural_join(values, big, "left_anti", on=by), natural_join(values, big, "inner", on=by)
-
-
-def _quantiles_sorted(values: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    # one ordering serves the rank and the size
-    group = Window.partitionBy(*by).orderBy(value)
-    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = values.withColumns(
-        {"_rank": F.row_number().over(group).cast("long") - 1, "_n": F.count(F.lit(1)).over(whole)}
+    kind = dict(df.dtypes)[value]
+    values = df.where(F.col(value).isNotNull()).select(*by, value).withColumn("_coarse", coarse(F.col(value), kind))
+    counts = values.groupBy(*by, "_coarse").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(value).alias("_low"), F.max(value).alias("_high")
     )
-    near = [F.abs(F.col("_rank") - (F.col("_n") - 1) * F.lit(p)) < 1 for p in probs.values()]
-    wanted = ranked.where(reduce(Column.__or__, near))
-    pick = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col(value)))
-    return wanted.groupBy(*by, "_n").agg(*_interpolated(probs, pick)).withColumnRenamed("_n", "n")
-
-
-def _narrowed(
-    rows: DataFrame, group: Sequence[str], probs: Mapping[str, float], value: str, bucket_rows: int
-) -> DataFrame:
-    """Rows of the buckets that hold a wanted rank; ``_base`` becomes the rows before the bucket."""
-    bucketed = with_buckets(rows, group, F.col(value), bucket_rows)
-    bases = _bucket_bases(bucketed, group, F.lit(1).cast("long")).withColumn("_first", F.col("_base") + F.col("_before"))
-    holds = F.exists(_ranks(probs), lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_weight")))
-    targets = stored(bases.where(holds).drop("_weight", "_before"), "targets")
-    kept = natural_join(bucketed, targets, "inner", on=[*group, "_bucket"])
-    return kept.drop("_base", "_bucket").withColumnRenamed("_first", "_base")
-
-
-def _quantiles_selected(
-    values: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], bucket_rows: int
-) -> DataFrame:
-    rows = values.withColumn("_base", F.lit(0).cast("long"))
-    for _ in range(2):  # the second round cuts the buckets that are still big
-        rows = stored(_narrowed(rows, [*by, "_n", "_base"], probs, value, bucket_rows), "narrowed")
-    # equal values collapse before they are ordered, so a frequent value is one row
-    counted = rows.groupBy(*by, "_n", "_base", value).agg(F.count(F.lit(1)).alias("_copies"))
-    inside = Window.partitionBy(*by, "_n", "_base").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.col("_base") + F.sum("_copies").over(inside)
-    spans = counted.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_copies"))
-    covers = lambda r: (r >= F.col("_start")) & (r < F.col("_end"))
-    held = spans.where(F.exists(_ranks(probs), covers))
+    group = Window.partitionBy(*by).orderBy("_coarse")
+    spans = counts.withColumns(
+        {
+            "_end": F.sum("_rows").over(group.rowsBetween(Window.unboundedPreceding, 0)),
+            "_n": F.sum("_rows").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        }
+    ).withColumn("_start", F.col("_end") - F.col("_rows"))
+    wanted = spans.where(_holds_rank(probs)).drop("_rows", "_end").withColumnRenamed("_start", "_base")
+    kept = natural_join(values, wanted, "inner", on=[*by, "_coarse"])
+    step = fine(F.col(value), F.col("_low"), F.col("_high"), kind)
+    single_values = kept.withColumn("_fine", step).groupBy(*by, "_n", "_base", "_coarse", "_fine", value).agg(
+        F.count(F.lit(1)).alias("_copies")
+    )
+    bucket = [*by, "_coarse"]
+    earlier = Window.partitionBy(*bucket).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
+    steps = single_values.groupBy(*bucket, "_fine").agg(F.sum("_copies").alias("_rows"))
+    steps = steps.select(*bucket, "_fine", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    placed = natural_join(single_values, steps, "inner", on=[*bucket, "_fine"])
+    inside = Window.partitionBy(*bucket, "_fine").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("_end", F.col("_base") + F.col("_before") + F.sum("_copies").over(inside))
+    held = placed.withColumn("_start", F.col("_end") - F.col("_copies")).where(_holds_rank(probs))
+    covers = lambda rank: (rank >= F.col("_start")) & (rank < F.col("_end"))
     pick = lambda rank: F.max(F.when(covers(rank), F.col(value)))
     return held.groupBy(*by, "_n").agg(*_interpolated(probs, pick)).withColumnRenamed("_n", "n")
 
 
-def hdi(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    mass: float = 0.95,
-    group_rows: int | None = None,
-    bucket_rows: int | None = None,
-) -> DataFrame:
+def hdi(df: DataFrame, by: Sequence[str], value: str, mass: float = 0.95, block: int = RANK_BLOCK) -> DataFrame:
     """Narrowest interval that holds ``floor(n * mass) + 1`` sorted values, the first on ties.
 
     Columns ``by``, ``n``, ``lower``, ``upper``; no bounds where a group is too small for one.
-    ``group_rows`` is as in ``quantiles``.
-    """
-    values = df.where(F.col(value).isNotNull()).select(*by, value)
-    limit = bucket_rows or BUCKET_ROWS
-    if group_rows is None:
-        group_rows = largest_group(values, by)
-    if group_rows <= limit:
-        return _hdi_sorted(values, by, value, mass)
-    small, big = _by_size(values, by, limit)
-    return _hdi_sorted(small, by, value, mass).unionByName(_hdi_ranked(big, by, value, mass, limit))
-
-
-def _hdi_sorted(values: DataFrame, by: Sequence[str], value: str, mass: float) -> DataFrame:
-    x, n = F.col("_sorted"), F.size("_sorted")
-    k = F.floor(n * F.lit(mass)).cast("int")
-    pairs = F.zip_with(
-        F.slice(x, k + 1, n - k),
-        F.slice(x, F.lit(1), n - k),
-        lambda high, low: F.struct((high - low).alias("width"), low.alias("lower"), high.alias("upper")),
-    )
-    best = F.array_min(F.when((n >= 2) & (k < n), pairs))
-    groups = values.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_sorted"))
-    found = groups.select(*by, n.cast("long").alias("n"), best.alias("_best"))
-    return found.select(*by, "n", "_best.lower", "_best.upper")
-
-
-def _hdi_ranked(values: DataFrame, by: Sequence[str], value: str, mass: float, block: int) -> DataFrame:
-    """Densest interval through ranks.
 
     Only the first of equal values can open the narrowest interval, so equal values are one
     row with a span of ranks. Spans are cut at blocks of ranks; within a block, the value at
     an interval's closing rank is the last one whose span has begun.
     """
-    values = values.groupBy(*by, "_n", value).agg(F.count(F.lit(1)).alias("_copies"))
-    spans = prefix_sums(values, [value], "_copies", by, "_start", block).withColumnRenamed("_n", "n")
+    values = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_copies"))
+    ranked = _ranked(values, [value], F.col("_copies"), by)
+    spans = ranked.withColumnsRenamed({"_before": "_start", "_total": "n"})
     k = F.floor(F.col("n") * F.lit(mass))
     blocks = lambda lo, hi: F.explode(F.sequence(F.floor(lo / block), F.floor(hi / block)))
     begins = spans.select(
@@ -297,7 +191,10 @@ def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 7) -> Da
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out over all cores before each of them is expanded into many."""
+    """Deal narrow rows out over all cores before each of them is expanded into many.
+
+    A table of at least as many files as there are cores is spread already.
+    """
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(parts)
+    return df if len(df.inputFiles()) >= parts else df.repartition(parts)

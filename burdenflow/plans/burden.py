@@ -19,7 +19,6 @@ from burdenflow.operators.groups import (
 from burdenflow.operators.joins import lookup, natural_join
 from burdenflow.operators.ordering import number_rows
 from burdenflow.plans.cleaning import evidence
-from burdenflow.sources.tables import stored
 
 CLASSES = {"sma": [1, 2, 3, 4], "rd": [1, 2]}
 CLASS_COLUMN = {"sma": "class_sma", "rd": "class_rd"}
@@ -72,17 +71,17 @@ def class_positivity(counts: DataFrame) -> DataFrame:
 
 
 def status_counts(patients: DataFrame, keys: Sequence[str] = ("study_id",)) -> DataFrame:
-    """Patients per group and combination of statuses, classes and evidence, written out.
+    """Patients per group and combination of statuses, classes and evidence.
 
-    A group has some dozens of rows however many patients it has. Everything that follows
-    reads these counts several times and the patients once.
+    A group has some dozens of rows however many patients it has. What follows reads these
+    counts several times; the shuffle that made them is used again.
     """
     flagged = classed(c.case_flags(patients, cm_default=False))
     for phenotype in ("sma", "rd"):
         known = [F.col(column).isNotNull() for column in evidence(patients, phenotype)]
         flagged = flagged.withColumn(f"evidence_{phenotype}", reduce(Column.__or__, known))
     marks = ["sma", "rd", "cm", "class_sma", "class_rd", "evidence_sma", "evidence_rd"]
-    return stored(flagged.groupBy(*keys, *marks).agg(F.count(F.lit(1)).alias("patients")), "statuses")
+    return flagged.groupBy(*keys, *marks).agg(F.count(F.lit(1)).alias("patients"))
 
 
 def _class_rates(counts: DataFrame, phenotype: str) -> DataFrame:

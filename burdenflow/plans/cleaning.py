@@ -12,7 +12,6 @@ from burdenflow.operators.groups import group_total, null_sum
 from burdenflow.operators.joins import natural_join
 from burdenflow.operators.ordering import number_rows
 from burdenflow.operators.shaping import append, recode
-from burdenflow.sources.tables import stored
 
 # fixed values: spellings of sites, periods and methods
 LONG_NAMES = {
@@ -84,12 +83,10 @@ def build_complete(
 ) -> DataFrame:
     """Cleaned admissions with the features of their site and the population of their age.
 
-    The two study tables are written out first. Spark then plans on their true sizes: it
-    broadcasts what its threshold allows, which leaves the admissions where they are, and
-    shuffles both sides otherwise.
+    Run-time sizes of the study tables decide whether they are broadcast or shuffled.
     """
-    placed = natural_join(admissions, stored(locations, "locations"), "left", on=["site", "period"])
-    return natural_join(placed, stored(populations, "populations"), "left", on=["site", "period", "age_years"])
+    placed = natural_join(admissions, locations, "left", on=["site", "period"])
+    return natural_join(placed, populations, "left", on=["site", "period", "age_years"])
 
 
 def study_rows(df: DataFrame) -> DataFrame:

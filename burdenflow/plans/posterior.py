@@ -73,21 +73,21 @@ def site_draws(draws: DataFrame, families: Mapping[str, str], keep: Sequence[str
 def summarise(draws: DataFrame, probs: Mapping[str, float] = BANDS) -> DataFrame:
     """Quantiles of every parameter."""
     values = to_long(draws.drop(*IDS, "model"), [])
-    return quantiles(values, ["parameter"], "value", probs, group_rows=draws.count())
+    return quantiles(values, ["parameter"], "value", probs)
 
 
 def summarise_dense(draws: DataFrame, mass: float = 0.95) -> DataFrame:
     """Median and densest interval of every parameter."""
-    values, n = to_long(draws.drop(*IDS, "model"), []), draws.count()
-    medians = quantiles(values, ["parameter"], "value", {"median": 0.5}, group_rows=n).drop("n")
-    return medians.join(hdi(values, ["parameter"], "value", mass, group_rows=n), "parameter")
+    values = to_long(draws.drop(*IDS, "model"), [])
+    medians = quantiles(values, ["parameter"], "value", {"median": 0.5}).drop("n")
+    return medians.join(hdi(values, ["parameter"], "value", mass), "parameter")
 
 
 def fold_change(draws: DataFrame, points: float = 25.0) -> DataFrame:
     """Fold change of the rate for a rise of prevalence by so many points, linear model."""
     fold = F.exp(F.col("beta1") * F.lit(points / 100))
     values = draws.select(F.lit(points).alias("points"), fold.alias("fold"))
-    return quantiles(values, ["points"], "fold", MIDDLE, group_rows=draws.count())
+    return quantiles(values, ["points"], "fold", MIDDLE)
 
 
 def sampled_site_draws(draws: DataFrame, n: int, seed: int = 7) -> DataFrame:
@@ -148,7 +148,7 @@ def chain_diagnostics(draws: DataFrame, lags: Sequence[int] = (1, 10), block_row
 def upper_prevalence(draws: DataFrame, family: str = "PR_corrected") -> Column:
     """Highest upper bound of prevalence among the studies."""
     sites = site_draws(draws, {family: "pr"})
-    bounds = quantiles(sites, ["study_number"], "pr", {"q975": 0.975}, group_rows=draws.count())
+    bounds = quantiles(sites, ["study_number"], "pr", {"q975": 0.975})
     return single(bounds, F.max("q975"))
 
 
@@ -159,13 +159,13 @@ def fitted_curve(draws: DataFrame, form: str, points: int, upper: float | Column
     top = upper if isinstance(upper, Column) else F.lit(float(upper))
     if form == "intercept":
         # the curve is flat: its bounds are those of one parameter
-        flat = quantiles(chosen.withColumn("curve", F.lit(label)), ["curve"], "intercept", BANDS, draws.count())
+        flat = quantiles(chosen.withColumn("curve", F.lit(label)), ["curve"], "intercept", BANDS)
         rows = grid(flat, points, "step").withColumn("pr", F.col("step") * (top / (points - 1)))
     else:
         stepped = grid(spread(chosen), points, "step").withColumn("pr", F.col("step") * (top / (points - 1)))
         beta2 = F.col("beta2") if form == "logistic" else None
         fits = stepped.withColumn("fit", linear_predictor(form, F.col("pr"), F.col("intercept"), F.col("beta1"), beta2))
-        found = quantiles(fits, ["step"], "fit", BANDS, draws.count())
+        found = quantiles(fits, ["step"], "fit", BANDS)
         rows = found.withColumn("pr", F.col("step") * (top / (points - 1)))
     return rows.select(
         F.lit(label).alias("curve"), "step", c.percent(F.col("pr")).alias("pr"),
@@ -205,7 +205,7 @@ def modal_age(draws: DataFrame, steps: int = 76, per: int = 100) -> DataFrame:
     """Age of most admissions per prevalence, with bounds; on draws by prevalence, not by age."""
     stepped = grid(spread(draws.select(col("alpha_parm[2]").alias("a2"), col("betas[2]").alias("b2"))), steps, "pr_index")
     fits = stepped.withColumn("fit", F.col("a2") + F.col("b2") * step_value(F.col("pr_index"), per=per))
-    found = quantiles(fits, ["pr_index"], "fit", MIDDLE, draws.count())
+    found = quantiles(fits, ["pr_index"], "fit", MIDDLE)
     return found.select(
         "pr_index", c.percent(step_value(F.col("pr_index"), per=per)).alias("pr"),
         *[F.exp(q).alias(f"age_{q}") for q in MIDDLE],
@@ -215,7 +215,7 @@ def modal_age(draws: DataFrame, steps: int = 76, per: int = 100) -> DataFrame:
 def threshold_summary(draws: DataFrame) -> DataFrame:
     """Median and bounds, in percent, of the prevalence above which age matters."""
     crit = draws.select(F.lit(1).alias("one"), col("PR_crit").alias("crit"))
-    found = quantiles(crit, ["one"], "crit", MIDDLE, draws.count())
+    found = quantiles(crit, ["one"], "crit", MIDDLE)
     return found.select(*[c.percent(F.col(q)).alias(f"cut_{q}") for q in MIDDLE])
 
 
@@ -306,7 +306,7 @@ def age_surface(
         "pr_index", "band", (F.col("share") * rate_at(F.col("pr"), F.col("a1"), F.col("b1"))).alias("fit")
     )
     probs = {**MIDDLE, "q25": 0.25, "q75": 0.75}
-    found = quantiles(fits, ["pr_index", "band"], "fit", probs, draws.count())
+    found = quantiles(fits, ["pr_index", "band"], "fit", probs)
     ends = numbers(ages or monthly_ages())
     return found.select(
         "pr_index", "band", c.percent(step_value(F.col("pr_index"), per=per)).alias("pr"),
@@ -325,9 +325,8 @@ def site_age_fit(draws: DataFrame, with_effect: bool = False) -> DataFrame:
     fits = age_profile(spread(sites), site_ages()).withColumn(
         "fit", F.col("share") * rate_at(F.col("pr"), F.col("a1"), F.col("b1"), F.col("re") if with_effect else 0.0)
     )
-    n = draws.count()
-    fitted = quantiles(fits, ["study_number", "band", "age"], "fit", MIDDLE, n).drop("n")
-    prevalence = quantiles(sites, ["study_number"], "pr", MIDDLE, n).select(
+    fitted = quantiles(fits, ["study_number", "band", "age"], "fit", MIDDLE).drop("n")
+    prevalence = quantiles(sites, ["study_number"], "pr", MIDDLE).select(
         "study_number", *[c.percent(F.col(q)).alias(f"pr_{q}") for q in MIDDLE]
     )
     ranked = order_by_statistic(prevalence, ["study_number"], "pr_median")

@@ -13,7 +13,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from burdenflow.functions.rates import log_lik
-from burdenflow.sources.tables import stored
 
 BETA2_GRID = [0.5 * k for k in range(1, 21)]
 NO_DISPERSION = 1e6
@@ -102,7 +101,7 @@ def fit_rate(
     ``negbin`` fits a Poisson first, takes the dispersion by moments and fits again.
     """
     usable = df.where((F.col("py") > 0) & F.col("pr").isNotNull() & F.col("n").isNotNull())
-    studies = stored(usable.select(F.col("n").cast("double").alias("n"), "py", "pr"), "studies")
+    studies = usable.select(F.col("n").cast("double").alias("n"), "py", "pr").persist()
     start = studies.agg(F.sum("n").alias("n"), F.sum("py").alias("py")).first()
     base = Candidate(math.log(start.n / start.py), 0.0)
     candidates = [replace(base, beta2=b) for b in grid] if form == "logistic" else [base]

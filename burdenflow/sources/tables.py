@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -53,29 +51,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one set in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder(spark.sparkContext.applicationId)
-
-
-@cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"burdenflow-{application}-")
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or else the session's warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str = "stored") -> DataFrame:
-    """Write a table once and read it back, so later jobs neither recompute nor lose it."""
-    spark = df.sparkSession
-    path = write_table(df, new_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)

@@ -29,17 +29,16 @@ def arrays(df):
     return {k: np.sort(x.v.to_numpy()) for k, x in pdf.groupby("k")}
 
 
-@pytest.mark.parametrize("bucket_rows", [None, 40])
-def test_quantiles_match_numpy(skewed, bucket_rows):
-    got = by_key(o.quantiles(skewed, ["k"], "v", PROBS, bucket_rows=bucket_rows))
+def test_quantiles_match_numpy(skewed):
+    got = by_key(o.quantiles(skewed, ["k"], "v", PROBS))
     for k, x in arrays(skewed).items():
         assert got[k].n == len(x)
         assert [got[k][p] for p in PROBS] == pytest.approx(list(np.quantile(x, list(PROBS.values()))), abs=1e-12)
 
 
-@pytest.mark.parametrize("bucket_rows", [None, 40])
-def test_hdi_matches_search(skewed, bucket_rows):
-    got = by_key(o.hdi(skewed, ["k"], "v", 0.9, bucket_rows=bucket_rows))
+@pytest.mark.parametrize("block", [o.RANK_BLOCK, 40])
+def test_hdi_matches_search(skewed, block):
+    got = by_key(o.hdi(skewed, ["k"], "v", 0.9, block=block))
     for k, x in arrays(skewed).items():
         width = int(np.floor(len(x) * 0.9))
         if len(x) < 2:
@@ -58,16 +57,32 @@ def test_quantiles_skip_missing_values(spark):
     assert (row.n, row.median) == (2, 2.0)
 
 
-@pytest.mark.parametrize("bucket_rows", [None, 50])
-def test_numbering_and_sums(spark, bucket_rows):
+def test_numbering_and_sums(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1000).alias("x"))
-    rows = o.number_rows(df, ["x"], bucket_rows=bucket_rows).collect()
+    rows = o.number_rows(df, ["x"]).collect()
     assert all(r.rn == r.x + 1 for r in rows) and len(rows) == 1000
-    sums = o.prefix_sums(df, ["x"], "x", by=["g"], bucket_rows=bucket_rows).toPandas().sort_values(["g", "x"])
+    sums = o.prefix_sums(df, ["x"], "x", by=["g"]).toPandas().sort_values(["g", "x"])
     want = sums.groupby("g").x.cumsum() - sums.x
     assert (sums.before == want).all()
 
 
+def test_buckets_follow_the_order(spark):
+    values = [0.0, -0.0, 1e-300, -1e-300, 1.0, -1.0, 1e300, -1e300, 3.5, 3.5000001, float("inf"), float("-inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = o.with_buckets(df, [], "v").orderBy("v").collect()
+    placed = [(r._coarse, r._fine) for r in rows]
+    assert placed == sorted(placed)
+
+
+def test_values_of_one_magnitude_are_split_again(spark):
+    df = spark.range(100_000).select((1000 + F.col("id") / 1e6).alias("v"))
+    sizes = o.with_buckets(df, [], "v").groupBy("_coarse", "_fine").count()
+    by_coarse = sizes.groupBy("_coarse").agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()
+    assert max(r.n for r in by_coarse) > 40_000 and max(r.most for r in by_coarse) < 1_000
+    row = o.quantiles(df, [], "v", {"median": 0.5}).first()
+    assert row.median == pytest.approx(1000 + 99_999 / 2e6, abs=1e-12)
+
+
 def test_samples_repeat_and_count(spark):
     df = spark.range(5000)
     first = {r.id for r in o.sample_rows(df, ["id"], 300).collect()}
