@@ -252,9 +252,11 @@ def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
 
 
 def learn_from(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """A labeller from at most `sample` pages, chosen by a hash of page_id."""
-    chosen = pages.select("page_id", "html").orderBy(F.xxhash64(F.lit(SEED), F.col("page_id")), "page_id", "html").limit(sample)
-    return train([r["html"] for r in chosen.collect()])
+    """A labeller from at most `sample` pages, chosen by a hash of page_id and url; only those pages leave their tasks."""
+    mark = F.xxhash64(F.lit(SEED), F.col("page_id"), F.col("url"))
+    marks = pages.select(mark.alias("mark")).distinct().orderBy("mark").limit(sample)
+    chosen = pages.select(mark.alias("mark"), "html").join(F.broadcast(marks), "mark")  # at most `sample` numbers
+    return train([r["html"] for r in chosen.groupBy("mark").agg(F.min("html").alias("html")).orderBy("mark").collect()])
 
 
 def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
