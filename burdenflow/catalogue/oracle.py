@@ -87,6 +87,10 @@ CTES = {
         CASE outcome WHEN 'A' THEN 'Absconded' WHEN 'D' THEN 'Discharged' WHEN 'Unknown' THEN NULL ELSE outcome END AS outcome,
         CASE WHEN sma = 'Y' THEN 'TRUE' ELSE sma END AS sma FROM adm_sited""",
     "patients": f"""SELECT *, study_site || ' ' || period AS study_id FROM (SELECT *, {SHORT} AS study_site FROM adm)""",
+    # one more for a transfusion, two more for severe pallor; what is unknown counts as absent
+    "evidence4": """SELECT * FROM (VALUES (true, 'severe', 4), (true, 'other', 2), (true, 'unknown', 2),
+        (false, 'severe', 3), (false, 'other', 1), (false, 'unknown', 1),
+        (NULL, 'severe', 3), (NULL, 'other', 1), (NULL, 'unknown', 1)) AS t(given, pale, c_sma)""",
     "flags": """SELECT study_id, age_years, hb_level, pallor, transfusion, deep_breathing, intercostal_recession, apvu,
         unconscious, bcs, hb_level < 5 AS f_sma, deep_breathing AS f_rd,
         (bcs < 3 OR apvu = 'U' OR unconscious) AS f_cm,
@@ -94,12 +98,10 @@ CTES = {
         (hb_level < 5 OR deep_breathing OR coalesce(bcs < 3 OR apvu = 'U' OR unconscious, false)) AS f_c,
         (hb_level < 5 OR pallor = 'Severe' OR transfusion OR deep_breathing OR intercostal_recession
             OR coalesce(bcs < 3 OR apvu = 'U' OR unconscious, false)) AS f_alt,
-        CASE WHEN (transfusion IS NULL AND pallor IS NULL) OR (NOT transfusion AND pallor <> 'Severe')
-                OR (transfusion IS NULL AND pallor <> 'Severe') OR (NOT transfusion AND pallor IS NULL) THEN 1
-            WHEN (pallor IS NULL AND transfusion) OR (pallor <> 'Severe' AND transfusion) THEN 2
-            WHEN (transfusion IS NULL AND pallor = 'Severe') OR (NOT transfusion AND pallor = 'Severe') THEN 3
-            ELSE 4 END AS c_sma,
-        CASE WHEN intercostal_recession IS NULL OR NOT intercostal_recession THEN 1 ELSE 2 END AS c_rd FROM patients""",
+        c_sma,
+        CASE WHEN intercostal_recession IS NULL OR NOT intercostal_recession THEN 1 ELSE 2 END AS c_rd
+        FROM patients JOIN evidence4 ON transfusion IS NOT DISTINCT FROM given
+        AND CASE WHEN pallor IS NULL THEN 'unknown' WHEN pallor = 'Severe' THEN 'severe' ELSE 'other' END = pale""",
     "pop_counts": f"""SELECT n_nationkey, n_name, {tb.POPULATION_PERIOD} AS period, {tb.POPULATION_AGE} AS age_group,
         count(*) AS n FROM {ORDERS} GROUP BY ALL""",
     "pop_parts": f"SELECT {_columns(tb.POPULATION)} FROM pop_counts",
@@ -121,14 +123,14 @@ CTES = {
     "loc": """SELECT *, pr / pr_c AS r FROM (SELECT * REPLACE (CASE WHEN irs IN ('[N]', 'N') THEN false ELSE true END AS irs),
         n_positive * 1.0 / n_examined * 100 AS pr FROM loc_raw)""",
     "surveys_raw": f"""SELECT {_columns(tb.SURVEYS)}, detection_method FROM loc_raw JOIN nation USING (n_nationkey)""",
-    "surveys": """SELECT dense_rank() OVER (ORDER BY study_id) AS study_number, * FROM (
+    "surveys": """SELECT study_number, v.* FROM (
         SELECT split_part(site, ',', 1) || ' ' || period AS study_id, split_part(site, ',', 1) AS site,
         replace(split_part(site, ',', 2), ' ', '') AS country, period,
         round_even(min_age, 0) + 1 AS min_age, least(round_even(max_age, 0) + 1, 85) AS max_age, number, positives,
         CASE detection_method WHEN 'Microsopy' THEN 'Microscopy' ELSE detection_method END AS detection_method
-        FROM surveys_raw)""",
+        FROM surveys_raw) v LEFT JOIN (SELECT study_id, study_number FROM dim) USING (study_id)""",
     "means": """SELECT study_id, study_number, number, positives, min_age - 1 AS mn, max_age - 1 AS mx,
-        avg(CAST(positives AS DOUBLE) / number) OVER (PARTITION BY study_number, number, positives) AS pr FROM surveys""",
+        avg(CAST(positives AS DOUBLE) / number) OVER (PARTITION BY study_id, number, positives) AS pr FROM surveys""",
     "dim": """SELECT dense_rank() OVER (ORDER BY study_id) AS study_number, * FROM
         (SELECT DISTINCT study_id, study_site AS site, period FROM patients)""",
     "known": """SELECT 'sma' AS phenotype, study_id, c_sma AS class, CAST(f_sma AS INT) AS status FROM flags
@@ -139,9 +141,10 @@ CTES = {
         (1.0 + sum(status)) / (2 + count(status)) AS rate FROM known WHERE status IS NOT NULL GROUP BY ALL""",
     "years": "SELECT * FROM (VALUES " + ", ".join(
         f"({age}, {d(w)})" for age, w in enumerate(AGE_SHARES, start=1)) + ") AS t(age, w)",
-    "mid_curve": f"""SELECT age, w, 1 - exp(-{d(EXPOSURE_RATE)} * (age - 0.5)) AS p,
-        1 - exp(-{d(DECLINE_SIZE)}) + exp(-{d(DECLINE_SIZE)})
-            * least(1, exp(-{d(DECLINE_RATE)} * (age - 0.5 - {d(DECLINE_START)}))) AS f FROM years""",
+    # all infections are detected before the decline begins; after it their share falls towards its floor
+    "mid_ages": f"SELECT age, w, age - CAST(0.5 AS DOUBLE) AS mid, exp(-{d(DECLINE_SIZE)}) AS lost FROM years",
+    "mid_curve": f"""SELECT age, w, 1 - exp(-{d(EXPOSURE_RATE)} * mid) AS p, CASE WHEN mid < {d(DECLINE_START)} THEN 1
+        ELSE 1 - lost * (1 - exp({d(DECLINE_RATE)} * ({d(DECLINE_START)} - mid))) END AS f FROM mid_ages""",
     "int_curve": f"""SELECT age, w, (1 - exp(-{d(EXPOSURE_RATE)} * age)) * (1 - CASE WHEN age >= {d(DECLINE_START)} THEN
         (1 - {d(DECLINE_SIZE)}) * (1 - exp(-{d(DECLINE_RATE)} * (age - {d(DECLINE_START)}))) ELSE 0 END) * w AS pfs FROM years""",
     "std": """SELECT m.*, (SELECT sum(p * f * w) / sum(w) FROM mid_curve WHERE age > m.mn AND age <= m.mx) AS k FROM means m""",
@@ -152,16 +155,17 @@ CTES = {
     "dw_long": "UNPIVOT (SELECT * EXCLUDE (chain, iteration) FROM dw) ON COLUMNS(*) INTO NAME parameter VALUE value",
     "dw_summary": f"SELECT parameter, count(*) AS n, {quants('value', Q)} FROM dw_long GROUP BY parameter",
     "site_dw": " UNION ALL ".join(
-        f"""SELECT chain, iteration, CAST({i} AS BIGINT) AS study_number, "PR_corrected[{i}]" AS pr,
+        f"""SELECT chain, iteration, CAST({i} AS BIGINT) AS idx, "PR_corrected[{i}]" AS pr,
             "estimated_admissions[{i}]" AS est, intercept, beta1, beta2, r, "alpha_parm[1]" AS a1, "alpha_parm[2]" AS a2,
             "betas[1]" AS b1, "betas[2]" AS b2, sigma, "PR_crit" AS crit FROM dw""" for i in tb.SITE_INDEXES),
-    "upper": """SELECT max(q) AS top FROM (SELECT quantile_cont(pr, CAST(0.975 AS DOUBLE)) AS q FROM site_dw
+    "study_dw": "SELECT d.*, study_number FROM dim JOIN site_dw d ON idx = (study_number - 1) % 20 + 1",
+    "upper": """SELECT max(q) AS top FROM (SELECT quantile_cont(pr, CAST(0.975 AS DOUBLE)) AS q FROM study_dw
         GROUP BY study_number)""",
     "cases": """SELECT study_id, count(*) FILTER (f_sma) AS n FROM flags GROUP BY study_id""",
-    "study_cases": """SELECT dense_rank() OVER (ORDER BY cases.study_id) AS study_number, cases.study_id, n, py
-        FROM cases LEFT JOIN pop_study USING (study_id)""",
+    "study_cases": """SELECT study_number, study_id, n, py FROM cases JOIN dim USING (study_id)
+        LEFT JOIN pop_study USING (study_id)""",
     "study_draws": f"""SELECT *, exp({PRED['logistic']} + ln(py)) AS l_logistic, exp({PRED['linear']} + ln(py)) AS l_linear,
-        exp(intercept + ln(py)) AS l_intercept FROM site_dw JOIN study_cases USING (study_number)""",
+        exp(intercept + ln(py)) AS l_intercept FROM study_dw JOIN study_cases USING (study_number)""",
     "profile": """SELECT *, sqrt(m * m + 4 * sigma * sigma) AS root FROM (SELECT *, exp(a2 + b2 * pr) AS m FROM profile_in)""",
     "profile_rated": "SELECT *, 1 + m * ra AS sh FROM (SELECT *, (m + root) / (2 * sigma * sigma) AS ra FROM profile)",
     "profile_led": """SELECT *, lead(age) OVER (PARTITION BY grp, chain, iteration ORDER BY age) AS age_plus
@@ -207,9 +211,10 @@ SURFACE_OUT = f"""SELECT pr_index, band, {r('any_value(pr) * 100', 'pr')}, {r('a
     {', '.join(r(f'quantile_cont(fit, {d(p)})', q) for q, p in M.items())},
     {r(f'quantile_cont(fit, {d(0.75)}) - quantile_cont(fit, {d(0.25)})', 'iqr')}"""
 
-SITE_IN = """SELECT site_dw.*, study_number AS grp, CASE WHEN b = 0 THEN 0 ELSE b - CAST(0.25 AS DOUBLE) END AS age, b AS band
-    FROM site_dw, range(11) t(b) WHERE study_number <= 16"""
-SITE_FIT = f"SELECT study_number, band, any_value(age) AS age, {quants('fit')} FROM profile_fit GROUP BY study_number, band"
+SITE_IN = """SELECT site_dw.*, idx AS grp, CASE WHEN b = 0 THEN 0 ELSE b - CAST(0.25 AS DOUBLE) END AS age, b AS band
+    FROM site_dw, range(11) t(b) WHERE idx <= 16"""
+SITE_FIT = f"""SELECT study_number, g.* EXCLUDE (idx) FROM dim JOIN (SELECT idx, band, any_value(age) AS age, {quants('fit')}
+    FROM profile_fit GROUP BY idx, band) g ON g.idx = (study_number - 1) % 16 + 1"""
 
 IRLS_STATS = """sum(w) AS w, sum(w * x) AS wx, sum(w * x * x) AS wxx, sum(w * z) AS wz, sum(w * x * z) AS wxz"""
 REG_IN = f"""SELECT CAST(c.n AS DOUBLE) AS n, s.py, p.pr_corrected AS x FROM cases c JOIN pop_study s USING (study_id)
@@ -243,7 +248,7 @@ def detect(source: str) -> str:
 CTES["points"] = """SELECT *, p_prime * k AS pr_survey, p_prime * k_ref AS pr_mic FROM (SELECT *,
     greatest(least(CAST(positives AS DOUBLE) / number / k, 1), 0) AS p_prime FROM windows)"""
 CTES["corrected"] = detect("points")
-CTES["drawn_in"] = """SELECT d.study_number, detection_method, pr * k_ref AS pr_mic FROM site_dw d JOIN windows USING (study_number)"""
+CTES["drawn_in"] = """SELECT d.study_number, detection_method, pr * k_ref AS pr_mic FROM study_dw d JOIN windows USING (study_number)"""
 CTES["drawn"] = detect("drawn_in")
 CTES["reg"] = REG_IN
 
@@ -336,12 +341,19 @@ def _deviance(model: str, source: str = "study_draws", corrected: bool = True) -
         FROM (SELECT *, {mu} AS mu FROM {source}) GROUP BY chain, iteration"""
 
 
-SCORES = f"""SELECT model, avg(dev) AS d_bar, var_samp(dev) / 2 AS p_d, avg(dev) + var_samp(dev) / 2 AS dic
-    FROM ({' UNION ALL '.join(_deviance(m) for m in LOGLIK)}) GROUP BY model"""
-SCORES_CM = f"""SELECT model, avg(dev) AS d_bar, var_samp(dev) / 2 AS p_d, avg(dev) + var_samp(dev) / 2 AS dic
-    FROM ({' UNION ALL '.join(_deviance(m, 'cm_draws', False) for m in LOGLIK)}) GROUP BY model"""
-CM_DRAWS = """SELECT s.* EXCLUDE (n), c.n FROM study_draws s JOIN (SELECT study_id, count(*) FILTER (f_cm) AS n FROM flags
-    WHERE NOT (apvu IS NULL AND unconscious IS NULL AND bcs IS NULL) GROUP BY study_id) c USING (study_id)"""
+def _scores(source: str, corrected: bool = True) -> str:
+    return f"""SELECT model, avg(dev) AS d_bar, var_samp(dev) / 2 AS p_d, avg(dev) + var_samp(dev) / 2 AS dic
+        FROM ({' UNION ALL '.join(_deviance(m, source, corrected) for m in LOGLIK)}) GROUP BY model"""
+
+
+def _counted(flag: str, where: str = "true") -> str:
+    """Draws of every study beside its cases of another phenotype."""
+    return f"""SELECT s.* EXCLUDE (n), c.n FROM study_draws s JOIN (SELECT study_id, count(*) FILTER ({flag}) AS n FROM flags
+        WHERE {where} GROUP BY study_id) c USING (study_id)"""
+
+
+SCORES, SCORES_CM = _scores("study_draws"), _scores("cm_draws", False)
+CM_DRAWS = _counted("f_cm", "NOT (apvu IS NULL AND unconscious IS NULL AND bcs IS NULL)")
 
 
 def _irls(name: str, feature: str, weight: str, start: str, groups: str = "g") -> str:
@@ -466,14 +478,11 @@ ORACLE = {
     "curve_constant": build(f"SELECT {CURVE_OUT} FROM ({CURVES[2]})"),
     "curves_union": build(f"""SELECT {CURVE_OUT}, place, {r('max(q99) OVER ()', 'rate_max')} FROM
         ({' UNION ALL '.join(f'SELECT *, CAST({i} AS BIGINT) AS place FROM ({sql})' for i, sql in enumerate(CURVES, start=1))})"""),
-    "curve_points": build(f"""SELECT 'a. anaemia' AS curve, {big('study_number')}, study_id, detection_method,
+    "curve_points": build(f"""SELECT 'a. anaemia' AS curve, study_number, study_id, detection_method,
         {', '.join(r(f'100 * p.{q}', f'pr_{q}') for q in Q)}, {', '.join(r(f'e.{q} / py * 1000', f'rate_{q}') for q in Q)}
-        FROM (SELECT *, CAST(regexp_extract(parameter, '[0-9]+') AS BIGINT) AS study_number FROM dw_summary
-            WHERE parameter LIKE 'PR_corrected%') p
-        LEFT JOIN (SELECT *, CAST(regexp_extract(parameter, '[0-9]+') AS BIGINT) AS study_number FROM dw_summary
-            WHERE parameter LIKE 'estimated_admissions%') e USING (study_number)
-        LEFT JOIN dim USING (study_number) LEFT JOIN pop_study USING (study_id)
-        LEFT JOIN (SELECT study_id, detection_method FROM surveys) USING (study_id)"""),
+        FROM dim LEFT JOIN pop_study USING (study_id) LEFT JOIN (SELECT study_id, detection_method FROM surveys) USING (study_id)
+        LEFT JOIN dw_summary p ON p.parameter = 'PR_corrected[' || ((study_number - 1) % 20 + 1) || ']'
+        LEFT JOIN dw_summary e ON e.parameter = 'estimated_admissions[' || ((study_number - 1) % 20 + 1) || ']'"""),
     "modal_age": build(f"""SELECT pr_index, {r('pr')}, {', '.join(r(f'exp({q})', f'age_{q}') for q in M)} FROM (
         SELECT pr_index, CAST(pr_index AS DOUBLE) / 100 * 100 AS pr, {quants('"alpha_parm[2]" + "betas[2]" * (CAST(pr_index AS DOUBLE) / 100)')}
         FROM dw, range(76) t(pr_index) GROUP BY pr_index)
@@ -486,14 +495,14 @@ ORACLE = {
         FROM profile_fit GROUP BY pr_index, band""", profile_in=surface_in("SELECT range * 25 FROM range(4)", 100)),
     "site_age_fit": build(f"""SELECT study_number, band, {r('age')}, {', '.join(r(f'f.{q}', q) for q in M)},
         {', '.join(r(f'100 * p.{q}', f'pr_{q}') for q in M)}, row_number() OVER (PARTITION BY band ORDER BY p.median, study_number)
-        AS position, study_id FROM ({SITE_FIT}) f JOIN (SELECT study_number, {quants('pr')} FROM site_dw GROUP BY study_number) p
-        USING (study_number) LEFT JOIN dim USING (study_number)""", profile_in=SITE_IN),
+        AS position, study_id FROM ({SITE_FIT}) f JOIN (SELECT study_number, {quants('pr')} FROM dim
+            JOIN site_dw ON idx = (study_number - 1) % 16 + 1 GROUP BY study_number) p USING (study_number) LEFT JOIN dim USING (study_number)""", profile_in=SITE_IN),
     "site_age_observed": build(f"""SELECT coalesce(f.study_id, o.study_id) AS study_id, {big('coalesce(f.quarter, o.quarter)', 'quarter')},
         {', '.join(r(f'f.{q}', f'fit_{q}') for q in M)}, rn, n, n_alt, {r('py')}, {r('n / py * 1000', 'rate')},
         {r('n_alt / py * 1000', 'rate_alt')}, {', '.join(r(f'o.{q} / py * 1000', f'site_{q}') for q in M)}
         FROM (SELECT study_id, CAST(age * 4 AS BIGINT) AS quarter, {', '.join(M)} FROM ({SITE_FIT}) LEFT JOIN dim USING (study_number)) f
         FULL JOIN (SELECT *, CASE WHEN age_years > 0 THEN age_years * 4 - 1 ELSE age_years * 4 END AS quarter FROM
-            (SELECT CAST(idx + 1 AS BIGINT) AS rn, {quants('value')} FROM dl WHERE model = 'click' GROUP BY idx) LEFT JOIN numbered USING (rn)) o
+            numbered LEFT JOIN (SELECT idx, {quants('value')} FROM dl GROUP BY idx) q ON q.idx = (rn - 1) % 10) o
         ON f.study_id IS NOT DISTINCT FROM o.study_id AND f.quarter IS NOT DISTINCT FROM o.quarter""", profile_in=SITE_IN,
         numbered=f"""SELECT *, row_number() OVER (ORDER BY study_id, age_years NULLS LAST) AS rn FROM
             (SELECT study_id, age_years, {AGE_RATES} FROM band_in GROUP BY study_id, age_years)"""),
@@ -504,6 +513,10 @@ ORACLE = {
         {r('dic - min(dic) OVER ()', 'delta')} FROM ({SCORES})"""),
     "model_scores_cm": build(f"""SELECT model, {r('d_bar')}, {r('p_d')}, {r('dic')}, 'cm' AS phenotype,
         {r('dic - min(dic) OVER ()', 'delta')} FROM ({SCORES_CM})""", cm_draws=CM_DRAWS),
+    "model_scores_rd": build(f"""SELECT model, {r('d_bar')}, {r('p_d')}, {r('dic')}, 'rd' AS phenotype,
+        {r('dic - min(dic) OVER ()', 'delta')} FROM ({_scores('rd_draws')})""", rd_draws=_counted("f_rd")),
+    "model_scores_composite": build(f"""SELECT model, {r('d_bar')}, {r('p_d')}, {r('dic')}, 'composite' AS phenotype,
+        {r('dic - min(dic) OVER ()', 'delta')} FROM ({_scores('composite_draws')})""", composite_draws=_counted("f_c")),
     "score_store_roundtrip": build(f"""SELECT model, {r('d_bar')}, {r('p_d')}, {r('dic')}, 'sma' AS phenotype FROM ({SCORES})"""),
     "rate_regression": build(_regression("poisson", "linear", "irls", "reg.x", POISSON_LL, "NULL"),
         irls=_irls("irls", "reg.x", "mu", POISSON_START)),

@@ -15,7 +15,7 @@ from burdenflow.operators.shaping import above_threshold, filter_parameter, sing
 from burdenflow.plans import burden, cleaning, posterior, prevalence, regression
 from burdenflow.sources import schemas
 from burdenflow.sources.tables import new_path, read_table, write_table
-from burdenflow.sources.testbed import PERIOD_REPAIR, Testbed
+from burdenflow.sources.testbed import EVENT_INDEXES, PERIOD_REPAIR, SITE_INDEXES, Testbed
 from burdenflow.sources.weights import age_weights
 
 DIGITS = 6
@@ -58,7 +58,7 @@ class Case(Testbed):
         return cleaning.survey_rows(self.surveys(), self.methods())
 
     def formatted_surveys(self) -> DataFrame:
-        return cleaning.format_surveys(self.surveys(), self.methods())
+        return cleaning.format_surveys(self.surveys(), self.methods(), self.studies())
 
     def complete(self) -> DataFrame:
         return cleaning.build_complete(self.cleaned(), self.places(), self.population())
@@ -66,10 +66,11 @@ class Case(Testbed):
     def studies(self) -> DataFrame:
         return cleaning.study_dim(self.patients())
 
-    def study_cases(self) -> DataFrame:
-        """Anaemia cases of every study with its number; no study is left out of these counts."""
-        counts = burden.phenotype_counts(self.patients(), "sma", self.study_years())
-        return number_rows(counts, ["study_id"], name="study_number")
+    def study_cases(self, phenotype: str = "sma") -> DataFrame:
+        """Cases of every study that is counted, with its number in the one study dimension."""
+        counts = burden.phenotype_counts(self.patients(), phenotype, self.study_years())
+        numbers = cleaning.numbers_of(self.studies())
+        return natural_join(counts, numbers, "inner", on=["study_id"], null_safe=False)
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -262,7 +263,8 @@ def corrected_prevalence(t: Case) -> DataFrame:
 def drawn_prevalence(t: Case) -> DataFrame:
     draws = t.draws_wide()
     sites = posterior.site_draws(draws, {"PR_corrected": "p_prime"})
-    return prevalence.drawn_prevalence(sites, t.formatted_surveys())
+    surveys = t.formatted_surveys().select("study_number", "min_age", "max_age", "detection_method")
+    return prevalence.drawn_prevalence(posterior.at_studies(sites, surveys, len(SITE_INDEXES)))
 
 
 # --- draws ----------------------------------------------------------------------------
@@ -319,7 +321,7 @@ def sampled_draws(t: Case) -> DataFrame:
 
 def _curves(t: Case) -> dict[int, DataFrame]:
     draws = t.draws_wide()
-    upper = posterior.upper_prevalence(draws)
+    upper = posterior.upper_prevalence(draws, t.studies())
     return {
         1: posterior.fitted_curve(draws, "logistic", 500, upper, "a. anaemia"),
         2: posterior.fitted_curve(draws, "linear", 100, upper, "b. respiratory distress"),
@@ -381,16 +383,17 @@ def age_profiles(t: Case) -> DataFrame:
 
 @query
 def site_age_fit(t: Case) -> DataFrame:
-    fitted = posterior.site_age_fit(t.draws_wide())
+    fitted = posterior.site_age_fit(t.draws_wide(), t.studies())
     return lookup(fitted, t.studies().select("study_number", "study_id"), {"study_number": "study_number"})
 
 
 @query
 def site_age_observed(t: Case) -> DataFrame:
+    """Every study and age takes the draws of one of the ten indexes of the events."""
     cases = burden.site_age_cases(t.patients(), t.age_years())
-    draws = t.draws_long().where(F.col("model") == "click").withColumn("idx", F.col("idx") + 1)
-    fitted = posterior.site_age_fit(t.draws_wide())
-    return posterior.site_age_observed(cases, draws, fitted, t.studies())
+    draws = t.draws_long().withColumn("idx", F.col("idx") + 1)
+    fitted = posterior.site_age_fit(t.draws_wide(), t.studies())
+    return posterior.site_age_observed(cases, draws, fitted, t.studies(), EVENT_INDEXES)
 
 
 # --- models ---------------------------------------------------------------------------
@@ -406,11 +409,19 @@ def model_scores(t: Case) -> DataFrame:
     return posterior.model_scores(t.draws_wide(), t.study_cases(), "sma")
 
 
+@query
+def model_scores_rd(t: Case) -> DataFrame:
+    return posterior.model_scores(t.draws_wide(), t.study_cases("rd"), "rd")
+
+
+@query
+def model_scores_composite(t: Case) -> DataFrame:
+    return posterior.model_scores(t.draws_wide(), t.study_cases("composite"), "composite")
+
+
 @query
 def model_scores_cm(t: Case) -> DataFrame:
-    counts = burden.phenotype_counts(t.patients(), "cm", t.study_years())
-    numbered = natural_join(t.studies().select("study_id", "study_number"), counts, "inner", on=["study_id"], null_safe=False)
-    return posterior.model_scores(t.draws_wide(), numbered, "cm", corrected=False)
+    return posterior.model_scores(t.draws_wide(), t.study_cases("cm"), "cm", corrected=False)
 
 
 def _regression_input(t: Case) -> DataFrame:

@@ -119,11 +119,15 @@ def survey_rows(raw: DataFrame, methods: DataFrame) -> DataFrame:
     )
 
 
-def format_surveys(raw: DataFrame, methods: DataFrame) -> DataFrame:
-    """Surveys as in ``survey_rows`` with their study number."""
-    rows = survey_rows(raw, methods)
-    numbers = study_dim(rows).select("study_number", "study_id")
-    return natural_join(numbers, rows, "inner", on=["study_id"], null_safe=False)
+def format_surveys(raw: DataFrame, methods: DataFrame, studies: DataFrame) -> DataFrame:
+    """Surveys as in ``survey_rows`` with the number their study has in the one dimension ``studies``."""
+    rows = natural_join(survey_rows(raw, methods), numbers_of(studies), "left", on=["study_id"], null_safe=False)
+    return rows.select("study_number", *[name for name in rows.columns if name != "study_number"])
+
+
+def numbers_of(studies: DataFrame) -> DataFrame:
+    """Key and number of every study."""
+    return studies.select("study_id", "study_number")
 
 
 def evidence(df: DataFrame, phenotype: str) -> list[str]:

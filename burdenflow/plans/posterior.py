@@ -19,7 +19,7 @@ from burdenflow.functions.rates import LOG_PER, correction, expected_rate, linea
 from burdenflow.functions.special import gamma_log_scale
 from burdenflow.functions.text import parameter_index
 from burdenflow.operators.groups import delta_from_best
-from burdenflow.operators.joins import keep_keys, natural_join
+from burdenflow.operators.joins import natural_join
 from burdenflow.operators.ordering import hdi, order_by_statistic, prefix_sums, quantiles, sample_rows, spread
 from burdenflow.operators.shaping import (
     append,
@@ -54,22 +54,29 @@ def indexed(draws: DataFrame, family: str) -> dict[int, str]:
     return {int(m.group(1)): c for c, m in found.items() if m}
 
 
-def site_draws(draws: DataFrame, families: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
-    """One row per draw and study, from indexed families: ``families`` maps a family to a column.
+def shared_indexes(draws: DataFrame, families: Sequence[str]) -> list[int]:
+    """Indexes that all of the families have."""
+    return sorted(set.intersection(*[set(indexed(draws, family)) for family in families]))
 
-    Studies that one of the families lacks are left out.
-    """
+
+def site_draws(draws: DataFrame, families: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
+    """One row per draw and index ``idx``, from indexed families: ``families`` maps a family to a column."""
     columns = {family: indexed(draws, family) for family in families}
-    sites = sorted(set.intersection(*[set(v) for v in columns.values()]))
     entries = F.array(
         *[
-            F.struct(F.lit(i).alias("study_number"), *[col(columns[f][i]).alias(n) for f, n in families.items()])
-            for i in sites
+            F.struct(F.lit(i).alias("idx"), *[col(columns[f][i]).alias(n) for f, n in families.items()])
+            for i in shared_indexes(draws, list(families))
         ]
     )
     return draws.select(*[col(k) for k in keep], F.inline(entries))
 
 
+def at_studies(rows: DataFrame, studies: DataFrame, indexes: int, number: str = "study_number") -> DataFrame:
+    """Rows of an index for every study that has it: study numbers go through the indexes again and again."""
+    idx = F.pmod(F.col(number) - 1, F.lit(indexes)) + 1
+    return studies.withColumn("idx", idx).join(rows, "idx", "left").drop("idx")
+
+
 def summarise(draws: DataFrame, probs: Mapping[str, float] = BANDS) -> DataFrame:
     """Quantiles of every parameter."""
     values = to_long(draws.drop(*IDS, "model"), [])
@@ -92,10 +99,17 @@ def fold_change(draws: DataFrame, points: float = 25.0) -> DataFrame:
 
 def sampled_site_draws(draws: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """Site effects of sampled draws, and the prevalences of the same draws, by study."""
-    effects = site_draws(draws, {"RE": "re"}, keep=IDS)
-    sampled = sample_rows(draws.select(*IDS), IDS, n, seed)
-    prevalence = keep_keys(site_draws(draws, {"PR_corrected": "pr"}, keep=IDS), sampled, IDS)
-    return keep_keys(effects, sampled, IDS).join(prevalence, [*IDS, "study_number"], "left")
+    effects, prevalences = indexed(draws, "RE"), indexed(draws, "PR_corrected")
+    sampled = sample_rows(draws.select(*[col(c) for c in (*IDS, *effects.values(), *prevalences.values())]), IDS, n, seed)
+    none = F.lit(None).cast("double")
+    entries = [
+        F.struct(
+            F.lit(i).alias("study_number"), col(effects[i]).alias("re"),
+            (col(prevalences[i]) if i in prevalences else none).alias("pr"),
+        )
+        for i in sorted(effects)
+    ]
+    return sampled.select(*IDS, F.inline(F.array(*entries)))
 
 
 def chain_diagnostics(draws: DataFrame, lags: Sequence[int] = (1, 10), block_rows: int = LAG_BLOCK) -> DataFrame:
@@ -145,11 +159,11 @@ def chain_diagnostics(draws: DataFrame, lags: Sequence[int] = (1, 10), block_row
     )
 
 
-def upper_prevalence(draws: DataFrame, family: str = "PR_corrected") -> Column:
+def upper_prevalence(draws: DataFrame, studies: DataFrame, family: str = "PR_corrected") -> Column:
     """Highest upper bound of prevalence among the studies."""
-    sites = site_draws(draws, {family: "pr"})
-    bounds = quantiles(sites, ["study_number"], "pr", {"q975": 0.975})
-    return single(bounds, F.max("q975"))
+    bounds = quantiles(site_draws(draws, {family: "pr"}), ["idx"], "pr", {"q975": 0.975})
+    found = at_studies(bounds, studies.select("study_number"), len(indexed(draws, family)))
+    return single(found, F.max("q975"))
 
 
 def fitted_curve(draws: DataFrame, form: str, points: int, upper: float | Column, label: str) -> DataFrame:
@@ -182,8 +196,8 @@ def curves_union(curves: Mapping[int, DataFrame]) -> DataFrame:
 def curve_points(
     summary: DataFrame, population: DataFrame, studies: DataFrame, methods: DataFrame, label: str
 ) -> DataFrame:
-    """Fitted prevalence and imputed rate of each study beside each other."""
-    number = parameter_index(F.col("parameter")).alias("study_number")
+    """Fitted prevalence and imputed rate of every study beside each other."""
+    number = parameter_index(F.col("parameter")).alias("idx")
     admissions = filter_parameter(summary, "estimated_admissions").select(
         number, *[F.col(q).alias(f"est_{q}") for q in BANDS]
     )
@@ -193,7 +207,11 @@ def curve_points(
     sites = natural_join(
         studies.join(population, "study_id", "left"), methods, "left", on=["site", "period"]
     )
-    points = prevalence.join(admissions, "study_number", "left").join(sites, "study_number", "left")
+    rows = prevalence.join(admissions, "idx", "left")
+    # as many indexes as the family has
+    count = single(prevalence, F.count(F.lit(1)))
+    idx = F.pmod(F.col("study_number") - 1, count) + 1
+    points = sites.withColumn("idx", idx).join(rows, "idx", "left")
     return points.select(
         F.lit(label).alias("curve"), "study_number", "study_id", "detection_method",
         *[f"pr_{q}" for q in BANDS],
@@ -297,10 +315,10 @@ def age_surface(
 
     ``chosen`` keeps some prevalence steps only, before anything is computed for the others.
     """
-    stepped = grid(draws.select(*_profile_parameters()), steps, "pr_index")
+    stepped = grid(spread(draws.select(*_profile_parameters())), steps, "pr_index")
     if chosen is not None:
         stepped = stepped.where(F.col("pr_index").isin(list(chosen)))
-    placed = spread(stepped).withColumn("pr", step_value(F.col("pr_index"), per=per))
+    placed = stepped.withColumn("pr", step_value(F.col("pr_index"), per=per))
     profile = age_profile(placed, ages or monthly_ages())
     fits = profile.select(
         "pr_index", "band", (F.col("share") * rate_at(F.col("pr"), F.col("a1"), F.col("b1"))).alias("fit")
@@ -314,34 +332,38 @@ def age_surface(
     )
 
 
-def site_age_fit(draws: DataFrame, with_effect: bool = False) -> DataFrame:
+def site_age_fit(draws: DataFrame, studies: DataFrame, with_effect: bool = False) -> DataFrame:
     """Fitted rate by study and age band, and the study's prevalence; studies ranked by it.
 
-    The site effect belongs to the draws but is not part of the published rate.
+    The site effect belongs to the draws but is not part of the published rate. Fits are made
+    for each index of the draws, and every study takes those of its index.
     """
     names = ["a1", "a2", "b1", "b2", "sigma", "crit"]
-    renamed = draws.select("*", *_profile_parameters()[:4], col("PR_crit").alias("crit"))
-    sites = site_draws(renamed, {"RE": "re", "PR_corrected": "pr"}, keep=names)
-    fits = age_profile(spread(sites), site_ages()).withColumn(
+    families = {"RE": "re", "PR_corrected": "pr"}
+    wanted = [col(old) for family in families for old in indexed(draws, family).values()]
+    sites = site_draws(spread(draws.select(*_profile_parameters(), *wanted)), families, keep=names)
+    fits = age_profile(sites, site_ages()).withColumn(
         "fit", F.col("share") * rate_at(F.col("pr"), F.col("a1"), F.col("b1"), F.col("re") if with_effect else 0.0)
     )
-    fitted = quantiles(fits, ["study_number", "band", "age"], "fit", MIDDLE).drop("n")
-    prevalence = quantiles(sites, ["study_number"], "pr", MIDDLE).select(
+    indexes, numbered = len(shared_indexes(draws, list(families))), studies.select("study_number")
+    fitted = at_studies(quantiles(fits, ["idx", "band", "age"], "fit", MIDDLE).drop("n"), numbered, indexes)
+    prevalence = at_studies(quantiles(sites, ["idx"], "pr", MIDDLE), numbered, indexes).select(
         "study_number", *[c.percent(F.col(q)).alias(f"pr_{q}") for q in MIDDLE]
     )
     ranked = order_by_statistic(prevalence, ["study_number"], "pr_median")
     return fitted.join(ranked, "study_number")
 
 
-def site_age_observed(cases: DataFrame, draws: DataFrame, fitted: DataFrame, studies: DataFrame) -> DataFrame:
+def site_age_observed(
+    cases: DataFrame, draws: DataFrame, fitted: DataFrame, studies: DataFrame, indexes: int
+) -> DataFrame:
     """Observed and imputed rates by study and age beside the fitted ones.
 
-    ``draws`` are long and belong to the numbered rows of ``cases``. Ages are matched by
-    quarter years, as whole numbers.
+    ``draws`` are long, by index from 1 to ``indexes``; the numbered rows of ``cases`` go
+    through the indexes. Ages are matched by quarter years, as whole numbers.
     """
-    found = quantiles(draws, ["idx"], "value", MIDDLE).drop("n").withColumnRenamed("idx", "rn")
-    joined = natural_join(found, cases, "left", on=["rn"], null_safe=False)
-    imputed = joined.select(
+    found = quantiles(draws, ["idx"], "value", MIDDLE).drop("n")
+    imputed = at_studies(found, cases, indexes, "rn").select(
         "study_id", F.when(F.col("age_years") > 0, F.col("age_years") * 4 - 1).otherwise(F.col("age_years") * 4).alias("quarter"),
         "rn", "n", "n_alt", "py", "rate", "rate_alt",
         *[c.rate(F.col(q), F.col("py")).alias(f"site_{q}") for q in MIDDLE],
@@ -361,11 +383,10 @@ FORMS = {
 
 
 def _study_draws(draws: DataFrame, studies: DataFrame) -> DataFrame:
-    """Draws by study with the study's cases and person-years."""
-    sites = site_draws(
-        draws, {"PR_corrected": "pr", "estimated_admissions": "est"}, keep=[*IDS, "intercept", "beta1", "beta2", "r"]
-    )
-    return sites.join(studies.select("study_number", "n", "py"), "study_number")
+    """Draws of every study with the study's cases and person-years."""
+    families = {"PR_corrected": "pr", "estimated_admissions": "est"}
+    sites = site_draws(draws, families, keep=[*IDS, "intercept", "beta1", "beta2", "r"])
+    return at_studies(sites, studies.select("study_number", "n", "py"), len(shared_indexes(draws, list(families))))
 
 
 def _rate(form: str) -> Column:

@@ -122,9 +122,10 @@ def point_prevalence(surveys: DataFrame) -> DataFrame:
     return survey_prevalence(window.withColumn("p_prime", clamp(F.try_divide(crude, F.col("k")))))
 
 
-def drawn_prevalence(site_draws: DataFrame, surveys: DataFrame) -> DataFrame:
-    """Median and bounds of the corrected prevalence per survey over all draws."""
-    facts = surveys.select("study_number", "min_age", "max_age", "detection_method")
-    drawn = survey_prevalence(site_draws.join(facts, "study_number"))
+def drawn_prevalence(study_draws: DataFrame) -> DataFrame:
+    """Median and bounds of the corrected prevalence per survey over all draws.
+
+    ``study_draws`` holds the draws of ``p_prime`` beside the facts of each study's survey.
+    """
     probs = {"median": 0.5, "q025": 0.025, "q975": 0.975}
-    return quantiles(drawn, ["study_number"], "pr_corrected", probs)
+    return quantiles(survey_prevalence(study_draws), ["study_number"], "pr_corrected", probs)

@@ -53,7 +53,7 @@ COMPLETE = (
 SURVEYS_RAW = "site STRING, period STRING, min_age DOUBLE, max_age DOUBLE, number BIGINT, positives BIGINT"
 
 SURVEYS = """
-    study_number INT, study_id STRING, site STRING, country STRING, period STRING, min_age INT, max_age INT,
+    study_number BIGINT, study_id STRING, site STRING, country STRING, period STRING, min_age INT, max_age INT,
     number BIGINT, positives BIGINT, detection_method STRING
 """
 

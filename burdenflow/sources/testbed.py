@@ -113,6 +113,7 @@ SURVEYS = {
 
 SITE_INDEXES = range(1, 21)
 EFFECT_INDEXES = range(1, 17)
+EVENT_INDEXES = 10
 
 
 def draw_columns(first: int) -> dict[str, str]:
