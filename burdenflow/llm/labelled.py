@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,3 +24,15 @@ def labels_of(labels: DataFrame, column: str) -> DataFrame:
 def bounded(rows: DataFrame, most: int, seed: int) -> DataFrame:
     """At most so many rows, chosen by a seeded hash of doc_id."""
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(most)
+
+
+def passing(docs: DataFrame, decide: Callable[[], Callable[[list], np.ndarray]]) -> DataFrame:
+    """The rows whose text is kept, untouched; decide() gives each task a function from texts to decisions."""
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = decide()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array(np.asarray(keep(texts), bool)))
+
+    return docs.mapInArrow(chosen, docs.schema)

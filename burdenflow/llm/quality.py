@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burdenflow.llm.labelled import bounded, fold, labels_of
+from burdenflow.llm.labelled import bounded, fold, labels_of, passing
 from burdenflow.llm.store import keep
 
 SAMPLE, PAIRS, SEED = 30_000, 20_000, 23
@@ -80,6 +80,10 @@ def features(text: str | None) -> list[float]:
     ]
 
 
+def feature_rows(texts) -> np.ndarray:
+    return np.array([features(t) for t in texts], float).reshape(len(texts), len(NAMES))
+
+
 @dataclass
 class Ranker:
     """Scores of feature rows."""
@@ -93,7 +97,8 @@ class Ranker:
     keep_from: float
 
     def latent(self, rows: np.ndarray) -> np.ndarray:
-        return spread(rows, self.middle, self.scale, self.hinges) @ self.weights
+        # a plain sum for each row, so a score doesn't depend on the rows it is computed with
+        return (spread(rows, self.middle, self.scale, self.hinges) * self.weights).sum(axis=1)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         even = np.log(self.keep_from / (1 - self.keep_from))
@@ -160,15 +165,13 @@ def learn_from(docs: DataFrame, labels: DataFrame, train: Column, keep_from: flo
 
 
 def scored(docs: DataFrame, ranker: Ranker) -> DataFrame:
-    """The documents with _score."""
+    """doc_id and score of documents doc_id, text."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = np.array([features(t) for t in batch["text"]], float).reshape(len(batch), len(NAMES))
-            yield batch.assign(_score=ranker.scores(rows))
+            yield batch[["doc_id"]].assign(score=ranker.scores(feature_rows(batch["text"])))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(score, f"{kinds}, _score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(score, "doc_id long, score double")
 
 
 def rank_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, keep_from: float = 0.7) -> DataFrame:
@@ -176,11 +179,11 @@ def rank_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held_out = fold("doc_id", folds) == held
     ranker = learn_from(rows, labels, ~held_out, keep_from)
-    out = scored(rows, ranker).select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"))
+    out = scored(rows, ranker).select("doc_id", held_out.alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= keep_from).cast("int"))
 
 
 def of_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, keep_from: float = 0.7) -> DataFrame:
     """The documents whose score reaches keep_from, learned as in rank_quality()."""
     ranker = learn_from(docs, labels, fold("doc_id", folds) != held, keep_from)
-    return scored(docs, ranker).filter(F.col("_score") >= keep_from).select(*docs.columns)
+    return passing(docs, lambda: lambda texts: ranker.scores(feature_rows(texts)) >= keep_from)

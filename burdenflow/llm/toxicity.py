@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burdenflow.llm.labelled import bounded, fold, labels_of
+from burdenflow.llm.labelled import bounded, fold, labels_of, passing
 from burdenflow.llm.quality import logistic
 from burdenflow.llm.store import keep
 
@@ -273,10 +273,15 @@ class Model:
     def __init__(self, characters: np.ndarray, terms: dict[str, float], weights: np.ndarray | None):
         self.characters, self.terms, self.weights = characters, terms, weights
 
+    def scorer(self):
+        """Scores of texts, with a memory for tokens seen before."""
+        scorer = Scorer(self.characters, self.terms)
+        return lambda texts: self.scores(np.array([scorer.evidence(t) for t in texts], float).reshape(len(texts), len(evidence([], 0))))
+
     def scores(self, rows: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(rows))
-        return 1 / (1 + np.exp(-np.clip(np.c_[rows, np.ones(len(rows))] @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((np.c_[rows, np.ones(len(rows))] * self.weights).sum(axis=1), -30, 30)))
 
 
 def chosen(counts: pd.DataFrame, toxic: list[str], clean: list[str], n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -318,27 +323,30 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with _score."""
+    """doc_id and score of documents doc_id, text."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model.characters, model.terms)
+        scores = model.scorer()
         for batch in batches:
-            rows = np.array([scorer.evidence(t) for t in batch["text"]], float).reshape(len(batch), -1)
-            yield batch.assign(_score=model.scores(rows))
+            yield batch[["doc_id"]].assign(score=scores(batch["text"]))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(score, f"{kinds}, _score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(score, "doc_id long, score double")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= 0.5) for every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held_out = fold("doc_id", folds) == held
-    out = scored(rows, learn(rows, labels, ~held_out)).select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"))
+    out = scored(rows, learn(rows, labels, ~held_out)).select("doc_id", held_out.alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     """The documents with a score below a half, learned as in score_toxicity()."""
     model = learn(docs, labels, fold("doc_id", folds) != held)
-    return scored(docs, model).filter(F.col("_score") < 0.5).select(*docs.columns)
+
+    def decide():
+        scores = model.scorer()
+        return lambda texts: scores(texts) < 0.5
+
+    return passing(docs, decide)
