@@ -217,9 +217,6 @@ SITE_FIT = f"""SELECT study_number, g.* EXCLUDE (idx) FROM dim JOIN (SELECT idx,
     FROM profile_fit GROUP BY idx, band) g ON g.idx = (study_number - 1) % 16 + 1"""
 
 IRLS_STATS = """sum(w) AS w, sum(w * x) AS wx, sum(w * x * x) AS wxx, sum(w * z) AS wz, sum(w * x * z) AS wxz"""
-REG_IN = f"""SELECT CAST(c.n AS DOUBLE) AS n, s.py, p.pr_corrected AS x FROM cases c JOIN pop_study s USING (study_id)
-    JOIN corrected p USING (study_id) WHERE s.py > 0"""
-
 
 def probit_sql() -> str:
     u = f"({d(0.180625)} - q * q)"
@@ -250,7 +247,6 @@ CTES["points"] = """SELECT *, p_prime * k AS pr_survey, p_prime * k_ref AS pr_mi
 CTES["corrected"] = detect("points")
 CTES["drawn_in"] = """SELECT d.study_number, detection_method, pr * k_ref AS pr_mic FROM study_dw d JOIN windows USING (study_number)"""
 CTES["drawn"] = detect("drawn_in")
-CTES["reg"] = REG_IN
 
 
 def build(final: str, **extra: str) -> str:
@@ -356,33 +352,67 @@ SCORES, SCORES_CM = _scores("study_draws"), _scores("cm_draws", False)
 CM_DRAWS = _counted("f_cm", "NOT (apvu IS NULL AND unconscious IS NULL AND bcs IS NULL)")
 
 
-def _irls(name: str, feature: str, weight: str, start: str, groups: str = "g") -> str:
-    """Recursive table (step, g, a, b): weighted least squares until step 40."""
-    return f"""SELECT 0 AS step, {groups} AS g, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(r AS DOUBLE) AS r
-        FROM ({start}) UNION ALL
-        SELECT step + 1, g, (wxx * wz - wx * wxz) / (w * wxx - wx * wx), (w * wxz - wx * wz) / (w * wxx - wx * wx), r FROM (
-        SELECT step, g, r, {IRLS_STATS} FROM (SELECT *, {weight} AS w, eta + (n - mu) / mu AS z FROM (
-        SELECT *, exp(eta) * py AS mu FROM (SELECT step, g, r, n, py, f AS x, a + b * f AS eta FROM (
-        SELECT it.*, reg.n, reg.py, {feature} AS f FROM {name} it, reg) WHERE step < 40))) GROUP BY step, g, r)"""
+def _irls(name: str, feature: str, start: str) -> str:
+    """Recursive table (step, g, shape, a, b, r): weighted least squares until step 40; a missing r is Poisson."""
+    slopes = ("(wxx * wz - wx * wxz) / (w * wxx - wx * wx)", "(w * wxz - wx * wz) / (w * wxx - wx * wx)")
+    a, b = ("wz / w", "0") if feature == "0" else slopes
+    return f"""SELECT 0 AS step, g, CAST(shape AS DOUBLE) AS shape, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b,
+        CAST(r AS DOUBLE) AS r FROM ({start}) UNION ALL
+        SELECT step + 1, g, shape, {a}, {b}, r FROM (
+        SELECT step, g, shape, r, {IRLS_STATS} FROM (
+        SELECT *, CASE WHEN r IS NULL THEN mu ELSE mu / (1 + mu / r) END AS w, eta + (n - mu) / mu AS z FROM (
+        SELECT *, exp(eta) * py AS mu FROM (SELECT step, g, shape, r, n, py, f AS x, a + b * f AS eta FROM (
+        SELECT it.*, reg.n, reg.py, {feature} AS f FROM {name} it, reg) WHERE step < 40))) GROUP BY step, g, shape, r)"""
 
 
-POISSON_START = "SELECT 0 AS g, ln(sum(n) / sum(py)) AS a, 0 AS b, NULL AS r FROM reg"
 POISSON_LL = "n * ln(mu) - mu - lgamma(n + 1)"
-NB_LL = "lgamma(n + r) - lgamma(r) - lgamma(n + 1) + r * ln(r / (r + mu)) + n * ln(1 - r / (r + mu))"
-
-
-def _regression(family: str, form: str, source: str, feature: str, ll: str, beta2: str) -> str:
-    return f"""SELECT '{family}' AS family, '{form}' AS form, {r('a', 'intercept')}, {r('b', 'beta1')},
-        {r(beta2, 'beta2')}, {r('r')}, {r('ll', 'log_lik')}, studies FROM (
-        SELECT g, a, b, r, sum({ll}) AS ll, count(*) AS studies FROM (SELECT it.*, n, exp(a + b * {feature}) * py AS mu
-        FROM {source} it, reg WHERE step = 40) GROUP BY g, a, b, r) ORDER BY ll DESC, g LIMIT 1"""
+NB_LL = f"""CASE WHEN r IS NULL THEN {POISSON_LL}
+    ELSE lgamma(n + r) - lgamma(r) - lgamma(n + 1) + r * ln(r / (r + mu)) + n * ln(1 - r / (r + mu)) END"""
+FEATURES = {"linear": "reg.x", "intercept": "0", "logistic": "1 / (1 + exp(-it.shape * reg.x))"}
+# shapes tried first, and how often and into how many parts the best one's surroundings are cut
+SHAPES = [k / 2 for k in range(1, 21)] + list(range(11, 21))
+LEVELS, CUTS = 2, 20
+
+
+def _level(family: str, form: str, shapes: str, level: int) -> dict[str, str]:
+    """Tables of one level: fits from a Poisson start, the second with the dispersion by moments, and their scores."""
+    first, second, feature = f"fit{level}", f"refit{level}", FEATURES[form]
+    out = {
+        f"start{level}": f"""SELECT g, shape, lna AS a, 0 AS b, NULL AS r
+            FROM ({shapes}), (SELECT ln(sum(n) / sum(py)) AS lna FROM reg)""",
+        first: _irls(first, feature, f"SELECT * FROM start{level}"),
+    }
+    last = first
+    if family == "negbin":
+        out[f"moments{level}"] = f"""SELECT g, shape, a, b, CASE WHEN sum((n - mu) * (n - mu) - mu) > 0
+            THEN sum(mu * mu) / sum((n - mu) * (n - mu) - mu) END AS r FROM (
+            SELECT it.*, n, exp(a + b * {feature}) * py AS mu FROM {first} it, reg WHERE step = 40) GROUP BY g, shape, a, b"""
+        out[second] = _irls(second, feature, f"SELECT * FROM moments{level}")
+        last = second
+    out[f"scored{level}"] = f"""SELECT g, shape, a, b, r, sum({POISSON_LL if family == 'poisson' else NB_LL}) AS ll,
+        count(*) AS studies FROM (SELECT it.*, n, exp(a + b * {feature}) * py AS mu FROM {last} it, reg WHERE step = 40)
+        GROUP BY g, shape, a, b, r"""
+    return out
 
 
-MOMENTS = """SELECT 0 AS g, {a} AS a, {b} AS b, CASE WHEN e > 0 THEN mm / e ELSE 1000000 END AS r FROM (
-    SELECT any_value(a) AS a, any_value(b) AS b, sum(mu * mu) AS mm, sum((n - mu) * (n - mu) - mu) AS e FROM (
-    SELECT p.a, p.b, n, exp(p.a + p.b * {x}) * py AS mu FROM {source} p, reg WHERE step = 40))"""
+def _regression(family: str, form: str, flag: str = "f_sma", where: str = "true") -> str:
+    extra = {"reg": f"""SELECT CAST(c.n AS DOUBLE) AS n, s.py, p.pr_corrected AS x FROM
+        (SELECT study_id, count(*) FILTER ({flag}) AS n FROM flags WHERE {where} GROUP BY study_id) c
+        JOIN pop_study s USING (study_id) JOIN corrected p USING (study_id) WHERE s.py > 0"""}
+    last = LEVELS if form == "logistic" else 0
+    values = ", ".join(f"({g}, {d(float(v))})" for g, v in enumerate(SHAPES)) if last else "(0, NULL)"
+    extra |= _level(family, form, f"SELECT * FROM (VALUES {values}) AS t(g, shape)", 0)
+    for level in range(1, last + 1):
+        before = level - 1
+        extra[f"around{level}"] = f"""SELECT coalesce(lag(shape) OVER w, shape) AS low, coalesce(lead(shape) OVER w, shape) AS high,
+            row_number() OVER (ORDER BY ll DESC, g) AS place FROM scored{before} WINDOW w AS (ORDER BY g)"""
+        cut = f"""SELECT k AS g, low + (high - low) * (CAST(k AS DOUBLE) / {CUTS}) AS shape
+            FROM around{level}, range({CUTS + 1}) t(k) WHERE place = 1"""
+        extra |= _level(family, form, cut, level)
+    return build(f"""SELECT '{family}' AS family, '{form}' AS form, {r('a', 'intercept')}, {r('b', 'beta1')},
+        {r('shape', 'beta2')}, {r('r')}, {r('ll', 'log_lik')}, studies, true AS converged
+        FROM scored{last} ORDER BY ll DESC, g LIMIT 1""", **extra)
 
-LOGISTIC_FEATURE = "1 / (1 + exp(-(it.g + 1) * 0.5 * reg.x))"
 
 ORACLE = {
     "clean_admissions": build(f"SELECT {CLEAN_OUT} FROM adm"),
@@ -518,23 +548,14 @@ ORACLE = {
     "model_scores_composite": build(f"""SELECT model, {r('d_bar')}, {r('p_d')}, {r('dic')}, 'composite' AS phenotype,
         {r('dic - min(dic) OVER ()', 'delta')} FROM ({_scores('composite_draws')})""", composite_draws=_counted("f_c")),
     "score_store_roundtrip": build(f"""SELECT model, {r('d_bar')}, {r('p_d')}, {r('dic')}, 'sma' AS phenotype FROM ({SCORES})"""),
-    "rate_regression": build(_regression("poisson", "linear", "irls", "reg.x", POISSON_LL, "NULL"),
-        irls=_irls("irls", "reg.x", "mu", POISSON_START)),
-    "rate_regression_nb": build(_regression("negbin", "linear", "irls2", "reg.x", NB_LL, "NULL"),
-        irls=_irls("irls", "reg.x", "mu", POISSON_START),
-        irls2=_irls("irls2", "reg.x", "mu / (1 + mu / r)", MOMENTS.format(a="a", b="b", x="reg.x", source="irls"))),
-    "rate_regression_logistic": build(
-        _regression("poisson", "logistic", "irls", LOGISTIC_FEATURE, POISSON_LL, "(g + 1) * 0.5"),
-        irls=_irls("irls", LOGISTIC_FEATURE, "mu",
-            "SELECT g, ln(sum(n) / sum(py)) AS a, 0 AS b, NULL AS r FROM reg, range(20) t(g) GROUP BY g")),
-    "rate_regression_intercept": build(_regression("negbin", "intercept", "irls0", "0", NB_LL, "NULL"),
-        irls0="""SELECT 0 AS step, 0 AS g, CAST(a AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(r AS DOUBLE) AS r
-            FROM moments0 UNION ALL SELECT step + 1, g, sum(w * (a + (n - mu) / mu)) / sum(w), 0, r FROM (
-            SELECT *, mu / (1 + mu / r) AS w FROM (SELECT it.*, n, exp(a) * py AS mu FROM irls0 it, reg WHERE step < 40))
-            GROUP BY step, g, r""",
-        moments0="""SELECT any_value(a) AS a, CASE WHEN sum((n - mu) * (n - mu) - mu) > 0 THEN sum(mu * mu)
-            / sum((n - mu) * (n - mu) - mu) ELSE 1000000 END AS r FROM (SELECT n, s.a, exp(s.a) * py AS mu FROM reg,
-            (SELECT ln(sum(n) / sum(py)) AS a FROM reg) s)"""),
+    "rate_regression": _regression("poisson", "linear"),
+    "rate_regression_nb": _regression("negbin", "linear"),
+    "rate_regression_logistic": _regression("poisson", "logistic"),
+    "rate_regression_nb_logistic": _regression("negbin", "logistic"),
+    "rate_regression_intercept": _regression("negbin", "intercept"),
+    "rate_regression_rd": _regression("negbin", "linear", "f_rd"),
+    "rate_regression_cm": _regression("negbin", "linear", "f_cm", "NOT (apvu IS NULL AND unconscious IS NULL AND bcs IS NULL)"),
+    "rate_regression_composite": _regression("negbin", "linear", "f_c"),
     "combined_roundtrip": COMBINED,
     "survey_store_roundtrip": SURVEYS_OUT,
     "draw_store_roundtrip": build(f"""SELECT {big('chain')}, iteration, parameter, {big('idx')}, {r('value')}, model FROM dl

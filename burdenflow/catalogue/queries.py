@@ -424,30 +424,51 @@ def model_scores_cm(t: Case) -> DataFrame:
     return posterior.model_scores(t.draws_wide(), t.study_cases("cm"), "cm", corrected=False)
 
 
-def _regression_input(t: Case) -> DataFrame:
+def _regression(t: Case, family: str, form: str, phenotype: str = "sma") -> DataFrame:
     surveys = prevalence.point_prevalence(t.survey_rows()).select("study_id", F.col("pr_corrected").alias("pr"))
-    counts = burden.phenotype_counts(t.patients(), "sma", t.study_years())
-    return natural_join(counts, surveys, "inner", on=["study_id"], null_safe=False)
+    counts = burden.phenotype_counts(t.patients(), phenotype, t.study_years())
+    rows = natural_join(counts, surveys, "inner", on=["study_id"], null_safe=False)
+    return regression.fit_rate(rows, family, form).drop("steps")
 
 
 @query
 def rate_regression(t: Case) -> DataFrame:
-    return regression.fit_rate(_regression_input(t), "poisson", "linear")
+    return _regression(t, "poisson", "linear")
 
 
 @query
 def rate_regression_nb(t: Case) -> DataFrame:
-    return regression.fit_rate(_regression_input(t), "negbin", "linear")
+    return _regression(t, "negbin", "linear")
 
 
 @query
 def rate_regression_logistic(t: Case) -> DataFrame:
-    return regression.fit_rate(_regression_input(t), "poisson", "logistic")
+    return _regression(t, "poisson", "logistic")
+
+
+@query
+def rate_regression_nb_logistic(t: Case) -> DataFrame:
+    return _regression(t, "negbin", "logistic")
 
 
 @query
 def rate_regression_intercept(t: Case) -> DataFrame:
-    return regression.fit_rate(_regression_input(t), "negbin", "intercept")
+    return _regression(t, "negbin", "intercept")
+
+
+@query
+def rate_regression_rd(t: Case) -> DataFrame:
+    return _regression(t, "negbin", "linear", "rd")
+
+
+@query
+def rate_regression_cm(t: Case) -> DataFrame:
+    return _regression(t, "negbin", "linear", "cm")
+
+
+@query
+def rate_regression_composite(t: Case) -> DataFrame:
+    return _regression(t, "negbin", "linear", "composite")
 
 
 # --- stores ---------------------------------------------------------------------------

@@ -251,3 +251,46 @@ def test_scans_read_only_what_is_needed(spark):
     plan = REGISTRY["case_counts_sma"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     read = [set(re.findall(r"(l_\w+):", s)) for s in re.findall(r"ReadSchema: struct<([^>]*)", plan) if "l_orderkey" in s]
     assert read == [{"l_orderkey", "l_linenumber", "l_quantity"}]
+
+
+def test_rate_without_cases_or_contrast(spark):
+    none = spark.createDataFrame([(0, 10.0, 0.1), (0, 20.0, 0.4)], "n long, py double, pr double")
+    row = regression.fit_rate(none).first()
+    assert (row.intercept, row.beta1, row.log_lik, row.converged, row.studies) == (None, None, None, False, 2)
+    flat = spark.createDataFrame([(3, 10.0, 0.2), (5, 20.0, 0.2)], "n long, py double, pr double")
+    assert regression.fit_rate(flat).first().beta1 is None
+    assert regression.fit_rate(flat, "negbin", "logistic").first().beta1 is None
+    level = regression.fit_rate(flat, "poisson", "intercept").first()
+    assert level.converged and abs(level.intercept - np.log(8 / 30)) < 1e-9
+    assert regression.fit_rate(none.limit(0)).first().studies == 0
+
+
+def test_rate_says_when_it_has_not_settled(spark):
+    df = spark.createDataFrame([(3, 10.0, 0.1), (30, 20.0, 0.4), (90, 20.0, 0.7)], "n long, py double, pr double")
+    early, late = regression.fit_rate(df, most=1).first(), regression.fit_rate(df).first()
+    assert (early.converged, early.steps) == (False, 1) and late.converged and late.steps > 1
+
+
+def test_shape_is_refined_between_the_grid(spark):
+    rows = [(float(1e6 * np.exp(-3 + 2 / (1 + np.exp(-3.33 * x)))), 1e6, float(x)) for x in np.linspace(0.02, 0.9, 25)]
+    df = spark.createDataFrame(rows, "n double, py double, pr double")
+    assert abs(regression.fit_rate(df, "poisson", "logistic").first().beta2 - 3.33) < 0.01
+
+
+def test_study_numbers_come_from_one_dimension(spark):
+    """A study without a survey leaves the numbers of the others as they are."""
+    studies = spark.createDataFrame([(1, "A 2001"), (2, "B 2002"), (3, "C 2003")], "study_number long, study_id string")
+    raw = spark.createDataFrame(
+        [("A, Kenya", "2001", 1.0, 5.0, 10, 2), ("C, Kenya", "2003", 1.0, 5.0, 10, 3)],
+        "site string, period string, min_age double, max_age double, number long, positives long",
+    )
+    methods = spark.createDataFrame([("A", "2001", "RDT"), ("C", "2003", "RDT")], "site string, period string, detection_method string")
+    got = {r.study_id: r.study_number for r in cleaning.format_surveys(raw, methods, studies).collect()}
+    assert got == {"A 2001": 1, "C 2003": 3}
+
+
+def test_every_study_takes_its_index(spark):
+    rows = spark.createDataFrame([(i, 10.0 * i) for i in (1, 2, 3)], "idx int, v double")
+    studies = spark.range(1, 8).withColumnRenamed("id", "study_number")
+    got = {r.study_number: r.v for r in posterior.at_studies(rows, studies, 3).collect()}
+    assert got == {1: 10.0, 2: 20.0, 3: 30.0, 4: 10.0, 5: 20.0, 6: 30.0, 7: 10.0}
