@@ -453,10 +453,9 @@ ORACLE = {
     "age_band_rates": build(f"""SELECT {big('age_years')}, band, n, n_alt, {r('py')}, {r('n / py * 1000', 'rate')},
         {r('n_alt / py * 1000', 'rate_alt')}, {BAND_COLUMNS} FROM (SELECT age_years, band, {AGE_BANDS} AS age_start, {AGE_RATES}
         FROM band_in GROUP BY age_years, band)"""),
-    "age_curve": build(f"""SELECT {big('age')}, count(*) AS patients, {r('any_value(w)', 'w')}, {r('any_value(p)', 'p')},
-        {r('any_value(f)', 'f')}, {r('any_value(p * f * w)', 'pfs')}, {r('any_value(cum_w)', 'cum_w')},
-        {r('any_value(cum_pfs)', 'cum_pfs')} FROM adm JOIN (SELECT *, sum(w) OVER (ORDER BY age) AS cum_w,
-        sum(p * f * w) OVER (ORDER BY age) AS cum_pfs FROM mid_curve) c ON c.age = adm.age_years + 1 GROUP BY age"""),
+    "age_curve": build(f"""SELECT {big('age')}, (SELECT count(*) FROM adm WHERE age_years + 1 = c.age) AS patients, {r('w')},
+        {r('p')}, {r('f')}, {r('p * f * w', 'pfs')}, {r('cum_w')}, {r('cum_pfs')} FROM (SELECT *,
+        sum(w) OVER (ORDER BY age) AS cum_w, sum(p * f * w) OVER (ORDER BY age) AS cum_pfs FROM mid_curve) c"""),
     "standardise_prevalence": STANDARD,
     "standardise_prevalence_prefix": STANDARD,
     "corrected_prevalence": build(f"""SELECT study_id, detection_method, {r('k')}, {r('p_prime')}, {r('pr_survey')},
@@ -464,6 +463,9 @@ ORACLE = {
     "drawn_prevalence": build(f"""SELECT study_number, n, {', '.join(r(q) for q in M)} FROM (SELECT study_number, count(*) AS n,
         {quants('pr_corrected')} FROM drawn GROUP BY study_number)"""),
     "posterior_summary": build(f"SELECT parameter, n, {', '.join(r(q) for q in Q)} FROM dw_summary"),
+    "posterior_summary_by_model": build(f"""SELECT model, parameter, n, {', '.join(r(q) for q in Q)} FROM (SELECT model, parameter,
+        count(value) AS n, {quants('value', Q)} FROM (SELECT model, parameter, value FROM dl
+        UNION ALL SELECT 'joint', parameter, value FROM dw_long) GROUP BY model, parameter)"""),
     "posterior_quantiles_long": build(f"""SELECT parameter, n, {', '.join(r(q) for q in Q)} FROM (SELECT parameter,
         count(value) AS n, {quants('value', Q)} FROM dl GROUP BY parameter)"""),
     "posterior_hdi": build(f"""SELECT parameter, n, {r('arg_min(lo, [width, lo])', 'lower')}, {r('arg_min(hi, [width, lo])', 'upper')}
@@ -557,6 +559,10 @@ ORACLE = {
     "rate_regression_cm": _regression("negbin", "linear", "f_cm", "NOT (apvu IS NULL AND unconscious IS NULL AND bcs IS NULL)"),
     "rate_regression_composite": _regression("negbin", "linear", "f_c"),
     "combined_roundtrip": COMBINED,
+    "sheet_roundtrip": build("SELECT " + ", ".join(
+        r(c) if c in ("age_months", "temperature", "fever_days", "fits_per_24h", "hb_level")
+        else big(c) if c in ("adm_month", "adm_year", "age_years", "bcs") else c for c in tb.ADMISSIONS) + " FROM adm_raw"),
+    "population_parts_roundtrip": build(f"SELECT age, {r('pyor')}, file_id FROM pop_parts"),
     "survey_store_roundtrip": SURVEYS_OUT,
     "draw_store_roundtrip": build(f"""SELECT {big('chain')}, iteration, parameter, {big('idx')}, {r('value')}, model FROM dl
         WHERE model = 'purchase'"""),

@@ -10,11 +10,11 @@ from burdenflow.functions import clinical as c
 from burdenflow.functions.text import parameter_index
 from burdenflow.operators import groups as g
 from burdenflow.operators.joins import lookup, natural_join
-from burdenflow.operators.ordering import hdi, number_rows, quantiles
-from burdenflow.operators.shaping import above_threshold, filter_parameter, single
+from burdenflow.operators.ordering import hdi, quantiles
+from burdenflow.operators.shaping import above_threshold, append, filter_parameter, select_renamed, single
 from burdenflow.plans import burden, cleaning, posterior, prevalence, regression
 from burdenflow.sources import schemas
-from burdenflow.sources.tables import new_path, read_table, write_table
+from burdenflow.sources.tables import new_path, read_parts, read_sheet, read_table, write_table
 from burdenflow.sources.testbed import EVENT_INDEXES, PERIOD_REPAIR, SITE_INDEXES, Testbed
 from burdenflow.sources.weights import age_weights
 
@@ -160,10 +160,7 @@ for _phenotype in ("sma", "rd", "cm", "composite"):
 
 @query
 def evidence_class_counts(t: Case) -> DataFrame:
-    parts = [
-        burden.evidence_counts(t.patients(), p).select(F.lit(p).alias("phenotype"), "*") for p in ("sma", "rd")
-    ]
-    return parts[0].unionByName(parts[1])
+    return burden.evidence_counts(burden.status_counts(t.patients()))
 
 
 @query
@@ -178,11 +175,7 @@ def undiagnosed_pivot_rd(t: Case) -> DataFrame:
 
 @query
 def class_positivity(t: Case) -> DataFrame:
-    parts = [
-        burden.class_positivity(burden.evidence_counts(t.patients(), p)).select(F.lit(p).alias("phenotype"), "*")
-        for p in ("sma", "rd")
-    ]
-    return parts[0].unionByName(parts[1])
+    return burden.class_positivity(burden.evidence_counts(burden.status_counts(t.patients())), ["phenotype", "class"])
 
 
 @query
@@ -228,12 +221,13 @@ def site_age_steps(t: Case) -> DataFrame:
 
 @query
 def age_curve(t: Case) -> DataFrame:
-    """Admissions per year of age beside the age curve of infection."""
+    """Age curve of infection at all ages beside the admissions of each year of age."""
     year = F.col("age_years") + 1
     admitted = t.cleaned().where(F.col("age_years").isNotNull()).groupBy(year.alias("age")).agg(
         F.count(F.lit(1)).alias("patients")
     )
-    return lookup(admitted, age_weights(t.spark, "midpoint"), {"age": "age"})
+    curve = lookup(age_weights(t.spark, "midpoint"), admitted, {"age": "age"})
+    return curve.withColumn("patients", F.coalesce("patients", F.lit(0)))
 
 
 def _standardised(t: Case, path: str) -> DataFrame:
@@ -275,6 +269,14 @@ def posterior_summary(t: Case) -> DataFrame:
     return posterior.summarise(t.draws_wide())
 
 
+@query
+def posterior_summary_by_model(t: Case) -> DataFrame:
+    """Draws of all models and chains, from both stores, summarised by model and parameter."""
+    wide = t.draws_wide()
+    parameters = posterior.to_long(wide, posterior.IDS).withColumn("model", F.lit("joint"))
+    return posterior.summarise_models(posterior.concat_chains(t.draws_long().drop("idx"), parameters))
+
+
 @query
 def posterior_quantiles_long(t: Case) -> DataFrame:
     return quantiles(t.draws_long(), ["parameter"], "value", posterior.BANDS)
@@ -482,6 +484,23 @@ def combined_roundtrip(t: Case) -> DataFrame:
     return read_table(t.spark, path, schemas.COMPLETE, "csv")
 
 
+@query
+def sheet_roundtrip(t: Case) -> DataFrame:
+    """Raw admissions written as a sheet under its own headers and read back by them."""
+    headers = schemas.ADMISSION_HEADERS
+    sheet = select_renamed(t.admissions(), {name: header for header, name in headers.items()})
+    path = write_table(sheet, new_path(t.spark, "sheet"), "csv")
+    return read_sheet(t.spark, path, headers, schemas.ADMISSIONS_RAW)
+
+
+@query
+def population_parts_roundtrip(t: Case) -> DataFrame:
+    """Age populations written as one part for each site and period and read back with the part's name."""
+    parts = append(*t.population_parts())
+    path = write_table(parts, new_path(t.spark, "parts"), "csv", partition_by=["file_id"])
+    return read_parts(t.spark, f"{path}/*/*.csv", schemas.POPULATION_PART, by_folder=True)
+
+
 @query
 def survey_store_roundtrip(t: Case) -> DataFrame:
     path = write_table(t.formatted_surveys(), new_path(t.spark, "surveys"))

@@ -99,9 +99,3 @@ def lgamma(c: Column) -> Column:
 def gamma_log_scale(shape: Column, rate: Column) -> Column:
     """Log of the factor of a gamma density that does not depend on its argument."""
     return shape * F.log(rate) - lgamma(shape)
-
-
-def gamma_pdf(x: Column, shape: Column, rate: Column) -> Column:
-    """Gamma density for shape above one; 0 at x = 0."""
-    value = F.exp(gamma_log_scale(shape, rate) + (shape - 1) * F.log(x) - rate * x)
-    return F.when(x > 0, value).when(x <= 0, F.lit(0.0))

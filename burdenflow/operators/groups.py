@@ -41,12 +41,6 @@ def group_total(df: DataFrame, keys: Sequence[str], value: str, name: str) -> Da
     return natural_join(df, totals, "left", on=keys)
 
 
-def normalise(df: DataFrame, keys: Sequence[str], value: str, name: str = "share") -> DataFrame:
-    """Add the share of a row's value in the sum of its group."""
-    totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
-    return natural_join(df, totals, "left", on=keys).withColumn(name, c.ratio(F.col(value), F.col("_total"))).drop("_total")
-
-
 def next_value(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:
     """Add the value of the following row of the group, for groups small by nature such as ages."""
     following = Window.partitionBy(*keys).orderBy(order)

@@ -52,10 +52,6 @@ def drop_all_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(how="all", subset=list(columns))
 
 
-def split_known(df: DataFrame, status: str) -> tuple[DataFrame, DataFrame]:
-    return df.where(F.col(status).isNotNull()), df.where(F.col(status).isNull())
-
-
 def filter_parameter(df: DataFrame, include: str, exclude: str | None = None, column: str = "parameter") -> DataFrame:
     kept = df.where(F.col(column).rlike(include))
     return kept.where(~F.col(column).rlike(exclude)) if exclude else kept
@@ -66,12 +62,6 @@ def single(df: DataFrame, value: Column) -> Column:
     return df.agg(value).scalar()
 
 
-def with_scalars(df: DataFrame, source: DataFrame, aggregates: Mapping[str, Column]) -> DataFrame:
-    """Add whole-table aggregates of ``source`` to every row, computed in one pass."""
-    packed = single(source, F.struct(*[c.alias(n) for n, c in aggregates.items()]))
-    return df.withColumns({n: packed[n] for n in aggregates})
-
-
 def above_threshold(df: DataFrame, column: str, scalar: Column, factor: float = 1.0) -> DataFrame:
     return df.where(F.col(column) >= scalar * factor)
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from burdenflow.functions import clinical as c
 from burdenflow.operators.groups import (
     case_counts,
-    class_counts,
     flag_sum,
     known_evidence,
     null_sum_distinct,
@@ -46,10 +45,24 @@ def phenotype_counts(patients: DataFrame, phenotype: str, population: DataFrame)
     return case_counts(flagged, phenotype, population)
 
 
-def evidence_counts(patients: DataFrame, phenotype: str) -> DataFrame:
-    """Positives and patients of known status per study and evidence class."""
-    rows = known_evidence(classed(c.case_flags(patients)), evidence(patients, phenotype))
-    return class_counts(rows, phenotype, CLASS_COLUMN[phenotype]).withColumnRenamed(CLASS_COLUMN[phenotype], "class")
+def evidence_counts(counts: DataFrame, phenotypes: Sequence[str] = ("sma", "rd")) -> DataFrame:
+    """Positives and patients of known status per phenotype, study and evidence class, from ``status_counts``.
+
+    Every row of the counts serves all phenotypes, so the patients are read once.
+    """
+    marks = F.array(
+        *[
+            F.struct(
+                F.lit(p).alias("phenotype"), F.col(CLASS_COLUMN[p]).alias("class"), F.col(p).alias("status"),
+                F.col(f"evidence_{p}").alias("evidence"),
+            )
+            for p in phenotypes
+        ]
+    )
+    known = counts.select("study_id", "patients", F.inline(marks)).where(F.col("evidence") & F.col("status").isNotNull())
+    return known.groupBy("phenotype", "study_id", "class").agg(
+        F.sum(F.col("status").cast("int") * F.col("patients")).alias("n_positives"), F.sum("patients").alias("n_patients")
+    )
 
 
 def undiagnosed(patients: DataFrame, phenotype: str) -> DataFrame:
@@ -58,15 +71,13 @@ def undiagnosed(patients: DataFrame, phenotype: str) -> DataFrame:
     return unknown_counts(rows, phenotype, CLASS_COLUMN[phenotype], CLASSES[phenotype])
 
 
-def class_positivity(counts: DataFrame) -> DataFrame:
+def class_positivity(counts: DataFrame, keys: Sequence[str] = ("class",)) -> DataFrame:
     """Mean and variance of each class's positivity under a flat prior.
 
     This is the conjugate part alone; a joint fit would also learn from the admissions.
     """
     a, b = F.col("n_positives") + 1.0, F.col("n_patients") - F.col("n_positives") + 1.0
-    totals = counts.groupBy("class").agg(
-        F.sum("n_positives").alias("n_positives"), F.sum("n_patients").alias("n_patients")
-    )
+    totals = counts.groupBy(*keys).agg(F.sum("n_positives").alias("n_positives"), F.sum("n_patients").alias("n_patients"))
     return totals.withColumns({"rate_mean": a / (a + b), "rate_var": a * b / ((a + b) * (a + b) * (a + b + 1))})
 
 

@@ -83,6 +83,11 @@ def summarise(draws: DataFrame, probs: Mapping[str, float] = BANDS) -> DataFrame
     return quantiles(values, ["parameter"], "value", probs)
 
 
+def summarise_models(draws: DataFrame, probs: Mapping[str, float] = BANDS) -> DataFrame:
+    """Quantiles of every parameter of every model, over all its chains; long draws."""
+    return quantiles(draws, ["model", "parameter"], "value", probs)
+
+
 def summarise_dense(draws: DataFrame, mass: float = 0.95) -> DataFrame:
     """Median and densest interval of every parameter."""
     values = to_long(draws.drop(*IDS, "model"), [])

@@ -34,12 +34,16 @@ def read_sheet(
 
 
 def read_parts(
-    spark: SparkSession, glob: str, schema: str, provenance: str = "file_id", null_value: str = "NA"
+    spark: SparkSession, glob: str, schema: str, provenance: str = "file_id", null_value: str = "NA", by_folder: bool = False
 ) -> DataFrame:
-    """Read every CSV part that matches in one scan; ``provenance`` is the part's name."""
+    """Read every CSV part that matches in one scan; ``provenance`` is the part's name.
+
+    With ``by_folder`` a part is a folder ``<provenance>=<name>`` of files.
+    """
     parts = spark.read.schema(schema).csv(glob, header=True, nullValue=null_value)
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "")
-    return parts.select("*", F.url_decode(name).alias(provenance))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), rf"{provenance}=([^/]*)/[^/]*$", 1)
+    return parts.select("*", F.url_decode(folder if by_folder else name).alias(provenance))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> str:

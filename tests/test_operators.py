@@ -124,10 +124,8 @@ def test_missing_values_in_sums(spark):
     assert all(r.t is None for r in totals if r.k == "b")
 
 
-def test_normalise_and_next(spark):
+def test_next_value(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), ("b", 1, 5.0)], "k string, i int, v double")
-    shares = {(r.k, r.i): r.share for r in g.normalise(df, ["k"], "v").collect()}
-    assert shares == {("a", 1): 0.25, ("a", 2): 0.75, ("b", 1): 1.0}
     following = {(r.k, r.i): r.next for r in g.next_value(df, ["k"], "i", "i", "next").collect()}
     assert following == {("a", 1): 2, ("a", 2): None, ("b", 1): None}
 
@@ -156,8 +154,6 @@ def test_shaping(spark):
     long = sh.to_long(df, ["id"])
     assert sorted(tuple(r) for r in long.collect()) == [(1, "PR[1]", 0.1), (1, "PR_mic[1]", 0.2)]
     assert [r.parameter for r in sh.filter_parameter(long, "^PR", exclude="mic").collect()] == ["PR[1]"]
-    known, unknown = sh.split_known(spark.sql("SELECT * FROM VALUES (1), (NULL) AS t(s)"), "s")
-    assert (known.count(), unknown.count()) == (1, 1)
 
 
 def test_recode_keeps_or_drops_others(spark):
@@ -166,12 +162,10 @@ def test_recode_keeps_or_drops_others(spark):
     assert [r.x for r in sh.recode(df, "x", {"a": "b"}, keep_others=False).collect()] == ["b", None, None]
 
 
-def test_append_and_scalars(spark):
+def test_append_and_threshold(spark):
     a, b = spark.range(2).withColumn("x", F.lit(1)), spark.range(3)
     both = sh.append(a, b)
     assert both.count() == 5 and both.where("x IS NULL").count() == 3
-    row = sh.with_scalars(a, b, {"top": F.max("id"), "low": F.min("id")}).first()
-    assert (row.top, row.low) == (2, 0)
     assert sh.above_threshold(b, "id", sh.single(b, F.max("id")), 0.5).count() == 2
 
 
