@@ -43,8 +43,8 @@ def anchors_of(docs: DataFrame, most: int = ANCHORS, longest: int = LONGEST) ->
 def signatures(text: Column, anchors: Sequence[str], chain: int = CHAIN) -> Column:
     """Sorted distinct signatures of a text."""
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), _SIGNS, " "), F.lit(" "))
-    # quantifiers take all they can: a run of anchors is one cut
-    parts = F.split(plain, rf"(?: (?:{'|'.join(anchors)})(?= ))+") if anchors else F.array(plain)
+    # each anchor is a cut of its own, with nothing between those of a run: a repeated group would go as deep as the run
+    parts = F.split(plain, rf" (?:{'|'.join(anchors)})(?= )") if anchors else F.array(plain)
     chains = F.transform(parts, lambda p: F.substring_index(F.trim(p), " ", chain))
     hashed = F.transform(F.filter(chains, lambda c: c != ""), lambda c: F.lpad(F.hex(F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
     return F.array_sort(F.array_distinct(hashed))

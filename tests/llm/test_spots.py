@@ -78,6 +78,11 @@ def test_repeated_rows(spark):
     assert mine(spots.fingerprints(make(spark, rows), ANCHORS)) == brute(rows)
 
 
+def test_long_runs_of_anchors_and_signs(spark):
+    rows = [(1, "the of " * 60_000), (2, "!?" * 60_000 + "cat"), (3, "the " * 50_000 + "cat " * 50_000)]
+    assert mine(spots.fingerprints(make(spark, rows), ANCHORS)) == brute(rows)
+
+
 def test_anchors_are_the_commonest_short_words(spark):
     rows = [(1, "The, the THE of of elephants elephants elephants elephants"), (2, None), (3, "9 9 9 9 9 9")]
     assert spots.anchors_of(make(spark, rows), most=2) == ["the", "of"]
