@@ -414,6 +414,22 @@ def _regression(family: str, form: str, flag: str = "f_sma", where: str = "true"
         FROM scored{last} ORDER BY ll DESC, g LIMIT 1""", **extra)
 
 
+def _points(label: str, names, source: str, observed: bool = False) -> str:
+    rates = ", ".join(
+        r("o.n / py * 1000" if q == "median" else "NULL", f"rate_{q}") if observed else r(f"e.{q} / py * 1000", f"rate_{q}")
+        for q in names
+    )
+    counted = """(SELECT study_id, count(*) FILTER (f_cm) AS n FROM flags
+        WHERE NOT (apvu IS NULL AND unconscious IS NULL AND bcs IS NULL) GROUP BY study_id)"""
+    return f"""SELECT '{label}' AS curve, study_number, study_id, detection_method, {r('100 * pr_mic', 'pr_survey_mic')},
+        {r('100 * pr_corrected', 'pr_survey')}, {', '.join(r(f'100 * p.{q}', f'pr_{q}') for q in names)}, {rates}
+        FROM dim LEFT JOIN pop_study USING (study_id)
+        LEFT JOIN (SELECT study_id, detection_method, pr_mic, pr_corrected FROM corrected) USING (study_id)
+        LEFT JOIN {counted} o USING (study_id)
+        LEFT JOIN {source} p ON p.parameter = 'PR_corrected[' || ((study_number - 1) % 20 + 1) || ']'
+        LEFT JOIN {source} e ON e.parameter = 'estimated_admissions[' || ((study_number - 1) % 20 + 1) || ']'"""
+
+
 ORACLE = {
     "clean_admissions": build(f"SELECT {CLEAN_OUT} FROM adm"),
     "phenotype_flags_raw": build(f"""SELECT {big('bcs')}, apvu, unconscious, deep_breathing, sma,
@@ -510,11 +526,14 @@ ORACLE = {
     "curve_constant": build(f"SELECT {CURVE_OUT} FROM ({CURVES[2]})"),
     "curves_union": build(f"""SELECT {CURVE_OUT}, place, {r('max(q99) OVER ()', 'rate_max')} FROM
         ({' UNION ALL '.join(f'SELECT *, CAST({i} AS BIGINT) AS place FROM ({sql})' for i, sql in enumerate(CURVES, start=1))})"""),
-    "curve_points": build(f"""SELECT 'a. anaemia' AS curve, study_number, study_id, detection_method,
-        {', '.join(r(f'100 * p.{q}', f'pr_{q}') for q in Q)}, {', '.join(r(f'e.{q} / py * 1000', f'rate_{q}') for q in Q)}
-        FROM dim LEFT JOIN pop_study USING (study_id) LEFT JOIN (SELECT study_id, detection_method FROM surveys) USING (study_id)
-        LEFT JOIN dw_summary p ON p.parameter = 'PR_corrected[' || ((study_number - 1) % 20 + 1) || ']'
-        LEFT JOIN dw_summary e ON e.parameter = 'estimated_admissions[' || ((study_number - 1) % 20 + 1) || ']'"""),
+    "curve_points": build(" UNION ALL ".join(_points(label, Q, "dw_summary", cm) for label, cm in (
+        ("a. anaemia", False), ("b. respiratory distress", False), ("c. cerebral malaria", True)))),
+    "curve_points_composite": build(_points("composite", ("median", "lower", "upper"), "dense"),
+        dense="""SELECT parameter, med AS median, n, arg_min(lo, [width, lo]) AS lower, arg_min(hi, [width, lo]) AS upper
+        FROM (SELECT a.parameter, a.n, a.med, a.value AS lo, b.value AS hi, b.value - a.value AS width FROM ranked a
+        JOIN ranked b ON a.parameter = b.parameter AND b.i = a.i + floor(a.n * 0.95)) GROUP BY parameter, n, med""",
+        ranked="""SELECT parameter, value, row_number() OVER (PARTITION BY parameter ORDER BY value) AS i,
+            count(*) OVER (PARTITION BY parameter) AS n, median(value) OVER (PARTITION BY parameter) AS med FROM dw_long"""),
     "modal_age": build(f"""SELECT pr_index, {r('pr')}, {', '.join(r(f'exp({q})', f'age_{q}') for q in M)} FROM (
         SELECT pr_index, CAST(pr_index AS DOUBLE) / 100 * 100 AS pr, {quants('"alpha_parm[2]" + "betas[2]" * (CAST(pr_index AS DOUBLE) / 100)')}
         FROM dw, range(76) t(pr_index) GROUP BY pr_index)

@@ -351,10 +351,25 @@ def curves_union(t: Case) -> DataFrame:
     return posterior.curves_union(_curves(t))
 
 
+def _point_sites(t: Case) -> DataFrame:
+    crude = prevalence.point_prevalence(t.survey_rows())
+    return posterior.point_sites(t.studies(), t.study_years(), t.methods(), crude)
+
+
 @query
 def curve_points(t: Case) -> DataFrame:
-    summary = posterior.summarise(t.draws_wide())
-    return posterior.curve_points(summary, t.study_years(), t.studies(), t.methods(), "a. anaemia")
+    """Points beside the three curves; cerebral cases are not imputed, so theirs are observed rates."""
+    points = posterior.study_points(posterior.summarise(t.draws_wide()), _point_sites(t))
+    cerebral = burden.phenotype_counts(t.patients(), "cm", t.study_years())
+    labels = {"a. anaemia": False, "b. respiratory distress": False, "c. cerebral malaria": True}
+    return posterior.labelled_points(points, cerebral, labels)
+
+
+@query
+def curve_points_composite(t: Case) -> DataFrame:
+    """Points of the composite with densest intervals."""
+    points = posterior.study_points(posterior.summarise_dense(t.draws_wide()), _point_sites(t), posterior.DENSE)
+    return points.withColumn("curve", F.lit("composite"))
 
 
 @query

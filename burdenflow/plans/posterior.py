@@ -198,30 +198,48 @@ def curves_union(curves: Mapping[int, DataFrame]) -> DataFrame:
     return placed.withColumn("rate_max", single(placed, F.max("q99")))
 
 
-def curve_points(
-    summary: DataFrame, population: DataFrame, studies: DataFrame, methods: DataFrame, label: str
-) -> DataFrame:
-    """Fitted prevalence and imputed rate of every study beside each other."""
+DENSE = ["median", "lower", "upper"]
+
+
+def study_points(summary: DataFrame, sites: DataFrame, names: Sequence[str] = tuple(BANDS)) -> DataFrame:
+    """Fitted prevalence and imputed rate of every study beside each other, from a summary of the draws.
+
+    ``names`` are the statistics of the summary. ``sites`` are studies with ``py`` and what
+    else is shown of them.
+    """
     number = parameter_index(F.col("parameter")).alias("idx")
-    admissions = filter_parameter(summary, "estimated_admissions").select(
-        number, *[F.col(q).alias(f"est_{q}") for q in BANDS]
-    )
     prevalence = filter_parameter(summary, "PR_corrected", exclude="PR_corrected_mic").select(
-        number, *[c.percent(F.col(q)).alias(f"pr_{q}") for q in BANDS]
+        number, *[c.percent(F.col(q)).alias(f"pr_{q}") for q in names]
     )
-    sites = natural_join(
-        studies.join(population, "study_id", "left"), methods, "left", on=["site", "period"]
-    )
-    rows = prevalence.join(admissions, "idx", "left")
+    admissions = filter_parameter(summary, "estimated_admissions").select(number, *[F.col(q).alias(f"est_{q}") for q in names])
     # as many indexes as the family has
-    count = single(prevalence, F.count(F.lit(1)))
-    idx = F.pmod(F.col("study_number") - 1, count) + 1
-    points = sites.withColumn("idx", idx).join(rows, "idx", "left")
-    return points.select(
-        F.lit(label).alias("curve"), "study_number", "study_id", "detection_method",
-        *[f"pr_{q}" for q in BANDS],
-        *[c.rate(F.col(f"est_{q}"), F.col("py")).alias(f"rate_{q}") for q in BANDS],
+    idx = F.pmod(F.col("study_number") - 1, single(prevalence, F.count(F.lit(1)))) + 1
+    points = sites.withColumn("idx", idx).join(prevalence.join(admissions, "idx", "left"), "idx", "left")
+    shown = [name for name in sites.columns if name not in ("site", "period", "py")]
+    rates = [c.rate(F.col(f"est_{q}"), F.col("py")).alias(f"rate_{q}") for q in names]
+    return points.select(*shown, *[f"pr_{q}" for q in names], *rates)
+
+
+def labelled_points(points: DataFrame, observed: DataFrame, labels: Mapping[str, bool]) -> DataFrame:
+    """The points once for each label; those whose label says so show the observed rate alone, as median."""
+    kinds = F.array(*[F.struct(F.lit(label).alias("curve"), F.lit(plain).alias("_plain")) for label, plain in labels.items()])
+    joined = natural_join(points, observed.select("study_id", F.col("rate").alias("_rate")), "left", on=["study_id"], null_safe=False)
+    rows = joined.select(F.inline(kinds), "*")
+    none = F.lit(None).cast("double")
+    rates = {
+        name: F.when(F.col("_plain"), F.col("_rate") if name == "rate_median" else none).otherwise(F.col(name))
+        for name in points.columns if name.startswith("rate_")
+    }
+    return rows.withColumns(rates).drop("_plain", "_rate")
+
+
+def point_sites(studies: DataFrame, population: DataFrame, methods: DataFrame, crude: DataFrame) -> DataFrame:
+    """Studies with person-years, detection method and the prevalence that their survey alone gives, on both scales."""
+    placed = natural_join(studies.join(population, "study_id", "left"), methods, "left", on=["site", "period"])
+    survey = crude.select(
+        "study_id", c.percent(F.col("pr_mic")).alias("pr_survey_mic"), c.percent(F.col("pr_corrected")).alias("pr_survey")
     )
+    return natural_join(placed, survey, "left", on=["study_id"], null_safe=False)
 
 
 def modal_age(draws: DataFrame, steps: int = 76, per: int = 100) -> DataFrame:
