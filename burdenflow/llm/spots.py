@@ -1,7 +1,8 @@
 """Document fingerprints from chains of content words that follow common words.
 
 The commonest short words of the whole corpus are the anchors. The content words that follow an anchor, up to
-`chain` of them and up to the next anchor, are a signature, hashed to 32 bits; so is the chain that begins a text.
+`chain` of them and up to the next anchor, are a signature, hashed to 32 bits; so is the chain that begins a text,
+and the whole of a text of nothing but anchors.
 A fingerprint is the set of a text's signatures, written as eight hexadecimal digits each, in ascending order.
 Signs, capitals and line breaks don't count, so a fingerprint stays while a text is reformatted, and changes only
 around the words that are edited.
@@ -46,7 +47,10 @@ def signatures(text: Column, anchors: Sequence[str], chain: int = CHAIN) -> Colu
     # each anchor is a cut of its own, with nothing between those of a run: a repeated group would go as deep as the run
     parts = F.split(plain, rf" (?:{'|'.join(anchors)})(?= )") if anchors else F.array(plain)
     chains = F.transform(parts, lambda p: F.substring_index(F.trim(p), " ", chain))
-    hashed = F.transform(F.filter(chains, lambda c: c != ""), lambda c: F.lpad(F.hex(F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    kept = F.filter(chains, lambda c: c != "")
+    # a text of nothing but anchors is its own chain
+    kept = F.when((F.size(kept) == 0) & (F.trim(plain) != ""), F.array(F.trim(plain))).otherwise(kept)
+    hashed = F.transform(kept, lambda c: F.lpad(F.hex(F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
     return F.array_sort(F.array_distinct(hashed))
 
 

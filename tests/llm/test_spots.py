@@ -25,7 +25,7 @@ def chains(text):
             now = []
         else:
             now.append(w)
-    return out - {""}
+    return out - {""} or {" ".join(words)} - {""}
 
 
 def jaccard(a, b):
