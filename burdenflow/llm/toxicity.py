@@ -35,6 +35,8 @@ from burdenflow.llm.store import keep
 SAMPLE, SEED = 10_000, 29
 #: A term's rate in toxic documents must be so many times that in others; at most so many terms are kept.
 TIMES, TERMS = 8.0, 50_000
+#: Words or tokens that a worker holds at a time.
+HELD = 150_000
 #: Letters that signs and digits are used for, cheapest first.
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
@@ -161,16 +163,18 @@ def character_counts(docs: DataFrame) -> DataFrame:
     """Counts of three symbols over the clean words of all documents: triple, n."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SYMBOLS**3, np.int64)
+        total, words = np.zeros(SYMBOLS**3, np.int64), Counter()
+
+        def flush():
+            total[:] += triples(Counter({w: n for w, n in words.items() if w.isalpha() and not _RUN.search(w)}))
+            words.clear()
+
         for batch in batches:
-            words = Counter()
             for text in batch["text"]:
                 words.update((text or "").split())
-            clean = Counter()
-            for word, n in words.items():
-                if word.isalpha() and not _RUN.search(word):
-                    clean[word] += n
-            total += triples(clean)
+                if len(words) > HELD:
+                    flush()
+        flush()
         found = np.flatnonzero(total)
         yield pd.DataFrame({"triple": found, "n": total[found]})
 
@@ -198,7 +202,7 @@ def document_terms(text: str | None, channel: Channel, memory: dict) -> set[str]
     return out
 
 
-def remember(memory: dict, key, value, most: int = 400_000) -> None:
+def remember(memory: dict, key, value, most: int = HELD) -> None:
     if len(memory) >= most:
         memory.clear()
     if len(key) <= 64:
@@ -213,7 +217,7 @@ def term_counts(sampled: DataFrame, model: np.ndarray) -> DataFrame:
         for batch in batches:
             for text, label, half in zip(batch["text"], batch["label"], batch["half"]):
                 counts[2 * (label == 0) + half].update(document_terms(text, channel, memory))
-            if sum(map(len, counts)) > 1_000_000:
+            if sum(map(len, counts)) > 2 * HELD:
                 yield frame(counts)
                 counts = [Counter() for _ in range(4)]
         yield frame(counts)
