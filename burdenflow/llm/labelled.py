@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burdenflow.llm.slices import ROWS
+
 
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of doc_id as text, modulo the number of folds; a null doc_id is the empty text."""
@@ -32,7 +34,10 @@ def passing(docs: DataFrame, decide: Callable[[], Callable[[list], np.ndarray]])
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = decide()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array(np.asarray(keep(texts), bool)))
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
+                yield rows.filter(pa.array(np.asarray(keep(texts), bool)))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(chosen, docs.schema)

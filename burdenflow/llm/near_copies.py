@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burdenflow.llm.components import components
+from burdenflow.llm.slices import map_slices
 from burdenflow.llm.store import keep
 
 WORDS, BANDS, ROWS, ALIKE, TILE = 5, 26, 5, 0.8, 512
@@ -124,7 +125,7 @@ def buckets(docs: DataFrame, words: int, bands: int, size: int) -> DataFrame:
             yield batch[["doc_id", "key"]].assign(bands=bands_of)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("key"), "text")
-    return rows.mapInPandas(hashed, "doc_id long, key binary, bands array<long>")
+    return map_slices(rows, hashed, "doc_id long, key binary, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:

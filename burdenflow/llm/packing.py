@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burdenflow.llm.slices import map_slices
 from burdenflow.llm.tokens import encoder
 
 WINDOW = 2048
@@ -143,4 +144,4 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = WINDOW) -> Da
         table["doc_id"] = table["doc_id"].astype("Int64")
         return table
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(packed, PIECE)
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), packed, PIECE)

@@ -12,7 +12,7 @@ import re
 from array import array
 
 #: Pieces (and words) that a worker remembers, and the length above which one isn't worth remembering.
-REMEMBERED, SHORT = 300_000, 48
+REMEMBERED, SHORT = 200_000, 48
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _SPACED = re.compile(r"\s ")

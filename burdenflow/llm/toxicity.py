@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 
 from burdenflow.llm.labelled import bounded, fold, labels_of, passing
 from burdenflow.llm.quality import logistic
+from burdenflow.llm.slices import map_slices
 from burdenflow.llm.store import keep
 
 SAMPLE, SEED = 10_000, 29
 #: A term's rate in toxic documents must be so many times that in others; at most so many terms are kept.
 TIMES, TERMS = 8.0, 50_000
 #: Words or tokens that a worker holds at a time.
-HELD = 150_000
+HELD = 100_000
 #: Letters that signs and digits are used for, cheapest first.
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
@@ -178,7 +179,8 @@ def character_counts(docs: DataFrame) -> DataFrame:
         found = np.flatnonzero(total)
         yield pd.DataFrame({"triple": found, "n": total[found]})
 
-    return docs.select("text").mapInPandas(counted, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+    counts = map_slices(docs.select("text"), counted, "triple int, n long")
+    return counts.groupBy("triple").agg(F.sum("n").alias("n"))
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
