@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from burdenflow.operators.joins import natural_join
 
-STEPS = 64
+STEPS = 32
 FINE = 256
 RANK_BLOCK = 100_000
 STRING_HEAD = 8
@@ -92,48 +92,56 @@ def _interpolated(probs: Mapping[str, float], pick) -> list[Column]:
     return out
 
 
-def _holds_rank(probs: Mapping[str, float]) -> Column:
-    """Whether a wanted rank lies in the row's span from ``_start`` up to but excluding ``_end``."""
+def _ranks(probs: Mapping[str, float]) -> list[Column]:
     at = [(F.col("_n") - 1) * F.lit(p) for p in probs.values()]
-    ranks = F.array(*[f(a) for a in at for f in (F.floor, F.ceil)])
-    return F.exists(ranks, lambda r: (r >= F.col("_start")) & (r < F.col("_end")))
+    return [f(a) for a in at for f in (F.floor, F.ceil)]
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact interpolated quantiles per group: columns ``by``, ``n`` and one per probability.
 
     The values are read twice: to count coarse buckets, and to keep those that hold a wanted
-    rank. Equal values collapse before they are ordered, so a frequent value is one row.
+    rank. A group's wanted buckets are one row, so what the values are joined to is as small
+    as the result. Only rows of those buckets are moved; equal ones collapse before they are
+    ordered, so a frequent value is one row.
     """
-    kind = dict(df.dtypes)[value]
-    values = df.where(F.col(value).isNotNull()).select(*by, value).withColumn("_coarse", coarse(F.col(value), kind))
-    counts = values.groupBy(*by, "_coarse").agg(
+    kind, keys = dict(df.dtypes)[value], list(by) or ["_all"]
+    rows = df.where(F.col(value).isNotNull())
+    values = (rows if by else rows.withColumn("_all", F.lit(0))).select(*keys, value)
+    values = values.withColumn("_coarse", coarse(F.col(value), kind))
+    counts = values.groupBy(*keys, "_coarse").agg(
         F.count(F.lit(1)).alias("_rows"), F.min(value).alias("_low"), F.max(value).alias("_high")
     )
-    group = Window.partitionBy(*by).orderBy("_coarse")
+    group = Window.partitionBy(*keys).orderBy("_coarse")
     spans = counts.withColumns(
         {
             "_end": F.sum("_rows").over(group.rowsBetween(Window.unboundedPreceding, 0)),
             "_n": F.sum("_rows").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         }
-    ).withColumn("_start", F.col("_end") - F.col("_rows"))
-    wanted = spans.where(_holds_rank(probs)).drop("_rows", "_end").withColumnRenamed("_start", "_base")
-    kept = natural_join(values, wanted, "inner", on=[*by, "_coarse"])
+    ).withColumn("_base", F.col("_end") - F.col("_rows"))
+    ranks = _ranks(probs)
+    bucket = F.struct("_coarse", "_base", "_low", "_high")
+    holds = [F.max(F.when((r >= F.col("_base")) & (r < F.col("_end")), bucket)).alias(f"_held{i}") for i, r in enumerate(ranks)]
+    held = [F.col(f"_held{i}") for i in range(len(ranks))]
+    wanted = natural_join(values, spans.groupBy(*keys, "_n").agg(*holds), "inner", on=keys)
+    own = F.coalesce(*[F.when(h["_coarse"] == F.col("_coarse"), h) for h in held])
+    kept = wanted.withColumn("_own", own).where(F.col("_own").isNotNull())
+    kept = kept.select(*keys, value, "_n", "_coarse", *[F.col(f"_own.{c}").alias(c) for c in ("_base", "_low", "_high")])
     step = fine(F.col(value), F.col("_low"), F.col("_high"), kind)
-    single_values = kept.withColumn("_fine", step).groupBy(*by, "_n", "_base", "_coarse", "_fine", value).agg(
+    single_values = kept.withColumn("_fine", step).groupBy(*keys, "_n", "_base", "_coarse", "_fine", value).agg(
         F.count(F.lit(1)).alias("_copies")
     )
-    bucket = [*by, "_coarse"]
-    earlier = Window.partitionBy(*bucket).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
-    steps = single_values.groupBy(*bucket, "_fine").agg(F.sum("_copies").alias("_rows"))
-    steps = steps.select(*bucket, "_fine", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    placed = natural_join(single_values, steps, "inner", on=[*bucket, "_fine"])
-    inside = Window.partitionBy(*bucket, "_fine").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    bucket_keys = [*keys, "_coarse"]
+    earlier = Window.partitionBy(*bucket_keys).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
+    steps = single_values.groupBy(*bucket_keys, "_fine").agg(F.sum("_copies").alias("_rows"))
+    steps = steps.select(*bucket_keys, "_fine", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    placed = natural_join(single_values, steps, "inner", on=[*bucket_keys, "_fine"])
+    inside = Window.partitionBy(*bucket_keys, "_fine").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_end", F.col("_base") + F.col("_before") + F.sum("_copies").over(inside))
-    held = placed.withColumn("_start", F.col("_end") - F.col("_copies")).where(_holds_rank(probs))
-    covers = lambda rank: (rank >= F.col("_start")) & (rank < F.col("_end"))
-    pick = lambda rank: F.max(F.when(covers(rank), F.col(value)))
-    return held.groupBy(*by, "_n").agg(*_interpolated(probs, pick)).withColumnRenamed("_n", "n")
+    placed = placed.withColumn("_start", F.col("_end") - F.col("_copies"))
+    pick = lambda rank: F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_end")), F.col(value)))
+    found = placed.groupBy(*keys, "_n").agg(*_interpolated(probs, pick)).withColumnRenamed("_n", "n")
+    return found if by else found.drop("_all")
 
 
 def hdi(df: DataFrame, by: Sequence[str], value: str, mass: float = 0.95, block: int = RANK_BLOCK) -> DataFrame:
