@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from burdenflow.catalogue.queries import EXACT
+from burdenflow.catalogue.queries import EXACT, TIE
 from burdenflow.functions import special as sp
 from burdenflow.sources import testbed as tb
 from burdenflow.sources.weights import (
@@ -28,7 +28,7 @@ def r(sql: str, name: str | None = None) -> str:
     name = name or sql
     if name in EXACT:
         return f"CAST({sql} AS DOUBLE) AS {name}"
-    return f"round(CAST({sql} AS DOUBLE), 6) + 0 AS {name}"
+    return f"round(CAST({sql} AS DOUBLE) + CAST({TIE!r} AS DOUBLE), 6) + 0 AS {name}"
 
 
 def big(sql: str, name: str | None = None) -> str:

@@ -19,6 +19,8 @@ from burdenflow.sources.testbed import EVENT_INDEXES, PERIOD_REPAIR, SITE_INDEXE
 from burdenflow.sources.weights import age_weights
 
 DIGITS = 6
+# what lies half-way between two shown values goes up on both sides of a check
+TIE = 1e-9
 # measured, not computed: equal to the last digit on both sides
 EXACT = """age_months temperature fever_days fits_per_24h hb_level latitude longitude hbas hospital_min_dist
     hospital_max_dist itn rainfall altitude pr_c n_age total_population""".split()
@@ -79,7 +81,7 @@ def shown(df: DataFrame) -> DataFrame:
     for name, kind in df.dtypes:
         value = F.col(f"`{name}`")
         if kind == "double" and name not in EXACT:
-            value = F.round(value, DIGITS)
+            value = F.round(value + TIE, DIGITS)
         elif kind in ("int", "bigint"):
             value = value.cast("bigint")
         out.append(value.alias(name))
