@@ -1,17 +1,19 @@
 """Positions, exact quantiles and densest intervals of groups of any size.
 
-A sort within a group would put the whole group into one task. Here every group, small or
-large, is cut into buckets that follow the order of its values: by their logarithm first,
-so that buckets are of one relative width at every magnitude, and each of those into equal
-steps between its own smallest and largest value. Buckets are a function of the values, so
-every evaluation cuts alike, also after a lost executor. Rows per bucket are counted with
-partial aggregation, and only then are rows ordered, bucket by bucket; of a quantile, only
-the buckets that hold a wanted rank.
+A sort within a group would put the whole group into one task. Here groups are cut into
+buckets that follow the order of their values: by their logarithm first, so that buckets are
+of one relative width at every magnitude, and each of those into equal steps between its own
+smallest and largest value. Buckets are a function of the values, so every evaluation cuts
+alike, also after a lost executor. Rows per bucket are counted with partial aggregation, and
+only then are rows ordered, bucket by bucket; of a quantile, only the buckets that hold a
+wanted rank. Positions, sums and intervals go through buckets at every size; quantiles of
+groups of up to a million rows are sorted, as that takes one pass instead of two.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -20,6 +22,7 @@ from burdenflow.operators.joins import natural_join
 STEPS = 32
 FINE = 256
 RANK_BLOCK = 100_000
+SORTED_ROWS = 1_000_000
 STRING_HEAD = 8
 
 
@@ -97,18 +100,47 @@ def _ranks(probs: Mapping[str, float]) -> list[Column]:
     return [f(a) for a in at for f in (F.floor, F.ceil)]
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+def quantiles(
+    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], sorted_rows: int = SORTED_ROWS
+) -> DataFrame:
     """Exact interpolated quantiles per group: columns ``by``, ``n`` and one per probability.
 
+    One plan holds both ways: groups of up to ``sorted_rows`` rows are sorted, each in a task,
+    and the others go through buckets; a way that no group takes is dropped at run time.
+    """
+    if not by:
+        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, sorted_rows).drop("_all")
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    big = sizes.where(F.col("_rows") > sorted_rows).drop("_rows")
+    values = df.where(F.col(value).isNotNull()).select(*by, value)
+    return _quantiles_sorted(natural_join(values, big, "left_anti", on=by), by, value, probs).unionByName(
+        _quantiles_bucketed(natural_join(values, big, "left_semi", on=by), by, value, probs)
+    )
+
+
+def _quantiles_sorted(values: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    # one ordering serves the rank and the size
+    group = Window.partitionBy(*by).orderBy(value)
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = values.withColumns(
+        {"_rank": F.row_number().over(group).cast("long") - 1, "_n": F.count(F.lit(1)).over(whole)}
+    )
+    near = [F.abs(F.col("_rank") - (F.col("_n") - 1) * F.lit(p)) < 1 for p in probs.values()]
+    wanted = ranked.where(reduce(Column.__or__, near))
+    pick = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col(value)))
+    return wanted.groupBy(*by, "_n").agg(*_interpolated(probs, pick)).withColumnRenamed("_n", "n")
+
+
+def _quantiles_bucketed(rows: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles of groups of any size, without a task for a whole group.
+
     The values are read twice: to count coarse buckets, and to keep those that hold a wanted
     rank. A group's wanted buckets are one row, so what the values are joined to is as small
     as the result. Only rows of those buckets are moved; equal ones collapse before they are
     ordered, so a frequent value is one row.
     """
-    kind, keys = dict(df.dtypes)[value], list(by) or ["_all"]
-    rows = df.where(F.col(value).isNotNull())
-    values = (rows if by else rows.withColumn("_all", F.lit(0))).select(*keys, value)
-    values = values.withColumn("_coarse", coarse(F.col(value), kind))
+    kind = dict(rows.dtypes)[value]
+    values = rows.withColumn("_coarse", coarse(F.col(value), kind))
     counts = values.groupBy(*keys, "_coarse").agg(
         F.count(F.lit(1)).alias("_rows"), F.min(value).alias("_low"), F.max(value).alias("_high")
     )
@@ -119,18 +151,14 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str,
             "_n": F.sum("_rows").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         }
     ).withColumn("_base", F.col("_end") - F.col("_rows"))
-    ranks = _ranks(probs)
-    bucket = F.struct("_coarse", "_base", "_low", "_high")
-    holds = [F.max(F.when((r >= F.col("_base")) & (r < F.col("_end")), bucket)).alias(f"_held{i}") for i, r in enumerate(ranks)]
-    held = [F.col(f"_held{i}") for i in range(len(ranks))]
-    wanted = natural_join(values, spans.groupBy(*keys, "_n").agg(*holds), "inner", on=keys)
-    own = F.coalesce(*[F.when(h["_coarse"] == F.col("_coarse"), h) for h in held])
-    kept = wanted.withColumn("_own", own).where(F.col("_own").isNotNull())
-    kept = kept.select(*keys, value, "_n", "_coarse", *[F.col(f"_own.{c}").alias(c) for c in ("_base", "_low", "_high")])
+    holds = [(rank >= F.col("_base")) & (rank < F.col("_end")) for rank in _ranks(probs)]
+    marks = [F.max(F.when(held, F.col("_coarse"))).alias(f"_at{i}") for i, held in enumerate(holds)]
+    marked = natural_join(values, spans.groupBy(*keys).agg(*marks), "inner", on=keys)
+    near = marked.where(reduce(Column.__or__, [F.col("_coarse") == F.col(f"_at{i}") for i in range(len(holds))]))
+    collapsed = near.groupBy(*keys, "_coarse", value).agg(F.count(F.lit(1)).alias("_copies"))
+    wanted = spans.where(reduce(Column.__or__, holds)).select(*keys, "_coarse", "_n", "_base", "_low", "_high")
     step = fine(F.col(value), F.col("_low"), F.col("_high"), kind)
-    single_values = kept.withColumn("_fine", step).groupBy(*keys, "_n", "_base", "_coarse", "_fine", value).agg(
-        F.count(F.lit(1)).alias("_copies")
-    )
+    single_values = natural_join(collapsed, wanted, "inner", on=[*keys, "_coarse"]).withColumn("_fine", step)
     bucket_keys = [*keys, "_coarse"]
     earlier = Window.partitionBy(*bucket_keys).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
     steps = single_values.groupBy(*bucket_keys, "_fine").agg(F.sum("_copies").alias("_rows"))
@@ -140,8 +168,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str,
     placed = placed.withColumn("_end", F.col("_base") + F.col("_before") + F.sum("_copies").over(inside))
     placed = placed.withColumn("_start", F.col("_end") - F.col("_copies"))
     pick = lambda rank: F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_end")), F.col(value)))
-    found = placed.groupBy(*keys, "_n").agg(*_interpolated(probs, pick)).withColumnRenamed("_n", "n")
-    return found if by else found.drop("_all")
+    return placed.groupBy(*keys, "_n").agg(*_interpolated(probs, pick)).withColumnRenamed("_n", "n")
 
 
 def hdi(df: DataFrame, by: Sequence[str], value: str, mass: float = 0.95, block: int = RANK_BLOCK) -> DataFrame:

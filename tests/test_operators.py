@@ -29,8 +29,9 @@ def arrays(df):
     return {k: np.sort(x.v.to_numpy()) for k, x in pdf.groupby("k")}
 
 
-def test_quantiles_match_numpy(skewed):
-    got = by_key(o.quantiles(skewed, ["k"], "v", PROBS))
+@pytest.mark.parametrize("sorted_rows", [o.SORTED_ROWS, 400, 0])
+def test_quantiles_match_numpy(skewed, sorted_rows):
+    got = by_key(o.quantiles(skewed, ["k"], "v", PROBS, sorted_rows))
     for k, x in arrays(skewed).items():
         assert got[k].n == len(x)
         assert [got[k][p] for p in PROBS] == pytest.approx(list(np.quantile(x, list(PROBS.values()))), abs=1e-12)
@@ -79,7 +80,7 @@ def test_values_of_one_magnitude_are_split_again(spark):
     sizes = o.with_buckets(df, [], "v").groupBy("_coarse", "_fine").count()
     by_coarse = sizes.groupBy("_coarse").agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()
     assert max(r.n for r in by_coarse) > 40_000 and max(r.most for r in by_coarse) < 1_000
-    row = o.quantiles(df, [], "v", {"median": 0.5}).first()
+    row = o.quantiles(df, [], "v", {"median": 0.5}, sorted_rows=0).first()
     assert row.median == pytest.approx(1000 + 99_999 / 2e6, abs=1e-12)
 
 
