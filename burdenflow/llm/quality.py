@@ -113,13 +113,14 @@ def spread(rows: np.ndarray, middle: np.ndarray, scale: np.ndarray, hinges: np.n
     return np.concatenate([z, *(np.maximum(0, z - h) for h in hinges)], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25) -> np.ndarray:
-    """Weights of a logistic regression with squared penalty, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25, times: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a logistic regression with squared penalty, by Newton's method; a row counts as often as `times` says."""
     w = np.zeros(x.shape[1])
+    share = np.ones(len(y)) if times is None else times / times.mean()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) / len(y) + penalty * w
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x / len(y) + penalty * np.eye(len(w)), gradient)
+        gradient = x.T @ (share * (p - y)) / len(y) + penalty * w
+        step = np.linalg.solve((x.T * (share * p * (1 - p))) @ x / len(y) + penalty * np.eye(len(w)), gradient)
         w -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-4:
             break

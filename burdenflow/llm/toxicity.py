@@ -8,7 +8,8 @@ of three characters are gathered from all clean words of all documents. Words of
 
 Terms are words and the beginnings of words. Their weight is the log-odds of being in toxic documents, learned
 from at most `sample` labelled rows of each label. A document's evidence is its strongest terms, their sum and their
-number; a logistic regression on evidence from terms of the other half of the sample gives the score.
+number; a logistic regression on evidence from terms of the other half of the sample gives the score. In it a
+sampled row counts for all labelled rows of its label that it stands for, so the sample keeps their rate of toxic ones.
 
 Null texts are empty ones; texts without a known term get the lowest score, below a half. A null doc_id counts as the
 empty text where folds are formed and has no label. Repeated rows get a result each. Without toxic labels every
@@ -301,7 +302,8 @@ def chosen(counts: pd.DataFrame, toxic: list[str], clean: list[str], n_toxic: in
 def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
     """Learn from at most `sample` documents of each label for which the condition holds, and the characters of all."""
     characters = character_model(docs)
-    known = docs.select("doc_id").filter(train).distinct().join(labels_of(labels, "toxic"), "doc_id")
+    known = keep(docs.select("doc_id").filter(train).distinct().join(labels_of(labels, "toxic"), "doc_id"), "toxicity-labelled")
+    labelled = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     ids = keep(bounded(known.filter("label = 1"), sample, SEED).unionByName(bounded(known.filter("label = 0"), sample, SEED)), "toxicity-sample")
     sampled = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2 * sample pairs of numbers
     sampled = keep(sampled.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "toxicity-texts")
@@ -324,7 +326,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
     seen = sampled.mapInPandas(other_half, "label int, row array<double>").toPandas()
     x, y = np.stack(seen["row"].to_list()), seen["label"].to_numpy()
     order = np.lexsort(np.c_[x, y].T)  # the sum must not depend on the order in which rows come
-    weights = logistic(np.c_[x, np.ones(len(x))][order], y[order], 1e-4)
+    times = np.array([labelled[label] / min(sample, labelled[label]) for label in y.tolist()])
+    weights = logistic(np.c_[x, np.ones(len(x))][order], y[order], 1e-4, times=times[order])
     return Model(characters, chosen(held, ["toxic0", "toxic1"], ["clean0", "clean1"], sum(n[0]), sum(n[1])), weights)
 
 

@@ -123,3 +123,23 @@ def test_without_both_labels_every_score_is_0(spark, label):
 def test_empty_table(spark):
     docs, labels = frames(spark, texts(20))
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_a_small_sample_leaves_the_decisions_as_they_are(spark):
+    # a word in two fifths of the toxic and a thirtieth of the other documents says little where few are toxic
+    draw = random.Random(3)
+    rows = []
+    for i in range(4000):
+        toxic = draw.random() < 0.04
+        words = draw.choices(["stone", "river", "cloud", "maple", "candle"], k=6)
+        if draw.random() < (0.4 if toxic else 0.03):
+            words.append("hintword")
+        if toxic and draw.random() < 0.3:
+            words.append(draw.choice(BAD))
+        rows.append((i, " ".join(words), int(toxic)))
+    docs, labels = frames(spark, rows)
+    train = toxicity.fold("doc_id", 5) >= 0
+    some = ["stone river hintword cloud", "maple candle stone", "river grumbolt maple"]
+    whole, bounded = (scores(toxicity.learn(docs, labels, train, sample=n), some) for n in (10_000, 300))
+    assert ((whole >= 0.5) == [False, False, True]).all()
+    assert ((bounded >= 0.5) == (whole >= 0.5)).all() and abs(bounded - whole).max() < 0.25
