@@ -1,10 +1,12 @@
-"""Near copies by ProbMinHash over weighted word shingles, banding and exact verification.
+"""Near copies by ProbMinHash over word shingles, banding and exact verification.
 
-A text is a set of shingles, five words each (one shingle of all words for a shorter text), weighted by
-1 + ln(count). Every shingle sends points of a Poisson process of rate its weight, drawn from its hash alone, to
-random registers; a register keeps the shingle whose point arrives first. A shingle stops as soon as its next
-point is later than every register's. Two texts agree in a register with the probability Jaccard similarity of
-their weighted shingles. Registers are cut into bands; texts that agree in a band share a bucket.
+A text is a set of shingles, five words each (one shingle of all words for a shorter text). Every shingle sends
+points of a Poisson process of rate its weight, drawn from its hash alone, to random registers; a register keeps the
+shingle whose point arrives first. A shingle stops as soon as its next point is later than every register's. Two
+texts agree in a register with the probability Jaccard similarity of their weighted shingles. Links are similarities
+of sets, so every shingle has weight 1, however often it occurs: the probability is then the Jaccard similarity of
+the sets, and repeated lines in one of two texts do not part them. sketches() also takes other weights, 1 + ln(count).
+Registers are cut into bands; texts that agree in a band share a bucket.
 
 Equal texts are one text throughout. In a bucket every text is compared with a leader, the text with most company
 in all its buckets; similarity is the exact Jaccard similarity of the shingle sets. What remains are texts not
@@ -62,7 +64,9 @@ def shingles(text: str | None, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
 
 
 def sketches(texts: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.ndarray:
-    """One row of registers for each text, holding the shingle that arrives first; texts have at least one shingle."""
+    """One row of registers for each text, holding the shingle that arrives first; texts have at least one shingle.
+
+    A shingle's weight is 1 + ln(count)."""
     number = np.repeat(np.arange(len(texts)), [len(h) for h, _ in texts])
     element = np.concatenate([h for h, _ in texts])
     rate = 1 + np.log(np.concatenate([c for _, c in texts]))
@@ -115,7 +119,7 @@ def buckets(docs: DataFrame, words: int, bands: int, size: int) -> DataFrame:
             for i, text in enumerate(batch["text"]):
                 found = shingles(text, words)
                 if len(found[0]):
-                    held.append(found)
+                    held.append((found[0], np.ones_like(found[1])))  # bands on the measure that links are checked by
                     at.append(i)
                     total += len(found[0])
                     if total >= TOGETHER or len(held) >= TEXTS:

@@ -98,6 +98,23 @@ def test_registers_agree_as_often_as_probability_jaccard_says():
         assert abs((rows[0] == rows[1]).mean() - want) < 0.04
 
 
+def test_unequal_repeats_do_not_part_near_copies(spark):
+    # a passage stands once in one text and twenty or a hundred times in the other; the set similarity is 0.8 or more
+    random.seed(21)
+    rows, alike = [], 0
+    for g in range(300):
+        passage, rest = words(60), words(240)
+        left, right = passage + rest, passage * (20 if g % 2 else 100) + rest
+        for place in random.sample(range(len(right) - 235, len(right)), 3 + g % 2 * 2):
+            right[place] = f"edit{g}x{place}"
+        rows += [(2 * g, " ".join(left)), (2 * g + 1, " ".join(right))]
+        a, b = (shingle_set(t) for _, t in rows[-2:])
+        assert 0.8 <= len(a & b) / len(a | b)
+    got = {r.doc_id: set(r.bands) for r in near_copies.buckets(make(spark, rows), 5, near_copies.BANDS, near_copies.ROWS).collect()}
+    missed = sum(not got[2 * g] & got[2 * g + 1] for g in range(300))
+    assert missed <= 1
+
+
 def test_similarities_of_bounded_sets():
     random.seed(9)
     sets = [np.array(sorted(random.sample(range(30), random.randint(1, 20))), np.uint64) for _ in range(25)]
