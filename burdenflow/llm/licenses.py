@@ -7,7 +7,11 @@ and line breaks stand between them.
 
 Where a text names an identifier after an SPDX tag, or a licence word, the expression that follows is read by a
 shunting-yard parser: `and`, `or`, `with`, parentheses, `with` binding closest and `or` least. An expression
-counts as far as it parses. What it names is a label each; the choice it allows tells how free the text is.
+counts as far as it parses. After an identifier tag and a colon any word-shaped identifier is an operand, also one
+that no list here knows (NONE and NOASSERTION name nothing); after small `and`, `or` or `with`, which running prose
+has too, an unknown one needs a capital, a digit or a hyphen. After the other tags, and without a colon, operands
+start like a known identifier, so that an expression ends where prose goes on. What it names is a label each; the
+choice it allows tells how free the text is, and is null where that hangs on an unknown identifier.
 
 Score: 1 - prod(1 - strength) over the distinct labels found, 0 without any.
 
@@ -17,6 +21,7 @@ repeated results and an empty table none; other columns of the input are not rea
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -51,29 +56,46 @@ NOTICES = {
 }
 #: Words that an expression follows.
 TAGS = ("spdx license identifier", "license expression", "dual licensed under", "licensed under either")
+#: Those of them that with a colon stand before an expression and nothing else.
+NAMING = TAGS[:2]
 #: How sure a label makes it that the text is under a licence.
 STRENGTH = {"base": 0.7, "notice": 0.6, "expression": 0.95}
 #: What an identifier starts with, by family; the licence families that ask nothing of those who pass a text on come first.
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "cc0", "cc-by-4", "cc-by-3", "unlicense", "zlib", "0bsd", "python", "boost", "bsl")
 COPYLEFT = ("gpl", "lgpl", "agpl", "mpl", "epl", "cc-by-sa", "gfdl", "eupl", "cddl")
 _IDENTIFIER = re.compile(r"(?:%s)[a-z0-9.+-]*" % "|".join(sorted((re.escape(p) for p in PERMISSIVE + COPYLEFT + ("cc-by", "licenseref", "artistic")), key=len, reverse=True)))
-_EXPRESSION = re.compile(r"[ \t:*#/]*((?:[a-z0-9][a-z0-9.+-]*|[()]|[ \t]+)+)")
-_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*")
+_EXPRESSION = re.compile(r"([ \t:*#/]*)((?:(?:documentref-[a-z0-9.-]+:)?[a-z0-9][a-z0-9.+-]*|[()]|[ \t]+)+)")
+_TOKEN = re.compile(r"[()]|(?:documentref-[a-z0-9.-]+:)?[a-z0-9][a-z0-9.+-]*", re.I)
+#: What stands in place of an identifier where there is none.
+_NOTHING = ("none", "noassertion")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def parse(expression: str) -> list[str] | None:
-    """The longest start of a licence expression that is one, in postfix order; None if there is none."""
-    tokens = _TOKEN.findall(expression.translate(_LOWER))
+def parse(expression: str, any_name: bool = False) -> list[str] | None:
+    """The longest start of a licence expression that is one, in postfix order; None if there is none.
+
+    any_name: identifiers may be unknown ones.
+    """
+    written = [t.rstrip(".") for t in _TOKEN.findall(expression)]
+    tokens = [t.translate(_LOWER) for t in written]
+    known = [bool(_IDENTIFIER.fullmatch(t)) or any_name and _is_name(written, i) for i, t in enumerate(tokens)]
     for end in range(len(tokens), 0, -1):
-        if (out := _postfix([t.rstrip(".") for t in tokens[:end]])) is not None:
+        if (out := _postfix(tokens[:end], known)) is not None:
             return out
     return None
 
 
-def _postfix(tokens: list[str]) -> list[str] | None:
+def _is_name(written: list[str], at: int) -> bool:
+    """Whether a word after an identifier tag is an identifier, by its form and the operator before it."""
+    name, before = written[at], next((t for t in written[:at][::-1] if t != "("), "")
+    if name.translate(_LOWER) in _NOTHING:
+        return False
+    return before not in _BINDS or bool(re.search(r"[A-Z0-9-]", name))
+
+
+def _postfix(tokens: list[str], known: list[bool]) -> list[str] | None:
     out, waiting, operand = [], [], True  # operand: an identifier or an opening parenthesis must come next
-    for token in tokens:
+    for token, is_identifier in zip(tokens, known):
         if token in _BINDS:
             if operand:
                 return None
@@ -95,7 +117,7 @@ def _postfix(tokens: list[str]) -> list[str] | None:
             waiting.pop()
         else:
             after_with = waiting and waiting[-1] == "with"
-            if not operand or not (after_with or _IDENTIFIER.fullmatch(token)):
+            if not operand or not (after_with or is_identifier):
                 return None
             out.append(token)
             operand = False
@@ -104,16 +126,26 @@ def _postfix(tokens: list[str]) -> list[str] | None:
     return out + waiting[::-1]
 
 
-def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
-    """The identifiers that an expression names, and whether it leaves a choice without copyleft terms."""
-    stack: list[tuple[set[str], bool]] = []
+def both(left: bool | None, right: bool | None) -> bool | None:
+    """`and` of values that may be unknown."""
+    return False if left is False or right is False else None if left is None or right is None else True
+
+
+def either(left: bool | None, right: bool | None) -> bool | None:
+    """`or` of values that may be unknown."""
+    return True if left or right else None if left is None or right is None else False
+
+
+def evaluate(postfix: list[str]) -> tuple[set[str], bool | None]:
+    """The identifiers that an expression names, and whether it leaves a choice without copyleft terms; None if unknown ones decide."""
+    stack: list[tuple[set[str], bool | None]] = []
     for token in postfix:
         if token in _BINDS:
             (right, free), (left, also) = stack.pop(), stack.pop()
             names = left if token == "with" else left | right
-            stack.append((names, also if token == "with" else free or also if token == "or" else free and also))
+            stack.append((names, also if token == "with" else either(also, free) if token == "or" else both(also, free)))
         else:
-            stack.append(({token}, token.startswith(PERMISSIVE)))
+            stack.append(({token}, token.startswith(PERMISSIVE) if _IDENTIFIER.fullmatch(token) else None))
     return stack.pop()
 
 
@@ -125,7 +157,7 @@ class Scanner:
 
         self.automaton = ahocorasick.Automaton()
         found: dict[str, list] = {}
-        for kind, phrases in (("base", base), ("notice", notices), ("tag", dict.fromkeys(TAGS, ""))):
+        for kind, phrases in (("base", base), ("notice", notices), ("tag", dict.fromkeys(TAGS, "") | dict.fromkeys(NAMING, "naming"))):
             for phrase, label in phrases.items():
                 found.setdefault(f" {phrase} ", []).append((kind, label, len(phrase.split())))
         for phrase, uses in found.items():
@@ -151,16 +183,18 @@ class Scanner:
                 elif kind == "notice":
                     labels[label] = max(labels.get(label, 0.0), STRENGTH["notice"])
                 else:
-                    tags.append(number + n)
-        free = None
+                    tags.append((number + n, label))
+        choices = []
         if tags:
             ends = [m.end() for m in _WORD.finditer(lowered)]
-            for after in tags:
+            for after, naming in tags:
                 m = _EXPRESSION.match(lowered, ends[after - 1])
-                if m and (postfix := parse(m[1])):
+                # lower-casing leaves every character in its place
+                if m and (postfix := parse(text[m.start(2) : m.end(2)], bool(naming) and ":" in m[1])):
                     names, choice = evaluate(postfix)
                     labels |= dict.fromkeys(names, STRENGTH["expression"])
-                    free = choice if free is None else free and choice
+                    choices.append(choice)
+        free = functools.reduce(both, choices) if choices else None
         rest = 1.0
         for label in sorted(base | set(labels)):
             rest *= 1 - max(labels.get(label, 0.0), STRENGTH["base"] if label in base else 0.0)
@@ -175,7 +209,7 @@ _scanners: dict[str, Scanner] = {}
 
 
 def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES) -> DataFrame:
-    """One row for each document; free_choice tells whether all its expressions can be met without copyleft terms."""
+    """One row for each document; free_choice tells whether all its expressions can be met without copyleft terms, null if that hangs on an unknown identifier."""
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = repr((base, notices))

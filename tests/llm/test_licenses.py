@@ -63,6 +63,26 @@ def test_expressions(text, names, free):
     assert names <= set(out["labels"].split(",")) and out["free_choice"] is free
 
 
+@pytest.mark.parametrize(
+    "text,names,free",
+    [
+        *((name, {name.lower()}, None) for name in "PostgreSQL OFL-1.1 WTFPL NCSA PSF-2.0 MS-PL OSL-3.0".split()),
+        ("MIT AND OSL-3.0", {"mit", "osl-3.0"}, None),
+        ("MIT OR (OSL-3.0 AND GPL-2.0)", {"mit", "osl-3.0", "gpl-2.0"}, True),
+        ("NCSA AND GPL-2.0-only", {"ncsa", "gpl-2.0-only"}, False),
+        ("MIT and or so", {"mit"}, True),
+        ("MIT and the rest", {"mit"}, True),
+        ("DocumentRef-a:LicenseRef-b AND MIT", {"documentref-a:licenseref-b", "mit"}, None),
+        ("NOASSERTION", set(), None),
+    ],
+)
+def test_identifiers_of_any_name_after_an_identifier_tag(text, names, free):
+    out = licenses.Scanner(licenses.BASE, licenses.NOTICES).scan(f"// SPDX-License-Identifier: {text}\nint x;")
+    assert set(filter(None, out["labels"].split(","))) == names and out["free_choice"] is free
+    prose = licenses.Scanner(licenses.BASE, licenses.NOTICES).scan("dual licensed under whatever terms; the license expression is given")
+    assert (prose["labels"], prose["free_choice"]) == ("", None)
+
+
 def test_no_expression():
     assert [licenses.parse(x) for x in ("", "and", "(", "hello world", ") MIT")] == [None] * 5
 
