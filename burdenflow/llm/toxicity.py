@@ -1,8 +1,12 @@
 """Toxicity scores of texts after noisy-channel deobfuscation.
 
-A token that holds letters together with digits, signs or long runs of one letter, or letters standing alone one
-after another, is read as a noisy form of a word. Its characters become a lattice: each may stand for itself, for
+A token that holds letters together with digits, signs or runs of one letter, or letters of other scripts that look
+like Latin ones, or letters standing alone one after another, is read as a noisy form of a word. A word that is
+common in the corpus is taken as it is, and one with doubled letters that isn't, as the common word that it becomes
+with some of them single, if there is one. Pieces of up to three letters one after another, at least half of them
+uncommon, are also read as one word. Its characters become a lattice: each may stand for itself, for
 the letters it is used for, for a gap between words, or for nothing (a separator, or one more copy of a letter).
+A letter of another script may also stand for itself, so words of that script stay where the corpus has it.
 The Viterbi algorithm finds the best path under the channel's costs and a character language model, whose counts
 of three characters are gathered from all clean words of all documents. Words of the restored text are scored.
 
@@ -18,6 +22,7 @@ score is 0. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -39,6 +44,10 @@ SAMPLE, SEED = 10_000, 29
 TIMES, TERMS = 8.0, 50_000
 #: Words or tokens that a worker holds at a time.
 HELD = 100_000
+#: Words that occur so often, and at least once in so many words, are common; the most frequent ones, so many at most.
+OFTEN, RARE, COMMON = 3, 10_000_000, 50_000
+#: A piece of a word is common if it occurs at least once in so many words; pieces and letters of a word taken apart.
+RARE_PIECE, PIECES, LETTERS_APART = 10_000, 8, 16
 #: Letters that signs and digits are used for, cheapest first.
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
@@ -52,6 +61,10 @@ SYMBOLS = 28
 
 _RUN = re.compile(r"(.)\1\1", re.S)
 _ALONE = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){2,}(?!\S)")
+_PIECES = re.compile(r"(?<![^\s(\"'])[^\W_]{1,3}(?:[ .\-_*][^\W_]{1,3})+(?=[.,;:!?)\"']*(?!\S))")
+_APART = re.compile(r"[ .\-_*]")
+_TWICE = re.compile(r"([^\W\d_])\1")
+_LIKE = re.compile("[%s]" % "".join(c for c in LOOKS if c.isalpha()))
 _EDGES = re.compile(r"^[^\w@$!|<(€£¡*+]+|[^\w]+$|_+$|^_+")
 _known: dict[str, int] = {}
 
@@ -90,8 +103,8 @@ def model_of(counts: np.ndarray) -> np.ndarray:
 class Channel:
     """Restores noisy tokens; the same token is decoded once for each worker process."""
 
-    def __init__(self, log_probabilities: np.ndarray):
-        self.table = log_probabilities.tolist()
+    def __init__(self, log_probabilities: np.ndarray, common: dict[str, bool] | None = None):
+        self.table, self.common = log_probabilities.tolist(), common or {}
 
     def options(self, token: str, at: int) -> list[tuple[str, float]]:
         """What a character may stand for, with its cost; '' is nothing and ' ' a gap."""
@@ -103,6 +116,8 @@ class Channel:
                 out.append(("", COPY if at > 1 and token[at - 2] == c or at + 1 < len(token) and token[at + 1] == c else 3 * COPY))
             return out
         looks = LOOKS.get(c, "")
+        if c.isalpha():
+            out.append((c, 0.0))
         out += [(x, (ANY if len(looks) > 2 else SWAP + 0.3 * i)) for i, x in enumerate(looks)]
         if at and token[at - 1] == c and looks:
             out.append(("", 3 * COPY))
@@ -142,15 +157,32 @@ class Channel:
 def words_of(token: str, channel: Channel) -> list[str]:
     """The words that a token without white space stands for."""
     if token.isalpha() and not _RUN.search(token):
-        return [token.lower()]
+        return plain_words(token.lower(), channel)
     core = _EDGES.sub("", token)
     if not core or not any(c.isalpha() for c in core) and len(core) < 3:
         return []
     if core.isalpha() and not _RUN.search(core):
-        return [core.lower()]
+        return plain_words(core.lower(), channel)
     return channel.restore(core).split()
 
 
+def plain_words(word: str, channel: Channel) -> list[str]:
+    """The words behind a word of letters, which is kept if it is common or holds neither doubled letters nor look-alikes."""
+    if word in channel.common:
+        return [word]
+    if _LIKE.search(word):
+        return channel.restore(word).split()
+    places = [m.start() for m in _TWICE.finditer(word)]
+    if not places:
+        return [word]
+    for n in range(1, len(places) + 1 if len(places) <= 6 else 1):
+        for dropped in itertools.combinations(places, n):
+            single = "".join(c for i, c in enumerate(word) if i not in dropped)
+            if single in channel.common:
+                return [single]
+    return channel.restore(word).split()
+
+
 def terms_of(word: str) -> list[str]:
     """A word and its beginnings, which are marked by a hyphen."""
     return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) >= n)]
@@ -161,35 +193,71 @@ def joined_letters(text: str) -> list[str]:
     return [m[0].replace(" ", "") for m in _ALONE.finditer(text)]
 
 
-def character_counts(docs: DataFrame) -> DataFrame:
-    """Counts of three symbols over the clean words of all documents: triple, n."""
+def joined_pieces(text: str, common: dict[str, bool]) -> set[str]:
+    """What short pieces one after another give as one word, where at least half of them are uncommon by themselves."""
+    out: set[str] = set()
+    for run in _PIECES.finditer(text):
+        pieces = _APART.split(run[0].lower())
+        odd = [not p.isdigit() and not common.get(p, False) for p in pieces]
+        if not any(odd):
+            continue
+        for start in range(len(pieces) - 1):
+            word, n = pieces[start], int(odd[start])
+            for end in range(start + 1, min(len(pieces), start + PIECES)):
+                word, n = word + pieces[end], n + odd[end]
+                if len(word) > LETTERS_APART:
+                    break
+                if 2 * n >= end - start + 1 and len(word) > 2:
+                    out.add(word)
+    return out
+
+
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """Counts of three symbols over the clean words of all documents, and of these words: triple or word, n."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, words = np.zeros(SYMBOLS**3, np.int64), Counter()
 
         def flush():
-            total[:] += triples(Counter({w: n for w, n in words.items() if w.isalpha() and not _RUN.search(w)}))
+            clean = Counter({w: n for w, n in words.items() if w.isalpha() and not _RUN.search(w)})
+            total[:] += triples(clean)
             words.clear()
+            lowered = Counter()
+            for w, n in clean.items():
+                if len(w) <= 24:
+                    lowered[w.lower()] += n
+            return pd.DataFrame({"triple": pd.Series([None] * len(lowered), dtype="Int32"), "word": pd.Series(list(lowered), dtype=object), "n": pd.Series(list(lowered.values()), dtype="int64")})
 
         for batch in batches:
             for text in batch["text"]:
                 words.update((text or "").split())
                 if len(words) > HELD:
-                    flush()
-        flush()
+                    yield flush()
+        yield flush()
         found = np.flatnonzero(total)
-        yield pd.DataFrame({"triple": found, "n": total[found]})
+        yield pd.DataFrame({"triple": found, "word": pd.Series([None] * len(found), dtype=object), "n": total[found]})
+
+    counts = map_slices(docs.select("text"), counted, "triple int, word string, n long")
+    return counts.groupBy("triple", "word").agg(F.sum("n").alias("n"))
+
+
+def character_counts(docs: DataFrame) -> DataFrame:
+    """Counts of three symbols over the clean words of all documents: triple, n."""
+    return corpus_counts(docs).filter("triple is not null").select("triple", "n")
 
-    counts = map_slices(docs.select("text"), counted, "triple int, n long")
-    return counts.groupBy("triple").agg(F.sum("n").alias("n"))
 
+def language(docs: DataFrame) -> tuple[np.ndarray, dict[str, bool]]:
+    """The character model of a corpus, and its common words with whether they are common as pieces too.
 
-def character_model(docs: DataFrame) -> np.ndarray:
-    """The language model of a corpus; at most SYMBOLS ** 3 counts come to the driver."""
+    At most SYMBOLS ** 3 counts and COMMON words come to the driver.
+    """
+    kept = keep(corpus_counts(docs).filter(F.col("triple").isNotNull() | (F.col("n") >= OFTEN)), "toxicity-counts")
     counts = np.zeros(SYMBOLS**3, np.int64)
-    for row in character_counts(docs).collect():
+    for row in kept.filter("triple is not null").collect():
         counts[row["triple"]] = row["n"]
-    return model_of(counts)
+    n_words = int(counts.reshape(-1, SYMBOLS)[:, 0].sum())
+    words = kept.filter("word is not null").filter(F.col("n") * RARE >= n_words).orderBy(F.desc("n"), "word").limit(COMMON)
+    return model_of(counts), {r["word"]: r["n"] * RARE_PIECE >= n_words for r in words.collect()}
 
 
 def document_terms(text: str | None, channel: Channel, memory: dict) -> set[str]:
@@ -202,6 +270,8 @@ def document_terms(text: str | None, channel: Channel, memory: dict) -> set[str]
             known = tuple(t for w in words_of(token, channel) for t in terms_of(w))
             remember(memory, token, known)
         out.update(known)
+    for word in joined_pieces(text, channel.common):
+        out.update(words_of(word, channel))
     return out
 
 
@@ -212,11 +282,11 @@ def remember(memory: dict, key, value, most: int = HELD) -> None:
         memory[key] = value
 
 
-def term_counts(sampled: DataFrame, model: np.ndarray) -> DataFrame:
+def term_counts(sampled: DataFrame, model: np.ndarray, common: dict[str, bool] | None = None) -> DataFrame:
     """Documents of each label and half of the sample that hold a term: term, toxic0, toxic1, clean0, clean1."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        channel, memory, counts = Channel(model), {}, [Counter() for _ in range(4)]
+        channel, memory, counts = Channel(model, common), {}, [Counter() for _ in range(4)]
         for batch in batches:
             for text, label, half in zip(batch["text"], batch["label"], batch["half"]):
                 counts[2 * (label == 0) + half].update(document_terms(text, channel, memory))
@@ -247,8 +317,8 @@ def evidence(weights: list[float], size: int) -> list[float]:
 class Scorer:
     """Weights of tokens under one set of terms."""
 
-    def __init__(self, model: np.ndarray, terms: dict[str, float]):
-        self.channel, self.terms, self.memory = Channel(model), terms, {}
+    def __init__(self, model: np.ndarray, terms: dict[str, float], common: dict[str, bool] | None = None):
+        self.channel, self.terms, self.memory = Channel(model, common), terms, {}
 
     def weight(self, token: str) -> tuple[tuple[str, float], ...]:
         """Of each word behind the token, the word's beginning (or the word) that says most, if any does."""
@@ -271,18 +341,20 @@ class Scorer:
                 remember(memory, token, known)
             if known:
                 found.update(known)
+        for word in joined_pieces(text, self.channel.common):
+            found.update((w, self.terms[w]) for w in words_of(word, self.channel) if w in self.terms)
         return evidence(list(found.values()), len(tokens))
 
 
 class Model:
     """Everything that scoring needs, learned once."""
 
-    def __init__(self, characters: np.ndarray, terms: dict[str, float], weights: np.ndarray | None):
-        self.characters, self.terms, self.weights = characters, terms, weights
+    def __init__(self, characters: np.ndarray, terms: dict[str, float], weights: np.ndarray | None, common: dict[str, bool] | None = None):
+        self.characters, self.terms, self.weights, self.common = characters, terms, weights, common
 
     def scorer(self):
         """Scores of texts, with a memory for tokens seen before."""
-        scorer = Scorer(self.characters, self.terms)
+        scorer = Scorer(self.characters, self.terms, self.common)
         return lambda texts: self.scores(np.array([scorer.evidence(t) for t in texts], float).reshape(len(texts), len(evidence([], 0))))
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
@@ -301,7 +373,7 @@ def chosen(counts: pd.DataFrame, toxic: list[str], clean: list[str], n_toxic: in
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
     """Learn from at most `sample` documents of each label for which the condition holds, and the characters of all."""
-    characters = character_model(docs)
+    characters, common = language(docs)
     known = keep(docs.select("doc_id").filter(train).distinct().join(labels_of(labels, "toxic"), "doc_id"), "toxicity-labelled")
     labelled = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     ids = keep(bounded(known.filter("label = 1"), sample, SEED).unionByName(bounded(known.filter("label = 0"), sample, SEED)), "toxicity-sample")
@@ -310,15 +382,15 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
     size = {(r["label"], r["half"]): r["n"] for r in sampled.groupBy("label", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = [[size.get((label, half), 0) for half in (0, 1)] for label in (1, 0)]
     if not sum(n[0]) or not sum(n[1]):
-        return Model(characters, {}, None)
-    counts = term_counts(sampled, characters)
+        return Model(characters, {}, None, common)
+    counts = term_counts(sampled, characters, common)
     rate = (F.col("toxic0") + F.col("toxic1")) / sum(n[0])
     held = counts.filter("toxic0 + toxic1 >= 2").filter(rate >= TIMES / 2 * (F.col("clean0") + F.col("clean1")) / sum(n[1]))
     held = held.orderBy(F.desc(F.col("toxic0") + F.col("toxic1")), "term").limit(4 * TERMS).toPandas()
     halves = [chosen(held, [f"toxic{h}"], [f"clean{h}"], n[0][h], n[1][h]) for h in (0, 1)]
 
     def other_half(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorers = [Scorer(characters, terms) for terms in halves]
+        scorers = [Scorer(characters, terms, common) for terms in halves]
         for batch in batches:
             rows = [scorers[1 - half].evidence(text) for text, half in zip(batch["text"], batch["half"])]
             yield pd.DataFrame({"label": batch["label"], "row": rows})
@@ -328,7 +400,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
     order = np.lexsort(np.c_[x, y].T)  # the sum must not depend on the order in which rows come
     times = np.array([labelled[label] / min(sample, labelled[label]) for label in y.tolist()])
     weights = logistic(np.c_[x, np.ones(len(x))][order], y[order], 1e-4, times=times[order])
-    return Model(characters, chosen(held, ["toxic0", "toxic1"], ["clean0", "clean1"], sum(n[0]), sum(n[1])), weights)
+    return Model(characters, chosen(held, ["toxic0", "toxic1"], ["clean0", "clean1"], sum(n[0]), sum(n[1])), weights, common)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

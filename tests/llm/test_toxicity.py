@@ -71,6 +71,34 @@ def test_disguised_words_are_found(learned, disguise):
     assert (scores(model, plain) < 0.5).all()
 
 
+@pytest.mark.parametrize(
+    "disguise",
+    [
+        lambda w: w[:2] + w[2] + w[2:],
+        lambda w: w[:4] + w[4] + w[4:6] + w[6] + w[6:],
+        lambda w: w.translate(str.maketrans("oae", "\u043e\u0430\u0435")),
+        lambda w: f"{w[:2]} {w[2:5]} {w[5:6]} {w[6:8]} {w[8:]}".strip(),
+    ],
+)
+def test_light_disguises_are_found(learned, disguise):
+    rows, _, _, model = learned
+    score = model.scorer()
+    plain = [" ".join(t.split()[:12]) for _, t, y in rows if not y][:60]
+    toxic = [f"{t} {disguise(BAD[i % 2])} {t}" for i, t in enumerate(plain)]
+    assert (score(toxic) >= 0.5).mean() > 0.85
+    assert (score(plain) < 0.5).all()
+
+
+def test_common_words_stay_as_they_are(spark):
+    texts = ["see the book and the little letter of all good people", "\u043e\u043d\u0430 \u0441\u0435\u043b\u0430 \u0440\u043e\u0441\u0430"] * 5
+    docs = spark.createDataFrame([(i, t, "", 0, 0) for i, t in enumerate(texts)], DOCS)
+    channel = toxicity.Channel(*toxicity.language(docs))
+    for word in " ".join(texts[:2]).split():
+        assert toxicity.words_of(word, channel) == [word]
+    assert toxicity.words_of("peoople", channel) == ["people"]
+    assert toxicity.joined_pieces("see the of and all", channel.common) == set()
+
+
 def test_the_path_is_the_best_of_all():
     words = Counter("their other there these idiot radio".split())
     table = toxicity.model_of(toxicity.triples(words))
