@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burdenflow.llm import licenses, main_text, mixing, near_copies, packing, quality, search, spots, token_planes, toxicity
+from burdenflow.llm import licenses, main_text, mixing, near_copies, packing, quality, ranked, search, spots, token_planes, toxicity
 from burdenflow.llm.store import new_folder
 from burdenflow.llm.tokens import default_vocabulary
 
@@ -99,3 +99,37 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from preferences between labelled ones."""
     return quality.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_range_maximum_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id", k=20)
+
+
+ORACLE["op13_range_maximum_search"] = r"""
+WITH split AS (
+    SELECT row_number() OVER () AS doc, doc_id,
+        regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents WHERE text IS NOT NULL
+), held AS (
+    SELECT doc, doc_id, len(terms) AS n, unnest(terms) AS term FROM split WHERE len(terms) > 0
+), totals AS (
+    SELECT count(DISTINCT doc) AS n_all, count(*) AS l_all FROM held
+), postings AS (
+    SELECT doc, doc_id, n, term, count(*) AS tf FROM held GROUP BY doc, doc_id, n, term
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term, n_all
+), asked AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE text IS NOT NULL
+), repeated AS (
+    SELECT item_id, term, count(*) AS repeats FROM asked GROUP BY item_id, term
+), scored AS (
+    SELECT item_id, doc, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_all) // l_all))))) AS BIGINT) AS score
+    FROM repeated JOIN postings USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc, doc_id
+), ranked AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
