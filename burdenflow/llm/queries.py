@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burdenflow.llm import licenses, main_text, mixing, near_copies, packing, quality, ranked, search, spots, token_planes, toxicity
+from burdenflow.llm import licenses, main_text, mixing, near_copies, packing, quality, ranked, search, spots, token_planes, toxicity, web_archives
 from burdenflow.llm.store import new_folder
 from burdenflow.llm.tokens import default_vocabulary
 
@@ -101,6 +101,31 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op12_zip_packaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record of every page, written into ZIP packages and read back by ranges."""
+    folder = new_folder(spark, "web-archives")
+    web_archives.write_packages(table(spark, sf_dir, "pages"), folder, zip64=True)
+    found = web_archives.read_records(spark, folder, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op12_zip_packaged_warc"] = """
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), groups AS (
+    SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(hex, CAST(5 * i + 1 AS INTEGER), 5) AS INTEGER)) AS parts, min(page_id) OVER (PARTITION BY html) AS first
+    FROM payloads
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+        lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> s) & 31) + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM groups
+"""
+
+
 @query
 def op13_range_maximum_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for every benchmark item."""
