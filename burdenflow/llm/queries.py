@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burdenflow.llm import licenses, main_text, mixing, near_copies, packing, quality, ranked, search, spots, token_planes, toxicity, web_archives
+from burdenflow.llm import audits, licenses, main_text, mixing, near_copies, packing, quality, ranked, search, spots, token_planes, toxicity, web_archives
 from burdenflow.llm.store import new_folder
 from burdenflow.llm.tokens import default_vocabulary
 
@@ -101,6 +101,12 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_persistent_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and the audit of its cheapest repair."""
+    return audits.repair_audits(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op12_zip_packaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A WARC record of every page, written into ZIP packages and read back by ranges."""

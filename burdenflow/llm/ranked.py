@@ -74,8 +74,8 @@ class Block:
         self.terms.extend(map(self.vocabulary.__getitem__, found))
         self.counts.extend(found.values())
 
-    def full(self) -> bool:
-        return len(self.doc_ids) >= DOCUMENTS or len(self.terms) >= POSTINGS
+    def full(self, documents: int) -> bool:
+        return len(self.doc_ids) >= documents or len(self.terms) >= POSTINGS
 
     def row(self, number: int, lead: bool) -> tuple:
         ids, lengths = np.array(self.doc_ids, np.int64), np.array(self.lengths, np.int64)
@@ -90,7 +90,7 @@ class Block:
         return number, lead, int((lengths > 0).sum()), int(lengths.sum()), *heads, list(self.vocabulary), *packed
 
 
-def build_index(docs: DataFrame) -> DataFrame:
+def build_index(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """Write the index of documents doc_id, text to the shared folder and read it back."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,7 +103,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 block.add(LAST if pd.isna(doc_id) else int(doc_id), terms_of(text))
-                if block.full():
+                if block.full(documents):
                     yield frame()
                     block, number = Block(), number + 1
         if block.doc_ids:
@@ -274,9 +274,9 @@ def _search(index: DataFrame, items: list, weights: dict[bytes, int], totals: tu
     return index.mapInArrow(searched, "item long, key long, doc_id long, score long")
 
 
-def rank(docs: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
+def rank(docs: DataFrame, queries: DataFrame, key: str, k: int, documents: int = DOCUMENTS) -> DataFrame:
     """The k best documents of each query row (key, text): key, rank, doc_id, score."""
-    index = build_index(docs)
+    index = build_index(docs, documents)
     items = _items(queries, key)
     sums = index.agg(F.coalesce(F.sum("filled"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     totals, n_terms = (sums[0], sums[1]), items.agg(F.sum(F.size("terms"))).first()[0] or 0
