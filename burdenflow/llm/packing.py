@@ -110,7 +110,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = WINDOW) -> Da
     names = [x.split()[0] for x in PIECE.split(", ")]
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, packer = encoder(vocabulary).encode, Packer(window)
+        encode_all, packer = encoder(vocabulary).encode_all, Packer(window)
         waiting: dict[int, list] = {}  # documents of open windows: id, ids, tokens not yet written
         number, sequence = 0, TaskContext.get().partitionId() * PER_TASK
 
@@ -129,8 +129,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = WINDOW) -> Da
 
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = encode(text, end)
+            for doc_id, ids in zip(batch["doc_id"], encode_all(batch["text"], end)):
                 waiting[number] = [None if pd.isna(doc_id) else int(doc_id), ids, len(ids) // 4]
                 out.extend(rows(packer.add(number, len(ids) // 4)))
                 number += 1

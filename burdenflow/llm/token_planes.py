@@ -66,7 +66,7 @@ def write_tokens(
     """Encode the texts, add the end id to each and write them to the folder in ascending doc_id order."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, shard = encoder(vocabulary).encode, TaskContext.get().partitionId()
+        encode_all, shard = encoder(vocabulary).encode_all, TaskContext.get().partitionId()
         held, parts, room, number, at = [], [], block, 0, 0
 
         def row():
@@ -76,8 +76,7 @@ def write_tokens(
         names = ["shard", "block", "first", "n", "kind", "planes", "parts"]
         for batch in batches:
             done = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = encode(text, end)
+            for doc_id, ids in zip(batch["doc_id"], encode_all(batch["text"], end)):
                 n, start = len(ids) // 4, 0
                 while start < n:
                     length = min(room, n - start)

@@ -10,9 +10,9 @@ import pytest
 
 from __spark_entry__ import oracle_sql, queries
 from burdenflow.llm.queries import ORACLE, REGISTRY
-from burdenflow.llm.tokens import default_vocabulary, encoder
 from check import TABLES, bag, unlike
 from tests.llm import test_licenses, test_mixing, test_near_copies, test_spots
+from tests.llm.test_tokens import library
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not found")
@@ -33,11 +33,11 @@ def crc(ids):
 
 
 def encoded(text, end):
-    return encoder(default_vocabulary()).tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
+    return library().encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def test_each_operator_has_a_query():
-    assert [sum(n.startswith(f"op{k}_") for n in REGISTRY) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in REGISTRY) for k in range(1, 14)] == [1] * 13
     assert set(REGISTRY) | {"pipeline"} <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 

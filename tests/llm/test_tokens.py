@@ -2,12 +2,14 @@
 
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from burdenflow.llm import packing, token_planes
+from burdenflow.llm import packing, token_planes, tokens
 from burdenflow.llm.store import new_folder
 from burdenflow.llm.tokens import default_vocabulary, encoder
 
@@ -18,8 +20,13 @@ TEXTS = [
 ]
 
 
+@cache
+def library():
+    return Tokenizer.from_file(default_vocabulary())
+
+
 def ids_of(text, end):
-    return encoder(default_vocabulary()).tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
+    return library().encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def crc(ids):
@@ -33,9 +40,30 @@ def frame(spark, rows):
 def test_pieces_give_the_ids_of_whole_texts():
     random.seed(7)
     letters = list("ab1.é,_×ª/\n\t  \x1c\x85 'sß你²") + ["<|endoftext|>", " ", "  "]
-    encode = encoder(default_vocabulary()).encode
-    for text in TEXTS + ["".join(random.choices(letters, k=random.randint(0, 25))) for _ in range(4000)]:
-        assert np.frombuffer(encode(text, 2), "<u4").tolist() == ids_of(text, 2)
+    own = encoder(default_vocabulary())
+    texts = TEXTS + ["".join(random.choices(letters, k=random.randint(0, 25))) for _ in range(4000)]
+    want = [ids_of(text, 2) for text in texts]
+    assert [np.frombuffer(own.encode(text, 2), "<u4").tolist() for text in texts] == want
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode_all(texts, 2)] == want
+
+
+def test_groups_of_texts_give_the_ids_of_whole_texts(monkeypatch):
+    """Texts with single spaces and line ends, words of all lengths, signs after them; small groups, a memory that overflows."""
+    random.seed(8)
+    words = ["don't", "I'll", "x²", "5€", "a.b", "é", "日本語", "w" * 23, "w" * 24, "w" * 25, "Straße", "'", "...", "1.5", "", *(f"v{i}" for i in range(300))]
+    stops = ["", "", "", ".", ",", "!", "!!", ".'", "$$$"]
+    texts = ["".join(random.choice(words) + random.choice(stops) + random.choice("   \n") for _ in range(random.randrange(40))) for _ in range(600)]
+    texts += [text.strip().replace("  ", " ") for text in texts] + [random.choice(TEXTS) for _ in range(50)]
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    for group in (1, 500, 10**6):
+        monkeypatch.setattr(tokens, "GROUP", group)
+        own = tokens.Encoder(default_vocabulary())
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode_all(texts, 1)] == [ids_of(text, 1) for text in texts]
+
+
+def test_added_tokens_are_tokens():
+    text = "a <|endoftext|> b"
+    assert ids_of(text, 1) == [64, 220, 50256, 275, 1] == np.frombuffer(encoder(default_vocabulary()).encode(text, 1), "<u4").tolist()
 
 
 @pytest.mark.parametrize("kind", ["bit", "byte"])
