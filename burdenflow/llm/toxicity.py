@@ -55,6 +55,8 @@ LOOKS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ο": "o", "α": "a", "ι": "i",
 }
 SWAP, ANY, DROP, COPY, GAP = 1.5, 4.0, 1.0, 1.0, 2.5
+#: What reading a sign costs more than dropping it, at least; tokens above so many characters are decided piece by piece.
+SPARE, LONG_TOKEN = 0.5, 200
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Symbols of the model: the edge of a word, the letters, any other letter.
 SYMBOLS = 28
@@ -66,6 +68,11 @@ _APART = re.compile(r"[ .\-_*]")
 _TWICE = re.compile(r"([^\W\d_])\1")
 _LIKE = re.compile("[%s]" % "".join(c for c in LOOKS if c.isalpha()))
 _EDGES = re.compile(r"^[^\w@$!|<(€£¡*+]+|[^\w]+$|_+$|^_+")
+_SIGNS = re.compile(r"([^\w\s])\1+")
+_FREE = re.compile(r"(?:([a-z])(?!\1))+(?![^\W\d_])|(?:([a-z])(?!\2))+(?=[a-z])")
+_PAIR = re.compile(r"(.)\1", re.S | re.I)
+_STOPS = (".", ",", ";", ":", "!", "?")
+_AGAIN = re.compile(r"(.)\1+", re.S)
 _known: dict[str, int] = {}
 
 
@@ -79,17 +86,20 @@ def symbol(letter: str) -> int:
 
 def triples(words: Counter) -> np.ndarray:
     """How often three symbols follow each other, in words with their counts; two edges stand before a word and one after."""
-    total = np.zeros(SYMBOLS**3, np.int64)
     if not words:
-        return total
-    coded = [[0, 0, *map(symbol, w), 0] for w in words]
-    line = np.concatenate([np.array(c) for c in coded])
-    weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(c) for c in coded])
-    place = np.concatenate([np.arange(len(c)) for c in coded])
+        return np.zeros(SYMBOLS**3, np.int64)
+    letters, coded = np.unique(np.frombuffer("".join(words).encode("utf-32-le"), "<u4"), return_inverse=True)
+    coded = np.array([symbol(chr(c)) for c in letters.tolist()])[coded]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    line = np.zeros(len(coded) + 3 * len(words), np.int64)
+    line[np.arange(len(coded)) + np.repeat(3 * np.arange(len(words)) + 2, sizes)] = coded
+    weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes + 3)
+    ends = np.cumsum(sizes + 3)
+    inside = np.ones(len(line), bool)  # a triple is counted where it ends, from the third place of a word on
+    inside[ends - sizes - 3] = inside[ends - sizes - 2] = False
     number = line[:-2] * SYMBOLS**2 + line[1:-1] * SYMBOLS + line[2:]
-    inside = place[2:] >= 2
-    np.add.at(total, number[inside], weight[2:][inside])
-    return total
+    inside = inside[2:]
+    return np.bincount(number[inside], weight[2:][inside], SYMBOLS**3).astype(np.int64)
 
 
 def model_of(counts: np.ndarray) -> np.ndarray:
@@ -105,6 +115,7 @@ class Channel:
 
     def __init__(self, log_probabilities: np.ndarray, common: dict[str, bool] | None = None):
         self.table, self.common = log_probabilities.tolist(), common or {}
+        self.signs = math.ceil(3 * -float(log_probabilities.min()) / SPARE) + 1
 
     def options(self, token: str, at: int) -> list[tuple[str, float]]:
         """What a character may stand for, with its cost; '' is nothing and ' ' a gap."""
@@ -129,29 +140,62 @@ class Channel:
             out.append((" ", 3 * GAP))
         return out
 
+    def shortened(self, token: str) -> str:
+        """Long runs of one sign cut to a length at which a longer run gives the same text.
+
+        A path that reads a sign as a letter or a gap pays at least SPARE more than one that drops it, and dropping it
+        changes the model's price of three symbols at most. So no best path reads more of a run's signs than
+        `self.signs`; the others are dropped, which costs every path the same.
+        """
+        return _SIGNS.sub(lambda run: run[0][: self.signs], token) if len(token) > self.signs else token
+
     def restore(self, token: str) -> str:
-        """The likeliest text behind a token, by Viterbi over the last two symbols."""
-        token, table = token.lower(), self.table
-        paths = {(0, 0): (0.0, "")}
-        for at in range(len(token)):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in paths.items():
-                for mark, price in self.options(token, at):
+        """The likeliest text behind a token, by Viterbi over the last two symbols.
+
+        A path is a chain of marks, each linked to those before it. Where one state is left, all paths have one
+        beginning, which is decided; in a long token, letters that can only stand for themselves are then passed over.
+        """
+        token, table, decided, at = self.shortened(token.lower()), self.table, [], 0
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        while at < len(token):
+            if len(paths) == 1 and len(token) > LONG_TOKEN:
+                ((a, b), (cost, chain)), = paths.items()
+                decided.append(marks_of(chain))
+                run = _FREE.match(token, at)
+                if run and not (at and token[at - 1] == token[at]):
+                    decided.append(run[0])
+                    a, b, at = symbol(run[0][-2]) if len(run[0]) > 1 else b, symbol(run[0][-1]), run.end()
+                paths = {(a, b): (0.0, None)}
+                if at == len(token):
+                    break
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            options = self.options(token, at)
+            for (a, b), (cost, chain) in paths.items():
+                for mark, price in options:
                     if not mark:
-                        key, total, now = (a, b), cost + price, text
+                        key, total, now = (a, b), cost + price, chain
                     elif mark == " ":
                         if b == 0:
-                            key, total, now = (a, b), cost + price, text
+                            key, total, now = (a, b), cost + price, chain
                         else:
-                            key, total, now = (0, 0), cost + price - table[a][b][0], text + " "
+                            key, total, now = (0, 0), cost + price - table[a][b][0], (" ", chain)
                     else:
                         s = symbol(mark)
-                        key, total, now = (b, s), cost + price - table[a][b][s], text + mark
+                        key, total, now = (b, s), cost + price - table[a][b][s], (mark, chain)
                     if key not in after or total < after[key][0]:
                         after[key] = (total, now)
-            paths = after
-        ends = [(cost - (table[a][b][0] if b else 0.0), text) for (a, b), (cost, text) in paths.items()]
-        return min(ends)[1].strip()
+            paths, at = after, at + 1
+        ends = [(cost - (table[a][b][0] if b else 0.0), chain) for (a, b), (cost, chain) in paths.items()]
+        least = min(cost for cost, _ in ends)
+        return ("".join(decided) + min(marks_of(chain) for cost, chain in ends if cost == least)).strip()
+
+
+def marks_of(chain: tuple | None) -> str:
+    out = []
+    while chain is not None:
+        mark, chain = chain
+        out.append(mark)
+    return "".join(reversed(out))
 
 
 def words_of(token: str, channel: Channel) -> list[str]:
@@ -318,10 +362,35 @@ class Scorer:
     """Weights of tokens under one set of terms."""
 
     def __init__(self, model: np.ndarray, terms: dict[str, float], common: dict[str, bool] | None = None):
-        self.channel, self.terms, self.memory = Channel(model, common), terms, {}
+        self.channel, self.terms = Channel(model, common), terms
+        single = {t: _AGAIN.sub(r"\1", t.removesuffix("-")) for t in terms}
+        self.whole = {c for t, c in single.items() if not t.endswith("-")}
+        self.heads = {c for t, c in single.items() if t.endswith("-")}
+        self.lengths = sorted({len(c) for c in self.heads})
+        # tokens known to say nothing, in two generations, and the words of others
+        self.nothing, self.older, self.words = set(), set(), {}
+
+    def may_say(self, token: str) -> bool:
+        """Whether a term may stand behind the token: False only if none can.
+
+        Letters without look-alikes are read as themselves or, repeated, as one of them, so without repeats the word
+        behind them begins as they do, and as its terms do.
+        """
+        core = token[:-1] if token[-1:] in _STOPS else token
+        if not core.isalpha() or _LIKE.search(core):
+            return True
+        head = _AGAIN.sub(r"\1", core.lower()) if _PAIR.search(core) else core.lower()
+        if head in self.whole:
+            return True
+        for n in self.lengths:
+            if head[:n] in self.heads:
+                return True
+        return False
 
     def weight(self, token: str) -> tuple[tuple[str, float], ...]:
         """Of each word behind the token, the word's beginning (or the word) that says most, if any does."""
+        if not self.may_say(token):
+            return ()
         out = []
         for word in words_of(token, self.channel):
             best = max((self.terms[t] for t in terms_of(word) if t in self.terms), default=0.0)
@@ -333,18 +402,29 @@ class Scorer:
         text = text or ""
         tokens = {*text.split(), *joined_letters(text)}
         found: dict[str, float] = {}
-        memory = self.memory
-        for token in tokens:
-            known = memory.get(token)
+        for token in tokens - self.nothing:
+            if token in self.older:
+                self.passed(token)
+                continue
+            known = self.words.get(token)
             if known is None:
                 known = self.weight(token)
-                remember(memory, token, known)
-            if known:
-                found.update(known)
+                if known:
+                    remember(self.words, token, known)
+                else:
+                    self.passed(token)
+            found.update(known)
         for word in joined_pieces(text, self.channel.common):
-            found.update((w, self.terms[w]) for w in words_of(word, self.channel) if w in self.terms)
+            if self.may_say(word):
+                found.update((w, self.terms[w]) for w in words_of(word, self.channel) if w in self.terms)
         return evidence(list(found.values()), len(tokens))
 
+    def passed(self, token: str) -> None:
+        if len(token) <= 64:
+            if len(self.nothing) >= HELD:
+                self.nothing, self.older = set(), self.nothing
+            self.nothing.add(token)
+
 
 class Model:
     """Everything that scoring needs, learned once."""

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -171,3 +172,75 @@ def test_a_small_sample_leaves_the_decisions_as_they_are(spark):
     whole, bounded = (scores(toxicity.learn(docs, labels, train, sample=n), some) for n in (10_000, 300))
     assert ((whole >= 0.5) == [False, False, True]).all()
     assert ((bounded >= 0.5) == (whole >= 0.5)).all() and abs(bounded - whole).max() < 0.25
+
+
+def test_triples_are_counted_word_by_word():
+    words = Counter({"a": 3, "héllo": 2, "日本": 5, "Zz": 1, "": 4})
+    want = np.zeros(toxicity.SYMBOLS**3, np.int64)
+    for word, n in words.items():
+        line = [0, 0, *map(toxicity.symbol, word), 0]
+        for x, y, z in zip(line, line[1:], line[2:]):
+            want[x * toxicity.SYMBOLS**2 + y * toxicity.SYMBOLS + z] += n
+    assert (toxicity.triples(words) == want).all()
+
+
+def plainly_restored(channel, token):
+    """Whole strings in the paths, nothing shortened or passed over."""
+    token, paths = token.lower(), {(0, 0): (0.0, "")}
+    for at in range(len(token)):
+        after = {}
+        for (a, b), (cost, text) in paths.items():
+            for mark, price in channel.options(token, at):
+                if not mark or mark == " " and b == 0:
+                    key, total, now = (a, b), cost + price, text
+                elif mark == " ":
+                    key, total, now = (0, 0), cost + price - channel.table[a][b][0], text + " "
+                else:
+                    s = toxicity.symbol(mark)
+                    key, total, now = (b, s), cost + price - channel.table[a][b][s], text + mark
+                if key not in after or total < after[key][0]:
+                    after[key] = (total, now)
+        paths = after
+    return min((cost - (channel.table[a][b][0] if b else 0.0), text) for (a, b), (cost, text) in paths.items())[1].strip()
+
+
+def test_linked_paths_give_the_same(monkeypatch):
+    """Also where long tokens are decided piece by piece, and runs of signs are shortened."""
+    rng = random.Random(5)
+    text = "the thing inside another letter hello idiot mornings".split()
+    channel = toxicity.Channel(toxicity.model_of(toxicity.triples(Counter(text * 20))))
+    tokens = ["".join(rng.choices("aabeeiotthlors0134@$*.!-é", k=rng.randrange(1, 40))) for _ in range(400)]
+    tokens += ["h3ll0" + "*" * n + "1d1ot" for n in (3, 20, 60, 200)]
+    for long_token in (200, 5):
+        monkeypatch.setattr(toxicity, "LONG_TOKEN", long_token)
+        for token in tokens:
+            assert channel.restore(token) == plainly_restored(channel, token)
+
+
+def test_long_tokens_take_time_in_proportion():
+    channel = toxicity.Channel(toxicity.model_of(toxicity.triples(Counter({"letter": 5, "word": 3}))))
+    rng = random.Random(6)
+    for token in ("*" * 10**6, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=10**6)), "a" * 10**4):
+        start = time.process_time()
+        channel.restore(token)
+        assert time.process_time() - start < 4
+    letters = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=20_000))
+    times = []
+    for token in (letters[:5000], letters):
+        start = time.process_time()
+        channel.restore(token)
+        times.append(time.process_time() - start)
+    assert times[1] < 12 * times[0]
+
+
+def test_tokens_that_say_nothing_are_known_without_decoding():
+    """may_say() is false only where no term stands behind a token."""
+    rng = random.Random(7)
+    text = "idiot moron hello letter bookkeeper a at the addiction".split()
+    terms = {"idiot": 2.0, "idio-": 1.0, "hell-": 1.5, "bookk-": 1.2, "a": 0.5, "lette-": 0.4}
+    scorer = toxicity.Scorer(toxicity.model_of(toxicity.triples(Counter(text * 9))), terms, {"hello": True, "bookkeeper": True, "the": True})
+    for word in text * 30:
+        token = "".join(c * rng.choice([1, 1, 1, 2, 3]) for c in word) + rng.choice(["", ".", "!!", "x"])
+        found = [w for w in toxicity.words_of(token, scorer.channel) if any(t in terms for t in toxicity.terms_of(w))]
+        assert scorer.may_say(token) or not found
+    assert not scorer.may_say("zebra.")
