@@ -323,14 +323,13 @@ def sampled_draws(t: Case) -> DataFrame:
     return posterior.sampled_parameters(t.draws_wide(), SAMPLE, "beta|alpha_parm|sigma|PR_crit")
 
 
-def _curves(t: Case) -> dict[int, DataFrame]:
+def _curves(t: Case, *places: int) -> dict[int, DataFrame]:
     draws = t.draws_wide()
     upper = posterior.upper_prevalence(draws, t.studies())
-    return {
-        1: posterior.fitted_curve(draws, "logistic", 500, upper, "a. anaemia"),
-        2: posterior.fitted_curve(draws, "linear", 100, upper, "b. respiratory distress"),
-        3: posterior.fitted_curve(draws, "intercept", 100, upper, "c. cerebral malaria"),
-    }
+    forms = {
+        1: ("logistic", 500, "a. anaemia"), 2: ("linear", 100, "b. respiratory distress"), 3: ("intercept", 100, "c. cerebral malaria"),
+    }
+    return {place: posterior.fitted_curve(draws, forms[place][0], forms[place][1], upper, forms[place][2]) for place in places}
 
 
 @query
@@ -340,17 +339,17 @@ def curve_linear(t: Case) -> DataFrame:
 
 @query
 def curve_logistic(t: Case) -> DataFrame:
-    return _curves(t)[1]
+    return _curves(t, 1)[1]
 
 
 @query
 def curve_constant(t: Case) -> DataFrame:
-    return _curves(t)[3]
+    return _curves(t, 3)[3]
 
 
 @query
 def curves_union(t: Case) -> DataFrame:
-    return posterior.curves_union(_curves(t))
+    return posterior.curves_union(_curves(t, 1, 2, 3))
 
 
 def _point_sites(t: Case) -> DataFrame:

@@ -1,13 +1,12 @@
 """Positions, exact quantiles and densest intervals of groups of any size.
 
-A sort within a group would put the whole group into one task. Here groups are cut into
+A sort within a group would put the whole group into one task. Quantiles are bounded by a sketch of each group
+and then selected between the bounds. For positions, sums and densest intervals groups are cut into
 buckets that follow the order of their values: by their logarithm first, so that buckets are
 of one relative width at every magnitude, and each of those into equal steps between its own
 smallest and largest value. Buckets are a function of the values, so every evaluation cuts
 alike, also after a lost executor. Rows per bucket are counted with partial aggregation, and
-only then are rows ordered, bucket by bucket; of a quantile, only the buckets that hold a
-wanted rank. Positions, sums and intervals go through buckets at every size; quantiles of
-groups of up to a million rows are sorted, as that takes one pass instead of two.
+only then are rows ordered, bucket by bucket.
 """
 
 from __future__ import annotations
@@ -18,11 +17,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from burdenflow.operators.joins import natural_join
+from burdenflow.operators.shaping import single
+from burdenflow.sources.tables import kept
 
 STEPS = 32
 FINE = 256
 RANK_BLOCK = 100_000
-SORTED_ROWS = 1_000_000
+#: Size of a group's sketch; distance of bounds from a rank, as a share of the rows; rows of a group bounded by its ends.
+SKETCH, SLACK, SMALL = 800, 0.014, 1000
 STRING_HEAD = 8
 
 
@@ -91,7 +93,7 @@ def _interpolated(probs: Mapping[str, float], pick) -> list[Column]:
     for name, p in probs.items():
         at = (F.col("_n") - 1) * F.lit(p)
         low, high = pick(F.floor(at)), pick(F.ceil(at))
-        out.append((low + (high - low) * (at - F.floor(at))).alias(name))
+        out.append(F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at))).alias(name))
     return out
 
 
@@ -100,75 +102,64 @@ def _ranks(probs: Mapping[str, float]) -> list[Column]:
     return [f(a) for a in at for f in (F.floor, F.ceil)]
 
 
-def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], sorted_rows: int = SORTED_ROWS
-) -> DataFrame:
-    """Exact interpolated quantiles per group: columns ``by``, ``n`` and one per probability.
+def rank_bounds(values: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """First reading: rows of each group, and for each probability two values between which its rank lies.
 
-    One plan holds both ways: groups of up to ``sorted_rows`` rows are sorted, each in a task,
-    and the others go through buckets; a way that no group takes is dropped at run time.
+    Each group has one mergeable sketch, whose error in rank is independent of the group's size. The bounds stand
+    SLACK away from the wanted rank, ten standard deviations of that error; small groups, and those with NaN (which
+    a sketch leaves out), are bounded by their ends.
     """
-    if not by:
-        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, sorted_rows).drop("_all")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-    big = sizes.where(F.col("_rows") > sorted_rows).drop("_rows")
-    values = df.where(F.col(value).isNotNull()).select(*by, value)
-    return _quantiles_sorted(natural_join(values, big, "left_anti", on=by), by, value, probs).unionByName(
-        _quantiles_bucketed(natural_join(values, big, "left_semi", on=by), by, value, probs)
-    )
-
-
-def _quantiles_sorted(values: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    # one ordering serves the rank and the size
-    group = Window.partitionBy(*by).orderBy(value)
-    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = values.withColumns(
-        {"_rank": F.row_number().over(group).cast("long") - 1, "_n": F.count(F.lit(1)).over(whole)}
+    x = F.col(value).cast("double")
+    real = F.when(~F.isnan(x), x)
+    groups = values.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(real).alias("_real"), F.kll_sketch_agg_double(real, F.lit(SKETCH)).alias("_sketch")
     )
-    near = [F.abs(F.col("_rank") - (F.col("_n") - 1) * F.lit(p)) < 1 for p in probs.values()]
-    wanted = ranked.where(reduce(Column.__or__, near))
-    pick = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col(value)))
-    return wanted.groupBy(*by, "_n").agg(*_interpolated(probs, pick)).withColumnRenamed("_n", "n")
+    ranks = sorted({0.0, 1.0, *(min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-SLACK, SLACK))})
+    found = F.when(F.col("_real") > 0, F.kll_sketch_get_quantile_double("_sketch", F.array(*map(F.lit, ranks))))
+    whole = (F.col("_real") < F.col("_n")) | (F.col("_n") <= SMALL)
+    at = lambda rank, end: F.when(whole, F.get("_found", ranks.index(end))).otherwise(F.get("_found", ranks.index(rank)))
+    ends = []
+    for i, p in enumerate(probs.values()):
+        ends += [at(max(0.0, p - SLACK), 0.0).alias(f"_low{i}"), at(min(1.0, p + SLACK), 1.0).alias(f"_high{i}")]
+    return groups.withColumn("_found", found).select(*keys, "_n", *ends)
 
 
-def _quantiles_bucketed(rows: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Quantiles of groups of any size, without a task for a whole group.
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Exact interpolated quantiles per group: columns ``by``, ``n`` and one per probability.
 
-    The values are read twice: to count coarse buckets, and to keep those that hold a wanted
-    rank. A group's wanted buckets are one row, so what the values are joined to is as small
-    as the result. Only rows of those buckets are moved; equal ones collapse before they are
-    ordered, so a frequent value is one row.
+    The values are read twice. The first reading bounds the wanted ranks (rank_bounds), one small row for each group,
+    kept as a table, so Spark knows its size when it joins. In the second reading values outside all bounds are only
+    counted, with partial aggregation, by the bounds that they lie between; equal values are one row. What lies
+    between bounds is cut into steps of equal width, and only steps that hold a wanted rank are ordered, each by
+    itself, so no task holds a group. A rank outside its bounds ends the query.
     """
-    kind = dict(rows.dtypes)[value]
-    values = rows.withColumn("_coarse", coarse(F.col(value), kind))
-    counts = values.groupBy(*keys, "_coarse").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(value).alias("_low"), F.max(value).alias("_high")
+    # false everywhere, but no constant: a join keeps it as a key where all others are literals or there are none
+    same = (F.xxhash64(value) > F.lit(2**63 - 1)).alias("_same")
+    values = df.where(F.col(value).isNotNull()).select(*by, value, same)
+    keys = [*by, "_same"]
+    bounds = kept(rank_bounds(values, keys, value, probs), "rank-bounds")
+    x, number = F.col(value).cast("double"), range(len(probs))
+    inside = [(x >= F.col(f"_low{i}")) & (x <= F.col(f"_high{i}")) for i in number]
+    wanted = reduce(Column.__or__, inside, F.isnan(x))
+    cell = reduce(Column.__add__, [(x >= F.col(f"_low{i}")).cast("int") + (x > F.col(f"_high{i}")).cast("int") for i in number])
+    step = reduce(lambda rest, i: F.when(inside[i], fine(x, F.col(f"_low{i}"), F.col(f"_high{i}"), "double")).otherwise(rest), reversed(number), F.lit(0))
+    placed = natural_join(values, bounds, "inner", on=keys).select(
+        *keys, "_n", cell.alias("_cell"), step.cast("long").alias("_fine"), F.when(wanted, F.col(value)).alias("_value")
     )
-    group = Window.partitionBy(*keys).orderBy("_coarse")
-    spans = counts.withColumns(
-        {
-            "_end": F.sum("_rows").over(group.rowsBetween(Window.unboundedPreceding, 0)),
-            "_n": F.sum("_rows").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        }
-    ).withColumn("_base", F.col("_end") - F.col("_rows"))
+    place = [*keys, "_n", "_cell", "_fine"]
+    counted = placed.groupBy(*place, "_value").agg(F.count(F.lit(1)).alias("_copies"))
+    earlier = Window.partitionBy(*keys).orderBy("_cell", "_fine").rowsBetween(Window.unboundedPreceding, 0)
+    steps = counted.groupBy(*place).agg(F.sum("_copies").alias("_rows")).withColumn("_end", F.sum("_rows").over(earlier))
+    steps = steps.withColumn("_base", F.col("_end") - F.col("_rows"))
     holds = [(rank >= F.col("_base")) & (rank < F.col("_end")) for rank in _ranks(probs)]
-    marks = [F.max(F.when(held, F.col("_coarse"))).alias(f"_at{i}") for i, held in enumerate(holds)]
-    marked = natural_join(values, spans.groupBy(*keys).agg(*marks), "inner", on=keys)
-    near = marked.where(reduce(Column.__or__, [F.col("_coarse") == F.col(f"_at{i}") for i in range(len(holds))]))
-    collapsed = near.groupBy(*keys, "_coarse", value).agg(F.count(F.lit(1)).alias("_copies"))
-    wanted = spans.where(reduce(Column.__or__, holds)).select(*keys, "_coarse", "_n", "_base", "_low", "_high")
-    step = fine(F.col(value), F.col("_low"), F.col("_high"), kind)
-    single_values = natural_join(collapsed, wanted, "inner", on=[*keys, "_coarse"]).withColumn("_fine", step)
-    bucket_keys = [*keys, "_coarse"]
-    earlier = Window.partitionBy(*bucket_keys).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
-    steps = single_values.groupBy(*bucket_keys, "_fine").agg(F.sum("_copies").alias("_rows"))
-    steps = steps.select(*bucket_keys, "_fine", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    placed = natural_join(single_values, steps, "inner", on=[*bucket_keys, "_fine"])
-    inside = Window.partitionBy(*bucket_keys, "_fine").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("_end", F.col("_base") + F.col("_before") + F.sum("_copies").over(inside))
-    placed = placed.withColumn("_start", F.col("_end") - F.col("_copies"))
-    pick = lambda rank: F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_end")), F.col(value)))
-    return placed.groupBy(*keys, "_n").agg(*_interpolated(probs, pick)).withColumnRenamed("_n", "n")
+    steps = steps.where(reduce(Column.__or__, holds)).select(*place, "_base")
+    inner = Window.partitionBy(*place).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    found = natural_join(counted, steps, "inner", on=place)
+    found = found.withColumn("_end", F.col("_base") + F.sum("_copies").over(inner)).withColumn("_start", F.col("_end") - F.col("_copies"))
+    pick = lambda rank: F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_end")), F.col("_value")))
+    picked = found.groupBy(*keys, "_n").agg(*_interpolated(probs, pick))
+    lost = F.raise_error(F.lit("a rank lies outside the bounds that its sketch gave")).cast("double")
+    return picked.select(*by, F.col("_n").alias("n"), *[F.coalesce(F.col(name).cast("double"), lost).alias(name) for name in probs])
 
 
 def hdi(df: DataFrame, by: Sequence[str], value: str, mass: float = 0.95, block: int = RANK_BLOCK) -> DataFrame:
@@ -220,7 +211,7 @@ def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 7) -> Da
     marked = df.withColumn("_digest", digest).withColumn("_head", F.substring("_digest", 1, 4))
     heads = marked.groupBy("_head").agg(F.count(F.lit(1)).alias("_rows"))
     upto = F.sum("_rows").over(Window.partitionBy().orderBy("_head"))
-    enough = heads.withColumn("_upto", upto).where(F.col("_upto") >= n).agg(F.min("_head")).scalar()
+    enough = single(heads.withColumn("_upto", upto).where(F.col("_upto") >= n), F.min("_head"))
     near = marked.where((F.col("_head") <= enough) | enough.isNull())
     return near.orderBy("_digest").limit(n).drop("_digest", "_head")
 

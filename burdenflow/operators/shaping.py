@@ -58,8 +58,9 @@ def filter_parameter(df: DataFrame, include: str, exclude: str | None = None, co
 
 
 def single(df: DataFrame, value: Column) -> Column:
-    """An aggregate over a whole table as one value that any other table can use."""
-    return df.agg(value).scalar()
+    """An aggregate over a whole table, worked out once, as a constant that any other table can use."""
+    row = df.agg(value.alias("value"))
+    return F.lit(row.first()["value"]).cast(row.schema["value"].dataType)
 
 
 def above_threshold(df: DataFrame, column: str, scalar: Column, factor: float = 1.0) -> DataFrame:

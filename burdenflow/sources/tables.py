@@ -62,3 +62,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a new table and read back: worked out once, and of known size."""
+    path = write_table(df, new_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -29,9 +29,11 @@ def arrays(df):
     return {k: np.sort(x.v.to_numpy()) for k, x in pdf.groupby("k")}
 
 
-@pytest.mark.parametrize("sorted_rows", [o.SORTED_ROWS, 400, 0])
-def test_quantiles_match_numpy(skewed, sorted_rows):
-    got = by_key(o.quantiles(skewed, ["k"], "v", PROBS, sorted_rows))
+@pytest.mark.parametrize("small", [o.SMALL, 0])
+def test_quantiles_match_numpy(skewed, small, monkeypatch):
+    monkeypatch.setattr(o, "SMALL", small)
+    monkeypatch.setattr(o, "SLACK", 0.1 if small == 0 else o.SLACK)  # a tiny group's next rank is far away
+    got = by_key(o.quantiles(skewed, ["k"], "v", PROBS))
     for k, x in arrays(skewed).items():
         assert got[k].n == len(x)
         assert [got[k][p] for p in PROBS] == pytest.approx(list(np.quantile(x, list(PROBS.values()))), abs=1e-12)
@@ -80,10 +82,36 @@ def test_values_of_one_magnitude_are_split_again(spark):
     sizes = o.with_buckets(df, [], "v").groupBy("_coarse", "_fine").count()
     by_coarse = sizes.groupBy("_coarse").agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()
     assert max(r.n for r in by_coarse) > 40_000 and max(r.most for r in by_coarse) < 1_000
-    row = o.quantiles(df, [], "v", {"median": 0.5}, sorted_rows=0).first()
+    row = o.quantiles(df, [], "v", {"median": 0.5}).first()
     assert row.median == pytest.approx(1000 + 99_999 / 2e6, abs=1e-12)
 
 
+def test_quantiles_of_large_groups(spark):
+    """Groups whose ranks are bounded by sketches: skewed, with a value that most rows share, of whole numbers."""
+    ids = spark.range(0, 300_000, 1, 8).select("id", (F.hash("id") % 1_000_000 / 1e6).alias("u"))
+    df = ids.select((F.col("id") % 3).cast("string").alias("k"), F.when(F.col("id") % 3 == 0, F.exp(20 * F.col("u"))).when(F.col("id") % 3 == 1, F.when(F.col("u") < 0.4, 7.0).otherwise(F.col("u"))).otherwise(F.floor(100 * F.col("u"))).alias("v"))
+    got = by_key(o.quantiles(df, ["k"], "v", PROBS))
+    for k, x in arrays(df).items():
+        assert [got[k][p] for p in PROBS] == pytest.approx(list(np.quantile(x, list(PROBS.values()))), rel=1e-12)
+
+
+def test_quantiles_of_values_without_order(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([("a", nan), ("a", 1.0), ("a", 2.0), ("b", nan), ("c", -inf), ("c", 0.0), ("c", -0.0), ("c", inf), (None, 5.0)], "k string, v double")
+    got = by_key(o.quantiles(df, ["k"], "v", {"low": 0.0, "median": 0.5, "high": 1.0}))
+    assert (got["a"].low, got["a"].median, got["c"].low, got["c"].high, got[None].median) == (1.0, 2.0, -inf, inf, 5.0)
+    assert np.isnan(got["a"].high) and np.isnan(got["b"].median)
+
+
+def test_constant_keys_stay_out_of_joins(spark):
+    df = spark.range(5000).select(F.lit("x").alias("label"), F.col("id").cast("double").alias("v"))
+    found = o.quantiles(df, ["label"], "v", {"median": 0.5})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert tuple(found.first()) == ("x", 5000, 2499.5)
+    assert o.quantiles(df.where("v < 0"), [], "v", {"median": 0.5}).count() == 0
+
+
 def test_samples_repeat_and_count(spark):
     df = spark.range(5000)
     first = {r.id for r in o.sample_rows(df, ["id"], 300).collect()}
