@@ -25,6 +25,8 @@ FINE = 256
 RANK_BLOCK = 100_000
 #: Size of a group's sketch; distance of bounds from a rank, as a share of the rows; rows of a group bounded by its ends.
 SKETCH, SLACK, SMALL = 800, 0.014, 1000
+#: Rows of bounds (one for each group, of some hundred bytes) up to which every task gets all of them.
+BROADCAST_GROUPS = 100_000
 STRING_HEAD = 8
 
 
@@ -138,12 +140,14 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str,
     values = df.where(F.col(value).isNotNull()).select(*by, value, same)
     keys = [*by, "_same"]
     bounds = kept(rank_bounds(values, keys, value, probs), "rank-bounds")
+    # Spark may take the values for the smaller side, as it can't see how far their rows were exploded
+    way = "broadcast" if bounds.count() <= BROADCAST_GROUPS else "merge"
     x, number = F.col(value).cast("double"), range(len(probs))
     inside = [(x >= F.col(f"_low{i}")) & (x <= F.col(f"_high{i}")) for i in number]
     wanted = reduce(Column.__or__, inside, F.isnan(x))
     cell = reduce(Column.__add__, [(x >= F.col(f"_low{i}")).cast("int") + (x > F.col(f"_high{i}")).cast("int") for i in number])
     step = reduce(lambda rest, i: F.when(inside[i], fine(x, F.col(f"_low{i}"), F.col(f"_high{i}"), "double")).otherwise(rest), reversed(number), F.lit(0))
-    placed = natural_join(values, bounds, "inner", on=keys).select(
+    placed = natural_join(values, bounds.hint(way), "inner", on=keys).select(
         *keys, "_n", cell.alias("_cell"), step.cast("long").alias("_fine"), F.when(wanted, F.col(value)).alias("_value")
     )
     place = [*keys, "_n", "_cell", "_fine"]
@@ -154,7 +158,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str,
     holds = [(rank >= F.col("_base")) & (rank < F.col("_end")) for rank in _ranks(probs)]
     steps = steps.where(reduce(Column.__or__, holds)).select(*place, "_base")
     inner = Window.partitionBy(*place).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    found = natural_join(counted, steps, "inner", on=place)
+    found = natural_join(counted, steps.hint(way), "inner", on=place)
     found = found.withColumn("_end", F.col("_base") + F.sum("_copies").over(inner)).withColumn("_start", F.col("_end") - F.col("_copies"))
     pick = lambda rank: F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_end")), F.col("_value")))
     picked = found.groupBy(*keys, "_n").agg(*_interpolated(probs, pick))
