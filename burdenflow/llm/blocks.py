@@ -57,6 +57,8 @@ def blocks_of(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked, in_link, at, page = 0, False, 0, page or ""
+    # no tag ends after the last of these, so none is looked for there (which would be a search to the end for each)
+    end = page.rfind(">") + 1
 
     def flush():
         nonlocal linked
@@ -67,12 +69,15 @@ def blocks_of(page: str | None) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in _TAG.finditer(page):
+    for m in _TAG.finditer(page, 0, end):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if in_link:
                 linked += m.start() - at
         at = m.end()
+        if at == end and (m[1] or m[0].startswith("<!--")) and not re.search(rf"</{m[1]}\s*>\Z" if m[1] else r"-->\Z", m[0], re.I):
+            at = len(page)  # a comment or a script without end takes all the rest
+            break
         name = (m[3] or m[6] or "").lower()
         if not name:
             continue
@@ -96,7 +101,8 @@ def blocks_of(page: str | None) -> list[Block]:
                 if name not in VOID and not (m[4] or "").endswith("/"):
                     stack.append((name, names_in(m[4] or "")))
     if at < len(page):
-        parts.append(page[at:])
+        comment = page.find("<!--", max(at, end))
+        parts.append(page[at : comment if comment >= 0 else len(page)])
     flush()
     return out
 

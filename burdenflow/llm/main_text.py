@@ -212,14 +212,13 @@ class Labeller:
 
 
 def train(sample: list[str | None], longest: int = 120) -> Labeller:
-    """Learn from sampled pages; of a page with very many blocks, so many in the middle of which the article begins."""
-    parsed = [b for b in (blocks_of(p)[:longest] for p in sample) if b]
-    known = [(b, y) for b in parsed if (y := told(b))]
+    """Learn from whole sampled pages; one with very many blocks is learned from in parts, one after another."""
+    parsed = [b for b in map(blocks_of, sample) if b]
+    parts = lambda b, y: [(b[at : at + longest], y[at : at + longest]) for at in range(0, len(b), longest)]
+    known = [part for b in parsed if (y := told(b)) for part in parts(b, y)]
+    real = [(matrix(b), y) for b, y in known]
     if not known:
-        known = [(b, [1] * len(b)) for b in parsed]
-        real = []
-    else:
-        real = [(matrix(b), y) for b, y in known]
+        known = [part for b in parsed for part in parts(b, [1] * len(b))]
     if not known:
         return Labeller()
 

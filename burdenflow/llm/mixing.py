@@ -29,8 +29,8 @@ from burdenflow.llm.store import keep
 from burdenflow.operators.joins import natural_join
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words that are left to the dynamic programming, and hash ranges for each size.
-LAST_WORDS, RANGES = 4096, 512
+#: Words of which the dynamic programming keeps account (more than this many are first taken as the longest documents), and hash ranges for each size.
+LAST_WORDS, RANGES = 1 << 24, 512
 
 
 def words(text: str) -> Column:
@@ -51,20 +51,25 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, last_words: int = LA
         more = min(int(counts[i] - taken[i]), max(0, left - last_words) // int(sizes[i]))
         taken[i] += more
         left -= more * int(sizes[i])
-    # bit w of reached: w words can be made up exactly
-    reached, steps, mask = 1, [], (1 << (left + 1)) - 1
+    # bit w of reached: w words can be made up exactly; first[w]: the step that made it so
+    reached, steps, mask, first = 1, [], (1 << (left + 1)) - 1, np.zeros(left + 1, np.int32)
     for i in order:
         size, free, lot = int(sizes[i]), min(int(counts[i] - taken[i]), left // int(sizes[i])), 1
         while free and not reached >> left & 1:
             lot = min(lot, free)
-            steps.append((reached, i, lot))
-            reached |= reached << lot * size & mask
+            new = (reached << lot * size) & mask & ~reached
+            reached |= new
+            found = np.frombuffer(new.to_bytes(left // 8 + 1, "little"), np.uint8)
+            held = np.flatnonzero(found)
+            at, bit = np.nonzero(np.unpackbits(found[held, None], axis=1, bitorder="little"))
+            first[8 * held[at] + bit] = len(steps)
+            steps.append((i, lot))
             free, lot = free - lot, 2 * lot
     at = reached.bit_length() - 1
-    for before, i, lot in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += lot
-            at -= lot * int(sizes[i])
+    while at:
+        i, lot = steps[first[at]]
+        taken[i] += lot
+        at -= lot * int(sizes[i])
     return taken
 
 
@@ -84,9 +89,22 @@ def source_targets(totals: DataFrame, weights: Sequence[float], share: float, mo
     return ranked.select("source", "source_size", F.when(full, F.col("cap")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """The documents with size, source_size, target (of their source) and copies, the number of times they are taken."""
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
+MADE = ("size", "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The documents with size, source_size, target (of their source) and copies, the number of times they are taken.
+
+    Columns of the input with these names make room for them.
+    """
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in MADE]
+    return planned(docs, **options).select(*kept, *MADE)
+
+
+def planned(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """row (a document with all its columns), size, source_size, target and copies."""
+    # rows with one doc_id, or none, differ in their texts, unless they are the same
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     narrow = keep(docs.select("source", words("text").alias("size"), draw.alias("draw")), "mix-sizes")
     counts = narrow.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -117,8 +135,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     plan = natural_join(plan, last, on=["source", "size"])
     plan = keep(plan.withColumnsRenamed({c: f"_mix_{c}" for c in plan.columns}), "mix-cuts")
 
-    made = ("size", "source_size", "target", "copies")
-    wide = docs.select(*[c for c in docs.columns if c not in made], words("text").alias("_size"), draw.alias("_draw"))
+    wide = docs.select(F.struct(*docs.columns).alias("row"), "source", words("text").alias("_size"), draw.alias("_draw"))
     wide = wide.join(plan, [F.col("source").eqNullSafe(F.col("_mix_source")), F.col("_size") == F.col("_mix_size")], "left")
     # hashes compare as unsigned numbers, as their ranges do
     flip = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
@@ -127,12 +144,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     extra = F.when(more == 0, False).when(more == F.col("_mix_n"), True)
     if not plan.filter("_mix_tied < _mix_ties").isEmpty():
         # rows with the same doc_id and size stand at the cut, and only some of them are taken
-        number = F.row_number().over(Window.partitionBy("source", "_size", "_draw").orderBy("doc_id"))
+        number = F.row_number().over(Window.partitionBy("source", "_size", "_draw").orderBy("row.doc_id"))
         extra = extra.when(tied, number <= F.col("_mix_tied"))
     extra = extra.otherwise(flip("_draw") <= flip("_mix_last_draw"))
-    kept = [c for c in docs.columns if c not in made]
     return wide.select(
-        *kept,
+        "row",
         F.col("_size").alias("size"),
         F.col("_mix_source_size").alias("source_size"),
         F.col("_mix_target").alias("target"),
@@ -142,5 +158,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of the input."""
-    taken = mix(docs, **options).filter("copies > 0")
-    return taken.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    taken = planned(docs, **options).filter("copies > 0")
+    rows = taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

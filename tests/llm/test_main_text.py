@@ -102,3 +102,21 @@ def test_padding_and_batches_change_nothing():
     alone = [net.label([m])[0] for m in made]
     together = net.label(made, most=40)
     assert all((a == b).all() and len(a) == len(m) for a, b, m in zip(alone, together, made))
+
+
+def test_open_tags_take_time_in_proportion():
+    import time
+
+    for text in ("<a " * 100_000, "<script " * 50_000, "<p title=\"x" * 50_000, "<a " * 100_000 + ">", "<!-- " * 50_000):
+        start = time.process_time()
+        blocks_of("<p>before</p>" + text)
+        assert time.process_time() - start < 1
+
+
+def test_what_has_no_end():
+    text = lambda page: [b.text for b in blocks_of(page)]
+    assert text("<p>a</p>b <!-- c") == ["a", "b"]
+    assert text("<p>a</p><script>if (a > b) x") == ["a"]
+    assert text("<p>a</p><!-- <b>c</b> d") == ["a"]
+    assert text("<p>a</p>b < c") == ["a", "b < c"]
+    assert text("<p>a <br>b") == ["a b"]

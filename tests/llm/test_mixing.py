@@ -87,10 +87,32 @@ def test_fit_is_as_near_as_any_choice():
         sizes = np.array(sorted(random.sample(range(1, 30), 4)))
         counts = np.array([random.randint(1, 3) for _ in sizes])
         budget = random.randint(0, int((sizes * counts).sum()) + 3)
-        taken = mixing.fit(sizes, counts, budget, last_words=0 if random.random() < 0 else 10**6)
+        taken = mixing.fit(sizes, counts, budget)
         assert (taken >= 0).all() and (taken <= counts).all()
         # shares come first, so the rest is the best that can be made of what they leave
         total = int((sizes * counts).sum())
         base = counts if budget >= total else np.floor(counts * (budget / total)).astype(int)
         sums = {int((sizes * (base + np.array(c))).sum()) for c in itertools.product(*(range(n + 1) for n in counts - base))}
         assert int((sizes * taken).sum()) == max(x for x in sums if x <= budget)
+
+
+def test_few_long_documents_fit_exactly():
+    sizes, counts = np.array([60_000, 70_000, 100_000]), np.ones(3, int)
+    assert mixing.fit(sizes, counts, 130_000).tolist() == [1, 1, 0]
+    # more words than are accounted for: the longest go first
+    assert mixing.fit(np.array([1, 10]), np.array([30, 30]), 207, last_words=5) @ [1, 10] == 207
+
+
+def test_columns_with_names_of_the_plan_come_back(spark):
+    docs = make(spark, [(i, "w " * (i % 9), "ab"[i % 2]) for i in range(50)]).selectExpr(
+        "doc_id", "text", "source", "'keep me' AS size", "1.5 AS target", "'x' AS copies", "array(1) AS source_size", "7 AS _size", "8 AS _draw", "'r' AS row", "'m' AS _mix_more")
+    out = mixing.mixed(docs)
+    assert out.schema == docs.schema
+    assert {tuple(map(str, r)) for r in out.collect()} <= {tuple(map(str, r)) for r in docs.collect()}
+    assert out.count() == mixing.mixed(docs.select("doc_id", "text", "source")).count() > 0
+
+
+def test_many_rows_without_doc_id_are_told_apart(spark):
+    rows = [(None, "w " * 5 + str(i), "a") for i in range(40)] + [(1, "x", "b")]
+    got = mixing.mix(make(spark, rows)).collect()
+    check(rows, got, off=5)
