@@ -526,8 +526,10 @@ ORACLE = {
     "curve_constant": build(f"SELECT {CURVE_OUT} FROM ({CURVES[2]})"),
     "curves_union": build(f"""SELECT {CURVE_OUT}, place, {r('max(q99) OVER ()', 'rate_max')} FROM
         ({' UNION ALL '.join(f'SELECT *, CAST({i} AS BIGINT) AS place FROM ({sql})' for i, sql in enumerate(CURVES, start=1))})"""),
-    "curve_points": build(" UNION ALL ".join(_points(label, Q, "dw_summary", cm) for label, cm in (
-        ("a. anaemia", False), ("b. respiratory distress", False), ("c. cerebral malaria", True)))),
+    "curve_points": build(" UNION ALL ".join(_points(label, Q, f"own_{k}", k == 2) for k, label in enumerate(
+        ("a. anaemia", "b. respiratory distress", "c. cerebral malaria"))), **{f"own_{k}": f"""SELECT parameter, {quants('value', Q)}
+        FROM (UNPIVOT (SELECT * EXCLUDE (chain, iteration) FROM dw WHERE iteration % 3 = {k}) ON COLUMNS(*) INTO NAME parameter VALUE value)
+        GROUP BY parameter""" for k in range(3)}),
     "curve_points_composite": build(_points("composite", ("median", "lower", "upper"), "dense"),
         dense="""SELECT parameter, med AS median, n, arg_min(lo, [width, lo]) AS lower, arg_min(hi, [width, lo]) AS upper
         FROM (SELECT a.parameter, a.n, a.med, a.value AS lo, b.value AS hi, b.value - a.value AS width FROM ranked a
@@ -568,6 +570,17 @@ ORACLE = {
         {r('dic - min(dic) OVER ()', 'delta')} FROM ({_scores('rd_draws')})""", rd_draws=_counted("f_rd")),
     "model_scores_composite": build(f"""SELECT model, {r('d_bar')}, {r('p_d')}, {r('dic')}, 'composite' AS phenotype,
         {r('dic - min(dic) OVER ()', 'delta')} FROM ({_scores('composite_draws')})""", composite_draws=_counted("f_c")),
+    "draw_store_rerun": build(f"""SELECT {big('chain')}, iteration, parameter, {big('idx')}, {r('value')}, model FROM dl
+        WHERE model = 'view' UNION ALL SELECT {big('chain')}, iteration, parameter, {big('idx')}, {r('2 * value', 'value')}, model FROM dl
+        WHERE model = 'purchase' AND chain = 1"""),
+    "score_store_rerun": build(f"""SELECT model, {r('d_bar')}, {r('p_d')}, {r('dic')}, 'sma' AS phenotype FROM ({SCORES})
+        UNION ALL SELECT model, {r('d_bar')}, {r('p_d')}, {r('dic')}, 'rd' AS phenotype FROM ({_scores('study_draws', False)})"""),
+    "constancy_violations": build(" UNION ALL ".join(f"""SELECT '{rule}' AS rule, key, {big('sum(n)', 'n_rows')},
+        count(*) AS n_values, min(v) AS low, max(v) AS high FROM ({rows}) GROUP BY key HAVING count(*) > 1""" for rule, rows in (
+        ("population of a study", "SELECT site || ' ' || period AS key, CAST(CAST(total_population AS BIGINT) AS VARCHAR) AS v, count(*) AS n FROM pop GROUP BY ALL"),
+        ("population of a site in all periods", "SELECT site AS key, CAST(CAST(total_population AS BIGINT) AS VARCHAR) AS v, count(*) AS n FROM pop GROUP BY ALL"),
+        ("person-years of an age", """SELECT study_id || ' ' || coalesce(CAST(age_years AS VARCHAR), 'NA') AS key,
+            CAST(CAST(n_age AS BIGINT) AS VARCHAR) AS v, count(*) AS n FROM pop_age GROUP BY ALL"""), ("detection method", "SELECT study_id AS key, detection_method AS v, count(*) AS n FROM surveys GROUP BY ALL"), ("survey size", "SELECT study_id AS key, CAST(number AS VARCHAR) AS v, count(*) AS n FROM surveys GROUP BY ALL")))),
     "score_store_roundtrip": build(f"""SELECT model, {r('d_bar')}, {r('p_d')}, {r('dic')}, 'sma' AS phenotype FROM ({SCORES})"""),
     "rate_regression": _regression("poisson", "linear"),
     "rate_regression_nb": _regression("negbin", "linear"),

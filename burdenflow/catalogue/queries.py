@@ -14,7 +14,7 @@ from burdenflow.operators.ordering import hdi, quantiles
 from burdenflow.operators.shaping import above_threshold, append, filter_parameter, select_renamed, single
 from burdenflow.plans import burden, cleaning, posterior, prevalence, regression
 from burdenflow.sources import schemas
-from burdenflow.sources.tables import new_path, read_parts, read_sheet, read_table, write_table
+from burdenflow.sources.tables import new_path, read_parts, read_sheet, read_table, replace_partitions, write_table
 from burdenflow.sources.testbed import EVENT_INDEXES, PERIOD_REPAIR, SITE_INDEXES, Testbed
 from burdenflow.sources.weights import age_weights
 
@@ -25,6 +25,7 @@ TIE = 1e-9
 EXACT = """age_months temperature fever_days fits_per_24h hb_level latitude longitude hbas hospital_min_dist
     hospital_max_dist itn rainfall altitude pr_c n_age total_population""".split()
 BAND_WIDTH = 0.05
+PHENOTYPES = ("a. anaemia", "b. respiratory distress", "c. cerebral malaria")
 SAMPLE = 200
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +69,11 @@ class Case(Testbed):
     def studies(self) -> DataFrame:
         return cleaning.study_dim(self.patients())
 
+    def phenotype_draws(self) -> DataFrame:
+        """The draws dealt out to three phenotypes, by iteration."""
+        names = F.array(*map(F.lit, PHENOTYPES))
+        return self.draws_wide().withColumn("curve", F.get(names, F.pmod("iteration", F.lit(len(PHENOTYPES))).cast("int")))
+
     def study_cases(self, phenotype: str = "sma") -> DataFrame:
         """Cases of every study that is counted, with its number in the one study dimension."""
         counts = burden.phenotype_counts(self.patients(), phenotype, self.study_years())
@@ -327,7 +333,7 @@ def _curves(t: Case, *places: int) -> dict[int, DataFrame]:
     draws = t.draws_wide()
     upper = posterior.upper_prevalence(draws, t.studies())
     forms = {
-        1: ("logistic", 500, "a. anaemia"), 2: ("linear", 100, "b. respiratory distress"), 3: ("intercept", 100, "c. cerebral malaria"),
+        1: ("logistic", 500, PHENOTYPES[0]), 2: ("linear", 100, PHENOTYPES[1]), 3: ("intercept", 100, PHENOTYPES[2]),
     }
     return {place: posterior.fitted_curve(draws, forms[place][0], forms[place][1], upper, forms[place][2]) for place in places}
 
@@ -359,11 +365,11 @@ def _point_sites(t: Case) -> DataFrame:
 
 @query
 def curve_points(t: Case) -> DataFrame:
-    """Points beside the three curves; cerebral cases are not imputed, so theirs are observed rates."""
-    points = posterior.study_points(posterior.summarise(t.draws_wide()), _point_sites(t))
+    """Points beside the three curves, each from the draws of its phenotype; cerebral cases are not imputed."""
+    summary = posterior.summarise_by(t.phenotype_draws(), "curve")
+    points = posterior.study_points(summary, _point_sites(t), by=["curve"])
     cerebral = burden.phenotype_counts(t.patients(), "cm", t.study_years())
-    labels = {"a. anaemia": False, "b. respiratory distress": False, "c. cerebral malaria": True}
-    return posterior.labelled_points(points, cerebral, labels)
+    return posterior.with_observed_rates(points, cerebral, PHENOTYPES[2])
 
 
 @query
@@ -530,6 +536,42 @@ def draw_store_roundtrip(t: Case) -> DataFrame:
     return read_table(t.spark, path, schemas.DRAWS_LONG).where(F.col("model") == "purchase")
 
 
+@query
+def draw_store_rerun(t: Case) -> DataFrame:
+    """Two models stored, one of them run again with fewer chains: its draws replaced, the other's folder untouched."""
+    draws = t.draws_long().where(F.col("model").isin("purchase", "view"))
+    path = write_table(draws, new_path(t.spark, "draws"), partition_by=["model"])
+    again = t.draws_long().where((F.col("model") == "purchase") & (F.col("chain") == 1)).withColumn("value", F.col("value") * 2)
+    replace_partitions(again, path, ["model"])
+    return read_table(t.spark, path, schemas.DRAWS_LONG)
+
+
+@query
+def score_store_rerun(t: Case) -> DataFrame:
+    """Scores of two phenotypes stored, then those of one replaced by a run that corrects nothing."""
+    names, cases = ["model", "d_bar", "p_d", "dic", "phenotype"], t.study_cases()
+    scores = append(*[posterior.model_scores(t.draws_wide(), cases, name) for name in ("sma", "rd")]).select(*names)
+    path = write_table(scores, new_path(t.spark, "scores"), partition_by=["phenotype"])
+    replace_partitions(posterior.model_scores(t.draws_wide(), cases, "rd", corrected=False).select(*names), path, ["phenotype"])
+    return read_table(t.spark, path, schemas.SCORES)
+
+
+@query
+def constancy_violations(t: Case) -> DataFrame:
+    """Values that should be one for each study (site, age of a study) and are several; sites do have several populations."""
+    years = cleaning.study_rows(cleaning.read_population(*t.population_parts())).withColumn("n_age", F.col("n_age").cast("long"))
+    surveys = t.survey_rows()
+    population = t.population().withColumn("total_population", F.col("total_population").cast("long"))
+    looked = {
+        "population of a study": (population, ["site", "period"], "total_population"),
+        "population of a site in all periods": (population, ["site"], "total_population"),
+        "person-years of an age": (years, ["study_id", "age_years"], "n_age"),
+        "detection method": (surveys, ["study_id"], "detection_method"),
+        "survey size": (surveys, ["study_id"], "number"),
+    }
+    return append(*[g.constancy(df, keys, value, rule) for rule, (df, keys, value) in looked.items()])
+
+
 @query
 def score_store_roundtrip(t: Case) -> DataFrame:
     draws = t.draws_wide()

@@ -100,3 +100,18 @@ def row_ranges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def known_evidence(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return drop_all_null(df, columns)
+
+
+def constancy(df: DataFrame, keys: Sequence[str], value: str, rule: str) -> DataFrame:
+    """Groups in which a value that should be the same on every row is not, with the values' number and ends.
+
+    Columns ``rule``, ``key`` (the keys as text), ``n_rows``, ``n_values``, ``low`` and ``high`` (as text). A missing
+    value beside a known one counts as a value. Equal values are counted first, so a key with many rows is a few.
+    """
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    text = F.col(value).cast("string")
+    found = counted.groupBy(*keys).agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_values"), F.min(text).alias("low"), F.max(text).alias("high")
+    )
+    key = F.concat_ws(" ", *[F.coalesce(F.col(k).cast("string"), F.lit("NA")) for k in keys])
+    return found.where("n_values > 1").select(F.lit(rule).alias("rule"), key.alias("key"), "n_rows", "n_values", "low", "high")

@@ -56,3 +56,15 @@ def lookup(df: DataFrame, dim: DataFrame, on: dict[str, str]) -> DataFrame:
 def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of df whose key occurs in keys."""
     return df.join(keys, list(on), "left_semi")
+
+
+def interval_join(windows: DataFrame, points: DataFrame, low: str, high: str, at: str, width: int) -> DataFrame:
+    """Pairs of a window low..high and a point that lies in it, ends included; whole numbers.
+
+    Both are laid on bins of ``width``: a window is repeated for each bin that it meets, a point is in one, and a pair
+    meets in the bin of its point. So a window costs as many rows as it meets bins, whatever lies in them.
+    """
+    bin_of = lambda name: F.floor(F.col(name) / width).cast("long")
+    met = windows.where(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
+    pairs = met.join(points.withColumn("_bin", bin_of(at)), "_bin")
+    return pairs.where(F.col(at).between(F.col(low), F.col(high))).drop("_bin")

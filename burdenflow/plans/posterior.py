@@ -83,6 +83,11 @@ def summarise(draws: DataFrame, probs: Mapping[str, float] = BANDS) -> DataFrame
     return quantiles(values, ["parameter"], "value", probs)
 
 
+def summarise_by(draws: DataFrame, by: str, probs: Mapping[str, float] = BANDS) -> DataFrame:
+    """Quantiles of every parameter for each value of a column of the draws."""
+    return quantiles(to_long(draws.drop(*IDS, "model"), [by]), [by, "parameter"], "value", probs)
+
+
 def summarise_models(draws: DataFrame, probs: Mapping[str, float] = BANDS) -> DataFrame:
     """Quantiles of every parameter of every model, over all its chains; long draws."""
     return quantiles(draws, ["model", "parameter"], "value", probs)
@@ -201,36 +206,38 @@ def curves_union(curves: Mapping[int, DataFrame]) -> DataFrame:
 DENSE = ["median", "lower", "upper"]
 
 
-def study_points(summary: DataFrame, sites: DataFrame, names: Sequence[str] = tuple(BANDS)) -> DataFrame:
+def study_points(summary: DataFrame, sites: DataFrame, names: Sequence[str] = tuple(BANDS), by: Sequence[str] = ()) -> DataFrame:
     """Fitted prevalence and imputed rate of every study beside each other, from a summary of the draws.
 
     ``names`` are the statistics of the summary. ``sites`` are studies with ``py`` and what
-    else is shown of them.
+    else is shown of them. ``by`` are columns of the summary whose values, as phenotypes, have
+    draws of their own: every study has a row for each.
     """
     number = parameter_index(F.col("parameter")).alias("idx")
     prevalence = filter_parameter(summary, "PR_corrected", exclude="PR_corrected_mic").select(
-        number, *[c.percent(F.col(q)).alias(f"pr_{q}") for q in names]
+        *by, number, *[c.percent(F.col(q)).alias(f"pr_{q}") for q in names]
+    )
+    admissions = filter_parameter(summary, "estimated_admissions").select(
+        *by, number, *[F.col(q).alias(f"est_{q}") for q in names]
     )
-    admissions = filter_parameter(summary, "estimated_admissions").select(number, *[F.col(q).alias(f"est_{q}") for q in names])
     # as many indexes as the family has
-    idx = F.pmod(F.col("study_number") - 1, single(prevalence, F.count(F.lit(1)))) + 1
-    points = sites.withColumn("idx", idx).join(prevalence.join(admissions, "idx", "left"), "idx", "left")
+    idx = F.pmod(F.col("study_number") - 1, single(prevalence, F.count_distinct("idx"))) + 1
+    points = sites.withColumn("idx", idx).join(prevalence.join(admissions, [*by, "idx"], "left"), "idx", "left")
     shown = [name for name in sites.columns if name not in ("site", "period", "py")]
     rates = [c.rate(F.col(f"est_{q}"), F.col("py")).alias(f"rate_{q}") for q in names]
-    return points.select(*shown, *[f"pr_{q}" for q in names], *rates)
+    return points.select(*by, *shown, *[f"pr_{q}" for q in names], *rates)
 
 
-def labelled_points(points: DataFrame, observed: DataFrame, labels: Mapping[str, bool]) -> DataFrame:
-    """The points once for each label; those whose label says so show the observed rate alone, as median."""
-    kinds = F.array(*[F.struct(F.lit(label).alias("curve"), F.lit(plain).alias("_plain")) for label, plain in labels.items()])
-    joined = natural_join(points, observed.select("study_id", F.col("rate").alias("_rate")), "left", on=["study_id"], null_safe=False)
-    rows = joined.select(F.inline(kinds), "*")
+def with_observed_rates(points: DataFrame, observed: DataFrame, curve: str) -> DataFrame:
+    """The points, those of one curve with the observed rate alone, as median."""
+    found = observed.select("study_id", F.col("rate").alias("_rate"))
+    joined = natural_join(points, found, "left", on=["study_id"], null_safe=False)
     none = F.lit(None).cast("double")
     rates = {
-        name: F.when(F.col("_plain"), F.col("_rate") if name == "rate_median" else none).otherwise(F.col(name))
+        name: F.when(F.col("curve") == curve, F.col("_rate") if name == "rate_median" else none).otherwise(F.col(name))
         for name in points.columns if name.startswith("rate_")
     }
-    return rows.withColumns(rates).drop("_plain", "_rate")
+    return joined.withColumns(rates).drop("_rate")
 
 
 def point_sites(studies: DataFrame, population: DataFrame, methods: DataFrame, crude: DataFrame) -> DataFrame:

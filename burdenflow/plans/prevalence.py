@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from burdenflow.functions.rates import DETECTION_INTERCEPT, DETECTION_SLOPE
 from burdenflow.functions.special import norm_cdf, probit
 from burdenflow.operators.groups import group_mean_ratio
-from burdenflow.operators.joins import natural_join
+from burdenflow.operators.joins import interval_join, natural_join
 from burdenflow.operators.ordering import quantiles
 from burdenflow.sources.weights import AGE_SHARES, MAX_AGE, PRESETS, age_weights, numbers
 
+#: Years of age in a bin of an interval join.
+BIN = 16
+
 REFERENCE_WINDOW = (3, 10)
 
 
@@ -45,7 +48,7 @@ def window_ratio(
 
     ``midpoint`` reads lo..hi as ages from lo up to but excluding hi, ``integer`` as the
     years lo..hi inclusive. ``prefix`` looks two running sums up and moves no rows;
-    ``range`` joins each age of the window to the weights and needs the ``keys`` of a row.
+    ``range`` joins the windows to the weights on bins of ages and needs the ``keys`` of a row.
     Windows are capped at age 85; an empty one gives NULL.
     """
     last = F.least(F.col(hi), F.lit(MAX_AGE)).cast("int")
@@ -60,8 +63,9 @@ def window_ratio(
         raise ValueError(f"unknown path: {path}")
     # the weights are 85 fixed rows
     weights = F.broadcast(age_weights(df.sparkSession, preset).select("age", "w", "pfs"))
-    ages = df.where(valid).select(*keys, F.explode(F.sequence(first, last)).alias("age"))
-    sums = ages.join(weights, "age").groupBy(*keys).agg((F.sum("pfs") / F.sum("w")).alias(name))
+    windows = df.where(valid).select(*keys, first.alias("_first"), last.alias("_last"))
+    pairs = interval_join(windows, weights, "_first", "_last", "age", width=BIN)
+    sums = pairs.groupBy(*keys).agg((F.sum("pfs") / F.sum("w")).alias(name))
     return natural_join(df, sums, "left", on=keys)
 
 

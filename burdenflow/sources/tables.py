@@ -54,6 +54,16 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     return path
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> str:
+    """Replace the partitions of a stored table that ``df`` has rows of; the table's other partitions stay.
+
+    The rows are staged first, so a lost task or a failed job leaves the stored partitions as they were.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)
+    return path
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, or else the session's warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")

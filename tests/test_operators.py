@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from burdenflow.operators import groups as g
 from burdenflow.operators import ordering as o
 from burdenflow.operators import shaping as sh
-from burdenflow.operators.joins import keep_keys, lookup, natural_join
+from burdenflow.operators.joins import interval_join, keep_keys, lookup, natural_join
 
 PROBS = {"q025": 0.025, "median": 0.5, "q99": 0.99}
 
@@ -202,3 +202,19 @@ def test_deltas_and_ranks(spark):
     df = spark.createDataFrame([("m1", 5.0), ("m2", 3.5)], "m string, dic double").withColumn("p", F.lit("x"))
     assert {r.m: r.delta for r in g.delta_from_best(df, ["p"], "dic").collect()} == {"m1": 1.5, "m2": 0.0}
     assert {r.m: r.position for r in o.order_by_statistic(df, ["m"], "dic").collect()} == {"m1": 2, "m2": 1}
+
+
+def test_windows_meet_points_on_bins(spark):
+    windows = spark.createDataFrame([(1, 0, 5), (2, 3, 3), (3, -7, 100), (4, 9, 2), (5, None, 4)], "w int, lo int, hi int")
+    points = spark.range(-10, 30).select(F.col("id").cast("int").alias("p"))
+    want = {(w, p) for w, lo, hi in [(1, 0, 5), (2, 3, 3), (3, -7, 100)] for p in range(-10, 30) if lo <= p <= hi}
+    for width in (1, 4, 1000):
+        pairs = interval_join(windows, points, "lo", "hi", "p", width)
+        assert pairs.columns == ["w", "lo", "hi", "p"] and sorted((r.w, r.p) for r in pairs.collect()) == sorted(want)
+
+
+def test_values_that_should_be_one(spark):
+    df = spark.createDataFrame([("a", 1, 10), ("a", 1, 10), ("a", 2, 11), ("b", 1, None), ("b", 1, 5), ("c", None, 7)], "k string, i int, v int")
+    found = {r.key: (r.rule, r.n_rows, r.n_values, r.low, r.high) for r in g.constancy(df, ["k"], "v", "one v").collect()}
+    assert found == {"a": ("one v", 3, 2, "10", "11"), "b": ("one v", 2, 2, "5", "5")}
+    assert [r.key for r in g.constancy(df, ["k", "i"], "v", "one v").collect()] == ["b 1"]

@@ -54,3 +54,10 @@ def test_sheets_are_read_by_header(spark, tmp_path):
     )
     assert dict(df.dtypes)["n_examined"] == "bigint" and len(df.columns) == 17
     assert list(schemas.ADMISSION_HEADERS.values()) == [p.split()[0] for p in schemas.ADMISSIONS_RAW.split(",")]
+
+
+def test_one_partition_is_replaced(spark):
+    path = tables.new_path(spark, "replaced")
+    tables.write_table(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "m string, x int"), path, partition_by=["m"])
+    tables.replace_partitions(spark.createDataFrame([("a", 9), ("c", 4)], "m string, x int"), path, ["m"])
+    assert sorted(tuple(r) for r in tables.read_table(spark, path).select("m", "x").collect()) == [("a", 9), ("b", 3), ("c", 4)]
