@@ -30,20 +30,37 @@ BROADCAST_GROUPS = 100_000
 STRING_HEAD = 8
 
 
-def coarse(key: Column, kind: str) -> Column:
-    """Number that rises with a numeric key, one for each 1/STEPS of a factor e; the head of a string."""
-    if kind == "string":
-        return F.substring(key, 1, STRING_HEAD)
+def coarse(key: Column) -> Column:
+    """Number that rises with a numeric key, one for each 1/STEPS of a factor e."""
     x = key.cast("double")
     size = F.abs(x)
     level = F.when(size == float("inf"), F.lit(10**6)).otherwise(F.floor(F.log(size) * STEPS) + 10**5)
     return F.when(F.isnan(x), F.lit(10**7)).when(x == 0, F.lit(0)).when(x < 0, -level).otherwise(level).cast("long")
 
 
-def fine(key: Column, low: Column, high: Column, kind: str) -> Column:
+def with_beginnings(df: DataFrame, by: Sequence[str], key: str, most: int | None = None) -> DataFrame:
+    """Add ``_coarse``, the beginning of a string key, which is longer where many rows share one.
+
+    Beginnings of STRING_HEAD letters are counted. Those of more than ``most`` rows are cut again after as many
+    letters more, and so on, as a trie grows where it is heavy; only they are counted again. A beginning that isn't cut
+    holds all keys that begin with it, so beginnings rise with the keys. One key on many rows stays together.
+    """
+    most = most or RANK_BLOCK
+    placed, depth = df.withColumn("_coarse", F.substring(key, 1, STRING_HEAD)), STRING_HEAD
+    while True:
+        longer = placed.where((F.length("_coarse") == depth) & (F.length(key) > depth))
+        heavy = longer.groupBy(*by, "_coarse").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most)
+        heavy = kept(heavy.select(*by, "_coarse", F.lit(True).alias("_heavy")), "heavy-beginnings")
+        if heavy.isEmpty():
+            return placed
+        marked = natural_join(placed, heavy, "left", on=[*by, "_coarse"])
+        depth += STRING_HEAD
+        deeper = F.when(F.col("_heavy"), F.substring(key, 1, depth)).otherwise(F.col("_coarse"))
+        placed = marked.withColumn("_coarse", deeper).drop("_heavy")
+
+
+def fine(key: Column, low: Column, high: Column) -> Column:
     """Equal steps between the ends of a coarse bucket."""
-    if kind == "string":
-        return F.lit(0).cast("long")
     x, low, high = key.cast("double"), low.cast("double"), high.cast("double")
     inside = (high > low) & (high < float("inf")) & (low > float("-inf"))
     return F.when(inside, F.floor((x - low) / (high - low) * FINE)).otherwise(F.lit(0)).cast("long")
@@ -51,11 +68,12 @@ def fine(key: Column, low: Column, high: Column, kind: str) -> Column:
 
 def with_buckets(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     """Add ``_coarse`` and ``_fine``, which together rise with the key within its group."""
-    kind = dict(df.dtypes)[key]
-    keyed = df.withColumn("_coarse", coarse(F.col(key), kind))
+    if dict(df.dtypes)[key] == "string":
+        return with_beginnings(df, by, key).withColumn("_fine", F.lit(0).cast("long"))
+    keyed = df.withColumn("_coarse", coarse(F.col(key)))
     ends = keyed.groupBy(*by, "_coarse").agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
     placed = natural_join(keyed, ends, "inner", on=[*by, "_coarse"])
-    return placed.withColumn("_fine", fine(F.col(key), F.col("_low"), F.col("_high"), kind)).drop("_low", "_high")
+    return placed.withColumn("_fine", fine(F.col(key), F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
 def _ranked(df: DataFrame, order: Sequence[str], amount: Column, by: Sequence[str]) -> DataFrame:
@@ -146,7 +164,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str,
     inside = [(x >= F.col(f"_low{i}")) & (x <= F.col(f"_high{i}")) for i in number]
     wanted = reduce(Column.__or__, inside, F.isnan(x))
     cell = reduce(Column.__add__, [(x >= F.col(f"_low{i}")).cast("int") + (x > F.col(f"_high{i}")).cast("int") for i in number])
-    step = reduce(lambda rest, i: F.when(inside[i], fine(x, F.col(f"_low{i}"), F.col(f"_high{i}"), "double")).otherwise(rest), reversed(number), F.lit(0))
+    step = reduce(lambda rest, i: F.when(inside[i], fine(x, F.col(f"_low{i}"), F.col(f"_high{i}"))).otherwise(rest), reversed(number), F.lit(0))
     placed = natural_join(values, bounds.hint(way), "inner", on=keys).select(
         *keys, "_n", cell.alias("_cell"), step.cast("long").alias("_fine"), F.when(wanted, F.col(value)).alias("_value")
     )

@@ -218,3 +218,18 @@ def test_values_that_should_be_one(spark):
     found = {r.key: (r.rule, r.n_rows, r.n_values, r.low, r.high) for r in g.constancy(df, ["k"], "v", "one v").collect()}
     assert found == {"a": ("one v", 3, 2, "10", "11"), "b": ("one v", 2, 2, "5", "5")}
     assert [r.key for r in g.constancy(df, ["k", "i"], "v", "one v").collect()] == ["b 1"]
+
+
+def test_keys_of_one_beginning_are_dealt_out(spark):
+    """Nearly all keys begin alike, over several cuts; buckets stay small and follow the order."""
+    same = "population of the district of "
+    keys = spark.range(100_000).select(F.concat(F.lit(same), F.lpad(F.col("id").cast("string"), 9, "0")).alias("k"))
+    df = keys.union(spark.createDataFrame([("a",), (same,), (same[:8],), (same[:11],), ("zebra",), ("",)], "k string"))
+    placed = o.with_beginnings(df, [], "k", most=500)
+    sizes = placed.groupBy("_coarse").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).orderBy("_coarse").collect()
+    assert max(r.n for r in sizes) <= 500 and len(sizes) > 200
+    assert all(a.high < b.low for a, b in zip(sizes, sizes[1:]))
+    again = o.with_beginnings(spark.range(2000).select(F.lit("one key on all rows").alias("k")), [], "k", most=500)
+    assert again.select("_coarse").distinct().count() == 1
+    numbered = o.number_rows(df, ["k"]).where(F.col("k").isin("", "a", "zebra")).collect()
+    assert sorted((r.k, r.rn) for r in numbered) == [("", 1), ("a", 2), ("zebra", 100_006)]
