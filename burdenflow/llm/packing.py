@@ -137,6 +137,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = WINDOW) -> Da
                 yield frame(out)
         if out := list(rows(packer.close())):
             yield frame(out)
+        encoder(vocabulary).forget()
 
     def frame(rows):
         table = pd.DataFrame(rows, columns=names)

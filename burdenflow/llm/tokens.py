@@ -21,9 +21,9 @@ from itertools import compress
 import numpy as np
 
 #: Pieces (and words) that a worker remembers, and the length above which one isn't worth remembering.
-REMEMBERED, SHORT = 300_000, 48
+REMEMBERED, SHORT = 150_000, 48
 #: Characters that are cut at a time, and bytes of the pieces that are told apart as arrays.
-GROUP, KEY = 2_000_000, 24
+GROUP, KEY = 500_000, 24
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _SPACED = re.compile(r"\s ")
@@ -89,6 +89,11 @@ class Encoder:
         self.bytes = Memory(self._bytes)
         self.whole, self.spaced = Memory(self._piece), Memory(lambda piece: self._piece(piece, " "))
 
+    def forget(self) -> None:
+        """Drop the older generation, so that a worker that goes on with other work holds less."""
+        for memory in (self.bytes, self.words, self.whole, self.spaced):
+            memory.older = {}
+
     def _word(self, word: str) -> bytes:
         return self._coded(word.encode())
 
