@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from burdenflow.catalogue.queries import EXACT, TIE
+from burdenflow.catalogue.queries import CLASS_DRAWS, EXACT, TIE
 from burdenflow.functions import special as sp
 from burdenflow.sources import testbed as tb
 from burdenflow.sources.weights import (
@@ -295,6 +295,44 @@ COMPOSITE_ROWS = """SELECT f.*, CASE WHEN f_c THEN 1 ELSE 0 END AS seen,
         * (1 - CAST(f_cm0 AS DOUBLE)) AS any_case FROM flags f
     LEFT JOIN rates s ON s.phenotype = 'sma' AND s.class = c_sma LEFT JOIN rates d ON d.phenotype = 'rd' AND d.class = c_rd"""
 
+
+
+def halved(source: str, columns: str, share: str) -> str:
+    """Beta quantiles by halving: with whole numbers the distribution function is a binomial tail, summed where it has weight."""
+    n, spread = "(m + 1)", "(12 * sqrt((m + 1) * x * (1 - x)) + 60)"
+    term = f"""exp(lgamma({n} + 1) - lgamma(j + 1) - lgamma({n} - j + 1) + j * ln(x) + ({n} - j) * ln(1 - x))"""
+    first, last = f"greatest(k + 1, CAST(floor({n} * x - {spread}) AS BIGINT))", f"least({n}, CAST(ceil(greatest(k + 1, {n} * x) + {spread}) AS BIGINT))"
+    tail = f"coalesce(list_sum(list_transform(range({first}, {last} + 1), lambda j: {term})), 0.0)"
+    return f"""WITH RECURSIVE steps AS (SELECT {columns}, CAST(n_positives AS BIGINT) AS k, CAST(n_patients AS BIGINT) AS m,
+            CAST({share} AS DOUBLE) AS p, 0 AS step, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high FROM {source}
+        UNION ALL SELECT {columns}, k, m, p, step + 1, CASE WHEN f < p THEN x ELSE low END, CASE WHEN f < p THEN high ELSE x END
+        FROM (SELECT *, {tail} AS f FROM (SELECT *, (low + high) / 2 AS x FROM steps WHERE step < 48)))
+        SELECT {columns}, p, (low + high) / 2 AS value FROM steps WHERE step = 48"""
+
+
+CLASS_BOUNDS = {"median": 0.5, "q025": 0.025, "q975": 0.975}
+
+
+def _imputed_draws(keys: str) -> str:
+    shown = ", ".join(
+        r(f"round(observed + coalesce(quantile_cont(cases, {d(p)}), 0) + {d(TIE)}, 3)", f"estimated_{name}") for name, p in CLASS_BOUNDS.items()
+    )
+    named = ", ".join(k if k == "study_id" else big(k) for k in keys.split(", "))
+    return build(f"""SELECT {named}, {big('observed')}, {big('patients')}, {shown} FROM group_counts LEFT JOIN group_draws USING (g)
+            GROUP BY {keys}, observed, patients""",
+        drawn=f"""SELECT phenotype, class, i, value AS rate FROM ({halved("(SELECT * FROM rates, range(1, " + str(CLASS_DRAWS + 1) + ") t(i))",
+            "phenotype, class, i", "(('0x' || substr(md5('1:' || phenotype || ':' || class || ':' || i), 1, 12))::BIGINT + 0.5::DOUBLE) / pow(2::DOUBLE, 48)")})""",
+        group_rows=f"SELECT *, dense_rank() OVER (ORDER BY {keys}) AS g FROM flags",
+        group_counts=f"""SELECT g, {keys}, count(*) FILTER (f_c) AS observed, count(*) AS patients FROM group_rows GROUP BY ALL""",
+        group_open="""SELECT g, f_sma, f_rd, c_sma, c_rd, count(*) AS n FROM group_rows
+            WHERE f_c IS NULL GROUP BY ALL""",
+        group_draws=f"""SELECT g, t.i, sum(n * (1 - CASE WHEN f_sma IS NULL THEN 1 - coalesce(s.rate, 0.5) ELSE 1 END
+            * CASE WHEN f_rd IS NULL THEN 1 - coalesce(b.rate, 0.5) ELSE 1 END)) AS cases
+            FROM group_open CROSS JOIN range(1, {CLASS_DRAWS + 1}) t(i)
+            LEFT JOIN drawn s ON s.phenotype = 'sma' AND s.class = c_sma AND s.i = t.i
+            LEFT JOIN drawn b ON b.phenotype = 'rd' AND b.class = c_rd AND b.i = t.i GROUP BY g, t.i""")
+
+
 AGE_BANDS = """CASE WHEN age_years = 0 THEN 0 ELSE age_years - 0.25 END"""
 BAND_COLUMNS = f"""{r('age_start')}, {r('CASE WHEN age_start = 0 THEN 0.75 ELSE age_start + 1 END', 'age_end')},
     {r('CASE WHEN age_start = 0 THEN 0.75 WHEN age_start IS NOT NULL THEN 1 END', 'age_width')}"""
@@ -455,8 +493,10 @@ ORACLE = {
     "undiagnosed_pivot": _undiagnosed("sma", 4),
     "undiagnosed_pivot_rd": _undiagnosed("rd", 2),
     "class_positivity": build(f"""SELECT phenotype, {big('class')}, {big('n_positives')}, n_patients, {r('rate', 'rate_mean')},
-        {r('(n_positives + 1.0) * (n_patients - n_positives + 1.0) / (pow(n_patients + 2.0, 2) * (n_patients + 3.0))', 'rate_var')}
-        FROM rates"""),
+        {r('(n_positives + 1.0) * (n_patients - n_positives + 1.0) / (pow(n_patients + 2.0, 2) * (n_patients + 3.0))', 'rate_var')},
+        {', '.join(r(f'(SELECT value FROM bounds b WHERE b.phenotype = rates.phenotype AND b.class = rates.class AND b.p = {p})', f'rate_{q}') for q, p in CLASS_BOUNDS.items())}
+        FROM rates""",
+        bounds=halved("(SELECT * FROM rates, (VALUES (0.5), (0.025), (0.975)) t(share))", "phenotype, class", "share")),
     "imputed_admissions": _imputed("sma"),
     "imputed_admissions_rd": _imputed("rd"),
     "composite_imputed": build(f"""SELECT study_id, {big('sum(seen)', 'observed')}, count(*) AS patients,
@@ -464,6 +504,8 @@ ORACLE = {
     "composite_imputed_by_age": build(f"""SELECT study_id, {big('age_years')}, observed, patients, {r('estimated')}, {BAND_COLUMNS}
         FROM (SELECT study_id, age_years, {AGE_BANDS} AS age_start, {big('sum(seen)', 'observed')}, count(*) AS patients,
         sum(any_case) AS estimated FROM ({COMPOSITE_ROWS}) GROUP BY study_id, age_years)"""),
+    "composite_imputed_draws": _imputed_draws("study_id"),
+    "composite_imputed_draws_by_age": _imputed_draws("study_id, age_years"),
     "row_ranges": build("""SELECT study_id, min(rn) AS min_index, max(rn) AS max_index FROM
         (SELECT study_id, row_number() OVER (ORDER BY study_id) AS rn FROM flags) GROUP BY study_id"""),
     "age_band_rates": build(f"""SELECT {big('age_years')}, band, n, n_alt, {r('py')}, {r('n / py * 1000', 'rate')},

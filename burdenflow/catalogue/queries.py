@@ -27,6 +27,7 @@ EXACT = """age_months temperature fever_days fits_per_24h hb_level latitude long
 BAND_WIDTH = 0.05
 PHENOTYPES = ("a. anaemia", "b. respiratory distress", "c. cerebral malaria")
 SAMPLE = 200
+CLASS_DRAWS = 60
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -206,6 +207,21 @@ def composite_imputed_by_age(t: Case) -> DataFrame:
     return c.age_bands(burden.composite_imputed(t.patients(), ["study_id", "age_years"]))
 
 
+@query
+def composite_imputed_draws(t: Case) -> DataFrame:
+    return whole_draws(burden.composite_imputed_draws(t.patients(), draws=CLASS_DRAWS))
+
+
+@query
+def composite_imputed_draws_by_age(t: Case) -> DataFrame:
+    return whole_draws(burden.composite_imputed_draws(t.patients(), ["study_id", "age_years"], draws=CLASS_DRAWS))
+
+
+def whole_draws(df: DataFrame) -> DataFrame:
+    """Expected patients to three places: both sides find the bounds by iteration."""
+    return df.withColumns({name: F.round(F.col(name) + TIE, 3) for name in df.columns if name.startswith("estimated_")})
+
+
 @query
 def row_ranges(t: Case) -> DataFrame:
     return g.row_ranges(t.patients(), ["study_id"])

@@ -1,8 +1,10 @@
-"""Normal distribution and gamma functions that Spark SQL lacks, as column expressions.
+"""Normal and beta distributions and gamma functions that Spark SQL lacks, as column expressions.
 
 Coefficients are the published ones: Hart (1968) in West's (2005) form for the normal
 distribution function, Wichura's AS 241 (1988) for its inverse, and a nine-term Lanczos
-series (g = 7) for log-gamma.
+series (g = 7) for log-gamma. The beta distribution function is the continued fraction of
+the incomplete beta function (DLMF 8.17.22), worked out from its far end; its inverse is
+found by Newton steps that a bracket keeps inside.
 """
 
 from __future__ import annotations
@@ -99,3 +101,77 @@ def lgamma(c: Column) -> Column:
 def gamma_log_scale(shape: Column, rate: Column) -> Column:
     """Log of the factor of a gamma density that does not depend on its argument."""
     return shape * F.log(rate) - lgamma(shape)
+
+
+def log_beta(a: Column, b: Column) -> Column:
+    """Logarithm of the beta function for arguments of at least one half."""
+    return lgamma(a) + lgamma(b) - lgamma(a + b)
+
+
+def beta_cdf(x: Column, a: Column, b: Column) -> Column:
+    """Distribution function of a beta variable with parameters of at least one half.
+
+    The terms worked out grow with the square root of the parameters, as the fraction's
+    convergence does.
+    """
+    given = F.struct(x.cast("double").alias("x"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+    known = x.isNotNull() & a.isNotNull() & b.isNotNull()
+    return let(F.when(known, given), lambda v: let(log_beta(v["a"], v["b"]), lambda k: _beta_cdf(v["x"], v["a"], v["b"], k)))
+
+
+def _beta_cdf(x: Column, a: Column, b: Column, log_b: Column) -> Column:
+    low = _beta_tail(x, a, b, log_b)
+    high = 1 - _beta_tail(1 - x, b, a, log_b)
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).when(x * (a + b + 2) < a + 1, low).otherwise(high)
+
+
+def _beta_tail(x: Column, a: Column, b: Column, log_b: Column) -> Column:
+    terms = (F.lit(40) + 4 * F.sqrt(F.greatest(a, b))).cast("int")
+
+    def outer(inner: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = (a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return 1 + even / (1 - odd / inner)
+
+    inner = F.aggregate(F.sequence(terms, F.lit(1), F.lit(-1)), F.lit(1.0), outer)
+    fraction = 1 - (a + b) * x / ((a + 1) * inner)
+    return F.exp(a * F.log(x) + b * F.log1p(-x) - log_b) / (a * fraction)
+
+
+def beta_quantile(p: Column, a: Column, b: Column, steps: int = 80) -> Column:
+    """Inverse of ``beta_cdf`` for probabilities inside (0, 1).
+
+    A step that leaves the bracket halves it instead; steps end where they no longer move.
+    """
+    given = F.struct(p.cast("double").alias("p"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+    known = (p > 0) & (p < 1) & a.isNotNull() & b.isNotNull()
+    return let(F.when(known, given), lambda v: let(log_beta(v["a"], v["b"]), lambda k: _beta_quantile(v, k, steps)))
+
+
+def _beta_quantile(v: Column, log_b: Column, steps: int) -> Column:
+    p, a, b = v["p"], v["a"], v["b"]
+    mean = a / (a + b)
+    near = mean + probit(p) * F.sqrt(mean * (1 - mean) / (a + b + 1))
+    state = lambda low, high, x, still: F.struct(
+        low.alias("low"), high.alias("high"), x.alias("x"), still.alias("still")
+    )
+
+    def step(s: Column, _: Column) -> Column:
+        def moved(excess: Column) -> Column:
+            low, high = F.when(excess < 0, s["x"]).otherwise(s["low"]), F.when(excess < 0, s["high"]).otherwise(s["x"])
+            density = F.exp((a - 1) * F.log(s["x"]) + (b - 1) * F.log1p(-s["x"]) - log_b)
+            # without density there is no step, and the bracket is halved
+            newton = s["x"] - excess / F.when(density > 0, density)
+            return let(
+                F.struct(low.alias("low"), high.alias("high"), newton.alias("to")),
+                lambda n: let(
+                    F.when((n["to"] > n["low"]) & (n["to"] < n["high"]), n["to"]).otherwise((n["low"] + n["high"]) / 2),
+                    lambda x: state(n["low"], n["high"], x, F.abs(x - s["x"]) <= 1e-15 * x),
+                ),
+            )
+
+        return F.when(s["still"], s).otherwise(let(_beta_cdf(s["x"], a, b, log_b) - p, moved))
+
+    inside = F.when((near > 0) & (near < 1), near).otherwise(mean)
+    start = state(F.lit(0.0), F.lit(1.0), inside, F.lit(False))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["x"])

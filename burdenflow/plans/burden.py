@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from burdenflow.functions import clinical as c
+from burdenflow.functions.special import beta_quantile
 from burdenflow.operators.groups import (
     case_counts,
     flag_sum,
@@ -21,6 +22,7 @@ from burdenflow.plans.cleaning import evidence
 
 CLASSES = {"sma": [1, 2, 3, 4], "rd": [1, 2]}
 CLASS_COLUMN = {"sma": "class_sma", "rd": "class_rd"}
+BOUNDS = {"median": 0.5, "q025": 0.025, "q975": 0.975}
 
 
 def classed(patients: DataFrame) -> DataFrame:
@@ -72,13 +74,19 @@ def undiagnosed(patients: DataFrame, phenotype: str) -> DataFrame:
 
 
 def class_positivity(counts: DataFrame, keys: Sequence[str] = ("class",)) -> DataFrame:
-    """Mean and variance of each class's positivity under a flat prior.
+    """Mean, variance, median and 95 % bounds of each class's positivity under a flat prior.
 
     This is the conjugate part alone; a joint fit would also learn from the admissions.
     """
     a, b = F.col("n_positives") + 1.0, F.col("n_patients") - F.col("n_positives") + 1.0
     totals = counts.groupBy(*keys).agg(F.sum("n_positives").alias("n_positives"), F.sum("n_patients").alias("n_patients"))
-    return totals.withColumns({"rate_mean": a / (a + b), "rate_var": a * b / ((a + b) * (a + b) * (a + b + 1))})
+    return totals.withColumns(
+        {
+            "rate_mean": a / (a + b),
+            "rate_var": a * b / ((a + b) * (a + b) * (a + b + 1)),
+            **{f"rate_{name}": beta_quantile(F.lit(p), a, b) for name, p in BOUNDS.items()},
+        }
+    )
 
 
 def status_counts(patients: DataFrame, keys: Sequence[str] = ("study_id",)) -> DataFrame:
@@ -148,6 +156,70 @@ def composite_imputed(patients: DataFrame, keys: Sequence[str] = ("study_id",))
     )
 
 
+def seeded_uniform(*key: Column) -> Column:
+    """A number inside (0, 1) from a digest of the key, so that a run can be repeated."""
+    digest = F.md5(F.concat_ws(":", *[k.cast("string") for k in key]).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(2.0**48)
+
+
+def drawn_class_rates(counts: DataFrame, phenotype: str, draws: int, seed: int) -> DataFrame:
+    """``rates_<phenotype>`` of each class: an array of draws of its positivity, from ``status_counts``.
+
+    A class without any known patient is drawn from the flat prior.
+    """
+    known = F.col(phenotype).isNotNull()
+    totals = counts.groupBy(F.col(CLASS_COLUMN[phenotype]).alias("class")).agg(
+        F.coalesce(_patients_where(F.col(phenotype)), F.lit(0)).alias("positives"),
+        F.coalesce(_patients_where(known), F.lit(0)).alias("known"),
+    )
+    cores = counts.sparkSession.sparkContext.defaultParallelism
+    dealt = totals.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).repartition(cores, "class", "draw")
+    uniform = seeded_uniform(F.lit(seed), F.lit(phenotype), F.col("class"), F.col("draw"))
+    rate = beta_quantile(uniform, F.col("positives") + 1.0, F.col("known") - F.col("positives") + 1.0)
+    rates = dealt.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("draw", rate.alias("rate")))).alias("drawn"))
+    # one row of `draws` numbers per evidence class, of which there are four or two
+    return F.broadcast(rates.select("class", F.transform("drawn", lambda x: x["rate"]).alias(f"rates_{phenotype}")))
+
+
+def composite_imputed_draws(
+    patients: DataFrame, keys: Sequence[str] = ("study_id",), draws: int = 100, seed: int = 1
+) -> DataFrame:
+    """Expected patients with any of the three phenotypes, as median and 95 % bounds over draws of the class rates.
+
+    Within a draw all groups share the rates, as in a joint fit. Combinations of statuses and classes meet the draws,
+    not patients; those that no draw changes are one row (draw 0) of their group.
+    """
+    counts = status_counts(patients, keys)
+    rated = counts
+    for phenotype in ("sma", "rd"):
+        rates = drawn_class_rates(counts, phenotype, draws, seed)
+        rated = lookup(rated, rates, {CLASS_COLUMN[phenotype]: "class"})
+    seen = F.coalesce(F.col("sma") | F.col("rd") | F.col("cm"), F.lit(False))
+    decided = seen | (F.col("sma").isNotNull() & F.col("rd").isNotNull())
+    drawn = lambda p, i: F.when(F.col(p).isNotNull(), F.col(p).cast("double")).otherwise(
+        F.coalesce(F.get(f"rates_{p}", i - 1), F.lit(0.5))
+    )
+    expected = lambda i: (1 - (1 - drawn("sma", i)) * (1 - drawn("rd", i))) * F.col("patients")
+    part = lambda i, observed, patients, cases: F.struct(
+        i.alias("draw"), observed.alias("observed"), patients.alias("patients"), cases.alias("cases")
+    )
+    none = F.lit(0).cast("long")
+    fixed = F.array(part(F.lit(0), F.when(seen, F.col("patients")).otherwise(none), F.col("patients"), F.lit(0.0)))
+    uncertain = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda i: part(i, none, none, expected(i)))
+    parts = F.when(decided, fixed).otherwise(F.concat(fixed, uncertain))
+    by_draw = rated.select(*keys, F.inline(parts)).groupBy(*keys, "draw").agg(
+        F.sum("observed").alias("observed"), F.sum("patients").alias("patients"), F.sum("cases").alias("cases")
+    )
+    across = F.percentile(F.when(F.col("draw") > 0, F.col("cases")), F.array(*map(F.lit, BOUNDS.values())))
+    totals = by_draw.groupBy(*keys).agg(
+        F.sum("observed").alias("observed"), F.sum("patients").alias("patients"), across.alias("across")
+    )
+    bound = lambda at: F.col("observed") + F.coalesce(F.get("across", F.lit(at)), F.lit(0.0))
+    return totals.select(
+        *keys, "observed", "patients", *[bound(at).alias(f"estimated_{name}") for at, name in enumerate(BOUNDS)]
+    )
+
+
 def _age_counts(patients: DataFrame) -> DataFrame:
     """Composite cases by study and age, counted before anything is joined to them."""
     return c.case_flags(patients, cm_default=False).groupBy("study_id", "age_years").agg(

@@ -1,6 +1,7 @@
 import itertools
 import math
 import statistics
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,34 @@ def test_gamma_functions(spark):
     assert scale == pytest.approx(3 * math.log(2.0) - math.lgamma(3), rel=1e-12)
 
 
+def binomial_tail(x, a, b):
+    """Beta distribution function for whole parameters, summed exactly."""
+    n, x = a + b - 1, Fraction(x)
+    return float(sum(math.comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(a, n + 1)))
+
+
+def test_beta_functions(spark):
+    pairs = [(1, 1), (1, 2), (5, 1), (1, 400), (30, 70), (300, 450)]
+    rows = spark.createDataFrame([(k / 16, float(a), float(b)) for k in range(1, 16) for a, b in pairs], "x double, a double, b double")
+    for r in rows.select("*", special.beta_cdf(F.col("x"), F.col("a"), F.col("b")).alias("p")).collect():
+        assert r.p == pytest.approx(binomial_tail(r.x, int(r.a), int(r.b)), abs=1e-13)
+    ps = [1e-9, 1e-4, 0.025, 0.3, 0.5, 0.9, 0.975, 1 - 1e-9]
+    pairs += [(3000, 9000), (1, 30000), (10**6, 3 * 10**6), (0.5, 0.5), (0.75, 40.0)]
+    # with b = 0.5 the largest of these lies nearer to 1 than doubles do
+    grid = [(p, float(a), float(b)) for p in ps for a, b in pairs if b >= 1 or p < 0.999]
+    rows = spark.createDataFrame(grid, "p double, a double, b double")
+    quantile = rows.withColumn("x", special.beta_quantile(F.col("p"), F.col("a"), F.col("b")))
+    for r in quantile.withColumn("back", special.beta_cdf(F.col("x"), F.col("a"), F.col("b"))).collect():
+        assert 0 < r.x < 1 and r.back == pytest.approx(r.p, abs=1e-9)
+    assert one(spark, special.beta_quantile(F.lit(0.5), F.lit(1.0), F.lit(2.0))) == pytest.approx(1 - math.sqrt(0.5), abs=1e-14)
+    # the arcsine law
+    assert one(spark, special.beta_quantile(F.lit(0.2), F.lit(0.5), F.lit(0.5))) == pytest.approx(math.sin(math.pi * 0.1) ** 2, abs=1e-13)
+    for p in (0.0, 1.0, None):
+        assert one(spark, special.beta_quantile(F.lit(p).cast("double"), F.lit(2.0), F.lit(3.0))) is None
+    assert one(spark, special.beta_cdf(F.lit(-1.0), F.lit(2.0), F.lit(3.0))) == 0.0
+    assert one(spark, special.beta_cdf(F.lit(2.0), F.lit(2.0), F.lit(3.0))) == 1.0
+
+
 def test_log_likelihoods(spark):
     got = one(spark, rates.log_lik("poisson", F.lit(4.0), F.lit(2.5)))
     assert got == pytest.approx(4 * math.log(2.5) - 2.5 - math.log(24), rel=1e-12)

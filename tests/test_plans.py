@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from burdenflow.functions import clinical
 from burdenflow.plans import burden, cleaning, posterior, prevalence, regression
 from burdenflow.sources.weights import AGE_SHARES, PRESETS, age_weights
 
@@ -294,3 +296,61 @@ def test_every_study_takes_its_index(spark):
     studies = spark.range(1, 8).withColumnRenamed("id", "study_number")
     got = {r.study_number: r.v for r in posterior.at_studies(rows, studies, 3).collect()}
     assert got == {1: 10.0, 2: 20.0, 3: 30.0, 4: 10.0, 5: 20.0, 6: 30.0, 7: 10.0}
+
+
+def drawn_by_hand(rows, keys, draws, seed):
+    """Composite totals per group and draw, patient by patient, from rates found by halving."""
+    def uniform(*key):
+        digest = hashlib.md5(":".join(map(str, key)).encode()).hexdigest()
+        return (int(digest[:12], 16) + 0.5) / 2**48
+
+    def quantile(p, a, b):
+        low, high, n = 0.0, 1.0, a + b - 1
+        for _ in range(60):
+            x = (low + high) / 2
+            low, high = (x, high) if sum(math.comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(a, n + 1)) < p else (low, x)
+        return x
+
+    rates = {}
+    for phenotype in ("sma", "rd"):
+        for k in {r[f"class_{phenotype}"] for r in rows}:
+            known = [r[phenotype] for r in rows if r[f"class_{phenotype}"] == k and r[phenotype] is not None]
+            for i in range(1, draws + 1):
+                rates[phenotype, k, i] = quantile(uniform(seed, phenotype, k, i), sum(known) + 1, len(known) - sum(known) + 1)
+    out = {}
+    for r in rows:
+        total = out.setdefault(tuple(r[k] for k in keys), np.zeros(draws))
+        for i in range(1, draws + 1):
+            share = [float(r[p]) if r[p] is not None else rates[p, r[f"class_{p}"], i] for p in ("sma", "rd")]
+            total[i - 1] += 1 - (1 - share[0]) * (1 - share[1]) * (1 - float(r["cm"]))
+    return out
+
+
+@pytest.mark.parametrize("keys", [["study_id"], ["study_id", "age_years"]])
+def test_composite_draws_match_patients_one_by_one(spark, keys):
+    rng = np.random.default_rng(3)
+    pick = lambda *values: values[rng.integers(len(values))]
+    names = "study_id age_years hb_level pallor transfusion deep_breathing intercostal_recession apvu unconscious bcs"
+    rows = [
+        (pick("a", "b", "c"), pick(0, 1, None), pick(3.0, 9.0, None), pick("Severe", "None", None), pick(True, False, None),
+         pick(True, False, None), pick(True, False, None), pick("A", "U", None), pick(False, None), pick(5, 1, None, None))
+        for _ in range(300)
+    ]
+    # a class without any known status, and a study without any unknown one
+    rows = [r if r[4] is not True or r[3] != "Severe" else (*r[:2], None, *r[3:]) for r in rows]
+    rows += [("d", 1, 9.0, None, None, False, None, "A", False, 5)] * 4
+    schema = "study_id string, age_years int, hb_level double, pallor string, transfusion boolean, deep_breathing boolean, "
+    schema += "intercostal_recession boolean, apvu string, unconscious boolean, bcs int"
+    assert [c.split()[0] for c in schema.split(", ")] == names.split()
+    patients = spark.createDataFrame(rows, schema)
+    flagged = burden.classed(clinical.case_flags(patients, cm_default=False)).collect()
+    want = drawn_by_hand(flagged, keys, 12, 5)
+    got = burden.composite_imputed_draws(patients, keys, draws=12, seed=5).collect()
+    assert {tuple(r[k] for k in keys) for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        totals = want[tuple(r[k] for k in keys)]
+        bounds = [r.estimated_q025, r.estimated_median, r.estimated_q975]
+        assert bounds == pytest.approx(list(np.quantile(totals, [0.025, 0.5, 0.975])), abs=1e-8)
+    assert sum(r.patients for r in got) == len(rows)
+    empty = burden.composite_imputed_draws(patients.limit(0), keys, draws=12)
+    assert empty.count() == 0
