@@ -64,66 +64,62 @@ STRENGTH = {"base": 0.7, "notice": 0.6, "expression": 0.95}
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "cc0", "cc-by-4", "cc-by-3", "unlicense", "zlib", "0bsd", "python", "boost", "bsl")
 COPYLEFT = ("gpl", "lgpl", "agpl", "mpl", "epl", "cc-by-sa", "gfdl", "eupl", "cddl")
 _IDENTIFIER = re.compile(r"(?:%s)[a-z0-9.+-]*" % "|".join(sorted((re.escape(p) for p in PERMISSIVE + COPYLEFT + ("cc-by", "licenseref", "artistic")), key=len, reverse=True)))
-_EXPRESSION = re.compile(r"([ \t:*#/]*)((?:(?:documentref-[a-z0-9.-]+:)?[a-z0-9][a-z0-9.+-]*|[()]|[ \t]+)+)")
-_TOKEN = re.compile(r"[()]|(?:documentref-[a-z0-9.-]+:)?[a-z0-9][a-z0-9.+-]*", re.I)
+#: What may stand between a tag and its expression, and the next sign or word of an expression.
+_BETWEEN = re.compile(r"[ \t:*#/]*")
+_STEP = re.compile(r"[ \t]*([()]|(?:documentref-[a-z0-9.-]+:)?[a-z0-9][a-z0-9.+-]*)", re.I | re.A)
 #: What stands in place of an identifier where there is none.
 _NOTHING = ("none", "noassertion")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def parse(expression: str, any_name: bool = False) -> list[str] | None:
-    """The longest start of a licence expression that is one, in postfix order; None if there is none.
+def parse(text: str, any_name: bool = False, start: int = 0) -> list[str] | None:
+    """The longest expression that stands at `start` of a text, in postfix order; None if there is none.
 
-    any_name: identifiers may be unknown ones.
+    any_name: identifiers may be unknown ones. Shunting-yard in one pass that remembers the last place where the
+    expression was whole: what is out by then, and what waits; outside parentheses no more than one of each operator does.
     """
-    written = [t.rstrip(".") for t in _TOKEN.findall(expression)]
-    tokens = [t.translate(_LOWER) for t in written]
-    known = [bool(_IDENTIFIER.fullmatch(t)) or any_name and _is_name(written, i) for i, t in enumerate(tokens)]
-    for end in range(len(tokens), 0, -1):
-        if (out := _postfix(tokens[:end], known)) is not None:
-            return out
-    return None
-
-
-def _is_name(written: list[str], at: int) -> bool:
-    """Whether a word after an identifier tag is an identifier, by its form and the operator before it."""
-    name, before = written[at], next((t for t in written[:at][::-1] if t != "("), "")
-    if name.translate(_LOWER) in _NOTHING:
-        return False
-    return before not in _BINDS or bool(re.search(r"[A-Z0-9-]", name))
-
-
-def _postfix(tokens: list[str], known: list[bool]) -> list[str] | None:
-    out, waiting, operand = [], [], True  # operand: an identifier or an opening parenthesis must come next
-    for token, is_identifier in zip(tokens, known):
+    out, waiting, inside, operand, before = [], [], 0, True, ""  # operand: an identifier or an opening parenthesis must come next
+    whole: tuple[int, list[str]] | None = None
+    while found := _STEP.match(text, start):
+        start, written = found.end(), found[1].rstrip(".")
+        token = written.translate(_LOWER)
         if token in _BINDS:
             if operand:
-                return None
+                break
             while waiting and waiting[-1] != "(" and _BINDS[waiting[-1]] >= _BINDS[token]:
                 out.append(waiting.pop())
             waiting.append(token)
             operand = True
         elif token == "(":
             if not operand:
-                return None
+                break
             waiting.append(token)
+            inside += 1
         elif token == ")":
-            if operand:
-                return None
-            while waiting and waiting[-1] != "(":
+            if operand or not inside:
+                break
+            while waiting[-1] != "(":
                 out.append(waiting.pop())
-            if not waiting:
-                return None
             waiting.pop()
+            inside -= 1
         else:
             after_with = waiting and waiting[-1] == "with"
-            if not operand or not (after_with or is_identifier):
-                return None
+            if not operand or not (after_with or _IDENTIFIER.fullmatch(token) or any_name and _is_name(written, before)):
+                break
             out.append(token)
             operand = False
-    if operand or "(" in waiting:
-        return None
-    return out + waiting[::-1]
+        if token != "(":
+            before = written
+        if not operand and not inside:
+            whole = len(out), waiting[::-1]
+    return out[: whole[0]] + whole[1] if whole else None
+
+
+def _is_name(written: str, before: str) -> bool:
+    """Whether a word after an identifier tag is an identifier, by its form and the operator before it."""
+    if written.translate(_LOWER) in _NOTHING:
+        return False
+    return before not in _BINDS or bool(re.search(r"[A-Z0-9-]", written))
 
 
 def both(left: bool | None, right: bool | None) -> bool | None:
@@ -142,7 +138,10 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool | None]:
     for token in postfix:
         if token in _BINDS:
             (right, free), (left, also) = stack.pop(), stack.pop()
-            names = left if token == "with" else left | right
+            if token != "with":  # the smaller set into the larger, so that a long expression stays cheap
+                left, right = (left, right) if len(left) >= len(right) else (right, left)
+                left |= right
+            names = left
             stack.append((names, also if token == "with" else either(also, free) if token == "or" else both(also, free)))
         else:
             stack.append(({token}, token.startswith(PERMISSIVE) if _IDENTIFIER.fullmatch(token) else None))
@@ -188,9 +187,9 @@ class Scanner:
         if tags:
             ends = [m.end() for m in _WORD.finditer(lowered)]
             for after, naming in tags:
-                m = _EXPRESSION.match(lowered, ends[after - 1])
-                # lower-casing leaves every character in its place
-                if m and (postfix := parse(text[m.start(2) : m.end(2)], bool(naming) and ":" in m[1])):
+                between = _BETWEEN.match(lowered, ends[after - 1])
+                # lower-casing leaves every character in its place; no expression goes on past the next tag
+                if postfix := parse(text, bool(naming) and ":" in between[0], between.end()):
                     names, choice = evaluate(postfix)
                     labels |= dict.fromkeys(names, STRENGTH["expression"])
                     choices.append(choice)

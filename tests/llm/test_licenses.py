@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -100,3 +101,69 @@ def test_random_expressions_agree_with_python():
     for _ in range(300):
         text, truth = make(4)
         assert licenses.evaluate(licenses.parse(text))[1] is eval(truth)
+
+
+def longest_start(text, any_name):
+    """The longest start of an expression that a recursive reader accepts, tried from the longest on."""
+    written = [t.rstrip(".") for t in re.findall(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*", text)]
+
+    def read(tokens, at, level):
+        if level == 3:
+            if at < len(tokens) and tokens[at][0] == "(":
+                tree, at = read(tokens, at + 1, 0)
+                return (tree, at + 1) if tree and at < len(tokens) and tokens[at][0] == ")" else (None, at)
+            if at < len(tokens) and tokens[at][1]:
+                return ({tokens[at][0]}, at + 1)
+            return None, at
+        tree, at = read(tokens, at, level + 1)
+        while tree and at < len(tokens) and tokens[at][0] == ("or", "and", "with")[level]:
+            more, at = read(tokens, at + 1, level + 1)
+            if not more:
+                return None, at
+            tree = tree if level == 2 else tree | more
+        return tree, at
+
+    def name(i):
+        t, before = written[i], next((x for x in written[:i][::-1] if x != "("), "")
+        if t.lower() in ("and", "or", "with", "(", ")"):
+            return False
+        if next((x.lower() for x in written[:i][::-1]), "") == "with":
+            return True
+        if licenses._IDENTIFIER.fullmatch(t.lower()):
+            return True
+        return any_name and t.lower() not in ("none", "noassertion") and (before not in ("and", "or", "with") or bool(re.search("[A-Z0-9-]", t)))
+
+    tokens = [(t.lower(), name(i)) for i, t in enumerate(written)]
+    for end in range(len(tokens), 0, -1):
+        tree, at = read(tokens[:end], 0, 0)
+        if tree and at == end:
+            return tree
+    return None
+
+
+def test_the_longest_start_that_is_an_expression():
+    random.seed(8)
+    words = ["MIT", "GPL-2.0", "and", "or", "with", "OR", "(", ")", "(", ")", "prose", "Foo-1", "none", "Apache-2.0."]
+    for _ in range(20_000):
+        text = " ".join(random.choices(words, k=random.randint(1, 12)))
+        any_name = random.random() < 0.5
+        want, got = longest_start(text, any_name), licenses.parse(text, any_name)
+        assert (got and licenses.evaluate(got)[0]) == want, text
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SPDX-License-Identifier: " + "word " * 64_000,
+        "SPDX-License-Identifier: MIT and mit " * 10_000,
+        "license expression: (" * 10_000,
+        "SPDX-License-Identifier: " + "(" * 60_000,
+        "SPDX-License-Identifier: " + " AND ".join(f"A-{i}" for i in range(30_000)),
+        "license expression " + "mit or " * 60_000,
+    ],
+)
+def test_long_lines_take_linear_time(text):
+    scanner = licenses.Scanner(licenses.BASE, licenses.NOTICES)
+    start = time.process_time()
+    scanner.scan(text)
+    assert time.process_time() - start < 5
