@@ -4,8 +4,10 @@ Candidates become shards, queries become tiles: matrices of a bounded number of
 once, in one matrix product from which each query keeps its k best rows by partial selection. The lists of a query
 are then merged as a tree, a fixed number at a time, so no task sees more than that number of lists of k.
 
-Components are turned into whole numbers floor(scale * x) first. Products and sums of them are exact in double
-precision as long as they stay below 2**53, which is checked for each vector; the rest of the row is not read.
+Components are turned into whole numbers floor(scale * x) first; one too large for a double after scaling counts as the
+largest double. Products and sums are exact in double precision where the lengths of two vectors multiply to less
+than 2**52, which is checked; the products of other pairs are formed again in whole numbers of any size. A score beyond
+63 bits counts as the nearest number of 63 bits. The rest of the row is not read.
 
 Vectors that are null or hold null, infinite or not-a-number components take no part, nor do empty ones. Queries
 meet candidates of the same length only. Ties go to the smaller vec_id. Rows with the query's own vec_id are no
@@ -25,19 +27,20 @@ from pyspark.sql import functions as F
 from burdenflow.llm.store import keep, width
 
 SHARD, TILE, FAN = 2_048, 256, 16
+_LARGEST, _MOST = float(np.finfo(float).max), 2**63 - 1
 _MATRIX = "dim int, ids binary, matrix binary"
 
 
 def whole(vectors: DataFrame, scale: int) -> DataFrame:
     """vec_id and vector of whole numbers (as doubles) for the rows that take part."""
     doubles = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    bound = 2.0**52
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     takes_part = F.col("vec_id").isNotNull() & (F.size("vector") > 0) & F.forall("vector", fine)
-    rows = doubles.select("vec_id", F.when(takes_part, F.transform("vector", lambda x: F.floor(x * scale).cast("double"))).alias("vector"))
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    too_long = F.raise_error(F.lit("a vector is too long for exact products"))
-    return rows.filter(F.when(F.col("vector").isNull(), False).when(square < bound, True).otherwise(too_long.cast("boolean")))
+    # from 2**53 on every double is a whole number
+    large = lambda x: F.greatest(F.least(x, F.lit(_LARGEST)), F.lit(-_LARGEST))
+    floor = lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(large(x))
+    rows = doubles.select("vec_id", F.when(takes_part, F.transform("vector", lambda x: floor(x * scale))).alias("vector"))
+    return rows.filter(F.col("vector").isNotNull())
 
 
 def _stack(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
@@ -64,6 +67,28 @@ def matrices(vectors: DataFrame, most: int) -> DataFrame:
     return vectors.mapInPandas(lambda batches: _stack(batches, most), _MATRIX)
 
 
+def _lengths(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", rows, rows))
+
+
+def inner_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, exact up to 63 bits; larger ones count as the nearest of 63 bits."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (left @ right.T).astype(np.int64)
+        a, b = _lengths(left), _lengths(right)
+        unsure = np.flatnonzero(~(a * b.max(initial=0.0) < 2.0**52))
+    # a row at a time, and of it only the candidates that are too long for it
+    for i in unsure:
+        with np.errstate(over="ignore", invalid="ignore"):
+            places = np.flatnonzero(~(a[i] * b < 2.0**52))
+        used = np.flatnonzero(left[i])
+        row = [int(x) for x in left[i, used]]
+        for j in places:
+            score = sum(x * int(y) for x, y in zip(row, right[j, used]))
+            out[i, j] = max(-_MOST, min(_MOST, score))
+    return out
+
+
 def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[list, list]:
     """The k largest scores of one query, ties to the smaller id, by partial selection."""
     rows = np.flatnonzero(ids != own)
@@ -74,7 +99,7 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[list, l
         need = k - len(over)
         rows = np.concatenate([over, level[np.argpartition(ids[level], need - 1)[:need]]])
     order = np.lexsort((ids[rows], -scores[rows]))
-    return scores[rows][order].astype(np.int64).tolist(), ids[rows][order].tolist()
+    return scores[rows][order].tolist(), ids[rows][order].tolist()
 
 
 def search(vectors: DataFrame, is_query: Column, k: int, scale: int = 256, shard: int = SHARD, tile: int = TILE, fan: int = FAN) -> DataFrame:
@@ -94,7 +119,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, scale: int = 256, shard
             for row in batch.itertuples(index=False):
                 asked, ids = np.frombuffer(row.query_ids, "<i8"), np.frombuffer(row.ids, "<i8")
                 left = np.frombuffer(row.query_matrix, "<f8").reshape(len(asked), row.dim)
-                scores = left @ np.frombuffer(row.matrix, "<f8").reshape(len(ids), row.dim).T
+                scores = inner_products(left, np.frombuffer(row.matrix, "<f8").reshape(len(ids), row.dim))
                 lists = [best(line, ids, own, k) for line, own in zip(scores, asked)]
                 yield pd.DataFrame({"query_id": asked, "node": row.shard, "scores": [s for s, _ in lists], "ids": [i for _, i in lists]})
 

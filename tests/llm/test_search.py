@@ -44,6 +44,21 @@ def test_empty_table_and_lonely_query(spark):
     assert search.search(make(spark, [(50, [1.0])]), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
-def test_vectors_too_long_for_exact_sums_are_refused(spark):
-    with pytest.raises(Exception, match="too long"):
-        search.search(make(spark, [(50, [1e9]), (1, [1.0])]), F.col("vec_id") % 50 == 0, 5).collect()
+def test_vectors_too_long_for_exact_sums_in_doubles(spark):
+    random.seed(4)
+    rows = [(i, [random.uniform(-1, 1) * 10 ** random.choice([0, 0, 3, 5, 6]) for _ in range(5)]) for i in range(300)]
+    rows += [(300, [1e6, -1e6, 0.004, 1.0, 0.0]), (301, [1e6, 1e6, 0.5, 1.0, 0.0]), (302, [1e6, 1e6, 1.5, 0.0, 0.0])]
+    got = search.search(make(spark, rows), F.col("vec_id") % 50 == 0, 7, shard=40, tile=2, fan=2).collect()
+    want = brute(spark, rows, 7)
+    assert max(abs(score) for _, score in want.values()) > 2**53
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == want
+
+
+def test_scores_beyond_63_bits_count_as_the_nearest(spark):
+    rows = [(50, [3e38, 3e38]), (1, [1.0, 0.0]), (2, [3e38, 3e38]), (3, [-3e38, 0.0]), (4, [3e38, -3e38]), (5, [0.0, 0.0]), (6, [3e38, 0.0])]
+    got = search.search(make(spark, rows), F.col("vec_id") % 50 == 0, 9).orderBy("rank").collect()
+    most = 2**63 - 1
+    assert [(r.vec_id, r.score) for r in got] == [(1, most), (2, most), (6, most), (4, 0), (5, 0), (3, -most)]
+    double = spark.createDataFrame([(50, [1e308, 1.0]), (1, [0.0, 2.0]), (2, [-1e308, 1e308])], "vec_id long, embedding array<double>")
+    got = search.search(double, F.col("vec_id") % 50 == 0, 9).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2**17), (2, -most)]
