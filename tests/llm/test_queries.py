@@ -11,7 +11,7 @@ import pytest
 from __spark_entry__ import oracle_sql, queries
 from burdenflow.llm.queries import ORACLE, REGISTRY
 from check import TABLES, bag, unlike
-from tests.llm import test_licenses, test_mixing, test_near_copies, test_spots
+from tests.llm import test_licenses, test_mixing, test_near_copies, test_quality, test_spots
 from tests.llm.test_tokens import library
 
 FOLDER = "/root/testdata/sf0.001"
@@ -95,6 +95,16 @@ def test_scores(spark, documents, start, folds, held, cut):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= cut)
 
 
+def test_op10_scores_are_those_of_brute_force(spark, documents):
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()]
+    want = test_quality.brute_scores([(d.doc_id, d.text) for d in documents], labels, 4, 2, 0.7)
+    got = {r.doc_id: r for r in run(spark, "op10_").collect()}
+    assert got.keys() == want.keys()
+    for i, score in want.items():
+        assert got[i].score == pytest.approx(score, abs=2e-3)
+        assert got[i].predicted == (score >= 0.7) or abs(score - 0.7) < 2e-3
+
+
 def test_op7(spark, documents):
     texts = {d.doc_id: d.text for d in documents}
     got = run(spark, "op7_").collect()
