@@ -1,21 +1,27 @@
 """Near copies by ProbMinHash over word shingles, banding and exact verification.
 
-A text is a set of shingles, five words each (one shingle of all words for a shorter text). Every shingle sends
-points of a Poisson process of rate its weight, drawn from its hash alone, to random registers; a register keeps the
-shingle whose point arrives first. A shingle stops as soon as its next point is later than every register's. Two
-texts agree in a register with the probability Jaccard similarity of their weighted shingles. Links are similarities
-of sets, so every shingle has weight 1, however often it occurs: the probability is then the Jaccard similarity of
-the sets, and repeated lines in one of two texts do not part them. sketches() also takes other weights, 1 + ln(count).
-Registers are cut into bands; texts that agree in a band share a bucket.
+A text is a set of shingles, five words each (one shingle of all words for a shorter text), of weight 1 + ln(count).
+Every shingle sends points of a Poisson process of rate its weight, drawn from its hash alone, to random registers; a
+register keeps the shingle whose point arrives first. A shingle stops as soon as its next point is later than every
+register's. Two texts agree in a register with the probability Jaccard similarity of their weighted shingles.
+Registers are cut into bands; texts that agree in a band share a bucket. Repeated lines in one of two texts part
+their weighted shingles, though the sets stay alike; so a text in which a shingle repeats also has the bands of weight
+1 for each, where the probability is the Jaccard similarity of the sets. Without repeats both bands are the same.
+
+Two texts are linked if the exact probability Jaccard similarity of their weighted shingles, or the exact Jaccard
+similarity of their shingle sets, is 0.8 or more.
 
 Equal texts are one text throughout. In a bucket every text is compared with a leader, the text with most company
-in all its buckets; similarity is the exact Jaccard similarity of the shingle sets. What remains are texts not
-linked to the leader. Distance (1 - similarity) is a metric, so such a text can be linked only to those whose
-distance from the leader differs by no more than the bound; these are compared in tiles of bounded size, as matrix
-products, which give the links without listing pairs. So every link between two texts of a bucket is found, and
-large groups cost neither pairs nor one large task. Classes are the connected components of the links.
+in all its buckets. What remains are texts not linked to the leader. Both distances (1 - similarity) are metrics, so
+such a text can be linked only to those whose distance from the leader differs by no more than the bound in one of
+them; these are compared in tiles of bounded size, as matrix products, which give the links without listing pairs.
+The products also bound the weighted similarity, by the share of either text's weight that stands in the other; only
+pairs that this leaves open, hold a repeat and aren't connected otherwise are formed one by one. So every link between
+two texts of a bucket is found, and large groups cost neither pairs nor one large task: a leader's set is dealt out to
+as many parts as its bucket has thousands of texts. Classes are the connected components of the links.
 
-With 26 bands of five registers two texts of similarity 0.8 share no bucket with a probability of 3 in 100,000.
+With 26 bands of five registers two texts of similarity 0.8, in either sense, share no bucket with a probability of 3
+in 100,000.
 
 Words are what stands between white space, lower-cased. Null texts are empty ones; texts without words are near
 copies of equal texts only. A null doc_id counts as larger than any other. Repeated rows are copies. Other columns
@@ -36,6 +42,8 @@ from burdenflow.llm.slices import map_slices
 from burdenflow.llm.store import keep
 
 WORDS, BANDS, ROWS, ALIKE, TILE = 5, 26, 5, 0.8, 512
+#: Texts of a bucket that share one copy of their leader's set.
+SHARE = 4096
 _STEP, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Shingles and texts whose points are drawn together.
 TOGETHER, TEXTS = 200_000, 512
@@ -88,6 +96,21 @@ def sketches(texts: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.n
     return owner.reshape(len(texts), registers)
 
 
+def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """Probability Jaccard similarity of elements a with weights x and elements b with weights y; a and b are sorted.
+
+    A shared element i arrives first in both with probability 1 / sum over j of max(x_j / x_i, y_j / y_i). In the order
+    of y / x the elements up to i count there with their x, those after it with their y.
+    """
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    ratio = y[j] / x[i]
+    order = np.argsort(ratio)
+    ratio, mine, other = ratio[order], x[i][order], y[j][order]
+    up_to = x.sum() - mine.sum() + np.cumsum(mine)
+    after = y.sum() - np.cumsum(other)
+    return float((mine / (up_to + after / ratio)).sum())
+
+
 def band_hashes(rows: np.ndarray, bands: int, size: int) -> np.ndarray:
     """One signed 64-bit number for each band of each text; equal ones only for the same band."""
     total = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _STEP, (len(rows), bands))
@@ -111,15 +134,21 @@ def buckets(docs: DataFrame, words: int, bands: int, size: int) -> DataFrame:
 
             def flush():
                 if held:
-                    for i, row in zip(at, band_hashes(sketches(held, bands * size), bands, size)):
+                    plain = [(h, np.ones_like(c)) for h, c in held]
+                    for i, row in zip(at, band_hashes(sketches(plain, bands * size), bands, size)):
                         bands_of[i] = row
+                    repeating = [k for k, (_, c) in enumerate(held) if c.max() > 1]
+                    if repeating:
+                        weighted = sketches([held[k] for k in repeating], bands * size)
+                        for k, row in zip(repeating, band_hashes(weighted, bands, size)):
+                            bands_of[at[k]] = np.unique(np.concatenate([bands_of[at[k]], row]))
                     held.clear()
                     at.clear()
 
             for i, text in enumerate(batch["text"]):
                 found = shingles(text, words)
                 if len(found[0]):
-                    held.append((found[0], np.ones_like(found[1])))  # bands on the measure that links are checked by
+                    held.append(found)
                     at.append(i)
                     total += len(found[0])
                     if total >= TOGETHER or len(held) >= TEXTS:
@@ -133,50 +162,96 @@ def buckets(docs: DataFrame, words: int, bands: int, size: int) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """key and the sorted distinct shingle hashes (8 bytes each) of every text."""
+    """key, the sorted distinct shingle hashes (8 bytes each) and their counts (4 bytes; none if all are 1) of every text."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "set": [shingles(t, words)[0].tobytes() for t in batch["text"]]})
+            found = [shingles(t, words) for t in batch["text"]]
+            counts = [c.astype(np.uint32).tobytes() if (c > 1).any() else b"" for _, c in found]
+            yield pd.DataFrame({"key": batch["key"], "set": [h.tobytes() for h, _ in found], "counts": counts})
 
-    return texts.select("key", "text").mapInPandas(hashed, "key binary, set binary")
+    return texts.select("key", "text").mapInPandas(hashed, "key binary, set binary, counts binary")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs a, b with their similarity."""
+def unpacked(shingle_set: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes and their weights."""
+    found = np.frombuffer(shingle_set, np.uint64)
+    return found, 1 + np.log(np.frombuffer(counts, np.uint32)) if counts else np.ones(len(found))
 
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(shared / (len(x) + len(y) - shared))
-        return pd.Series(out, dtype=float)
 
-    left, right = sets.select(F.col("key").alias("a"), F.col("set").alias("_a")), sets.select(F.col("key").alias("b"), F.col("set").alias("_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", similarity("_a", "_b").alias("similarity"))
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a, b with the similarity of their sets and that of their weighted shingles.
 
+    pairs: a, b and n, the number of texts that are compared with a in one bucket, at most.
+    """
 
-def similarities(sets: list[np.ndarray]) -> np.ndarray:
-    """Similarity of all pairs of a bounded number of sets, by products of their incidence, some shingles at a time."""
+    @F.pandas_udf("similarity double, weighted double")
+    def similarity(a: pd.Series, b: pd.Series, counts_a: pd.Series, counts_b: pd.Series) -> pd.DataFrame:
+        out = []
+        for s, t, c, d in zip(a, b, counts_a, counts_b):
+            (s, x), (t, y) = unpacked(s, c), unpacked(t, d)
+            shared = len(np.intersect1d(s, t, assume_unique=True))
+            plain = shared / (len(s) + len(t) - shared)
+            same = c == d and (not c or plain == 1)
+            out.append((plain, plain if same else probability_jaccard(s, x, t, y)))
+        return pd.DataFrame(out, columns=["similarity", "weighted"], dtype=float)
+
+    named = lambda key: sets.select(F.col("key").alias(key), F.col("set").alias(f"set_{key}"), F.col("counts").alias(f"counts_{key}"))
+    parts = F.ceil(F.col("n") / SHARE).cast("int")
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    leaders = pairs.groupBy("a").agg(F.max(parts).alias("parts")).join(named("a"), "a")
+    leaders = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = dealt.join(named("b"), "b").join(leaders, ["a", "part"])
+    return both.select("a", "b", similarity("set_a", "set_b", "counts_a", "counts_b").alias("found")).select("a", "b", "found.*")
+
+
+def shared_weight(sets: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+    """The weight of each text's shingles that stand in each other text, by products of incidences, some shingles at a time."""
     which, place = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    owner, weight = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(weights)
     common = np.bincount(place, minlength=len(which)) > 1
     column = np.cumsum(common) - 1
     some = common[place]
-    owner, place, shared = owner[some], column[place[some]], np.zeros((len(sets), len(sets)), np.float32)
+    owner, weight, place, shared = owner[some], weight[some], column[place[some]], np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
+    owner, weight, place = owner[order], weight[order], place[order]
+    plain = bool((weight == 1).all())
     for start in range(0, int(common.sum()), 4096):
         a, b = np.searchsorted(place, [start, start + 4096])
         table = np.zeros((len(sets), 4096), np.float32)
         table[owner[a:b], place[a:b] - start] = 1
-        shared += table @ table.T
+        weighted = table
+        if not plain:
+            weighted = np.zeros((len(sets), 4096), np.float32)
+            weighted[owner[a:b], place[a:b] - start] = weight[a:b]
+        shared += weighted @ table.T
+    return shared
+
+
+def similarities(sets: list[np.ndarray]) -> np.ndarray:
+    """Similarity of all pairs of a bounded number of sets."""
     sizes = np.array([len(s) for s in sets], float)
+    shared = shared_weight(sets, [np.ones(len(s)) for s in sets])
     return shared / (sizes[:, None] + sizes[None, :] - shared)
 
 
+def weighted_groups(root: np.ndarray, sets: list[np.ndarray], weights: list[np.ndarray], near: np.ndarray, alike: float) -> np.ndarray:
+    """groups_in() after the links of weighted similarity among the pairs marked `near` are added."""
+    repeating = np.array([bool((w > 1).any()) for w in weights])
+    near = near & (repeating[:, None] | repeating[None, :]) & (root[:, None] != root[None, :])
+    if not near.any():
+        return root
+    # both texts' first arrivals can agree no more often than the weight, of either, that stands in the other
+    part = shared_weight(sets, weights) / np.array([w.sum() for w in weights])[:, None]
+    near &= np.minimum(part, part.T) >= alike - 1e-4
+    root = root.copy()
+    for i, j in zip(*np.nonzero(np.triu(near | near.T))):
+        if root[i] != root[j] and probability_jaccard(sets[i], weights[i], sets[j], weights[j]) >= alike - 1e-9:
+            low, high = sorted((root[i], root[j]))
+            root[root == high] = low
+    return root
+
+
 def groups_in(alike: np.ndarray) -> np.ndarray:
     """For each of a bounded number of texts, the first text of its group."""
     root = np.arange(len(alike))
@@ -198,41 +273,45 @@ def links(texts: DataFrame, found: DataFrame, words: int = WORDS, alike: float =
     members = keep(found.join(shared, "bucket"), "near-members")
     company = members.groupBy("key").agg(F.sum("n").alias("company"))
     leader = members.join(company, "key").groupBy("bucket").agg(F.max(F.struct("company", "key"))["key"].alias("leader"))
-    led = keep(members.select("bucket", "key").join(leader, "bucket"), "near-led")
+    led = keep(members.join(leader, "bucket"), "near-led")
     once = texts.groupBy("key").agg(F.first("text").alias("text")).join(company.select("key"), "key", "left_semi")
     sets = keep(shingle_sets(once, words), "near-sets")
-    pairs = led.filter("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    pairs = led.filter("key != leader").groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.max("n").alias("n"))
     direct = keep(compared(pairs, sets), "near-direct")
 
-    # distance of every member from its bucket's leader; a bucket needs a second look if two unlinked members, or an
-    # unlinked and a linked one, are near enough in that distance
+    # distances of every member from its bucket's leader; a bucket needs a second look if two unlinked members, or an
+    # unlinked and a linked one, are near enough in one of the distances
     bound = 1 - alike
     near = led.join(direct.withColumnsRenamed({"a": "leader", "b": "key"}), ["leader", "key"], "left")
-    near = near.select("bucket", "key", F.when(F.col("key") == F.col("leader"), 0.0).otherwise(1 - F.col("similarity")).alias("far"))
-    linked = F.col("far") <= bound + 1e-9
-    rest = near.filter(~linked).groupBy("bucket").agg(F.min("far").alias("first"), F.count(F.lit(1)).alias("unlinked"))
-    open_ = near.join(rest, "bucket").filter((~linked | (F.col("far") >= F.col("first") - bound - 1e-9)) & (F.col("far") > 0))
+    far = lambda measure: F.when(F.col("key") == F.col("leader"), 0.0).otherwise(1 - F.col(measure))
+    near = near.select("bucket", "key", far("similarity").alias("far"), far("weighted").alias("wide"))
+    linked = F.least("far", "wide") <= bound + 1e-9
+    rest = near.filter(~linked).groupBy("bucket").agg(F.min("far").alias("first_far"), F.min("wide").alias("first_wide"))
+    reached = (F.col("far") >= F.col("first_far") - bound - 1e-9) | (F.col("wide") >= F.col("first_wide") - bound - 1e-9)
+    open_ = near.join(rest, "bucket").filter((~linked | reached) & (F.greatest("far", "wide") > 1e-12))
     counted = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     tiles = F.ceil(F.col("members") / tile).cast("int")
-    open_ = open_.join(counted, "bucket").select("bucket", "key", "far", tiles.alias("tiles"))
+    open_ = open_.join(counted, "bucket").select("bucket", "key", "far", "wide", tiles.alias("tiles"))
     open_ = open_.withColumn("tile", F.pmod(F.xxhash64("key", "bucket"), F.col("tiles")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    open_ = open_.select("bucket", "key", "far", "tile", others)
+    open_ = open_.select("bucket", "key", "far", "wide", "tile", others)
     low, high = F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")
-    open_ = open_.select("bucket", "key", "far", low, high).join(sets, "key")
+    open_ = open_.select("bucket", "key", "far", "wide", low, high).join(sets, "key")
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("key").reset_index(drop=True)
-        far = group["far"].to_numpy()
-        together = (far[:, None] <= bound + 1e-9) & (far[None, :] <= bound + 1e-9)
-        gap = np.abs(far[:, None] - far[None, :]) <= bound + 1e-9
-        same = similarities([np.frombuffer(s, np.uint64) for s in group["set"]]) >= alike - 1e-6
-        root = groups_in(together | (gap & same))
+        far, wide = group["far"].to_numpy(), group["wide"].to_numpy()
+        led = np.minimum(far, wide) <= bound + 1e-9
+        together = led[:, None] & led[None, :]
+        gap, wide_gap = (np.abs(d[:, None] - d[None, :]) <= bound + 1e-9 for d in (far, wide))
+        sets, weights = zip(*map(unpacked, group["set"], group["counts"]))
+        root = groups_in(together | (gap & (similarities(sets) >= alike - 1e-6)))
+        root = weighted_groups(root, sets, weights, wide_gap, alike)
         moved = np.flatnonzero((root != np.arange(len(root))) & ~together[np.arange(len(root)), root])
         return pd.DataFrame({"a": group["key"].to_numpy()[root[moved]], "b": group["key"].to_numpy()[moved]})
 
     tiled = open_.groupBy("bucket", "low", "high").applyInPandas(joined, "a binary, b binary")
-    return direct.filter(F.col("similarity") >= alike - 1e-9).select("a", "b").union(tiled)
+    return direct.filter(F.greatest("similarity", "weighted") >= alike - 1e-9).select("a", "b").union(tiled)
 
 
 def classes(docs: DataFrame, words: int = WORDS, alike: float = ALIKE, bands: int = BANDS, size: int = ROWS, tile: int = TILE) -> DataFrame:

@@ -1,6 +1,8 @@
 """Near copies against brute force."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -20,10 +22,23 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def shingle_weights(text):
+    words = (text or "").lower().split()
+    found = Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else {}
+    return {k: 1 + math.log(n) for k, n in found.items()}
+
+
+def probability(x, y):
+    """Probability Jaccard similarity by its definition."""
+    names = x.keys() | y.keys()
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in names) for i in x.keys() & y.keys())
+
+
 def brute(rows):
-    """Smallest doc_id of the class of every row, links being similarity of 0.8 or more or equal texts."""
+    """Smallest doc_id of the class of every row, links being either similarity of 0.8 or more or equal texts."""
     texts = sorted({t or "" for _, t in rows})
     sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+    weights = [shingle_weights(t) for t in texts]
 
     def find(i):
         while root[i] != i:
@@ -32,7 +47,11 @@ def brute(rows):
 
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+            shared = len(sets[i] & sets[j])
+            alike = shared and shared >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+            # without repeats the similarities are one; few shared shingles leave no room for 0.8 with weights below 6
+            repeats = shared > 0.1 * len(sets[i]) and max(max(w.values()) for w in (weights[i], weights[j])) > 1
+            if alike or (repeats and probability(weights[i], weights[j]) >= 0.8 - 1e-9):
                 root[find(i)] = find(j)
     ids = {}
     for d, t in rows:
@@ -59,6 +78,13 @@ def corpus():
     rows += [(5000 + k, edited(base, random.choice([0.002, 0.01, 0.02, 0.03, 0.05]))) for k in range(150)]
     common = " ".join(words(40))  # a passage that many texts share
     rows += [(6000 + k, common + " " + " ".join(words(random.randint(10, 200)))) for k in range(40)]
+    for g in range(25):  # passages that repeat: alike by weight though not as sets, as sets though not by weight, or both
+        passage, rest = words(random.randint(10, 25)), words(random.randint(0, 40))
+        for k in range(4):
+            tail = edited(rest, random.choice([0, 0.03, 0.3]))
+            rows.append((9000 + 10 * g + k, " ".join(passage * random.choice([1, 4, 5, 30])) + " " + tail))
+    base = words(12) * 25  # a large group whose members share a repeating passage with each other and little else
+    rows += [(9500 + k, " ".join([*base, *words(random.randint(2, 9))])) for k in range(60)]
     rows += [(7000, "Some Text here"), (7001, "some text HERE"), (7002, "some text"), (7003, "some text"), (7004, "x " * 3000), (7005, "x " * 2999)]
     return rows + [(8000, None), (8001, ""), (8002, " \n"), (None, "some text"), (None, "alone"), (8003, "y " * 40 + "z"), (7003, "some text")]
 
@@ -115,6 +141,49 @@ def test_unequal_repeats_do_not_part_near_copies(spark):
     assert missed <= 1
 
 
+def test_probability_jaccard_is_that_of_its_definition():
+    draw = random.Random(31)
+    for _ in range(60):
+        x, y = ({draw.randint(0, 25): 1 + math.log(draw.randint(1, 30)) for _ in range(draw.randint(1, 20))} for _ in "ab")
+        arrays = [np.array(f(d), t) for d in (x, y) for f, t in ((sorted, np.uint64), (lambda d: [d[k] for k in sorted(d)], float))]
+        assert near_copies.probability_jaccard(*arrays) == pytest.approx(probability(x, y), abs=1e-12)
+    same = np.arange(9, dtype=np.uint64)
+    assert near_copies.probability_jaccard(same, np.ones(9), same[3:], np.ones(6)) == pytest.approx(6 / 9)
+
+
+def test_both_kinds_of_links_occur_in_the_corpus():
+    rows = [t for d, t in corpus() if d and 9000 <= d < 9600]
+    pairs = [(a, b) for n, a in enumerate(rows) for b in rows[:n]]
+    kinds = Counter()
+    for a, b in pairs:
+        x, y = shingle_set(a), shingle_set(b)
+        if len(x & y) > 0.1 * len(x):
+            kinds[len(x & y) >= 0.8 * len(x | y), probability(shingle_weights(a), shingle_weights(b)) >= 0.8] += 1
+    assert min(kinds[True, False], kinds[False, True], kinds[True, True]) > 5
+
+
+def test_weighted_near_copies_share_a_bucket(spark):
+    # alike by weight, with a set similarity below 0.8
+    random.seed(41)
+    rows, alike = [], []
+    for g in range(300):
+        passage, rest = words(60), words(20)
+        left, right = passage * 20 + rest, passage * 20 + words(20)
+        rows += [(2 * g, " ".join(left)), (2 * g + 1, " ".join(right))]
+        a, b = (shingle_set(t) for _, t in rows[-2:])
+        alike.append(probability(*(shingle_weights(t) for _, t in rows[-2:])))
+        assert len(a & b) / len(a | b) < 0.8 <= alike[-1]
+    got = {r.doc_id: set(r.bands) for r in near_copies.buckets(make(spark, rows), 5, near_copies.BANDS, near_copies.ROWS).collect()}
+    assert sum(not got[2 * g] & got[2 * g + 1] for g in range(300)) <= 1
+
+
+def test_leader_is_dealt_out_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SHARE", 8)
+    rows = corpus()
+    got = near_copies.class_members(make(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=repr) == brute(rows)
+
+
 def test_similarities_of_bounded_sets():
     random.seed(9)
     sets = [np.array(sorted(random.sample(range(30), random.randint(1, 20))), np.uint64) for _ in range(25)]
