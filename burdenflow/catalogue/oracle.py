@@ -641,3 +641,6 @@ ORACLE = {
     "draw_store_roundtrip": build(f"""SELECT {big('chain')}, iteration, parameter, {big('idx')}, {r('value')}, model FROM dl
         WHERE model = 'purchase'"""),
 }
+
+#: Draws out of a store are the same draws.
+ORACLE |= {f"{name}_stored": ORACLE[name] for name in ("expected_rates", "model_scores")}

@@ -14,7 +14,7 @@ from burdenflow.operators.ordering import hdi, quantiles
 from burdenflow.operators.shaping import above_threshold, append, filter_parameter, select_renamed, single
 from burdenflow.plans import burden, cleaning, posterior, prevalence, regression
 from burdenflow.sources import schemas
-from burdenflow.sources.tables import new_path, read_parts, read_sheet, read_table, replace_partitions, write_table
+from burdenflow.sources.tables import new_path, read_parts, read_sheet, read_table, replace_partitions, store_bucketed, write_table
 from burdenflow.sources.testbed import EVENT_INDEXES, PERIOD_REPAIR, SITE_INDEXES, Testbed
 from burdenflow.sources.weights import age_weights
 
@@ -449,6 +449,25 @@ def model_scores(t: Case) -> DataFrame:
     return posterior.model_scores(t.draws_wide(), t.study_cases(), "sma")
 
 
+def _stored_studies(t: Case) -> DataFrame:
+    """Draws of every study out of a store that is bucketed by their index."""
+    draws, families = t.draws_wide(), posterior.SCORE_FAMILIES
+    rows = posterior.draw_rows(draws, families, posterior.SCORE_PARAMETERS)
+    store = store_bucketed(rows, "draws_by_index", ["idx"], int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    indexes = len(posterior.shared_indexes(draws, list(families)))
+    return posterior.at_stored_studies(store, t.study_cases().select("study_number", "n", "py"), indexes)
+
+
+@query
+def expected_rates_stored(t: Case) -> DataFrame:
+    return posterior.rates_of(_stored_studies(t))
+
+
+@query
+def model_scores_stored(t: Case) -> DataFrame:
+    return posterior.scores_of(_stored_studies(t), "sma")
+
+
 @query
 def model_scores_rd(t: Case) -> DataFrame:
     return posterior.model_scores(t.draws_wide(), t.study_cases("rd"), "rd")

@@ -71,6 +71,27 @@ def site_draws(draws: DataFrame, families: Mapping[str, str], keep: Sequence[str
     return draws.select(*[col(k) for k in keep], F.inline(entries))
 
 
+def draw_rows(draws: DataFrame, families: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
+    """One row per draw and index ``idx``, as ``site_draws`` makes, from unpivoted columns met again by index and draw.
+
+    What it costs grows with the draws, not with an expression that holds every index; meant to be stored once.
+    """
+    shared = set(shared_indexes(draws, list(families)))
+    wanted = [name for family in families for i, name in indexed(draws, family).items() if i in shared]
+    ids = [*IDS, *[k for k in keep if k not in IDS]]
+    tall = draws.unpivot([col(k) for k in ids], [col(name) for name in wanted], "parameter", "value")
+    parts = lambda n: F.regexp_extract("parameter", r"^(.*)\[(\d+)\]$", n)
+    tall = tall.withColumns({"family": parts(1), "idx": parts(2).cast("int")})
+    values = [F.max(F.when(F.col("family") == family, F.col("value"))).alias(name) for family, name in families.items()]
+    return tall.groupBy("idx", *ids).agg(*values)
+
+
+def at_stored_studies(store: DataFrame, studies: DataFrame, indexes: int) -> DataFrame:
+    """Stored draws of every study: the studies are dealt out to the store's buckets, the draws stay where they are."""
+    numbered = studies.withColumn("idx", F.pmod(F.col("study_number") - 1, F.lit(indexes)).cast("int") + 1)
+    return store.join(numbered.hint("merge"), "idx").drop("idx")
+
+
 def at_studies(rows: DataFrame, studies: DataFrame, indexes: int, number: str = "study_number") -> DataFrame:
     """Rows of an index for every study that has it: study numbers go through the indexes again and again."""
     idx = F.pmod(F.col(number) - 1, F.lit(indexes)) + 1
@@ -414,18 +435,24 @@ FORMS = {
 
 def _study_draws(draws: DataFrame, studies: DataFrame) -> DataFrame:
     """Draws of every study with the study's cases and person-years."""
-    families = {"PR_corrected": "pr", "estimated_admissions": "est"}
-    sites = site_draws(draws, families, keep=[*IDS, "intercept", "beta1", "beta2", "r"])
-    return at_studies(sites, studies.select("study_number", "n", "py"), len(shared_indexes(draws, list(families))))
+    sites = site_draws(draws, SCORE_FAMILIES, keep=[*IDS, *SCORE_PARAMETERS])
+    return at_studies(sites, studies.select("study_number", "n", "py"), len(shared_indexes(draws, list(SCORE_FAMILIES))))
 
 
 def _rate(form: str) -> Column:
     return expected_rate(form, F.col("pr"), F.col("py"), F.col("intercept"), F.col("beta1"), F.col("beta2"))
 
 
+SCORE_FAMILIES, SCORE_PARAMETERS = {"PR_corrected": "pr", "estimated_admissions": "est"}, ["intercept", "beta1", "beta2", "r"]
+
+
 def expected_rates(draws: DataFrame, studies: DataFrame) -> DataFrame:
     """Expected admissions per draw and study under each response form, and the correction."""
-    rows = _study_draws(draws, studies)
+    return rates_of(_study_draws(draws, studies))
+
+
+def rates_of(rows: DataFrame) -> DataFrame:
+    """``expected_rates`` of draws that stand beside their studies."""
     forms = {f"lambda_{form}": _rate(form) for form in ("logistic", "linear", "intercept")}
     return rows.select(
         *IDS, "study_number", *[rate.alias(name) for name, rate in forms.items()],
@@ -439,7 +466,11 @@ def model_scores(draws: DataFrame, studies: DataFrame, phenotype: str, corrected
     The effective number of parameters is half the variance of the deviance. Phenotypes with
     imputed cases have their mean corrected by the estimate, cerebral cases have not.
     """
-    rows = _study_draws(draws, studies)
+    return scores_of(_study_draws(draws, studies), phenotype, corrected)
+
+
+def scores_of(rows: DataFrame, phenotype: str, corrected: bool = True) -> DataFrame:
+    """``model_scores`` of draws that stand beside their studies."""
     factor = lambda form: correction(_rate(form), F.col("est")) if corrected else F.lit(1.0)
     means = {form: _rate(form) * factor(form) for form in ("logistic", "linear", "intercept")}
     deviance = {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from burdenflow.functions import clinical
 from burdenflow.plans import burden, cleaning, posterior, prevalence, regression
+from burdenflow.sources.tables import store_bucketed
 from burdenflow.sources.weights import AGE_SHARES, PRESETS, age_weights
 
 # worked examples of the closed form: window, prevalence, window mean, standardised at 2-9 and 0-85
@@ -354,3 +355,21 @@ def test_composite_draws_match_patients_one_by_one(spark, keys):
     assert sum(r.patients for r in got) == len(rows)
     empty = burden.composite_imputed_draws(patients.limit(0), keys, draws=12)
     assert empty.count() == 0
+
+
+def test_stored_draws_meet_studies_without_a_shuffle(spark):
+    rows = [(c, i, float(i), *[float(10 * i + k) for k in range(6)]) for c in (1, 2) for i in range(40)]
+    names = [f"{family}[{k}]" for family in ("PR", "RE") for k in (1, 2, 3)]
+    draws = spark.createDataFrame(rows, "chain int, iteration int, r double, " + ", ".join(f"`{n}` double" for n in names))
+    families = {"PR": "pr", "RE": "re"}
+    made = posterior.draw_rows(draws, families, ["r"])
+    want = posterior.site_draws(draws, families, keep=[*posterior.IDS, "r"])
+    columns = ["idx", "chain", "iteration", "r", "pr", "re"]
+    assert sorted(made.select(columns).collect()) == sorted(want.select(columns).collect())
+    store = store_bucketed(made, "draws_test", ["idx"], 8)
+    studies = spark.createDataFrame([(n, n * 2) for n in range(1, 8)], "study_number int, n int")
+    met = posterior.at_stored_studies(store, studies, 3)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "SortMergeJoin" in plan and plan.count("Exchange") == 1
+    got = sorted((r.study_number, r.chain, r.iteration, r.pr) for r in met.collect())
+    assert got == sorted((n, c, i, float(10 * i + (n - 1) % 3)) for n in range(1, 8) for c in (1, 2) for i in range(40))
