@@ -3,7 +3,8 @@
 The vocabulary cuts a text before every space that follows a character other than white space, whatever
 stands around it, and before and after a line's end between characters other than white space, so a text can be
 encoded piece by piece, and a piece met before needs no second encoding. Texts whose white space is single spaces
-and line ends are cut as arrays, many at a time, and each distinct piece is looked up once.
+and line ends are cut as arrays, many at a time; their pieces are looked up together in a table of fixed size with
+one place for each hash, and only those that aren't there are encoded, each distinct one once.
 A piece of Latin letters, digits and ASCII signs falls into words by the vocabulary's own rule; each word
 goes to the model of the tokenizers library. Any other piece goes through the library's whole encoder, and
 so does a text that holds a token added to the vocabulary (an end-of-text mark, say), which is then that token.
@@ -24,6 +25,9 @@ import numpy as np
 REMEMBERED, SHORT = 150_000, 48
 #: Characters that are cut at a time, and bytes of the pieces that are told apart as arrays.
 GROUP, KEY = 500_000, 24
+#: Places for such pieces in a worker (a power of two), and the most ids that one holds.
+PLACES, WIDE = 1 << 19, 9
+PIECE = np.dtype([("bytes", "<u8", 3), ("ids", "<u4", WIDE), ("size", "u1"), ("n", "u1")], align=True)
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _SPACED = re.compile(r"\s ")
@@ -86,11 +90,11 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.words = Memory(self._word)
-        self.bytes = Memory(self._bytes)
+        self.bytes, self.pieces = Memory(self._bytes), np.zeros(PLACES, PIECE)
         self.whole, self.spaced = Memory(self._piece), Memory(lambda piece: self._piece(piece, " "))
 
     def forget(self) -> None:
-        """Drop the older generation, so that a worker that goes on with other work holds less."""
+        """Drop the older generations, so that a worker that goes on with other work holds less."""
         for memory in (self.bytes, self.words, self.whole, self.spaced):
             memory.older = {}
 
@@ -172,20 +176,36 @@ class Encoder:
         for word in words:
             mixed = (mixed ^ word) * _MIX
             mixed ^= mixed >> np.uint64(29)
-        _, first, kind = np.unique(mixed, return_index=True, return_inverse=True)
-        alike = sizes <= KEY
-        for column in (*words, sizes):
-            alike &= column == column[first][kind]
-        # longer ones, and any whose numbers clash with another's, are looked up each
-        odd = np.flatnonzero(~alike)
-        kind[odd] = len(first) + np.arange(len(odd))
-        wanted = np.concatenate([first, odd])
-        ids = [self.bytes[data[a : a + n]] for a, n in zip(starts[wanted].tolist(), sizes[wanted].tolist())]
-        counts = np.array([len(x) // 4 for x in ids])
-        begins = np.cumsum(counts) - counts
-        each = counts[kind]
+        places = mixed & np.uint64(len(self.pieces) - 1)
+        held = self.pieces.take(places)
+        known = held["size"] == sizes
+        for number, word in enumerate(words):
+            known &= held["bytes"][:, number] == word
+        # the others are looked up each, once in a group
+        other = np.flatnonzero(~known)
+        found: dict[bytes, bytes] = {}
+        ids = []
+        for a, n in zip(starts[other].tolist(), sizes[other].tolist()):
+            piece = data[a : a + n]
+            known_ids = found.get(piece)
+            if known_ids is None:
+                known_ids = found[piece] = self._bytes(piece) if n <= KEY else self.bytes[piece]
+            ids.append(known_ids)
+        each = held["n"].astype(np.int64)
+        each[other] = counts = np.array([len(x) // 4 for x in ids], np.int64)
         after = np.cumsum(each)
-        every = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begins[kind] - (after - each), each) + np.arange(after[-1])]
+        every = np.empty(after[-1], "<u4")
+        looked = np.repeat(~known, each)
+        got = np.frombuffer(b"".join(ids), "<u4")
+        every[looked] = got
+        every[~looked] = held["ids"][np.arange(WIDE) < (held["n"] * known)[:, None]]
+        # a piece takes the place of the one that was there
+        fits = (sizes[other] <= KEY) & (counts <= WIDE)
+        new, row = other[fits], np.zeros(int(fits.sum()), PIECE)
+        row["size"], row["n"] = sizes[new], counts[fits]
+        row["bytes"] = np.stack([word[new] for word in words], axis=1)
+        row["ids"][np.arange(WIDE) < row["n"][:, None]] = got[np.repeat(fits, counts)]
+        self.pieces[places[new]] = row
         bounds = np.concatenate([[0], after[np.searchsorted(starts, ends) - 1]]).tolist()
         return [every[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 

@@ -1,5 +1,6 @@
 """Token ids, their files and their packing, against the tokenizers library and brute force."""
 
+import itertools
 import random
 import zlib
 from functools import cache
@@ -61,6 +62,30 @@ def test_groups_of_texts_give_the_ids_of_whole_texts(monkeypatch):
         assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode_all(texts, 1)] == [ids_of(text, 1) for text in texts]
 
 
+def test_most_pieces_of_a_large_vocabulary_are_encoded_once(monkeypatch):
+    words = ["".join(letters) for letters in itertools.islice(itertools.product("etaoinshrdlu", repeat=6), 320_000)]
+    texts = [" ".join(words[at : at + 1000]) for at in range(0, len(words), 1000)]
+    own, calls = tokens.Encoder(default_vocabulary()), []
+    monkeypatch.setattr(own, "_coded", lambda word, found=own._coded: calls.append(1) or found(word))
+    first = list(own.encode_all(texts, 1))
+    before = len(calls)
+    assert list(own.encode_all(texts, 1)) == first
+    assert len(calls) - before < 0.6 * before
+    assert np.frombuffer(first[7], "<u4").tolist() == ids_of(texts[7], 1)
+
+
+@pytest.mark.parametrize("places", [1, 16, 1 << 12])
+def test_pieces_that_take_each_others_places(monkeypatch, places):
+    random.seed(9)
+    words = ["a", "a\0", "a\0\0", "é", "x" * 30, "qzxjkvwpqzxjkvwp", "ﷺ" * 7, ".", "b,", "don't", "1.5", "\U0001f9ff" * 5, *(f"v{i}" for i in range(60))]
+    texts = [" ".join(random.choices(words, k=random.randrange(1, 60))) for _ in range(80)]
+    monkeypatch.setattr(tokens, "PLACES", places, raising=False)
+    monkeypatch.setattr(tokens, "GROUP", 700)
+    own = tokens.Encoder(default_vocabulary())
+    for _ in range(2):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode_all(texts, 1)] == [ids_of(text, 1) for text in texts]
+
+
 def test_added_tokens_are_tokens():
     text = "a <|endoftext|> b"
     assert ids_of(text, 1) == [64, 220, 50256, 275, 1] == np.frombuffer(encoder(default_vocabulary()).encode(text, 1), "<u4").tolist()
