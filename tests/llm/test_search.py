@@ -62,3 +62,36 @@ def test_scores_beyond_63_bits_count_as_the_nearest(spark):
     double = spark.createDataFrame([(50, [1e308, 1.0]), (1, [0.0, 2.0]), (2, [-1e308, 1e308])], "vec_id long, embedding array<double>")
     got = search.search(double, F.col("vec_id") % 50 == 0, 9).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(1, 2**17), (2, -most)]
+
+
+def test_what_is_handed_on_does_not_grow_with_the_shards(spark, monkeypatch):
+    random.seed(8)
+    rows = [(i, [random.uniform(-1, 1) for _ in range(4)]) for i in range(800)]
+    written, keep = [], search.keep
+
+    def counted(df, name):
+        written.append((kept := keep(df, name)).count())
+        return kept
+
+    monkeypatch.setattr(search, "keep", counted)
+    got = search.search(make(spark, rows), F.col("vec_id") % 50 == 0, 3, shard=10, tile=4, fan=2).collect()
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == brute(spark, rows, 3)
+    # 16 queries and 80 shards: no table has more rows than the result
+    assert max(written) <= 16 * 3
+
+
+def test_queries_that_a_cell_cannot_hold_are_dealt_out(spark, monkeypatch):
+    random.seed(9)
+    rows = [(i, [random.uniform(-1, 1) for _ in range(random.choice([3, 5]))]) for i in range(900)]
+    monkeypatch.setattr(search, "HELD", 100)
+    cut = search.grid(make(spark, rows), F.col("vec_id") % 50 == 0, 4, 50, 1, 8).collect()
+    assert {r.dim for r in cut} == {3, 5} and all(r.query_groups > 4 and r.groups == 1 for r in cut)
+    got = search.search(make(spark, rows), F.col("vec_id") % 50 == 0, 4, shard=50, tile=1, fan=2).collect()
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == brute(spark, rows, 4)
+
+
+def test_cells_are_as_many_as_wanted_and_copies_few(spark):
+    vectors = spark.range(100_000).select(F.col("id").alias("vec_id"), F.array(F.lit(0.5)).alias("embedding"))
+    (one,) = search.grid(vectors, F.col("vec_id") % 50 == 0, 5, 100, 10, 200).collect()
+    # 2,000 queries: 2 copies of all candidates and 100 of all queries
+    assert (one.dim, one.query_groups, one.groups) == (1, 2, 100)
