@@ -537,7 +537,8 @@ def rate_regression_composite(t: Case) -> DataFrame:
 def combined_roundtrip(t: Case) -> DataFrame:
     path = new_path(t.spark, "complete")
     ordered = t.complete().select(*_names(schemas.COMPLETE))
-    write_table(ordered, path, "csv")
+    # a row is some 250 characters, most of which repeat the features of its study
+    write_table(ordered, path, "csv", compression="gzip")
     return read_table(t.spark, path, schemas.COMPLETE, "csv")
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from burdenflow.catalogue.queries import REGISTRY
 from burdenflow.functions import clinical
 from burdenflow.plans import burden, cleaning, posterior, prevalence, regression
 from burdenflow.sources.tables import store_bucketed
@@ -373,3 +374,33 @@ def test_stored_draws_meet_studies_without_a_shuffle(spark):
     assert "Bucketed: true" in plan and "SortMergeJoin" in plan and plan.count("Exchange") == 1
     got = sorted((r.study_number, r.chain, r.iteration, r.pr) for r in met.collect())
     assert got == sorted((n, c, i, float(10 * i + (n - 1) % 3)) for n in range(1, 8) for c in (1, 2) for i in range(40))
+
+
+def test_admissions_are_not_shuffled_to_small_study_tables(spark):
+    adm = spark.range(1000).selectExpr("CAST(id % 3 AS STRING) AS site", "'2006-07' AS period", "CAST(id % 4 AS INT) AS age_years", "id AS x")
+    # by its estimate this is no small table
+    many = spark.range(3_000_000).selectExpr("CAST(id % 2 AS STRING) AS site", "'2006-07' AS period", "CAST(id % 5 AS INT) AS age_years")
+    loc = many.groupBy("site", "period").agg(F.count("*").alias("n_examined"))
+    pop = many.groupBy("site", "period", "age_years").agg(F.count("*").alias("n_age"))
+    complete = cleaning.build_complete(adm, loc, pop)
+    plan = complete._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("BroadcastHashJoin") == 2
+    known = complete.groupBy("site").agg(F.count("*"), F.max("n_examined"), F.max("n_age")).orderBy("site").collect()
+    assert [tuple(r) for r in known] == [("0", 334, 1_500_000, 300_000), ("1", 333, 1_500_000, 300_000), ("2", 333, None, None)]
+
+
+def test_the_stored_analysis_table_is_compressed(spark, tmp_path):
+    tables = {
+        "region": "0 AS r_regionkey, 'R' AS r_name FROM range(1)",
+        "nation": "CAST(id AS INT) AS n_nationkey, concat('N', id) AS n_name, 0 AS n_regionkey FROM range(3)",
+        "customer": "id AS c_custkey, CAST(id % 3 AS INT) AS c_nationkey FROM range(9)",
+        "orders": "id AS o_orderkey, id % 9 AS o_custkey, DATE '1995-03-01' AS o_orderdate, 'P' AS o_orderstatus FROM range(40)",
+        "lineitem": """id % 40 AS l_orderkey, id AS l_partkey, id AS l_suppkey, CAST(id % 7 AS INT) AS l_linenumber,
+            CAST(id % 50 AS DOUBLE) AS l_quantity, 0.05D AS l_discount, 0.02D AS l_tax, 'A' AS l_returnflag, 'F' AS l_linestatus FROM range(200)""",
+    }
+    for name, sql in tables.items():
+        spark.sql(f"SELECT {sql}").write.parquet(f"{tmp_path}/{name}.parquet")
+    stored = REGISTRY["combined_roundtrip"](spark, str(tmp_path))
+    assert all(name.endswith(".csv.gz") for name in stored.inputFiles())
+    joined = REGISTRY["combined_left_joins"](spark, str(tmp_path)).select(*stored.columns)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, joined.collect())) and stored.count() == 200

@@ -61,3 +61,14 @@ def test_one_partition_is_replaced(spark):
     tables.write_table(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "m string, x int"), path, partition_by=["m"])
     tables.replace_partitions(spark.createDataFrame([("a", 9), ("c", 4)], "m string, x int"), path, ["m"])
     assert sorted(tuple(r) for r in tables.read_table(spark, path).select("m", "x").collect()) == [("a", 9), ("b", 3), ("c", 4)]
+
+
+def test_compressed_csv_reads_back_like_plain(spark):
+    df = spark.sql("SELECT * FROM VALUES ('a\"b,c', 1.5D, true), (NULL, NULL, NULL), ('NAB', 0.1D, false) AS t(s, x, b)")
+    back = []
+    for compression in (None, "gzip"):
+        path = tables.write_table(df, tables.new_path(spark, "t"), "csv", compression=compression)
+        read = tables.read_table(spark, path, "s STRING, x DOUBLE, b BOOLEAN", "csv")
+        assert all(name.endswith(".csv.gz" if compression else ".csv") for name in read.inputFiles())
+        back.append(sorted(map(str, read.collect())))
+    assert back[0] == back[1] == sorted(map(str, df.collect()))
